@@ -21,6 +21,8 @@ from .common import whole_text
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Buckets that a single text may be spread over; rows per text after pre-aggregation are at most this many.
 SPREAD = 1024
+#: Characters of a text that splitters look at, so that the sampled keys stay small; the comparison is of full texts.
+HEAD = 48
 
 
 def normalised(text):
@@ -34,8 +36,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     # Content sort: both aggregates below run inside the range partitions, without another exchange.
     runs = (
-        rows.repartitionByRange("norm", "bucket")
-        .groupBy("norm", "bucket")
+        rows.withColumn("head", F.left("norm", F.lit(HEAD)))
+        .repartitionByRange("head", "bucket")
+        .groupBy("head", "norm", "bucket")
         .agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
         .select(F.sha2("norm", 256).alias("text_sha256"), "bucket", "low", "n")
     )

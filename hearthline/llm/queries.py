@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, licences, pieces, token_counts
+from . import exact_dedup, licences, pieces, quality, token_counts, topk, toxicity
 from .common import table
 
 
@@ -13,6 +14,18 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,5 +38,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op8_token_counts, op9_sentencepiece, op10_exact_dedup)}
-ORACLES = {"op2_license_scan": licences.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_exact_top_k, op5_quality_classifier, op6_toxicity, op8_token_counts, op9_sentencepiece, op10_exact_dedup)}
+ORACLES = {"op3_exact_top_k": topk.ORACLE, "op2_license_scan": licences.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
