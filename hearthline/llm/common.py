@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def whole_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null text as empty; every other column is dropped, so clashing names cannot matter."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def packed(docs: DataFrame, keys: str) -> DataFrame:
+    """The key columns and z, the compressed text: less to move where texts must meet what was found about them."""
+    names = [k.split()[0] for k in keys.split(",")]
+
+    def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield b[names].assign(z=[z.compress(t.encode()) for t in b["text"]])
+
+    return docs.mapInPandas(pack, f"{keys}, z binary")
