@@ -1,8 +1,56 @@
-"""Corpus pipeline (stages follow as their operators land)."""
+"""Corpus pipeline: five stages from raw documents to packed sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and gets all that its predecessor kept; all but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hearthline.llm import exact_dedup, minhash, packing, quality, repeats
+from hearthline.llm.common import cut, table
+
+
+def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_copies(docs)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go from the texts; documents stay, with n_chars counted anew where they have that column."""
+    left = repeats.remove_repeats(docs, texts=True).select("row", "kept").dropDuplicates(["row"])
+    name = repeats.row_name(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
+    columns = [F.col("kept").alias(c) if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    return docs.join(left, name == left["row"]).select(*columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_text),
+    ("exact dedup", no_exact_copies),
+    ("MinHash near-dedup", no_near_copies),
+    ("suffix-array dedup", no_repeats),
+    ("best-fit packing", packed),
+]
+
+#: The classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)
