@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
+from .merges import Merges
 from .token_counts import CACHE_WORDS, worker_encoder
 
 SPACE = "▁"
-_NONE = np.int64(2**62)
 #: Longer chunks are cut further, wherever the vocabulary joins no two neighbours.
 LONG = 40
 
@@ -53,18 +53,14 @@ class PieceModel:
         for c in sorted({c for i in plain for c in names[i]} - self.symbol.keys()):
             self.symbol[c] = n + len(self.symbol)  # only ever a part of longer pieces
         self.joined = {p[k : k + 2] for p in (names[i] for i in plain) for k in range(len(p) - 1)}
-        self.width = np.int64(max(self.symbol.values()) + 2)
-        order = sorted(plain, key=lambda i: -sp.get_score(i))
         place = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
         pairs = {}
-        for i in order:
+        for i in plain:
             p = names[i]
             for k in range(1, len(p)):
                 if p[:k] in self.symbol and p[k:] in self.symbol:
-                    pairs[self.symbol[p[:k]] * self.width + self.symbol[p[k:]]] = (place[sp.get_score(i)], i)
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.int64)
+                    pairs[self.symbol[p[:k]], self.symbol[p[k:]]] = (place[sp.get_score(i)], i)
+        self.merges = Merges(pairs, max(self.symbol.values()) + 1)
         self.text = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
         self.spaced = {i for i in plain if names[i].startswith(SPACE)}
         self.decimal = [str(i).encode() for i in range(n)]
@@ -79,55 +75,15 @@ class PieceModel:
             if len(c) == 1:
                 self.code[ord(c)] = i
 
-    def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.ranks[at], _NONE), self.merged[at]
-
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids of independent segments, as little-endian 32-bit bytes."""
         out = [b""] * len(words)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         char = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
         sym = self.code[char]
-        word = np.repeat(np.arange(len(words)), sizes)
-        rank, into = np.full(len(sym), _NONE), np.zeros(len(sym), dtype=np.int64)
-        if len(sym) > 1:
-            rank[:-1], into[:-1] = self._lookup(sym[:-1], sym[1:])
-            rank[:-1][word[:-1] != word[1:]] = _NONE
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(sym):
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat(rank, starts)
-            lengths = np.diff(np.r_[starts, len(sym)])
-            idle = np.repeat(best == _NONE, lengths)
-            if idle.any():
-                done.append((word[idle], sym[idle], char[idle]))
-                sym, char, word, rank, into = (x[~idle] for x in (sym, char, word, rank, into))
-                if not len(sym):
-                    break
-                starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                lengths, best = np.diff(np.r_[starts, len(sym)]), best[best != _NONE]
-            hits = np.flatnonzero(rank == np.repeat(best, lengths))
-            at = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]  # the leftmost of each word
-            sym[at] = into[at]
-            keep = np.ones(len(sym), dtype=bool)
-            keep[at + 1] = False
-            new_at = (np.cumsum(keep) - 1)[at]
-            sym, char, word, rank, into = (x[keep] for x in (sym, char, word, rank, into))
-            for p in (new_at - 1, new_at):
-                ok = (p >= 0) & (p + 1 < len(sym))
-                p = p[ok]
-                q = np.minimum(p + 1, len(sym) - 1)
-                r, m = self._lookup(sym[p], sym[q])
-                rank[p], into[p] = np.where(word[p] == word[q], r, _NONE), m
-            if new_at[-1] == len(sym) - 1:
-                rank[-1] = _NONE
-        if done:
-            word, sym, char = (np.concatenate(x) for x in zip(*done))
-            order = np.argsort(word, kind="stable")
-            word, sym, char = word[order], sym[order], char[order]
+        word, sym, place = self.merges.run(sym, np.repeat(np.arange(len(words)), sizes))
+        char = char[place]
+        if len(sym):
             odd = np.flatnonzero((sym < 0) | (sym >= self.size))
             if len(odd):
                 wide = {int(k): [self.bytes_at[b] for b in chr(char[k]).encode()] for k in odd}

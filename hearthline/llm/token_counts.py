@@ -11,6 +11,7 @@ long texts are encoded whole; extra columns are ignored; an empty table gives an
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,12 +21,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, whole_text
+from .merges import Merges
 
 #: Entries that a worker's word cache may hold before it starts anew; it bounds memory, not results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: Texts whose new words are learnt together.
+STRETCH = 500
 #: Outside this range a text is looked up chunk by chunk as it is, without lowering case first.
 _PLAIN = re.compile("[^\x00-įı-ɏ]")
-_BLANK = str.maketrans("\n\t\r", "   ")
+
+
+class WordMerges:
+    """Ids of lower-case words of letters, each a single pre-token, by vectorised merge rounds."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = {}
+        for rank, m in enumerate(model["merges"]):
+            a, b = m.split(" ") if isinstance(m, str) else m
+            pairs[ids[a], ids[b]] = (rank, ids[a + b])
+        self.merges = Merges(pairs, max(ids.values()) + 1)
+        # Byte-level alphabet: printable Latin-1 signs stand for themselves, the other bytes for signs from 256 on.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.inner = np.array([ids[sign[b]] for b in range(256)], dtype=np.int64)
+        self.last = np.array([ids[sign[b] + end] for b in range(256)], dtype=np.int64)
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        data, ends = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(sizes) - 1
+        sym = self.inner[data]
+        sym[ends] = self.last[data[ends]]
+        word, sym, _ = self.merges.run(sym, np.repeat(np.arange(len(raw)), sizes))
+        flat, cuts = sym.astype("<u4").tobytes(), (np.searchsorted(word, np.arange(len(raw) + 1)) * 4).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class WordEncoder:
@@ -42,7 +77,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.ends = {x: self._encode([x])[0] for x in ".,"}
+        self.words = WordMerges(path)
+        self.ends = {x: self._encode([x])[0] for x in ".,!"}
         self.chunks: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -52,27 +88,32 @@ class WordEncoder:
     def _split(self, text: str) -> list[str]:
         if "<|" not in text and not _PLAIN.search(text):
             text = text.lower()
-        return text.translate(_BLANK).split(" ")
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def encode(self, texts: list[str]) -> Iterator[list[bytes]]:
-        """For each text the little-endian 32-bit ids of its chunks."""
-        for text in texts:
-            words = self._split(text)
-            found = list(map(self.chunks.get, words))
-            if None in found:
-                self._learn({w for w, x in zip(words, found) if x is None})
-                found = list(map(self.chunks.__getitem__, words))
-            yield found
+        """For each text the little-endian 32-bit ids of its chunks. Words new to a stretch of texts are learnt together."""
+        for k in range(0, len(texts), STRETCH):
             if len(self.chunks) > CACHE_WORDS:
                 self.chunks = {}
             if len(self.stems) > CACHE_WORDS:
                 self.stems = {}
+            split = list(map(self._split, texts[k : k + STRETCH]))
+            known = self.chunks
+            if new := {w for w in set().union(*split) if w not in known}:
+                self._learn(new)
+            for words in split:
+                yield list(map(known.__getitem__, words))
 
     def _learn(self, words: set[str]) -> None:
-        parts = {w: (w[:-1], self.ends[w[-1]]) if len(w) > 1 and w[-1] in self.ends and w[-2].isalpha() else (w, b"") for w in words}
-        if new := [s for s in {s for s, _ in parts.values()} if s not in self.stems]:
-            self.stems.update(zip(new, self._encode(new)))
-        self.chunks.update({w: self.stems[s] + end for w, (s, end) in parts.items()})
+        stems, ends = self.stems, self.ends
+        cut = {w: w[:-1] for w in words if w[-1:] in ends and w[-2:-1].isalpha()}
+        new = {s for s in words if s not in cut and s not in stems}
+        new.update(s for s in cut.values() if s not in stems)
+        plain = [s for s in new if s.isalpha() and s.islower() and not _PLAIN.search(s)]
+        stems.update(zip(plain, self.words.encode(plain)))
+        rest = list(new.difference(plain))
+        stems.update(zip(rest, self._encode(rest)))
+        self.chunks.update({w: stems[cut[w]] + ends[w[-1]] if w in cut else stems[w] for w in words})
 
 
 _encoders: dict[tuple[type, str], object] = {}
