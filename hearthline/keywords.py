@@ -14,3 +14,11 @@ RENT, SALE = ("аренд",), ("продаж",)
 AREA_BANDS = ((0, 10, "до 10"), (10, 30, "10-30"), (30, 80, "30-80"), (80, 150, "80-150"), (150, 300, "150-300"), (300, 500, "300-500"), (500, 800, "500-800"), (800, 1000, "800-1000"), (1000, 1500, "1000-1500"), (1500, 2000, "1500-2000"), (2000, 10_000_000, "2000+"))
 EDGE_CONFIDENCE = {"contact_to_listing": 0.9, "listing_to_object": 0.8, "object_to_address": 0.7, "contact_to_organization": 0.6, "organization_to_object": 0.6, "contact_to_address": 0.6, "listing_to_source": 0.7}
 SEARCH_HOSTS = ("google.", "yandex.", "bing.", "duckduckgo.")
+# Contacts: who speaks, what points at the seller, what points at a service desk or an advertiser, and how sure each class is.
+CONTACT_OWNER = ("собственник", "владел", "прямой", "без комиссии", "продавец", "арендодатель", "owner")
+CONTACT_AGENT = ("агент", "риэлтор", "брокер", "менеджер", "agent", "realtor", "broker")
+CONTACT_HINT = ("контакт", "телефон", "phone", "whatsapp", "telegram")
+CONTACT_SUPPORT = ("поддерж", "служба поддержки", "техподдерж", "контактный центр", "горячая линия", "обратная связь", "реклам", "размещен", "support", "help", "feedback", "helpdesk", "customer support", "call center")
+CONTACT_ADS = ("реклам", "advert", "ads")
+CONTACT_EMAIL_PREFIXES = ("help", "support", "info", "no-reply", "noreply", "feedback", "admin", "press", "hr", "jobs", "career", "marketing", "ads", "advert", "sales")
+CONTACT_CONFIDENCE = {"owner_candidate": 0.9, "agent_candidate": 0.75, "organization_contact": 0.6, "unknown_contact": 0.35, "platform_contact": 0.1, "support_contact": 0.1}

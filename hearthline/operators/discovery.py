@@ -82,3 +82,18 @@ def seeds(*parts: DataFrame, cap: int = 50) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("seed").agg(F.max_by("kind", F.struct("priority", "kind")).alias("kind"), F.max("priority").alias("priority")).orderBy(F.desc("priority"), "seed").limit(cap)
+
+
+def due(sources: DataFrame, as_of: Column, high_priority: bool = False) -> DataFrame:
+    """Active sources whose next run is unset or not after as_of; in high-priority mode only those of priority 80 and more."""
+    rows = sources.where(F.col("is_active") & (F.col("next_at").isNull() | (F.col("next_at") <= as_of)))
+    return rows.where(F.coalesce("priority", F.lit(0)) >= 80) if high_priority else rows
+
+
+def recent_messages(messages: DataFrame, at: str, permalink: str, channel: str, as_of: Column, days_back: int, allowed: DataFrame | None = None) -> DataFrame:
+    """One row for each permalink of the last days_back days, the earliest; allowed: one column with the channels that count."""
+    rows = messages.where((F.col(at) >= as_of - F.make_dt_interval(F.lit(days_back))) & (F.col(at) <= as_of))
+    if allowed is not None:
+        rows = rows.join(allowed.toDF("__allowed"), F.col(channel) == F.col("__allowed"), "left_semi")
+    every = rows.groupBy(permalink).agg(F.min_by(F.struct(*(c for c in messages.columns if c != permalink)), F.struct(*(c for c in messages.columns if c != permalink))).alias("m"))
+    return every.select(permalink, "m.*")

@@ -23,3 +23,14 @@ def changes(events: DataFrame, key: list[str], fields: list[str], order: list[st
     rows = events.withColumn("first", F.row_number().over(at) == 1).select(*key, *order, "first", F.array(*map(one, fields)).alias("c"))
     rows = rows.where("NOT first").select(*key, *order, F.explode("c").alias("c")).select(*key, *order, "c.*").where(~F.col("before").eqNullSafe(F.col("after")))
     return rows.withColumn("kind", F.when(F.col("before").isNull(), "filled").when(F.col("after").isNull(), "cleared").otherwise("changed"))
+
+
+def calls_to_leads(calls: DataFrame, leads: DataFrame) -> DataFrame:
+    """calls(call_id, lead_id, from_number), leads(lead_id, title, contact_phone): each call's lead, the known one or one built from its number."""
+    known = leads.select(F.col("lead_id").alias("known_id"), F.col("title").alias("known_title"), F.col("contact_phone").alias("known_phone"))
+    rows = calls.join(known, calls["lead_id"] == known["known_id"], "left")
+    is_new = F.col("known_id").isNull()
+    return rows.select(
+        "call_id", "known_id", F.when(is_new, F.concat(F.lit("Call lead "), F.coalesce("from_number", F.lit("unknown")))).otherwise(F.col("known_title")).alias("title"),
+        F.when(is_new, F.col("from_number")).otherwise(F.col("known_phone")).alias("contact_phone"), F.when(is_new, F.concat(F.lit("call:"), F.col("call_id"))).alias("source_record_id"), is_new.alias("is_new"),
+    )

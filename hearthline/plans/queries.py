@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthline import keywords
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
-from hearthline.operators import dedup, discovery, events, graph, identity, market, publish, scoring
+from hearthline.operators import contacts, dedup, discovery, events, graph, identity, market, publish, scoring
 from hearthline.sources import listings as S
 
 from .listings_view import LISTINGS, listings
@@ -454,3 +454,59 @@ def fuzzy_names(spark, sf_dir):
 @query()
 def contact_detail(spark, sf_dir):
     return graph.contact_detail(_keyed(spark, sf_dir))
+
+
+CONTACT_PACKS = {"owner": ("small",), "agent": ("la ",), "hint": ("the",), "support": ("license",), "ads": ("idiot",), "prefixes": ("a", "b")}
+CC = rf"""raw AS (SELECT doc_id, coalesce(text, '') AS text, left(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 240) AS context FROM documents),
+found AS (SELECT doc_id, context, 0 AS origin, 'phone' AS type, unnest(regexp_extract_all(text, '{X.PHONE}')) AS value, generate_subscripts(regexp_extract_all(text, '{X.PHONE}'), 1) AS pos FROM raw
+  UNION ALL SELECT doc_id, context, 1, 'email', unnest(regexp_extract_all(text, '{X.EMAIL}')), generate_subscripts(regexp_extract_all(text, '{X.EMAIL}'), 1) FROM raw),
+norm AS (SELECT *, CASE WHEN type = 'email' THEN lower(trim(value)) WHEN {_strict('value')} <> '' THEN {_strict('value')} ELSE trim(value) END AS normalized FROM found),
+firsts AS (SELECT * FROM norm WHERE normalized <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, type, normalized ORDER BY origin, pos) = 1),
+cand AS (SELECT *, lower(context) AS low, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY origin, pos) AS INT) AS seq FROM firsts),
+why AS (SELECT *, type = 'email' AND ({' OR '.join(f"normalized LIKE '{p}%'" for p in CONTACT_PACKS['prefixes'])}) AS r1, {_any('low', CONTACT_PACKS['support'])} AS r3, {_any('low', CONTACT_PACKS['ads'])} AS r5 FROM cand),
+rated AS (SELECT *, CASE WHEN r1 OR r3 THEN 'support_contact' WHEN r5 THEN 'platform_contact' WHEN {_any('low', CONTACT_PACKS['owner'])} THEN 'owner_candidate' WHEN {_any('low', CONTACT_PACKS['agent'])} THEN 'agent_candidate' ELSE 'unknown_contact' END AS contact_class FROM why),
+conf AS (SELECT *, CAST(round(CASE contact_class WHEN 'owner_candidate' THEN 0.9 WHEN 'agent_candidate' THEN 0.75 WHEN 'unknown_contact' THEN 0.35 ELSE 0.1 END + CASE WHEN type = 'phone' THEN 0.05 ELSE 0 END, 3) AS DOUBLE) AS confidence FROM rated)"""
+
+
+def _contacts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return contacts.classified(contacts.candidates(docs, "doc_id", [("listing_body", F.coalesce("text", F.lit("")))]), **CONTACT_PACKS)
+
+
+@query(f"WITH {CC} SELECT doc_id, seq, type, normalized, contact_class, confidence, concat_ws(',', CASE WHEN r1 THEN 'email_prefix_blocked' END, CASE WHEN r3 THEN 'support_context' END, CASE WHEN r5 THEN 'ad_contact' END) AS reasons FROM conf")
+def contact_candidates(spark, sf_dir):
+    return _contacts(spark, sf_dir).select("doc_id", "seq", "type", "normalized", "contact_class", "confidence", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {CC} SELECT doc_id, seq, type, normalized, contact_class, confidence FROM conf WHERE NOT (r1 OR r3 OR r5) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, type = 'phone' DESC, seq) = 1")
+def best_contacts(spark, sf_dir):
+    return contacts.best(_contacts(spark, sf_dir), "doc_id")
+
+
+@query()
+def contact_bundles(spark, sf_dir):
+    return contacts.bundles(_contacts(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {LV}, src AS (SELECT agency_id, city, source_channel, max(updated_at) + INTERVAL '3' DAY AS next_at, CAST(count(*) % 100 AS INT) AS priority, count(price_rub) > 0 AS is_active FROM lv GROUP BY 1, 2, 3) SELECT agency_id, city, source_channel, priority FROM src WHERE is_active AND next_at <= TIMESTAMP '2001-11-03 00:00:00'")
+def due_sources(spark, sf_dir):
+    src = listings(spark, sf_dir).groupBy("agency_id", "city", "source_channel").agg((F.max("updated_at") + F.make_dt_interval(F.lit(3))).alias("next_at"), (F.count(F.lit(1)) % 100).cast("int").alias("priority"), (F.count("price_rub") > 0).alias("is_active"))
+    return discovery.due(src, F.lit("2001-11-03 00:00:00").cast("timestamp")).select("agency_id", "city", "source_channel", "priority")
+
+
+@query("""WITH m AS (SELECT user_id || '/' || event_type AS permalink, event_type AS channel, ts, event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL '7' DAY AND event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING count(*) FILTER (value >= 10) > 0))
+SELECT permalink, min_by(channel, struct_pack(ts := ts, e := event_id)) AS channel, min_by(event_id, struct_pack(ts := ts, e := event_id)) AS event_id FROM m GROUP BY 1""")
+def recent_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.concat_ws("/", "user_id", "event_type").alias("permalink"), "ts", "event_id", F.col("event_type").alias("channel"))
+    allowed = e.groupBy("event_type").agg(F.count_if(F.col("value") >= 10).alias("n")).where("n > 0").select("event_type")
+    last = e.agg(F.max("ts").alias("t")).scalar()
+    return discovery.recent_messages(rows, "ts", "permalink", "channel", last, 7, allowed).select("permalink", "channel", "event_id")
+
+
+@query("""SELECT event_id AS call_id, CAST(c_custkey AS VARCHAR) AS known_id, CASE WHEN c_custkey IS NULL THEN 'Call lead 8900' || CAST(user_id AS VARCHAR) ELSE c_name END AS title, CASE WHEN c_custkey IS NULL THEN '8900' || CAST(user_id AS VARCHAR) ELSE '7900' || CAST(c_custkey AS VARCHAR) END AS contact_phone,
+CASE WHEN c_custkey IS NULL THEN 'call:' || CAST(event_id AS VARCHAR) END AS source_record_id, c_custkey IS NULL AS is_new FROM events LEFT JOIN customer ON user_id = c_custkey AND c_acctbal > 0""")
+def call_leads(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").alias("lead_id"), F.concat(F.lit("8900"), F.col("user_id").cast("string")).alias("from_number"))
+    leads = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("lead_id"), F.col("c_name").alias("title"), F.concat(F.lit("7900"), F.col("c_custkey").cast("string")).alias("contact_phone"))
+    return events.calls_to_leads(calls, leads).withColumn("known_id", F.col("known_id").cast("string"))

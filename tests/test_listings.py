@@ -101,3 +101,29 @@ def test_streaming_upsert(spark, tmp_path):
     stream = spark.readStream.schema("k string, t int, v string").parquet(src)
     ingest.upsert_stream(stream, str(tmp_path / "table"), str(tmp_path / "cp"), ["k"], ["v"], ["t"]).awaitTermination()
     assert {(r["k"], r["v"]) for r in ingest.current(spark, str(tmp_path / "table"), ["k"], ["v"], ["t"]).collect()} == {("a", "x"), ("b", "y")}
+
+
+def test_contact_candidates(spark):
+    from hearthline.operators import contacts
+
+    rows = spark.createDataFrame([(1, "Собственник +7 900 111-22-33, 8 (900) 111-22-33 or Me@Mail.ru", "footer help@site.ru"), (2, None, ""), (3, "agent a@b.ru", "x@site.ru")], "id long, body string, page string")
+    rated = contacts.classified(contacts.candidates(rows, "id", [("listing_body", F.col("body")), ("footer", F.col("page"))]), F.lit("site.ru"))
+    got = {(r["id"], r["normalized"]): (r["seq"], r["contact_class"], r["confidence"], r["reasons"]) for r in rated.collect()}
+    assert got == {
+        (1, "+79001112233"): (1, "owner_candidate", 0.95, []), (1, "me@mail.ru"): (2, "owner_candidate", 0.9, []),
+        (1, "help@site.ru"): (3, "support_contact", 0.05, ["email_prefix_blocked", "platform_domain", "support_context", "header_footer"]),
+        (3, "a@b.ru"): (1, "agent_candidate", 0.75, []), (3, "x@site.ru"): (2, "platform_contact", 0.05, ["platform_domain", "header_footer"]),
+    }
+    bundle = {r["id"]: r for r in contacts.bundles(rated, "id").collect()}
+    assert bundle[1]["selected"]["normalized"] == "+79001112233" and bundle[3]["rejection_reasons"] == ["header_footer", "platform_domain"] and 2 not in bundle
+
+
+def test_due_sources_and_calls(spark):
+    src = spark.sql("SELECT * FROM VALUES (1, true, 90, timestamp'2024-01-01'), (2, true, 10, null), (3, false, 90, null), (4, true, 90, timestamp'2025-01-01') t(id, is_active, priority, next_at)")
+    at = F.lit("2024-06-01").cast("timestamp")
+    assert [r["id"] for r in discovery.due(src, at).orderBy("id").collect()] == [1, 2]
+    assert [r["id"] for r in discovery.due(src, at, high_priority=True).collect()] == [1]
+    calls = spark.createDataFrame([(1, 7, "8900"), (2, 9, "8901"), (3, None, None)], "call_id long, lead_id long, from_number string")
+    leads = spark.createDataFrame([(7, "Known", "1")], "lead_id long, title string, contact_phone string")
+    got = {r["call_id"]: (r["title"], r["contact_phone"], r["is_new"]) for r in events.calls_to_leads(calls, leads).collect()}
+    assert got == {1: ("Known", "1", False), 2: ("Call lead 8901", "8901", True), 3: ("Call lead unknown", None, True)}
