@@ -1,6 +1,6 @@
 """Contact candidates of a text: found, classified, rated, and the best one chosen, as Column expressions and windows.
 
-Null and empty texts have no candidates. Phones that no digit is left of and repeats of a normalised value are left out.
+Null and empty texts have no candidates. Values that normalise to nothing and repeats of a normalised value are left out.
 """
 
 from __future__ import annotations
