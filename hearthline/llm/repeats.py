@@ -2,9 +2,11 @@
 
 Each string of 200 bytes has an anchor: the smallest hash among its 40-byte substrings. Equal strings have equal
 anchors, so neighbouring strings with one anchor form a run, and only runs whose anchor occurs elsewhere can hold a
-repeat. Runs that occur twice as a whole are repeats at once; of the others, the strings of all distinct runs of one anchor
-are compared by 128 bits of hash (anchor and string). Work and shuffles follow the number of runs, about one for 80 bytes.
-The suffix order that the operator is named after is replaced by this anchor grouping; README says why.
+repeat. Runs that occur twice as a whole are repeats at once; for the others, shards of whole anchors get their suffixes
+sorted by external induction (see induced.py), and a common prefix of 200 bytes with a neighbour marks a repeat. So the
+anchors only say which texts meet in a shard. Strings of an anchor with more than GROUP distinct runs, too many for one
+task, are compared over many tasks by 128 bits of hash (anchor and string). Shuffles follow the number of runs, about one
+for 80 bytes.
 
 Defined cases: null and empty texts have no bytes and empty output; texts below 200 bytes are never touched; copies are
 removed everywhere, as each occurs elsewhere; rows that repeat a doc_id are each returned and count as two documents;
@@ -22,12 +24,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import induced
 from .common import cut, packed, whole_text
 
 #: Bytes of a string that must not repeat, and of an anchor.
 LENGTH, ANCHOR = 200, 40
 #: An anchor with more distinct runs than this is compared string by string over many tasks instead of within one.
 GROUP = 4096
+#: Bytes of a shard, by whole anchors, and strings of a text within it: longer texts are cut, so that a text of one repeated byte is not sorted byte by byte.
+SHARD, PIECE = 4 << 20, 1024
 #: Odd multipliers of the hash.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -140,10 +145,10 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 held.append(b)
                 continue
             last = int(ends[-1]) + 1
-            yield resolve(pd.concat([*held, b.iloc[:last]]))
+            yield from shards(pd.concat([*held, b.iloc[:last]]))
             held = [b.iloc[last:]]
         if held:
-            yield resolve(pd.concat(held))
+            yield from shards(pd.concat(held))
 
     few = bodies.where(F.col("kinds") <= GROUP).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(compare, "anchor long, digest long, parts array<struct<a:long,b:long>>")
 
@@ -167,24 +172,26 @@ def find_spans(docs: DataFrame) -> DataFrame:
     )
 
 
+def shards(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Sorts whole anchors together, of SHARD bytes or a little more."""
+    if b.empty:
+        return
+    anchor, size = b["anchor"].to_numpy(), b["body"].map(len).to_numpy()
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    shard = np.repeat(np.add.reduceat(size, first).cumsum() // SHARD, np.diff(np.r_[first, len(b)]))
+    for _, part in b.groupby(shard, sort=False):
+        yield resolve(part)
+
+
 def resolve(b: pd.DataFrame) -> pd.DataFrame:
     """For each run the parts covered by strings that occur twice among the runs of its anchor."""
-    outs = []
-    for k in range(0, len(b), 2000):  # hashed in stretches, compared together below
-        part = b.iloc[k : k + 2000]
-        sizes = part["body"].map(len).to_numpy()
-        strings = hashes(np.frombuffer(b"".join(part["body"]), dtype=np.uint8))[1]
-        first = np.r_[0, np.cumsum(sizes)[:-1]]
-        n = sizes - (LENGTH - 1)
-        at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        outs.append((strings[at], n))
-    strings, n = np.concatenate([x[0] for x in outs]), np.concatenate([x[1] for x in outs])
-    group = np.repeat(b["anchor"].to_numpy(), n)
-    order = np.lexsort((strings, group))
-    same = (strings[order][1:] == strings[order][:-1]) & (group[order][1:] == group[order][:-1])
-    hit = np.zeros(len(strings), dtype=bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
+    pieces, owner = [], []
+    for k, body in enumerate(b["body"]):
+        for at in range(0, len(body) - LENGTH + 1, PIECE):
+            pieces.append(body[at : at + PIECE + LENGTH - 1])
+            owner.append(k)
+    hit = induced.repeated(pieces, b["anchor"].to_numpy()[owner], LENGTH)
+    n = b["body"].map(len).to_numpy() - (LENGTH - 1)
     ends = np.cumsum(n)
     parts = [[{"a": x, "b": y} for x, y in intervals(hit[e - m : e])] for e, m in zip(ends.tolist(), n.tolist())]
     return pd.DataFrame({"anchor": b["anchor"].array, "digest": b["digest"].array, "parts": parts})

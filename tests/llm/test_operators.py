@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.llm import exact_dedup, licences, minhash, packing, pieces, quality, repeats, token_counts, topk, toxicity
+from hearthline.llm import exact_dedup, induced, licences, minhash, packing, pieces, quality, repeats, token_counts, topk, toxicity
 
 DOC = "doc_id long, text string, lang string, bucket int, row string, key long, kept boolean, z int"
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -145,6 +145,28 @@ def test_repeats(corpus, monkeypatch, group):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(d), len(d) - len(kept), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+@pytest.mark.parametrize("spill", [induced.SPILL, 64])
+def test_induced_order_finds_repeats(monkeypatch, spill):
+    """Against counting; tiny limits send the queues and arrays to disk."""
+    from collections import Counter
+
+    monkeypatch.setattr(induced, "SPILL", spill)
+    monkeypatch.setattr(induced, "IN_MEMORY", spill)
+    for seed in range(120):
+        rng = random.Random(seed)
+        texts, groups = [], []
+        for g in range(rng.randint(1, 5)):
+            base = bytes(rng.choice(b"ab" if seed % 3 else b"abcdefgh") for _ in range(rng.randint(5, 60)))
+            for _ in range(rng.randint(1, 4)):
+                a = rng.randrange(len(base))
+                t = base[a : a + rng.randint(1, 50)] * rng.choice([1, 1, 2]) + b"a" * rng.choice([0, 0, 0, 25])
+                texts, groups = [*texts, t], [*groups, g]
+        length = rng.choice([1, 2, 3, 5, 8, 13, 20])
+        seen = Counter((g, t[k : k + length]) for g, t in zip(groups, texts) for k in range(len(t) - length + 1))
+        want = [seen[g, t[k : k + length]] > 1 for g, t in zip(groups, texts) for k in range(len(t) - length + 1)]
+        assert induced.repeated(texts, np.array(groups), length).tolist() == want, seed
+
+
 def test_packing(corpus):
     from tokenizers import Tokenizer
 
