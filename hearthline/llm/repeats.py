@@ -114,7 +114,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 if out:
                     yield pd.concat(out)
 
-    every = docs.mapInPandas(emit, "anchor long, digest long, row string, start long, n long, weight long")
+    # Written, as both the count and the join below read it and hashing costs more than the rows do.
+    every = cut(docs.mapInPandas(emit, "anchor long, digest long, row string, start long, n long, weight long"), "repeat-every")
     again = every.groupBy("anchor").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor")
     found = cut(every.join(again, "anchor", "left_semi"), "repeat-runs")
     distinct = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"), F.max("weight").alias("weight"), F.min(F.struct("row", "start", "n")).alias("at"))
