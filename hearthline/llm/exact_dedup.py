@@ -7,7 +7,7 @@ then meet as a few narrow rows (digest, bucket, smallest id, count).
 
 Defined cases: null text counts as empty and all empty texts are one group; a null id never becomes the kept row
 unless its whole group has none (then keep_id is null and kept is false); rows that repeat both id and text are all
-returned, each with the same decision; an empty table gives an empty result.
+returned, each with the same decision; an empty table gives an empty result. drop_exact_copies decides by row, not by id.
 """
 
 from __future__ import annotations
@@ -29,21 +29,29 @@ def normalised(text):
     return F.regexp_replace(text, SPACE_RUN, " ")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
-    rows = whole_text(docs, id_col, text_col).select(
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return whole_text(docs, id_col, text_col).select(
         "doc_id", normalised(F.col("text")).alias("norm"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int").alias("bucket")
     )
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """text_sha256, bucket, low, n: the partial groups of each text."""
     # Content sort: both aggregates below run inside the range partitions, without another exchange.
-    runs = (
+    return (
         rows.withColumn("head", F.left("norm", F.lit(HEAD)))
         .repartitionByRange("head", "bucket")
         .groupBy("head", "norm", "bucket")
         .agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
         .select(F.sha2("norm", 256).alias("text_sha256"), "bucket", "low", "n")
     )
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
+    rows = _rows(docs, id_col, text_col)
     groups = (
-        runs.groupBy("text_sha256")
+        _runs(rows).groupBy("text_sha256")
         .agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("bucket").alias("buckets"))
         .select("text_sha256", "keep_id", "group_size", F.explode("buckets").alias("bucket"))
     )
@@ -54,9 +62,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
+    """The rows of docs that stay, with all their columns: exactly one row of each text.
+
+    It is a row of the smallest id; null ids come last, but stay where a text has no other. Of rows that repeat both id and
+    text the one with the smallest hash stays.
+    """
+    winners = _runs(_rows(docs, id_col, text_col)).groupBy("text_sha256").agg(F.min("low").alias("keep_id"))
+    text = normalised(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.sha2(text, 256).alias("digest"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(*docs.columns).alias("order"), F.struct(*docs.columns).alias("whole"))
+    left = rows.join(winners, (rows["digest"] == winners["text_sha256"]) & rows["own_id"].eqNullSafe(winners["keep_id"]), "left_semi")
+    # Few rows repeat an id; min_by combines them before any exchange, so rows that repeat often do not meet in one task.
+    return left.groupBy("digest", "own_id").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")
 
 
 ORACLE = r"""
