@@ -1,18 +1,24 @@
 """Licence scan by canonical digest lookup, in DataFrame functions only.
 
-A unit is a whole text or one of its lines. Units are brought to one canonical form (lower case, no copyright lines,
-one spelling for words with several, punctuation as space, single spaces), digested, and hash-joined with the digests of
-known licence texts. The lookup table is a parameter; the default holds the licence texts below, so the broadcast side
-is bounded by that fixed list.
+A unit is a whole text, one of its lines or one of its paragraphs. Units are brought to one canonical form (lower case, no
+copyright statements, one spelling for words with several, punctuation as space, single spaces), digested, and hash-joined
+with the digests of known licences: one-line notices (KNOWN) and full texts (known_licences). A full text is known as a whole,
+with and without its title, and as the row of its paragraphs: where all of them follow each other in a text, it is a block
+of that text. The lookup table is a parameter (license, digest of a whole unit); the default is bounded by that fixed list.
 
 Defined cases: null and empty texts have no unit and match nothing (text_license null, n_license_lines 0); a text that
-is only a copyright line has an empty canonical form and matches nothing; repeated rows are returned once each with
+is only a copyright line has an empty canonical form and matches nothing, nor does an empty known text; blocks of several
+lines count with all their lines that are not blank; texts with a holder's own name inside a clause are not known; repeated rows are returned once each with
 equal values (rows are told apart by doc_id; ids that repeat share one result per id and text digest); extra columns
 are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pathlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,34 +53,103 @@ KNOWN = [
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("https://", "http://"), ("version ", "v ")]
 
 
+#: A line that starts as a copyright statement, up to its end or to the licence text that follows on the same line.
+_YEAR = r"[\[(<{]?(?:\d{4}|yyyy|year\b)"
+STATEMENT = (
+    r"(?m)^[ \t*#/;%>-]*(?:(?i:(?:copyright\b[ \t:]*(?:\(c\)|©)|©)[ \t]*\S|(?:copyright|\(c\))[ \t:,]*(?:by[ \t]+)?" + _YEAR + r")"
+    r"|Copyright[ \t]+(?:by[ \t]+)?(?!Licen[cs]e|Notice|Holder|Owner|Law|Act\b|Treaty|Statement|Disclaimer|Interest)[A-Z]"
+    r"|(?i:all rights reserved\.?[ \t\r]*$))"
+    r"[^\n]*?(?=$|(?i:\b(?:permission is hereby|permission to use|redistribution and use|everyone is permitted|licensed under|released under)\b))"
+)
+#: Titles that a full text may carry.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "Expat License"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"],
+}
+BREAK = r"\n[ \t\r]*(?:\n[ \t\r]*)+"
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
 def canonical(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(text), r"(?m)^[^\n]*(copyright|\(c\)|©)[^\n]*$", " ")
-    for a, b in SPELLINGS:
+    t = F.lower(F.regexp_replace(text, STATEMENT, " "))
+    for a, b in SPELLINGS[:-1]:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    # The last spelling ends in a space, so it comes after line breaks have become one.
+    return F.trim(F.replace(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), *map(F.lit, SPELLINGS[-1])))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license, body) of each full text and its usual variants: without appendix, other list signs, other words for the holder."""
+    out = []
+    for path in sorted((pathlib.Path(__file__).parent / "known_licences").glob("*.txt")):
+        name, body = path.stem, path.read_text().strip("\n")
+        bodies = [body]
+        if (end := re.search(r"(?m)^\s*END OF TERMS AND CONDITIONS\s*$", body)):
+            bodies += [body[: end.start()], body[: end.end()]]
+        if name.startswith("BSD"):
+            bodies += [re.sub("COPYRIGHT\\s+HOLDER\\s+OR\\s+CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS", x) for x in bodies]
+            bodies += [re.sub(r"(?m)^(\s*)\d\. ", r"\1* ", x) for x in bodies]
+            # List entries with a blank line between them or none, and after the first sentence or not.
+            bodies += [re.sub(r"\n\n(?=\s*(?:[2-9]\.|\*))", "\n", x) for x in bodies] + [re.sub(r"\n\n(?=\s*(?:\d\.|\*))", "\n", x) for x in bodies]
+        out += [(name, x) for x in dict.fromkeys(bodies)]
+    return out
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, body string").select("license", F.sha2(canonical(F.col("body")), 256).alias("digest")).dropDuplicates(["digest"])
+    """license, digest, variant, k, m: digest is that of a whole unit (m is 1) or of paragraph k of the m of a variant."""
+    wholes, rows = [*KNOWN], []
+    for v, (name, body) in enumerate(full_texts()):
+        wholes += [(name, f"{title}\n\n{body}") for title in ("", *TITLES.get(name, []))]
+        parts = re.split(BREAK, body)
+        rows += [(name, part, v, k, len(parts)) for k, part in enumerate(parts) if len(parts) > 1]
+    rows += [(name, body, -1 - k, 0, 1) for k, (name, body) in enumerate(wholes)]
+    table = spark.createDataFrame(rows, "license string, body string, variant int, k int, m int").select("license", F.sha2(canonical(F.col("body")), 256).alias("digest"), "variant", "k", "m")
+    whole = table.where("m = 1").groupBy("digest").agg(F.min("license").alias("license"), F.max("variant").alias("variant"))
+    return whole.select("license", "digest", "variant", F.lit(0).alias("k"), F.lit(1).alias("m")).unionByName(table.where("m > 1"))
+
+
+def _known(spark: SparkSession, known: DataFrame | None) -> DataFrame:
+    known = known if known is not None else known_digests(spark)
+    if "variant" not in known.columns:
+        known = known.select("license", "digest", F.xxhash64("digest").alias("variant"), F.lit(0).alias("k"), F.lit(1).alias("m"))
+    # Few and fixed rows: they travel as values, so that the filter is not repeated on each unit of the documents.
+    rows = [tuple(r) for r in known.select("license", "digest", F.col("variant").cast("long"), "k", "m").collect() if r["digest"] != EMPTY]
+    return spark.createDataFrame(rows, "license string, digest string, variant long, k int, m int")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_license (of the entire text), licenses (of single lines, sorted, comma-joined), n_license_lines."""
-    known = known if known is not None else known_digests(docs.sparkSession)
+    """doc_id, text_license (of the entire text), licenses (of lines and blocks, sorted, comma-joined), n_license_lines."""
     rows = whole_text(docs, id_col, text_col)
+
+    def unit(kind: int, body: Column, at: Column = F.lit(0), lines: Column = F.lit(1)) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), body.alias("body"), at.cast("int").alias("at"), lines.cast("int").alias("lines"))
+
+    def lines_of(text: Column) -> Column:
+        return F.size(F.filter(F.split(text, "\n", -1), lambda x: F.trim(F.replace(x, F.lit("\r"), F.lit(""))) != ""))
+
+    text = F.col("text")
+    paragraphs = F.when(text.rlike(BREAK), F.transform(F.split(text, BREAK, -1), lambda x, at: unit(2, x, at, lines_of(x)))).otherwise(F.array().cast("array<struct<kind:int,body:string,at:int,lines:int>>"))
+    # An entire text without paragraphs is its own block.
+    entire = unit(0, text, F.lit(0), F.when(text.rlike(BREAK), F.lit(1)).otherwise(lines_of(text)))
     units = rows.select(
         "doc_id", F.xxhash64("text").alias("row_key"),
-        F.explode(F.concat(F.array(F.struct(F.lit(True).alias("entire"), F.col("text").alias("body"))), F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.lit(False).alias("entire"), x.alias("body"))))).alias("u"),
+        F.explode(F.concat(F.array(entire), F.transform(F.split(text, "\n", -1), lambda x: unit(1, x)), paragraphs)).alias("u"),
     )
+    block = (F.col("kind") != 1) & (F.col("lines") > 1)
     found = (
-        units.select("doc_id", "row_key", "u.entire", F.sha2(canonical(F.col("u.body")), 256).alias("digest"))
-        .join(F.broadcast(known), "digest")
-        .groupBy("doc_id", "row_key", "entire", "license").agg(F.count(F.lit(1)).alias("n"))
+        units.select("doc_id", "row_key", "u.kind", "u.at", "u.lines", F.sha2(canonical(F.col("u.body")), 256).alias("digest"))
+        .join(F.broadcast(_known(docs.sparkSession, known)), "digest").where("m = 1 OR kind = 2")
+        .groupBy("doc_id", "row_key", "kind", "license", "variant", "m", (F.col("at") - F.col("k")).alias("start"))
+        .agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("k", "lines")).alias("parts")).where("size(parts) = m")
+        .withColumn("lines", F.aggregate("parts", F.lit(0), lambda s, x: s + x["lines"]))
+        .groupBy("doc_id", "row_key", "kind", "license", F.when(F.col("kind") == 1, F.col("variant")).otherwise(F.col("start")).alias("place"))
+        .agg(F.max("n").alias("n"), F.max("lines").alias("lines"))
         .groupBy("doc_id", "row_key")
         .agg(
-            F.min(F.when(F.col("entire"), F.col("license"))).alias("text_license"),
-            F.array_join(F.array_sort(F.collect_set(F.when(~F.col("entire"), F.col("license")))), ",").alias("licenses"),
-            F.sum(F.when(~F.col("entire"), F.col("n")).otherwise(0)).alias("n_license_lines"),
+            F.min(F.when(F.col("kind") == 0, F.col("license"))).alias("text_license"),
+            F.array_join(F.array_sort(F.collect_set(F.when((F.col("kind") == 1) | block, F.col("license")))), ",").alias("licenses"),
+            F.sum(F.when(F.col("kind") == 1, F.col("n")).when(block, F.col("lines")).otherwise(0)).alias("n_license_lines"),
         )
     )
     return rows.select("doc_id", F.xxhash64("text").alias("row_key")).join(found, ["doc_id", "row_key"], "left").select(

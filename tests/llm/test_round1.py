@@ -1,7 +1,10 @@
 """Cases of the first review: rows against ids, whole texts, spelt-out words."""
 
+import re
+import textwrap
+
 import corpus_pipeline
-from hearthline.llm import exact_dedup
+from hearthline.llm import exact_dedup, licences
 
 
 def test_exact_copies_go_by_row(spark):
@@ -16,3 +19,28 @@ def test_exact_copies_go_by_row(spark):
     # The stage after it counts rows: nothing that occurred as a repeated row alone may be emptied.
     left = corpus_pipeline.no_repeats(spark, corpus_pipeline.no_exact_copies(spark, docs, ""), "").collect()
     assert sorted(" ".join(r["text"].split()) for r in left) == sorted(t for _, t in kept)
+
+
+def rewrapped(body, width):
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in re.split(r"\n\s*\n", body.strip()))
+
+
+def test_full_licence_texts(spark):
+    """Re-wrapped, titled, on one line and inside a document; copyright clauses stay, copyright statements go."""
+    bodies = dict(licences.full_texts()[::-1])
+    mit, bsd, apache, gpl = (bodies[k] for k in ("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"))
+    said = "Copyright (c) 2020, Someone Else\nAll rights reserved."
+    texts = {
+        1: ("MIT", rewrapped(f"MIT License\n\n{said}\n\n{mit}", 100)), 2: ("BSD-3-Clause", rewrapped(f"{said}\n\n{bsd}", 60)),
+        3: ("MIT", "Copyright 2019 A. Person " + " ".join(mit.split())), 4: ("Apache-2.0", rewrapped(apache, 90)), 5: ("GPL-3.0", gpl),
+        6: (None, f"Some words before.\n\n{said}\n\n{rewrapped(mit, 50)}\n\nand after."), 7: (None, "Some words.\n\n" + mit.split("\n\n")[0] + "\n\nbut not the rest."),
+        8: (None, "© 2021 Nobody"), 9: (None, "The above copyright notice"), 10: (None, "All rights reserved.\n\n\n"), 11: ("BSD-2-Clause", rewrapped(bodies["BSD-2-Clause"], 200).upper()),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    assert {i: r["text_license"] for i, r in got.items()} == {i: want for i, (want, _) in texts.items()}
+    assert [got[i]["licenses"] for i in (1, 2, 3, 6, 7, 8, 9, 10)] == ["MIT", "BSD-3-Clause", "MIT", "MIT", "", "", "", ""]
+    lines = sum(1 for x in rewrapped(mit, 50).split("\n") if x)
+    assert [got[i]["n_license_lines"] for i in (3, 6, 7, 8, 10)] == [1, lines, 0, 0, 0]
+    empty = spark.createDataFrame([("none", licences.EMPTY)], "license string, digest string")
+    assert not licences.scan(docs, empty).where("text_license IS NOT NULL OR n_license_lines > 0").count()
