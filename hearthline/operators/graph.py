@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,28 +81,70 @@ def contact_features(rows: DataFrame) -> DataFrame:
 
 
 def contact_detail(rows: DataFrame, latest: int = 50) -> DataFrame:
-    """Features with organisations, addresses and the latest listings of each contact."""
+    """Features with all organisations and addresses of each contact, the organisations whose names are like its own, and its latest listings.
+
+    A contact is named by contact_name where rows have that column, else by its key.
+    """
+    key = ["agency_id", "contact_key"]
     own = rows.where("contact_key IS NOT NULL")
-    newest = Window.partitionBy("agency_id", "contact_key").orderBy(F.desc("updated_at"), F.desc("id"))
-    last = own.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= latest).groupBy("agency_id", "contact_key").agg(F.array_sort(F.collect_set("id")).alias("latest_listings"), F.array_sort(F.collect_set("address_key")).alias("latest_addresses"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("org_keys")))).alias("organisations"))
-    return contact_features(rows).join(last, ["agency_id", "contact_key"], "left")
+    newest = Window.partitionBy(*key).orderBy(F.desc("updated_at"), F.desc("id"))
+    last = own.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= latest).groupBy(*key).agg(F.array_sort(F.collect_set("id")).alias("latest_listings"))
+    # Distinct values are combined before any exchange, so a hot contact does not gather its listings.
+    linked = lambda value, name: own.select(*key, value.alias("v")).where("v <> ''").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("v")).alias(name))
+    label = F.coalesce(F.nullif(F.col("contact_name"), F.lit("")), F.col("contact_key")) if "contact_name" in rows.columns else F.col("contact_key")
+    names = own.select(*key, N.organisation(label).alias("name")).distinct()
+    orgs = rows.select("agency_id", F.explode("org_keys").alias("name")).distinct()
+    alike = contact_organisations(names, orgs).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("organisation", "ratio", "confidence"))).alias("fuzzy_organisations"))
+    found = contact_features(rows).join(last, key, "left").join(linked(F.col("address_key"), "linked_addresses"), key, "left").join(linked(F.explode("org_keys"), "organisations"), key, "left").join(alike, key, "left")
+    return found.withColumns({c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("linked_addresses", "organisations", "fuzzy_organisations")})
+
+
+def _ratio(one: str, other: str) -> Column:
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
+    return ratio(one, other)
 
-def fuzzy_pairs(names: DataFrame, least: float = 0.92, top: float = 0.9, prefix: int = 3, shortest: int = 4) -> DataFrame:
-    """(a_id, b_id, ratio, confidence) of names alike, a_id < b_id, blocked by prefix. names: (id, name), normalised.
 
-    Lengths bound the ratio from above, so most pairs of a block never reach the comparison; equal names need none and are
-    collapsed before it, so a block holds distinct names only.
+def _band(name: str, least: float) -> Column:
+    """Number of the length band of a name; names that can reach the ratio lie in the same or in neighbouring bands."""
+    return F.floor(F.log(F.length(name)) / math.log(max((2 - least) / least, 1.001) * 1.0001))
+
+
+def _near_bands(least: float) -> Column:
+    return F.explode(F.sequence(_band("name", least) - 1, _band("name", least) + 1)).alias("band")
+
+
+def _long_enough(least: float) -> Column:
+    la, lb = F.length("name"), F.length("b_name")
+    return 2 * F.least(la, lb) / (la + lb) >= least
+
+
+def contact_organisations(contacts: DataFrame, organisations_: DataFrame, least: float = 0.93, top: float = 0.88, prefix: int = 3, shortest: int = 4) -> DataFrame:
+    """(agency_id, contact_key, organisation, ratio, confidence) of contacts named like an organisation of their agency.
+
+    contacts: (agency_id, contact_key, name); organisations_: (agency_id, name); names normalised. Distinct names are compared.
     """
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    block = F.left("name", F.lit(prefix)).alias("block")
+    named = contacts.where(F.length("name") >= shortest)
+    ours = named.select("agency_id", "name").distinct().select("agency_id", "name", block, _band("name", least).alias("band"))
+    theirs = organisations_.where(F.length("name") >= shortest).distinct().select("agency_id", F.col("name").alias("b_name"), block, _near_bands(least))
+    pairs = ours.join(theirs, ["agency_id", "block", "band"]).where(_long_enough(least)).withColumn("ratio", _ratio("name", "b_name")).where(F.col("ratio") >= least)
+    return named.join(pairs, ["agency_id", "name"]).select("agency_id", "contact_key", F.col("b_name").alias("organisation"), "ratio", F.least(F.col("ratio"), F.lit(top)).alias("confidence"))
 
+
+def fuzzy_pairs(names: DataFrame, least: float = 0.92, top: float = 0.9, prefix: int = 3, shortest: int = 4) -> DataFrame:
+    """(a_id, b_id, ratio, confidence) of names alike, a_id < b_id, blocked by prefix and length band. names: (id, name), normalised.
+
+    Equal names need no comparison: their smallest id represents them in the pairs of different names, and each other id has
+    one row of ratio 1 that ties it to that id (its membership). So a block holds distinct names only, and lengths bound the
+    ratio from above, so most pairs of a block never reach the comparison.
+    """
     rows = names.where(F.length("name") >= shortest)
     kinds = rows.groupBy("name").agg(F.min("id").alias("id")).withColumn("block", F.left("name", F.lit(prefix)))
-    other = kinds.select(F.col("name").alias("b_name"), F.col("id").alias("b_id"), "block")
-    la, lb = F.length("name"), F.length("b_name")
-    pairs = kinds.join(other, "block").where((F.col("id") < F.col("b_id")) & (2 * F.least(la, lb) / (la + lb) >= least)).withColumn("ratio", ratio("name", "b_name")).where(F.col("ratio") >= least)
+    other = kinds.select(F.col("name").alias("b_name"), F.col("id").alias("b_id"), "block", _near_bands(least))
+    pairs = kinds.withColumn("band", _band("name", least)).join(other, ["block", "band"]).where((F.col("id") < F.col("b_id")) & _long_enough(least)).withColumn("ratio", _ratio("name", "b_name")).where(F.col("ratio") >= least)
     unlike = pairs.select(F.col("id").alias("a_id"), "b_id", "ratio")
     same = rows.join(kinds.select("name", F.col("id").alias("a_id")), "name").where("id > a_id").select("a_id", F.col("id").alias("b_id"), F.lit(1.0).alias("ratio"))
     return unlike.unionByName(same).withColumn("confidence", F.least(F.col("ratio"), F.lit(top)))

@@ -447,8 +447,7 @@ def run_rollup(spark, sf_dir):
 @query()
 def fuzzy_names(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), N.organisation(F.col("p_name")).alias("name"))
-    kinds = p.groupBy("name").agg(F.min("id").alias("id"))
-    return graph.fuzzy_pairs(kinds, least=0.7)
+    return graph.fuzzy_pairs(p, least=0.7)
 
 
 @query()
