@@ -1,11 +1,11 @@
 """Quality by compression: a text that the dictionary of good text packs better than the dictionary of bad text is good.
 
 Two zstandard dictionaries are trained on a bounded sample of labelled rows (SAMPLE of each class); the difference of the
-two compressed sizes over their sum, taken over all blocks of the whole text, is calibrated by a logistic curve on rows
-that trained no dictionary. Scoring is a map over the rows, without exchange.
+two compressed sizes over their sum, taken over all blocks of the whole text, is calibrated by a logistic curve on whole texts
+of rows that trained no dictionary. Scoring is a map over the rows, without exchange.
 
 Defined cases: null and empty texts compress as one empty block and get the score of that; without labelled rows of both
-classes every score is 0.5; repeated rows are scored alike; extra columns are ignored; an empty table gives an empty result.
+classes there is no model, every score is 0.5 and keep_good rejects nothing; repeated rows are scored alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import cut, whole_text
 from .labelled import held_out, logistic, sample
 
 #: Labelled rows of each class that a model learns from at most; two thirds train the dictionaries.
@@ -29,8 +29,8 @@ BLOCK = 2000
 DICTIONARY = 32768
 #: Compression level.
 LEVEL = 3
-#: Bytes of a sampled text that train a dictionary; scores read whole texts.
-TRAIN_BYTES = 4000
+#: Blocks of each class that train a dictionary at most, taken by hash from all blocks of the sampled texts.
+TRAIN_BLOCKS = 4000
 
 
 class SizeDifference:
@@ -47,30 +47,51 @@ class SizeDifference:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, float, float] | None:
     """(good dictionary, bad dictionary, slope, bias), or None without both classes."""
-    rows = sorted(sample(docs, labels, "quality", SAMPLE, True).select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, TRAIN_BYTES).alias("head"), "label").collect(), key=lambda r: r["doc_id"])
-    train = [[bytes(r["head"]) for k, r in enumerate(rows) if r["label"] == c and k % 3] for c in (1, 0)]
-    if not all(train):
+    # Few rows (SAMPLE of each class), read several times below.
+    rows = cut(sample(docs, labels, "quality", SAMPLE, True).select("doc_id", "text", "label"), "quality-sample")
+    ids = sorted(rows.select("doc_id", "label").collect(), key=lambda r: r["doc_id"])
+    rest = {r["doc_id"] for r in ids[::3]}
+    if not all(any(r["label"] == c and r["doc_id"] not in rest for r in ids) for c in (1, 0)):
         return None
+
+    def split(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[~b["doc_id"].isin(rest)]
+            for i, c, data in zip(b["doc_id"], b["label"], b["text"].map(str.encode)):
+                at = range(0, max(len(data), 1), BLOCK)
+                yield pd.DataFrame({"doc_id": i, "label": c, "at": at, "block": [data[k : k + BLOCK] for k in at]})
+
+    blocks = rows.mapInPandas(split, "doc_id long, label int, at long, block binary")
     dictionaries = []
-    for texts in train:
+    for c in (1, 0):
+        chosen = blocks.where(F.col("label") == c).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(TRAIN_BLOCKS).collect()
+        texts = [bytes(r["block"]) for r in sorted(chosen, key=lambda r: (r["doc_id"], r["at"]))]
         try:
             dictionaries.append(zstandard.train_dictionary(DICTIONARY, texts).as_bytes())
         except zstandard.ZstdError:  # too few samples to train on: their bytes serve as they are
             dictionaries.append(b"".join(texts)[-DICTIONARY:].ljust(8, b" "))
-    measure = SizeDifference(*dictionaries)
-    rest = [r for k, r in enumerate(rows) if not k % 3]
-    slope, bias = logistic([[measure(bytes(r["head"]).decode(errors="ignore"))] for r in rest], [r["label"] for r in rest])
+
+    def measured(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        measure = SizeDifference(*dictionaries)
+        for b in batches:
+            b = b[b["doc_id"].isin(rest)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": b["text"].map(measure).astype(float), "label": b["label"]})
+
+    tried = sorted(rows.mapInPandas(measured, "doc_id long, x double, label int").collect(), key=lambda r: r["doc_id"])
+    slope, bias = logistic([[r["x"]] for r in tried], [r["label"] for r in tried])
     # The sample is balanced by class; the bias goes back to the classes' shares among all labelled rows outside the held-out fold.
     share = labels.where(~held_out(F.col("doc_id"))).agg(F.avg(F.col("quality").cast("double"))).first()[0] or 0.5
-    have = np.mean([r["label"] for r in rest]) if rest else 0.5
+    have = np.mean([r["label"] for r in tried]) if tried else 0.5
     odds = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
     return dictionaries[0], dictionaries[1], float(slope), float(bias + odds(share) - odds(have))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model = fit(docs, labels)
+    return _scored(docs, fit(docs, labels), threshold)
 
+
+def _scored(docs: DataFrame, model: tuple[bytes, bytes, float, float] | None, threshold: float) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         measure = SizeDifference(*model[:2]) if model else None
         for b in batches:
@@ -85,5 +106,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
-    rejected = score(docs, labels, threshold).where("predicted = 0").select(F.col("doc_id").alias("__rejected")).distinct()
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+    rejected = _scored(docs, model, threshold).where("predicted = 0").select(F.col("doc_id").alias("__rejected")).distinct()
     return docs.join(rejected, docs["doc_id"] == rejected["__rejected"], "left_anti")

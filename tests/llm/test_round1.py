@@ -4,7 +4,7 @@ import re
 import textwrap
 
 import corpus_pipeline
-from hearthline.llm import exact_dedup, licences
+from hearthline.llm import exact_dedup, licences, quality
 
 
 def test_exact_copies_go_by_row(spark):
@@ -44,3 +44,25 @@ def test_full_licence_texts(spark):
     assert [got[i]["n_license_lines"] for i in (3, 6, 7, 8, 10)] == [1, lines, 0, 0, 0]
     empty = spark.createDataFrame([("none", licences.EMPTY)], "license string, digest string")
     assert not licences.scan(docs, empty).where("text_license IS NOT NULL OR n_license_lines > 0").count()
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """What makes a text bad stands after its first 4000 bytes."""
+    import random
+
+    rng = random.Random(6)
+    plain = lambda n: " ".join(f"w{rng.randrange(300)}x" for _ in range(n))
+    junk = lambda n: "".join(rng.choice("QZ#%&@") + str(rng.randrange(90)) for _ in range(n))
+    head = "the same opening words " * 180
+    rows = [(i, head + (junk(3000) if i % 2 else plain(1500))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(300)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.score(docs, labels, 0.5).collect()}
+    held = [i for i in got if got[i]["held_out"]]
+    assert len(held) > 30 and sum(got[i]["predicted"] == (i + 1) % 2 for i in held) >= 0.95 * len(held)
+
+
+def test_no_quality_model_rejects_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    for labels in ([], [(i, 1) for i in range(20)], [(i, 0) for i in range(20)]):
+        assert quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int")).count() == 20
