@@ -1,7 +1,7 @@
 """Toxicity through a noisy channel: hidden words are restored by Viterbi decoding, then the restored text is scored.
 
-A character trigram model is counted over all documents. Words that mix letters with look-alike signs, repeat a letter
-three times or are spelt out with separators become a lattice: each character may stand for itself, for the letters it
+A character trigram model is counted over all documents. Words that mix letters with look-alike signs, at their edges
+too, repeat a letter or are spelt out with separators become a lattice: each character may stand for itself, for the letters it
 looks like, for nothing (separators), or repeat the letter before it. Viterbi decoding under the model picks the word.
 Restored texts are scored by words and word beginnings that labelled rows show to be toxic beyond chance.
 
@@ -43,8 +43,13 @@ _CODES = np.zeros(256, dtype=np.int64)
 _CODES[97:123] = range(1, 27)
 _CODES[192:256] = 27
 _ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+€£].*|.*[^\w\s].*[^\W\d_].*|.*([^\W\d_])\1\1.*)")
-_SPELT = re.compile(r"(?<!\S)\w(?:[ .\-_*]{1,2}[\w@$!]){3,}(?!\S)")
+_SPELT = re.compile(r"(?<!\S)[\w@$!|+€£](?:[ .\-_*]{1,3}[\w@$!|+€£]){3,}(?!\S)")
+#: A letter that stands alone before a spelt-out run may be a word of its own.
+_ALONE = re.compile(r"[^\W\d_] +")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _EDGE = " \t.,;:!?\"'()[]{}*%&$#"
+#: Edge signs that stand for no letter.
+_BLANK_EDGE = "".join(c for c in _EDGE if c not in LOOKS)
 
 
 def codes(text: str) -> np.ndarray:
@@ -72,12 +77,15 @@ def character_model(texts: DataFrame) -> np.ndarray:
     return np.log((n + 8 * pairs[None, :, :]) / (n.sum(2, keepdims=True) + 8))
 
 
-def restore(word: str, logp: np.ndarray) -> str:
-    """The likeliest word behind a lower-case lattice word: Viterbi over states of the last two letters."""
+def restore(word: str, logp: np.ndarray, drop_looks: bool = True) -> str:
+    """The likeliest word behind a lower-case lattice word: Viterbi over states of the last two letters.
+
+    Without drop_looks, signs that can be letters are letters.
+    """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for ch in word:
         options = [(x, COST_LOOK) for x in LOOKS.get(ch, "")] or ([(ch, 0.0)] if ch.isalpha() else [])
-        drop = COST_DROP if ch in SEPARATORS or not ch.isalpha() else None
+        drop = COST_DROP if (ch in SEPARATORS or not ch.isalpha()) and (drop_looks or ch not in LOOKS) else None
         best: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (s, out) in states.items():
             moves = [] if drop is None else [((a, b), s + drop, out)]
@@ -99,9 +107,14 @@ class Restorer:
     def __init__(self, logp: np.ndarray) -> None:
         self.logp, self.cache = logp, {}
 
-    def _word(self, word: str) -> str:
-        bare = word.strip(_EDGE)
-        return restore(word, self.logp) if _ODD.match(bare) else bare
+    def _word(self, word: str) -> tuple[str, ...]:
+        """What a word may read as; edge signs that can be letters and doubled letters leave the plain reading beside the decoded one."""
+        bare, edged = word.strip(_EDGE), word.strip(_BLANK_EDGE)
+        if _ODD.match(bare):
+            return (restore(word, self.logp),)
+        if edged != bare and any(map(str.isalpha, bare)):
+            return (bare, restore(edged, self.logp), restore(edged, self.logp, drop_looks=False))
+        return (bare, restore(bare, self.logp)) if _DOUBLE.search(bare) else (bare,)
 
     def words(self, text: str) -> set[str]:
         text, cache = text.lower(), self.cache
@@ -111,8 +124,11 @@ class Restorer:
                 cache.clear()
                 new = list(found)
             cache.update({w: self._word(w) for w in new})
-        out = set(map(cache.__getitem__, found))
-        out.update(restore(m.group(0), self.logp) for m in _SPELT.finditer(text))
+        out = {x for w in found for x in cache[w]}
+        for m in _SPELT.finditer(text):
+            out.add(restore(m.group(0), self.logp))
+            if alone := _ALONE.match(m.group(0)):
+                out.add(restore(m.group(0)[alone.end() :], self.logp))
         return out
 
 

@@ -4,7 +4,7 @@ import re
 import textwrap
 
 import corpus_pipeline
-from hearthline.llm import exact_dedup, licences, quality
+from hearthline.llm import exact_dedup, licences, quality, toxicity
 
 
 def test_exact_copies_go_by_row(spark):
@@ -66,3 +66,11 @@ def test_no_quality_model_rejects_nothing(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
     for labels in ([], [(i, 1) for i in range(20)], [(i, 0) for i in range(20)]):
         assert quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int")).count() == 20
+
+
+def test_hidden_forms(spark):
+    texts = spark.createDataFrame([(i, "such an idiot is a stupid loser and scum indeed, an ass") for i in range(50)], "doc_id long, text string")
+    r = toxicity.Restorer(toxicity.character_model(texts))
+    for text, word in [("you $tupid", "stupid"), ("an a$$", "ass"), ("$ t u p i d", "stupid"), ("s - t - u - p - i - d", "stupid"), ("s   t   u   p   i   d", "stupid"), ("a s t u p i d", "stupid"), ("an iddiot", "idiot"), ('"$tupid!"', "stupid")]:
+        assert word in r.words(text), text
+    assert {"hello", "letter", "ass"} <= r.words("hello! letter (ass)")
