@@ -1,7 +1,7 @@
-"""Exact dedup by content sort, in DataFrame functions only.
+"""Exact dedup by content ranges, in DataFrame functions only.
 
-Sampled splitters range-partition the normalised bytes, the sort inside each range puts equal texts next to each
-other, and the sorted aggregate compares neighbours on their full bytes. Ties at a splitter are broken by a bucket of
+Sampled splitters range-partition the normalised bytes, and a hash aggregate inside each range finds texts that are equal
+in their full bytes. Ties at a splitter are broken by a bucket of
 the document id, so a text that holds a third of all rows is spread over many ranges; the partial groups of one text
 then meet as a few narrow rows (digest, bucket, smallest id, count).
 
@@ -37,7 +37,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _runs(rows: DataFrame) -> DataFrame:
     """text_sha256, bucket, low, n: the partial groups of each text."""
-    # Content sort: both aggregates below run inside the range partitions, without another exchange.
+    # Content ranges: both aggregates below run inside the range partitions, without another exchange.
     return (
         rows.withColumn("head", F.left("norm", F.lit(HEAD)))
         .repartitionByRange("head", "bucket")
