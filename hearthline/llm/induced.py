@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes of tuples that a queue holds in memory.
-SPILL = 64 << 20
+#: Bytes of tuples that a queue holds in memory. Common shards go beyond that.
+SPILL = 2 << 20
 #: Entries beyond which arrays over whole texts are mapped from disk.
-IN_MEMORY = 16 << 20
+IN_MEMORY = 2 << 20
 
 
 def space(n: int, kind: type, fill: int = 0) -> np.ndarray:
@@ -112,7 +112,7 @@ def ascending(x: np.ndarray) -> np.ndarray:
 
 def named(x: np.ndarray, up: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of the pieces from each local minimum to the next, equal pieces alike: (rank over all groups, how many share it)."""
-    code = x.astype(np.int64) * 2 + up
+    code = x * np.int32(2) + up
     bits = max(int(code.max()).bit_length(), 1)
     step = max(1, 62 // bits)
     size = np.r_[np.diff(at), 0] + 1
@@ -148,11 +148,9 @@ class Common:
 
     def __init__(self, symbols: np.ndarray, limit: int) -> None:
         self.limit = limit
-        padded = np.r_[symbols, np.zeros(limit + 16, dtype=np.uint8)]
-        n = len(padded) - 8
-        self.words = space(n, np.uint64)
-        for k in range(8):
-            self.words |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+        padded = np.concatenate([symbols, np.zeros(limit + 16, dtype=np.uint8)])
+        # Eight bytes from each place: a view of the bytes, not a copy.
+        self.words = np.ndarray(len(padded) - 8, dtype="<u8", buffer=padded, strides=(1,))
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out, open_ = np.full(len(a), self.limit, dtype=np.int32), np.arange(len(a))

@@ -1,16 +1,16 @@
 """Removal of every byte that a repeated 200-byte string covers, judged on all documents at once.
 
-Each string of 200 bytes has an anchor: the smallest hash among its 40-byte substrings. Equal strings have equal
-anchors, so neighbouring strings with one anchor form a run, and only runs whose anchor occurs elsewhere can hold a
-repeat. Runs that occur twice as a whole are repeats at once; for the others, shards of whole anchors get their suffixes
-sorted by external induction (see induced.py), and a common prefix of 200 bytes with a neighbour marks a repeat. So the
-anchors only say which texts meet in a shard. Strings of an anchor with more than GROUP distinct runs, too many for one
-task, are compared over many tasks by 128 bits of hash (anchor and string). Shuffles follow the number of runs, about one
-for 80 bytes.
+Suffixes are sorted by external induction (induced.py), and a common prefix of 200 bytes with a neighbour marks a repeat.
+Sorting is dealt over tasks by anchors: the anchor of a string is the smallest hash among its substrings of LEVELS[0]
+bytes. Equal strings have equal anchors, so only suffixes of one anchor must meet, and a hash that occurs once in the
+corpus can be set aside without a look at its bytes. Neighbouring strings with one anchor form a run; runs that are equal
+as a whole (by 128 bits of hash over their bytes) are sorted once. An anchor with more than GROUP distinct runs is dealt
+anew by longer anchors, which spreads what only shares a line or a sentence; what still meets at the last level shares
+nearly the whole string and is sorted in one shard, whose queues and arrays go to disk.
 
 Defined cases: null and empty texts have no bytes and empty output; texts below 200 bytes are never touched; copies are
 removed everywhere, as each occurs elsewhere; rows that repeat a doc_id are each returned and count as two documents;
-extra columns are ignored; an empty table gives an empty result.
+very long texts are read whole; extra columns are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,21 +20,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import cut, packed, whole_text
+from .common import cut, whole_text
 
-#: Bytes of a string that must not repeat, and of an anchor.
-LENGTH, ANCHOR = 200, 40
-#: An anchor with more distinct runs than this is compared string by string over many tasks instead of within one.
-GROUP = 4096
+#: Bytes of a string that must not repeat.
+LENGTH = 200
+#: Bytes of an anchor, by level; a level is used for what the one before left in groups of more than GROUP distinct runs.
+LEVELS, GROUP = (40, 120, 180), 512
 #: Bytes of a shard, by whole anchors, and strings of a text within it: longer texts are cut, so that a text of one repeated byte is not sorted byte by byte.
-SHARD, PIECE = 4 << 20, 1024
+SHARD, PIECE = 1 << 20, 1024
+#: Bytes of texts that are hashed together, and rows that leave a task together.
+CHUNK, ROWS = 1 << 17, 500
 #: Odd multipliers of the hash.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_KEY = ["anchor", "d1", "d2"]
+_RUNS = "anchor long, d1 long, d2 long, row string, start long, n long, weight long"
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,17 +52,18 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ANCHOR bytes and of the LENGTH bytes from each position, by doubling."""
-    h = (data.astype(np.uint64) + np.uint64(1)) * _MIX[3]
-    kept, size = {}, 1
-    while size < 128:
-        h = _join(h[:-size], h[size:])
+def hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the width bytes from each position, by doubling."""
+    h, size, out, done = (data.astype(np.uint64) + np.uint64(1)) * _MIX[3], 1, None, 0
+    while True:
+        if width & size:
+            n = len(data) - done - size + 1
+            out = h[:n] if out is None else _join(h[:n], out[size : size + n])
+            done += size
         size *= 2
-        kept[size] = h
-    anchors = _join(kept[32][: len(data) - ANCHOR + 1], kept[8][32 : len(data) - ANCHOR + 33])
-    n = len(data) - LENGTH + 1
-    return anchors, _join(_join(kept[128][:n], kept[64][128 : 128 + n]), kept[8][192 : 192 + n])
+        if size > width:
+            return out
+        h = _join(h[: -(size // 2)], h[size // 2 :])
 
 
 def smallest(h: np.ndarray, width: int) -> np.ndarray:
@@ -70,24 +76,25 @@ def smallest(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def runs(data: bytes) -> tuple[np.ndarray, ...]:
-    """(anchor, digest, start, n strings, weight) of each run; weight 2 if a string repeats inside the run."""
-    anchors, strings = hashes(np.frombuffer(data, dtype=np.uint8))
-    low = smallest(anchors, LENGTH - ANCHOR + 1)
-    start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    size = np.diff(np.r_[start, len(low)])
-    mixed = strings ^ (strings >> np.uint64(31))
-    mixed *= _MIX[0]
-    total = np.add.reduceat(mixed, start)
-    digest = _join(_join(total, strings[start]), strings[start + size - 1] + size.astype(np.uint64))
-    weight = np.ones(len(start), dtype=np.int64)
-    ordered = np.sort(strings)
-    if (ordered[1:] == ordered[:-1]).any():
-        run = np.repeat(np.arange(len(start)), size)
-        order = np.lexsort((strings, run))
-        again = (run[order][1:] == run[order][:-1]) & (strings[order][1:] == strings[order][:-1])
-        weight[np.unique(run[order][1:][again])] = 2
-    return low[start].view(np.int64), digest.view(np.int64), start, size, weight
+def runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor, d1, d2, start, n strings, weight) of each run; weight 2 if its anchor occurs twice in the text."""
+    data, sizes = b"".join(texts), np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    h = hashes(np.frombuffer(data, dtype=np.uint8), width)
+    low = smallest(h, LENGTH - width + 1)
+    own = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
+    n_at = len(low)
+    at = np.flatnonzero(ends[own[:n_at]] - np.arange(n_at) >= LENGTH)
+    value, text = low[at], own[at]
+    new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
+    n, start, anchor, text = np.diff(np.r_[new, len(at)]), at[new], value[new], text[new]
+    # The same anchor twice in one text: only then can a string repeat inside a run.
+    mixed = h ^ (own.astype(np.uint64) * _MIX[1])
+    mixed.sort()
+    twice = np.isin(anchor ^ (text.astype(np.uint64) * _MIX[1]), mixed[1:][mixed[1:] == mixed[:-1]])
+    digest = xxhash.xxh3_128_digest
+    d = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(start.tolist(), (start + n + (LENGTH - 1)).tolist())]), dtype="<i8").reshape(-1, 2)
+    return text, anchor.view(np.int64), d[:, 0], d[:, 1], start - (ends - sizes)[text], n, 1 + twice
 
 
 def intervals(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -99,89 +106,71 @@ def intervals(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, cuts + 1]].tolist(), (at[np.r_[cuts, len(at) - 1]] + LENGTH).tolist()))
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """(row, spans): for each row of docs(row, doc_id, text) that has any, its byte spans to remove, not yet merged."""
+def pack_bytes(docs: DataFrame, keys: str = "row string") -> DataFrame:
+    """The key columns and z, the compressed text: less to move where texts must meet what was found about them."""
+    names = [k.split()[0] for k in keys.split(",")]
 
-    def emit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for k in range(0, len(b), 1000):
-                out = []
-                for row, t in zip(b["row"].iloc[k : k + 1000], b["text"].iloc[k : k + 1000]):
-                    data = t.encode()
-                    if len(data) >= LENGTH:
-                        a, d, s, n, w = runs(data)
-                        out.append(pd.DataFrame({"anchor": a, "digest": d, "row": row, "start": s, "n": n, "weight": w}))
-                if out:
-                    yield pd.concat(out)
+            for k in range(0, len(b), ROWS):
+                part = b.iloc[k : k + ROWS]
+                yield part[names].assign(z=[z.compress(t) for t in part["text"]])
 
-    # Written, as both the count and the join below read it and hashing costs more than the rows do.
-    every = cut(docs.mapInPandas(emit, "anchor long, digest long, row string, start long, n long, weight long"), "repeat-every")
-    again = every.groupBy("anchor").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor")
-    found = cut(every.join(again, "anchor", "left_semi"), "repeat-runs")
-    distinct = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"), F.max("weight").alias("weight"), F.min(F.struct("row", "start", "n")).alias("at"))
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("weight").alias("heavy"))
-    distinct = cut(distinct.join(per_anchor, "anchor"), "repeat-kinds")
-    mixed = distinct.where("kinds > 1 OR heavy > 1").select("anchor", "digest", "times", "kinds", "at.row", "at.start", "at.n")
-    wanted = mixed.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "times", "kinds", "start", "n")).alias("wanted"))
+    return docs.mapInPandas(run, f"{keys}, z binary")
 
-    def fetch(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdDecompressor()
-        for b in batches:
-            for k in range(0, len(b), 200):
-                out = []
-                for blob, runs_ in zip(b["z"].iloc[k : k + 200], b["wanted"].iloc[k : k + 200]):
-                    data = z.decompress(blob)
-                    out += [(r["anchor"], r["digest"], r["times"], r["kinds"], data[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in runs_]
-                yield pd.DataFrame(out, columns=["anchor", "digest", "times", "kinds", "body"])
-
-    bodies = packed(docs, "row string").join(wanted, "row").select("z", "wanted").mapInPandas(fetch, "anchor long, digest long, times long, kinds long, body binary")
-    bodies = cut(bodies, "repeat-bodies")
-
-    def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by anchor; whole groups of anchors are compared together."""
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            ends = np.flatnonzero(b["anchor"].to_numpy()[1:] != b["anchor"].to_numpy()[:-1])
-            if not len(ends):
-                held.append(b)
-                continue
-            last = int(ends[-1]) + 1
-            yield from shards(pd.concat([*held, b.iloc[:last]]))
-            held = [b.iloc[last:]]
-        if held:
-            yield from shards(pd.concat(held))
-
-    few = bodies.where(F.col("kinds") <= GROUP).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(compare, "anchor long, digest long, parts array<struct<a:long,b:long>>")
-
-    def spread(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _emit(width: int):
+    """Runs of the texts, CHUNK bytes of texts at a time."""
+
+    def frame(names: list[str], texts: list[bytes]) -> pd.DataFrame:
+        text, anchor, d1, d2, start, n, weight = runs(texts, width)
+        return pd.DataFrame({"anchor": anchor, "d1": d1, "d2": d2, "row": np.array(names, dtype=object)[text], "start": start, "n": n, "weight": weight})
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for a, d, body in zip(b["anchor"], b["digest"], b["body"]):
-                s = hashes(np.frombuffer(body, dtype=np.uint8))[1].view(np.int64)
-                yield pd.DataFrame({"anchor": a, "digest": d, "k": np.arange(len(s)), "string": s})
-
-    strings = bodies.where(F.col("kinds") > GROUP).mapInPandas(spread, "anchor long, digest long, k long, string long")
-    repeated = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", "string")
-    many = strings.join(repeated, ["anchor", "string"], "left_semi").groupBy("anchor", "digest").agg(F.transform(F.collect_list("k"), lambda k: F.struct(k.alias("a"), (k + LENGTH).alias("b"))).alias("parts"))
-    partial = few.unionByName(many).where(F.size("parts") > 0)
-    whole = distinct.where("times > 1").select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("at.n") + (LENGTH - 1)).alias("b"))).alias("parts"))
-    once = partial.join(distinct.where("times = 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-    kinds = whole.unionByName(once)
-    return (
-        found.join(kinds, ["anchor", "digest"])
-        .select("row", F.transform("parts", lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b"))).alias("parts"))
-        .groupBy("row").agg(F.flatten(F.collect_list("parts")).alias("spans"))
-    )
+            names, texts, held = [], [], 0
+            for name, t in zip(b["row"], b["text"]):
+                if len(t) < LENGTH:
+                    continue
+                names.append(name)
+                texts.append(t)
+                held += len(t)
+                if held >= CHUNK:
+                    yield frame(names, texts)
+                    names, texts, held = [], [], 0
+            if texts:
+                yield frame(names, texts)
 
+    return run
 
-def shards(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Sorts whole anchors together, of SHARD bytes or a little more."""
-    if b.empty:
-        return
-    anchor, size = b["anchor"].to_numpy(), b["body"].map(len).to_numpy()
-    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    shard = np.repeat(np.add.reduceat(size, first).cumsum() // SHARD, np.diff(np.r_[first, len(b)]))
-    for _, part in b.groupby(shard, sort=False):
-        yield resolve(part)
+
+def _fetch(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bytes of the wanted runs."""
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        for k in range(0, len(b), ROWS):
+            out = []
+            for blob, wanted in zip(b["z"].iloc[k : k + ROWS], b["wanted"].iloc[k : k + ROWS]):
+                data = z.decompress(blob)
+                out += [(*(r[c] for c in _KEY), r["kinds"], data[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in wanted]
+            yield pd.DataFrame(out, columns=[*_KEY, "kinds", "body"])
+
+
+def _compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by anchor; whole groups of anchors are sorted together, SHARD bytes or a little more at once."""
+    held, size = [], 0
+    for b in batches:
+        anchor, sizes = b["anchor"].to_numpy(), b["body"].map(len).to_numpy()
+        edges = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(b)]
+        for x, y in zip(edges, edges[1:]):
+            if size >= SHARD and held[-1]["anchor"].iloc[-1] != anchor[x]:
+                yield resolve(pd.concat(held))
+                held, size = [], 0
+            held.append(b.iloc[x:y])
+            size += int(sizes[x:y].sum())
+    if held:
+        yield resolve(pd.concat(held))
 
 
 def resolve(b: pd.DataFrame) -> pd.DataFrame:
@@ -194,8 +183,36 @@ def resolve(b: pd.DataFrame) -> pd.DataFrame:
     hit = induced.repeated(pieces, b["anchor"].to_numpy()[owner], LENGTH)
     n = b["body"].map(len).to_numpy() - (LENGTH - 1)
     ends = np.cumsum(n)
-    parts = [[{"a": x, "b": y} for x, y in intervals(hit[e - m : e])] for e, m in zip(ends.tolist(), n.tolist())]
-    return pd.DataFrame({"anchor": b["anchor"].array, "digest": b["digest"].array, "parts": parts})
+    some = np.add.reduceat(hit, ends - n, dtype=np.int64) > 0
+    parts = [[{"a": x, "b": y} for x, y in intervals(hit[e - m : e])] if s else [] for e, m, s in zip(ends.tolist(), n.tolist(), some.tolist())]
+    return b[_KEY].assign(parts=parts)
+
+
+def find_spans(docs: DataFrame, level: int = 0) -> DataFrame:
+    """(row, spans): for each row of docs(row, text as bytes) that has any, its byte spans to remove, not yet merged."""
+    # Written, as both the count and the join below read it and hashing costs more than the rows do.
+    every = cut(docs.mapInPandas(_emit(LEVELS[level]), _RUNS), "repeat-every")
+    again = every.groupBy("anchor").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor")
+    found = cut(every.join(again, "anchor", "left_semi"), "repeat-runs")
+    distinct = found.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("times"), F.max("weight").alias("weight"), F.min(F.struct("row", "start", "n")).alias("at"))
+    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("weight").alias("heavy"))
+    distinct = cut(distinct.join(per_anchor, "anchor"), "repeat-kinds")
+    wanted = distinct.where("kinds > 1 OR heavy > 1").groupBy("at.row").agg(F.collect_list(F.struct(*_KEY, "kinds", "at.start", "at.n")).alias("wanted"))
+    bodies = cut(pack_bytes(docs).join(wanted, "row").select("z", "wanted").mapInPandas(_fetch, "anchor long, d1 long, d2 long, kinds long, body binary"), "repeat-bodies")
+    hot = F.col("kinds") > GROUP if level + 1 < len(LEVELS) else F.lit(False)
+    partial = bodies.where(~hot).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_compare, "anchor long, d1 long, d2 long, parts array<struct<a:long,b:long>>").where(F.size("parts") > 0)
+    if not bodies.where(hot).isEmpty():
+        deeper = find_spans(bodies.where(hot).select(F.concat_ws(" ", *_KEY).alias("row"), F.col("body").alias("text")), level + 1)
+        name = F.split("row", " ")
+        partial = partial.unionByName(deeper.select(*(name[k].cast("long").alias(c) for k, c in enumerate(_KEY)), F.col("spans").alias("parts")))
+    # A run that occurs twice as a whole is covered whole; for the others the order of suffixes decides.
+    whole = distinct.where("times > 1").select(*_KEY, F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("at.n") + (LENGTH - 1)).alias("b"))).alias("parts"))
+    once = partial.join(distinct.where("times = 1").select(*_KEY), _KEY, "left_semi")
+    return (
+        found.join(whole.unionByName(once), _KEY)
+        .select("row", F.transform("parts", lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b"))).alias("parts"))
+        .groupBy("row").agg(F.flatten(F.collect_list("parts")).alias("spans"))
+    )
 
 
 def row_name(doc_id: Column, text: Column) -> Column:
@@ -219,23 +236,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     In kept, bytes of a character that a span cuts in two are dropped.
     """
     rows = whole_text(docs, id_col, text_col)
-    rows = rows.select(row_name(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
+    rows = rows.select(row_name(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", F.encode("text", "UTF-8").alias("text"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", row string, kept string" * texts
 
+    def keep(blob: bytes, spans) -> tuple:
+        data = zstandard.ZstdDecompressor().decompress(blob)
+        gone = merged(spans) if spans is not None else []
+        edges = [0, *(x for s in gone for x in s), len(data)]
+        kept = b"".join([data[x:y] for x, y in zip(edges[::2], edges[1::2])])
+        return (len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), *([kept.decode(errors="ignore")] * texts))
+
     def apply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdDecompressor()
         for b in batches:
-            out = []
-            for blob, spans in zip(b["z"], b["spans"]):
-                data = z.decompress(blob)
-                gone = merged(spans) if spans is not None else []
-                edges = [0, *(x for s in gone for x in s), len(data)]
-                kept = b"".join([data[x:y] for x, y in zip(edges[::2], edges[1::2])])
-                out.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), *([kept.decode(errors="ignore")] * texts)))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * texts)])
-            frame.insert(0, "doc_id", b["doc_id"].array)
-            if texts:
-                frame["row"] = b["row"].array
-            yield frame
+            for k in range(0, len(b), ROWS):
+                part = b.iloc[k : k + ROWS]
+                frame = pd.DataFrame([keep(*x) for x in zip(part["z"], part["spans"])], columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * texts)])
+                frame.insert(0, "doc_id", part["doc_id"].array)
+                yield frame.assign(row=part["row"].array) if texts else frame
 
-    return packed(rows, "row string, doc_id long").join(find_spans(rows), "row", "left").select("row", "doc_id", "z", "spans").mapInPandas(apply, schema)
+    return pack_bytes(rows, "row string, doc_id long").join(find_spans(rows.select("row", "text")), "row", "left").select("row", "doc_id", "z", "spans").mapInPandas(apply, schema)

@@ -127,7 +127,7 @@ def test_sketch_estimates():
     assert abs((x == y).mean() - 0.6) < 0.15 and (minhash.sketch(a[:1]) != minhash._EMPTY).all()
 
 
-@pytest.mark.parametrize("group", [4096, 1])
+@pytest.mark.parametrize("group", [512, 1])
 def test_repeats(corpus, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
     from collections import Counter
