@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,10 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key is hot if it holds more rows than this, and more than this share of all: at most HOT_SHARE keys are hot at any size.
+HOT_ROWS, HOT_SHARE = 1000, 4096
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Set here only where the session has none (tests, local mode)."""
+    """The folder all executors share. Set here only where the session has none and runs in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="hearthline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -36,6 +43,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key) of the keys that hold many rows; HOT_SHARE rows at most, so it may be broadcast. rows should be narrow and written."""
+    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    return cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select(key), "hot")
+
+
+def join_hot(rows: DataFrame, single: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with single, which has one row for each key. Rows of hot keys meet theirs by broadcast, so none fills a task."""
+    hot = hot_keys(rows, key)
+    if hot.isEmpty():
+        return rows.join(single, key)
+    hot = F.broadcast(hot)
+    return rows.join(hot, key, "left_anti").join(single, key).unionByName(rows.join(F.broadcast(single.join(hot, key, "left_semi")), key))
+
+
 def whole_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null text as empty; every other column is dropped, so clashing names cannot matter."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -20,15 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, whole_text
+from .common import cut, join_hot, scratch, whole_text
 from .merges import Merges
 
 #: Entries that a worker's word cache may hold before it starts anew; it bounds memory, not results.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 250_000
 #: Texts whose new words are learnt together.
 STRETCH = 500
 #: Outside this range a text is looked up chunk by chunk as it is, without lowering case first.
 _PLAIN = re.compile("[^\x00-įı-ɏ]")
+#: Signs that are one letter in lower case too, where they are letters. Not so İ: its lower case ends in a mark, which a stop behind it joins.
+_SURE = re.compile("[A-Za-zª-įı-ɏͰ-ԯ]")
 
 
 class WordMerges:
@@ -106,7 +108,7 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         stems, ends = self.stems, self.ends
-        cut = {w: w[:-1] for w in words if w[-1:] in ends and w[-2:-1].isalpha()}
+        cut = {w: w[:-1] for w in words if w[-1:] in ends and w[-2:-1].isalpha() and _SURE.match(w, len(w) - 2)}
         new = {s for s in words if s not in cut and s not in stems}
         new.update(s for s in cut.values() if s not in stems)
         plain = [s for s in new if s.isalpha() and s.islower() and not _PLAIN.search(s)]
@@ -149,7 +151,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     """doc_id, n_bytes, n_tokens, over_limit. cache: folder of the stored counts; without one the call has a cache of its own."""
     spark, version, count = docs.sparkSession, tokenizer_version(tokenizer), library_counts(tokenizer)
     cache = cache or scratch(spark, "token-counts")
-    rows = whole_text(docs, id_col, text_col).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    rows = whole_text(docs, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text", F.sha2("text", 256).alias("digest"))
     schema = "digest string, tokenizer string, n_tokens long"
     spark.createDataFrame([], schema).write.mode("append").parquet(cache)
     stored = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
@@ -161,7 +163,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             yield pd.DataFrame({"digest": b["digest"], "tokenizer": version, "n_tokens": np.array(count(b["text"].tolist()), dtype="int64")})
 
     misses.mapInPandas(encode, schema).write.mode("append").parquet(cache)
-    counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts.dropDuplicates(["digest"]), "digest").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
+    digests = cut(rows.select("doc_id", "n_bytes", "digest"), "token-digests")
+    return join_hot(digests, counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
