@@ -1,27 +1,29 @@
-"""Exact dedup by content ranges, in DataFrame functions only.
+"""Exact dedup by content sort, in DataFrame functions only.
 
-Sampled splitters range-partition the normalised bytes, and a hash aggregate inside each range finds texts that are equal
-in their full bytes. Ties at a splitter are broken by a bucket of
-the document id, so a text that holds a third of all rows is spread over many ranges; the partial groups of one text
-then meet as a few narrow rows (digest, bucket, smallest id, count).
+Sampled splitters range-partition the normalised texts: by their first characters, then by their digest, so that the
+splitters that travel stay small. Within a range rows are sorted by the whole text and the id, which places equal texts
+next to each other; each row is compared with its neighbour in full, and the first row of a run has the smallest id.
+A text that holds more than a 4096th of all rows is cut by a hash of the id besides, so that it fills many ranges; the
+runs of such a text, at most SPREAD, are tied together by its digest.
 
 Defined cases: null text counts as empty and all empty texts are one group; a null id never becomes the kept row
 unless its whole group has none (then keep_id is null and kept is false); rows that repeat both id and text are all
-returned, each with the same decision; an empty table gives an empty result. drop_exact_copies decides by row, not by id.
+returned, each with the same decision; very long texts are compared whole; extra columns are ignored whatever their
+names; an empty table gives an empty result. drop_exact_copies decides by row, not by id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import cut, hot_keys, whole_text
 
 #: One ASCII white space run becomes one space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: Buckets that a single text may be spread over; rows per text after pre-aggregation are at most this many.
+#: Parts that a text with very many rows is cut into.
 SPREAD = 1024
-#: Characters of a text that splitters look at, so that the sampled keys stay small; the comparison is of full texts.
+#: Characters of a text that splitters look at first.
 HEAD = 48
 
 
@@ -29,36 +31,33 @@ def normalised(text):
     return F.regexp_replace(text, SPACE_RUN, " ")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return whole_text(docs, id_col, text_col).select(
-        "doc_id", normalised(F.col("text")).alias("norm"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int").alias("bucket")
-    )
-
-
-def _runs(rows: DataFrame) -> DataFrame:
-    """text_sha256, bucket, low, n: the partial groups of each text."""
-    # Content ranges: both aggregates below run inside the range partitions, without another exchange.
-    return (
-        rows.withColumn("head", F.left("norm", F.lit(HEAD)))
-        .repartitionByRange("head", "bucket")
-        .groupBy("head", "norm", "bucket")
-        .agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
-        .select(F.sha2("norm", 256).alias("text_sha256"), "bucket", "low", "n")
-    )
+def _sorted_runs(texts: DataFrame, hot: DataFrame) -> DataFrame:
+    """doc_id, text_sha256, hot, part, low, n: each row with the smallest id and the size of its run of equal neighbours."""
+    place = ["head", "text_sha256", "part"]
+    rows = texts.join(F.broadcast(hot.select("text_sha256", F.lit(True).alias("hot"))), "text_sha256", "left")
+    rows = rows.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).otherwise(0)).repartitionByRange(*place)
+    # Both windows run inside the ranges, over one sort by place, text and id, without another exchange.
+    at = Window.partitionBy(*place).orderBy("norm", F.asc_nulls_last("doc_id"))
+    rows = rows.withColumn("first", F.when(F.col("norm") == F.lag("norm").over(at), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("first").over(at.rowsBetween(Window.unboundedPreceding, 0))).drop("norm")
+    run = Window.partitionBy(*place, "run")
+    return rows.select("doc_id", "text_sha256", "hot", "part", F.min("doc_id").over(run).alias("low"), F.count(F.lit(1)).over(run).alias("n"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
-    rows = _rows(docs, id_col, text_col)
-    groups = (
-        _runs(rows).groupBy("text_sha256")
-        .agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("bucket").alias("buckets"))
-        .select("text_sha256", "keep_id", "group_size", F.explode("buckets").alias("bucket"))
-    )
-    members = rows.select("doc_id", "bucket", F.sha2("norm", 256).alias("text_sha256"))
-    return members.join(groups, ["text_sha256", "bucket"]).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
-    )
+    norm = F.col("norm")
+    # Written: the regular expression runs once, and counting, sampling and sorting read its result.
+    texts = cut(whole_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm")).select("doc_id", "norm", F.left(norm, F.lit(HEAD)).alias("head"), F.sha2(norm, 256).alias("text_sha256")), "exact-texts")
+    hot = hot_keys(texts.select("text_sha256"), "text_sha256")
+    runs = _sorted_runs(texts, hot)
+    keep, size = F.col("low"), F.col("n")
+    if not hot.isEmpty():
+        runs = cut(runs, "exact-runs")
+        ends = runs.where("hot").groupBy("text_sha256", "part", "low", "n").agg(F.count(F.lit(1))).groupBy("text_sha256").agg(F.min("low").alias("all_low"), F.sum("n").alias("all_n"))
+        runs = runs.join(F.broadcast(ends), "text_sha256", "left")  # a row for each hot text
+        keep, size = F.when(F.col("hot"), F.col("all_low")).otherwise(keep), F.coalesce("all_n", size)
+    return runs.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +66,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     It is a row of the smallest id; null ids come last, but stay where a text has no other. Of rows that repeat both id and
     text the one with the smallest hash stays.
     """
-    winners = _runs(_rows(docs, id_col, text_col)).groupBy("text_sha256").agg(F.min("low").alias("keep_id"))
+    winners = exact_groups(docs, id_col, text_col).select("text_sha256", "keep_id").distinct()
     text = normalised(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.sha2(text, 256).alias("digest"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(*docs.columns).alias("order"), F.struct(*docs.columns).alias("whole"))
     left = rows.join(winners, (rows["digest"] == winners["text_sha256"]) & rows["own_id"].eqNullSafe(winners["keep_id"]), "left_semi")
