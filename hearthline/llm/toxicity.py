@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import cut, whole_text
 from .labelled import held_out, logistic, sample
 
 #: Labelled rows that a model learns from at most.
@@ -39,9 +39,8 @@ SEPARATORS = " .-_*~'`^,:;#/\\()[]{}&%?\"=<>"
 #: Log costs of the channel's choices.
 COST_LOOK, COST_DROP, COST_REPEAT = -1.0, -0.7, -0.5
 _ALPHABET = 28  # word boundary, a to z, any other letter
-_CODES = np.zeros(256, dtype=np.int64)
+_CODES = np.array([27 * chr(k).isalpha() for k in range(0x10000)], dtype=np.int64)
 _CODES[97:123] = range(1, 27)
-_CODES[192:256] = 27
 _ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+€£].*|.*[^\w\s].*[^\W\d_].*|.*([^\W\d_])\1\1.*)")
 _SPELT = re.compile(r"(?<!\S)[\w@$!|+€£](?:[ .\-_*]{1,3}[\w@$!|+€£]){3,}(?!\S)")
 #: A letter that stands alone before a spelt-out run may be a word of its own.
@@ -53,7 +52,7 @@ _BLANK_EDGE = "".join(c for c in _EDGE if c not in LOOKS)
 
 
 def codes(text: str) -> np.ndarray:
-    return _CODES[np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)]
+    return _CODES[np.minimum(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), 0xFFFF)]
 
 
 def character_model(texts: DataFrame) -> np.ndarray:
@@ -90,7 +89,7 @@ def restore(word: str, logp: np.ndarray, drop_looks: bool = True) -> str:
         for (a, b), (s, out) in states.items():
             moves = [] if drop is None else [((a, b), s + drop, out)]
             for x, cost in options:
-                c = int(_CODES[ord(x)]) if ord(x) < 256 else 27
+                c = int(_CODES[min(ord(x), 0xFFFF)])
                 moves.append(((b, c), s + cost + logp[a, b, c], out + x))
                 if out and out[-1] == x:
                     moves.append(((a, b), s + COST_REPEAT, out))
@@ -138,7 +137,8 @@ def features(words: Iterable[str]) -> set[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, logp: np.ndarray) -> tuple[dict[str, float], list[float]]:
     """(weights of features, calibration). The features kept are those that pass SUPPORT, PRECISION and MARGIN."""
-    rows = sample(docs, labels, "toxic", SAMPLE, False).select("doc_id", "text", "label")
+    # Few rows (SAMPLE at most), written once. Two thirds choose the features, the rest sets the calibration.
+    rows = cut(sample(docs, labels, "toxic", SAMPLE, False).select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("rest")), "toxic-sample")
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hits, restorer = {0: Counter(), 1: Counter()}, Restorer(logp)
@@ -147,13 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, logp: np.ndarray) -> tuple[dict[str,
                 hits[y].update(features(restorer.words(t)))
                 hits[y][""] += 1
         names = list(hits[0].keys() | hits[1].keys())
-        yield pd.DataFrame({"feature": names, "n0": [hits[0][x] for x in names], "n1": [hits[1][x] for x in names]})
+        if names:
+            yield pd.DataFrame({"feature": names, "n0": [hits[0][x] for x in names], "n1": [hits[1][x] for x in names]})
 
-    # Sampled rows are few (SAMPLE at most); the counts are summed by Spark and only features with support come back.
-    counts = rows.mapInPandas(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).cache()
+    # The counts are summed by Spark and only features with support come back.
+    counts = cut(rows.where("NOT rest").mapInPandas(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-counts")
     total, trials = counts.where("feature = ''").first(), counts.count()
     if not total or not total["n1"] or not total["n0"]:
-        counts.unpersist()
         return {}, [0.0, 0.0, 0.0 if not total else (6.0 if total["n1"] else -6.0)]
     p = total["n1"] / (total["n0"] + total["n1"])
     weights = {}
@@ -162,7 +162,6 @@ def fit(docs: DataFrame, labels: DataFrame, logp: np.ndarray) -> tuple[dict[str,
         gain = n1 * math.log(n1 / (n0 + n1) / p) + (n0 * math.log(n0 / (n0 + n1) / (1 - p)) if n0 else 0.0)
         if gain > math.log(max(trials, 2)) + MARGIN:
             weights[r["feature"]] = math.log((n1 + 0.5) / (total["n1"] + 1)) - math.log((n0 + 0.5) / (total["n0"] + 1))
-    counts.unpersist()
 
     def raw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(logp)
@@ -170,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, logp: np.ndarray) -> tuple[dict[str,
             x = [evidence(restorer.words(t), weights) for t in b["text"]]
             yield pd.DataFrame({"a": [v[0] for v in x], "b": [v[1] for v in x], "label": b["label"]})
 
-    got = rows.mapInPandas(raw, "a double, b double, label int").collect()
+    got = rows.where("rest").mapInPandas(raw, "a double, b double, label int").collect()
     return weights, logistic([[r["a"], r["b"]] for r in got], [r["label"] for r in got]).tolist()
 
 
