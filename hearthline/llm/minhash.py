@@ -4,7 +4,7 @@ Sketch: 200 bins filled in rounds. In each of the first 200 rounds every shingle
 (round, hash); later rounds serve one bin each, so that every bin fills; a bin keeps its smallest value. Bands of 5 bins
 make the buckets; at 80 % similarity a pair shares none of the 40 buckets with probability 1.3e-7.
 
-Equal shingle sets are one node. Each bucket first links its members to its smallest node, verified on the full sets.
+Shingles are compared by 64-bit hashes; equal shingle sets, by 128 bits of hash, are one node. Each bucket first links its members to its smallest node, verified on the full sets.
 Buckets that still hold several components are then compared across components: small ones pair by pair, larger ones in
 blocks of at most about 2 * BLOCK members within a task, so that no link of a bucket is lost and no task or row count
 grows with the square of a bucket. Labels travel by smallest neighbour and pointer jumping over written tables.
@@ -33,7 +33,7 @@ BINS = BANDS * ROWS
 #: Buckets up to this size are compared pair by pair; larger ones in blocks of BLOCK members.
 SMALL, BLOCK = 16, 256
 #: Words that a worker's cache may hold before it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.arange(1, 2 * BINS + 1, dtype=np.uint64) * _A
@@ -229,6 +229,15 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: one document of each component."""
-    gone = near_components(docs, shingle, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs that stay, with all their columns: one of each component, that of the smallest id.
+
+    Rows are told apart by id and text together: of two texts under one id each is judged alone, and a null id comes last.
+    Texts without words all stay; rows that repeat both id and text stay or go together.
+    """
+    row = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit("")))
+    named = docs.select(row.alias("row"), docs[text_col].alias("text"))
+    found = near_components(named, shingle, percent, "row", "text").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.struct(F.col("id").isNull(), "id", "row")
+    ids = docs.select(row.alias("row"), docs[id_col].cast("long").alias("id"))
+    best = ids.join(found, "row").groupBy("component_id").agg(F.min_by("row", first).alias("__stays")).select("__stays")
+    return docs.join(best, row == best["__stays"], "left_semi")

@@ -5,7 +5,8 @@ two compressed sizes over their sum, taken over all blocks of the whole text, is
 of rows that trained no dictionary. Scoring is a map over the rows, without exchange.
 
 Defined cases: null and empty texts compress as one empty block and get the score of that; without labelled rows of both
-classes there is no model, every score is 0.5 and keep_good rejects nothing; repeated rows are scored alike; extra columns are ignored; an empty table gives an empty result.
+classes there is no model, every score is 0.5 and keep_good rejects nothing; repeated rows are scored alike; very long texts are compressed whole, block by block; rows
+with a null id are scored and never held out; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,28 +87,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, float, float]
     return dictionaries[0], dictionaries[1], float(slope), float(bias + odds(share) - odds(have))
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    return _scored(docs, fit(docs, labels), threshold)
+def scorer(model: tuple[bytes, bytes, float, float] | None):
+    """Column function: the score of a text, null taken as empty; 0.5 without a model."""
 
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        measure = SizeDifference(*model[:2])
+        for texts in batches:
+            x = np.array([measure(t) for t in texts], dtype=float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(model[2] * x + model[3], -30, 30))))
 
-def _scored(docs: DataFrame, model: tuple[bytes, bytes, float, float] | None, threshold: float) -> DataFrame:
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        measure = SizeDifference(*model[:2]) if model else None
-        for b in batches:
-            x = np.array([measure(t) for t in b["text"]] if measure else np.zeros(len(b)), dtype=float)
-            p = 1 / (1 + np.exp(-np.clip(model[2] * x + model[3], -30, 30))) if model else np.full(len(b), 0.5)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": p})
+    return (lambda text: run(F.coalesce(text, F.lit("")))) if model else (lambda text: F.lit(0.5))
 
-    return whole_text(docs).mapInPandas(run, "doc_id long, score double").select(
-        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
-    )
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    rows = whole_text(docs).select("doc_id", scorer(fit(docs, labels))(F.col("text")).alias("score"))
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns."""
+    """The rows of docs that are not rejected, with all their columns; each row is judged by its own text."""
     model = fit(docs, labels)
-    if model is None:
-        return docs
-    rejected = _scored(docs, model, threshold).where("predicted = 0").select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["__rejected"], "left_anti")
+    return docs if model is None else docs.where(scorer(model)(docs["text"]) >= threshold)

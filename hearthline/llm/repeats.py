@@ -255,3 +255,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield frame.assign(row=part["row"].array) if texts else frame
 
     return pack_bytes(rows, "row string, doc_id long").join(find_spans(rows.select("row", "text")), "row", "left").select("row", "doc_id", "z", "spans").mapInPandas(apply, schema)
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with repeated passages gone from the texts. Documents stay, also those left empty; length_col, where it is there, is counted anew."""
+    left = remove_repeats(docs, id_col, text_col, texts=True).select(F.col("row").alias("__row"), F.col("kept").alias("__kept")).dropDuplicates(["__row"])
+    name, kept = row_name(docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit(""))), left["__kept"]
+    columns = [kept.alias(c) if c == text_col else F.length(kept).cast(docs.schema[c].dataType).alias(c) if c == length_col else docs[c] for c in docs.columns]
+    return docs.join(left, name == left["__row"]).select(*columns)
