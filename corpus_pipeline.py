@@ -1,13 +1,18 @@
 """Corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and gets all that its predecessor kept; all but the last return the columns of docs.
+
+Defined cases, for every stage: rows are told apart by id and text, so null ids and ids that repeat with other texts lose
+nothing; null text counts as empty; extra columns come through whatever their names; very long texts are read whole; an
+empty table gives an empty result. Without labels of both classes the first stage rejects nothing; of repeated rows the
+second keeps one; of near copies the third keeps the smallest id; a document whose whole text repeats stays, empty, after
+the fourth and is packed as its end id alone.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hearthline.llm import exact_dedup, minhash, packing, quality, repeats
 from hearthline.llm.common import cut, table
@@ -27,10 +32,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from the texts; documents stay, with n_chars counted anew where they have that column."""
-    left = repeats.remove_repeats(docs, texts=True).select("row", "kept").dropDuplicates(["row"])
-    name = repeats.row_name(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
-    columns = [F.col("kept").alias(c) if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return docs.join(left, name == left["row"]).select(*columns)
+    return repeats.drop_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: The classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The classifier and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
