@@ -14,7 +14,7 @@ names; an empty table gives an empty result. drop_exact_copies decides by row, n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hot_keys, whole_text
@@ -27,30 +27,33 @@ SPREAD = 1024
 HEAD = 48
 
 
-def normalised(text):
+def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_RUN, " ")
 
 
-def _sorted_runs(texts: DataFrame, hot: DataFrame) -> DataFrame:
-    """doc_id, text_sha256, hot, part, low, n: each row with the smallest id and the size of its run of equal neighbours."""
-    place = ["head", "text_sha256", "part"]
+PLACE = ["head", "text_sha256", "part"]
+
+
+def _keys(norm: Column) -> list[Column]:
+    return [F.left(norm, F.lit(HEAD)).alias("head"), F.sha2(norm, 256).alias("text_sha256")]
+
+
+def _compared(texts: DataFrame, hot: DataFrame, norm: Column, *tie: str) -> DataFrame:
+    """texts in content order, with hot, part, run and first: whether a row's text differs from that of the row before it."""
     rows = texts.join(F.broadcast(hot.select("text_sha256", F.lit(True).alias("hot"))), "text_sha256", "left")
-    rows = rows.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).otherwise(0)).repartitionByRange(*place)
-    # Both windows run inside the ranges, over one sort by place, text and id, without another exchange.
-    at = Window.partitionBy(*place).orderBy("norm", F.asc_nulls_last("doc_id"))
-    rows = rows.withColumn("first", F.when(F.col("norm") == F.lag("norm").over(at), 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("first").over(at.rowsBetween(Window.unboundedPreceding, 0))).drop("norm")
-    run = Window.partitionBy(*place, "run")
-    return rows.select("doc_id", "text_sha256", "hot", "part", F.min("doc_id").over(run).alias("low"), F.count(F.lit(1)).over(run).alias("n"))
+    rows = rows.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).otherwise(0)).repartitionByRange(*PLACE)
+    # The windows run inside the ranges, over one sort by place, text and id, without another exchange.
+    at = Window.partitionBy(*PLACE).orderBy("norm", F.asc_nulls_last("doc_id"), *tie)
+    return rows.withColumn("norm", norm).withColumn("first", F.when(F.col("norm") == F.lag("norm").over(at), 0).otherwise(1)).withColumn("run", F.sum("first").over(at.rowsBetween(Window.unboundedPreceding, 0))).drop("norm")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
-    norm = F.col("norm")
     # Written: the regular expression runs once, and counting, sampling and sorting read its result.
-    texts = cut(whole_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm")).select("doc_id", "norm", F.left(norm, F.lit(HEAD)).alias("head"), F.sha2(norm, 256).alias("text_sha256")), "exact-texts")
+    texts = cut(whole_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm")).select("*", *_keys(F.col("norm"))), "exact-texts")
     hot = hot_keys(texts.select("text_sha256"), "text_sha256")
-    runs = _sorted_runs(texts, hot)
+    run = Window.partitionBy(*PLACE, "run")
+    runs = _compared(texts, hot, F.col("norm")).select("doc_id", "text_sha256", "hot", "part", F.min("doc_id").over(run).alias("low"), F.count(F.lit(1)).over(run).alias("n"))
     keep, size = F.col("low"), F.col("n")
     if not hot.isEmpty():
         runs = cut(runs, "exact-runs")
@@ -64,14 +67,17 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs that stay, with all their columns: exactly one row of each text.
 
     It is a row of the smallest id; null ids come last, but stay where a text has no other. Of rows that repeat both id and
-    text the one with the smallest hash stays.
+    text the one with the smallest hash stays. The rows go through the sort whole, and the first of each run comes out.
     """
-    winners = exact_groups(docs, id_col, text_col).select("text_sha256", "keep_id").distinct()
-    text = normalised(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.sha2(text, 256).alias("digest"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(*docs.columns).alias("order"), F.struct(*docs.columns).alias("whole"))
-    left = rows.join(winners, (rows["digest"] == winners["text_sha256"]) & rows["own_id"].eqNullSafe(winners["keep_id"]), "left_semi")
-    # Few rows repeat an id; min_by combines them before any exchange, so rows that repeat often do not meet in one task.
-    return left.groupBy("digest", "own_id").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")
+    norm = lambda text: normalised(F.coalesce(text, F.lit("")))
+    texts = cut(docs.select(docs[id_col].cast("long").alias("doc_id"), F.struct(*docs.columns).alias("whole"), F.xxhash64(*docs.columns).alias("order"), *_keys(norm(docs[text_col]))), "exact-texts")
+    hot = hot_keys(texts.select("text_sha256"), "text_sha256")
+    firsts = _compared(texts, hot, norm(F.col("whole")[text_col]), "order").where("first = 1")
+    if not hot.isEmpty():
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "order")
+        best = texts.join(F.broadcast(hot), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min(rank).alias("best"))  # a row for each hot text
+        firsts = firsts.join(F.broadcast(best), "text_sha256", "left").where("hot IS NULL OR (order = best.order AND doc_id <=> best.doc_id)")
+    return firsts.select("whole.*")
 
 
 ORACLE = r"""
