@@ -43,15 +43,26 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that cut() wrote, once all that was derived from it is written itself."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def hot_least(rows: DataFrame) -> int:
+    """Rows that a key of this table may hold without being hot."""
+    return max(HOT_ROWS, rows.count() // HOT_SHARE)
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """(key) of the keys that hold many rows; HOT_SHARE rows at most, so it may be broadcast. rows should be narrow and written."""
-    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
-    return cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select(key), "hot")
+    return cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_least(rows)).select(key), "hot")
 
 
-def join_hot(rows: DataFrame, single: DataFrame, key: str) -> DataFrame:
+def join_hot(rows: DataFrame, single: DataFrame, key: list[str], hot: DataFrame | None = None) -> DataFrame:
     """Inner join of rows with single, which has one row for each key. Rows of hot keys meet theirs by broadcast, so none fills a task."""
-    hot = hot_keys(rows, key)
+    hot = hot_keys(rows, *key) if hot is None else hot
     if hot.isEmpty():
         return rows.join(single, key)
     hot = F.broadcast(hot)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import cut, whole_text
+from .common import cut, discard, hot_least, join_hot, whole_text
 
 #: Bytes of a string that must not repeat.
 LENGTH = 200
@@ -38,8 +38,10 @@ SHARD, PIECE = 1 << 20, 1024
 CHUNK, ROWS = 1 << 17, 500
 #: Odd multipliers of the hash.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_KEY = ["anchor", "d1", "d2"]
-_RUNS = "anchor long, d1 long, d2 long, row string, start long, n long, weight long"
+#: A run by the hash of its bytes, and a row by two numbers (see row_name): they are what most shuffled bytes are made of.
+_RUN, _ROW = ["d1", "d2"], ["r1", "r2"]
+_RUNS = "anchor long, d1 long, d2 long, r1 long, r2 long, start int, n int, weight int"
+_PARTS = "d1 long, d2 long, parts array<struct<a:int,b:int>>"
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def intervals(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, cuts + 1]].tolist(), (at[np.r_[cuts, len(at) - 1]] + LENGTH).tolist()))
 
 
-def pack_bytes(docs: DataFrame, keys: str = "row string") -> DataFrame:
+def pack_bytes(docs: DataFrame, keys: str = "r1 long, r2 long") -> DataFrame:
     """The key columns and z, the compressed text: less to move where texts must meet what was found about them."""
     names = [k.split()[0] for k in keys.split(",")]
 
@@ -123,17 +125,18 @@ def pack_bytes(docs: DataFrame, keys: str = "row string") -> DataFrame:
 def _emit(width: int):
     """Runs of the texts, CHUNK bytes of texts at a time."""
 
-    def frame(names: list[str], texts: list[bytes]) -> pd.DataFrame:
+    def frame(names: list[tuple[int, int]], texts: list[bytes]) -> pd.DataFrame:
         text, anchor, d1, d2, start, n, weight = runs(texts, width)
-        return pd.DataFrame({"anchor": anchor, "d1": d1, "d2": d2, "row": np.array(names, dtype=object)[text], "start": start, "n": n, "weight": weight})
+        r1, r2 = np.array(names, dtype=np.int64)[text].T
+        return pd.DataFrame({"anchor": anchor, "d1": d1, "d2": d2, "r1": r1, "r2": r2, "start": start, "n": n, "weight": weight})
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             names, texts, held = [], [], 0
-            for name, t in zip(b["row"], b["text"]):
+            for r1, r2, t in zip(b["r1"], b["r2"], b["text"]):
                 if len(t) < LENGTH:
                     continue
-                names.append(name)
+                names.append((r1, r2))
                 texts.append(t)
                 held += len(t)
                 if held >= CHUNK:
@@ -153,8 +156,8 @@ def _fetch(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = []
             for blob, wanted in zip(b["z"].iloc[k : k + ROWS], b["wanted"].iloc[k : k + ROWS]):
                 data = z.decompress(blob)
-                out += [(*(r[c] for c in _KEY), r["kinds"], data[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in wanted]
-            yield pd.DataFrame(out, columns=[*_KEY, "kinds", "body"])
+                out += [(r["anchor"], r["d1"], r["d2"], r["kinds"], data[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in wanted]
+            yield pd.DataFrame(out, columns=["anchor", *_RUN, "kinds", "body"])
 
 
 def _compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,39 +188,43 @@ def resolve(b: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum(n)
     some = np.add.reduceat(hit, ends - n, dtype=np.int64) > 0
     parts = [[{"a": x, "b": y} for x, y in intervals(hit[e - m : e])] if s else [] for e, m, s in zip(ends.tolist(), n.tolist(), some.tolist())]
-    return b[_KEY].assign(parts=parts)
+    return b[_RUN].assign(parts=parts)
 
 
 def find_spans(docs: DataFrame, level: int = 0) -> DataFrame:
-    """(row, spans): for each row of docs(row, text as bytes) that has any, its byte spans to remove, not yet merged."""
-    # Written, as both the count and the join below read it and hashing costs more than the rows do.
+    """(r1, r2, spans): for each row of docs(r1, r2, text as bytes) that has any, its byte spans to remove, not yet merged."""
+    # Written, as both the count and the join below read it and hashing costs more than the rows do; no longer needed after that.
     every = cut(docs.mapInPandas(_emit(LEVELS[level]), _RUNS), "repeat-every")
-    again = every.groupBy("anchor").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor")
-    found = cut(every.join(again, "anchor", "left_semi"), "repeat-runs")
-    distinct = found.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("times"), F.max("weight").alias("weight"), F.min(F.struct("row", "start", "n")).alias("at"))
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("weight").alias("heavy"))
-    distinct = cut(distinct.join(per_anchor, "anchor"), "repeat-kinds")
-    wanted = distinct.where("kinds > 1 OR heavy > 1").groupBy("at.row").agg(F.collect_list(F.struct(*_KEY, "kinds", "at.start", "at.n")).alias("wanted"))
-    bodies = cut(pack_bytes(docs).join(wanted, "row").select("z", "wanted").mapInPandas(_fetch, "anchor long, d1 long, d2 long, kinds long, body binary"), "repeat-bodies")
+    least = hot_least(every)
+    again = cut(every.groupBy("anchor").agg(F.sum("weight").alias("times")).where("times > 1"), "repeat-anchors")
+    found = cut(join_hot(every, again.select("anchor"), ["anchor"], again.where(F.col("times") > 2 * least).select("anchor")), "repeat-runs")
+    discard(every)
+    # One place of each run: first() takes all four columns from the same row.
+    kinds = cut(found.groupBy("anchor", *_RUN).agg(F.count(F.lit(1)).alias("times"), F.max("weight").alias("weight"), *(F.first(c).alias(c) for c in (*_ROW, "start", "n"))), "repeat-kinds")
+    per_anchor = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("weight").alias("heavy")).where("kinds > 1 OR heavy > 1"), "repeat-anchors")
+    mixed = join_hot(kinds, per_anchor, ["anchor"], per_anchor.where(F.col("kinds") > least).select("anchor"))
+    wanted = mixed.groupBy(*_ROW).agg(F.collect_list(F.struct("anchor", *_RUN, "kinds", "start", "n")).alias("wanted"))
+    bodies = cut(pack_bytes(docs).join(wanted, _ROW).select("z", "wanted").mapInPandas(_fetch, "anchor long, d1 long, d2 long, kinds long, body binary"), "repeat-bodies")
     hot = F.col("kinds") > GROUP if level + 1 < len(LEVELS) else F.lit(False)
-    partial = bodies.where(~hot).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_compare, "anchor long, d1 long, d2 long, parts array<struct<a:long,b:long>>").where(F.size("parts") > 0)
+    partial = bodies.where(~hot).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_compare, _PARTS).where(F.size("parts") > 0)
     if not bodies.where(hot).isEmpty():
-        deeper = find_spans(bodies.where(hot).select(F.concat_ws(" ", *_KEY).alias("row"), F.col("body").alias("text")), level + 1)
-        name = F.split("row", " ")
-        partial = partial.unionByName(deeper.select(*(name[k].cast("long").alias(c) for k, c in enumerate(_KEY)), F.col("spans").alias("parts")))
+        deeper = find_spans(bodies.where(hot).select(F.col("d1").alias("r1"), F.col("d2").alias("r2"), F.col("body").alias("text")), level + 1)
+        partial = partial.unionByName(deeper.select(F.col("r1").alias("d1"), F.col("r2").alias("d2"), F.col("spans").alias("parts")))
     # A run that occurs twice as a whole is covered whole; for the others the order of suffixes decides.
-    whole = distinct.where("times > 1").select(*_KEY, F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("at.n") + (LENGTH - 1)).alias("b"))).alias("parts"))
-    once = partial.join(distinct.where("times = 1").select(*_KEY), _KEY, "left_semi")
+    twice = kinds.where("times > 1")
+    whole = twice.select(*_RUN, F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + (LENGTH - 1)).alias("b"))).alias("parts"))
+    parts = cut(whole.unionByName(partial.join(kinds.where("times = 1").select(*_RUN), _RUN, "left_semi")), "repeat-parts")
+    discard(bodies)
+    placed = join_hot(found.select(*_RUN, *_ROW, "start"), parts, _RUN, twice.where(F.col("times") > least).select(*_RUN))
     return (
-        found.join(whole.unionByName(once), _KEY)
-        .select("row", F.transform("parts", lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b"))).alias("parts"))
-        .groupBy("row").agg(F.flatten(F.collect_list("parts")).alias("spans"))
+        placed.select(*_ROW, F.transform("parts", lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b"))).alias("parts"))
+        .groupBy(*_ROW).agg(F.flatten(F.collect_list("parts")).alias("spans"))
     )
 
 
-def row_name(doc_id: Column, text: Column) -> Column:
-    """Names a row by its id and text; rows that repeat both have one name and the same spans."""
-    return F.concat_ws("-", F.coalesce(doc_id.cast("string"), F.lit("")), F.hex(F.xxhash64(text)))
+def row_name(doc_id: Column, text: Column) -> list[Column]:
+    """Names a row by its id and by a hash of id and text; rows that repeat both have one name and the same spans."""
+    return [F.coalesce(doc_id, F.lit(0)), F.xxhash64(doc_id, text)]
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -231,13 +238,13 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also row (see row_name) and kept, the text left.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also r1, r2 (see row_name) and kept, the text left.
 
     In kept, bytes of a character that a span cuts in two are dropped.
     """
     rows = whole_text(docs, id_col, text_col)
-    rows = rows.select(row_name(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", F.encode("text", "UTF-8").alias("text"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", row string, kept string" * texts
+    rows = rows.select(*(c.alias(n) for n, c in zip(_ROW, row_name(F.col("doc_id"), F.col("text")))), "doc_id", F.encode("text", "UTF-8").alias("text"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", r1 long, r2 long, kept string" * texts
 
     def keep(blob: bytes, spans) -> tuple:
         data = zstandard.ZstdDecompressor().decompress(blob)
@@ -252,14 +259,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = b.iloc[k : k + ROWS]
                 frame = pd.DataFrame([keep(*x) for x in zip(part["z"], part["spans"])], columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * texts)])
                 frame.insert(0, "doc_id", part["doc_id"].array)
-                yield frame.assign(row=part["row"].array) if texts else frame
+                yield frame.assign(r1=part["r1"].array, r2=part["r2"].array) if texts else frame
 
-    return pack_bytes(rows, "row string, doc_id long").join(find_spans(rows.select("row", "text")), "row", "left").select("row", "doc_id", "z", "spans").mapInPandas(apply, schema)
+    spans = find_spans(rows.select(*_ROW, "text"))
+    return pack_bytes(rows, "r1 long, r2 long, doc_id long").join(spans, _ROW, "left").select(*_ROW, "doc_id", "z", "spans").mapInPandas(apply, schema)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with repeated passages gone from the texts. Documents stay, also those left empty; length_col, where it is there, is counted anew."""
-    left = remove_repeats(docs, id_col, text_col, texts=True).select(F.col("row").alias("__row"), F.col("kept").alias("__kept")).dropDuplicates(["__row"])
-    name, kept = row_name(docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit(""))), left["__kept"]
+    # Only changed texts come back; they meet their rows by name.
+    left = remove_repeats(docs, id_col, text_col, texts=True).where("n_removed > 0").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("kept").alias("__kept")).dropDuplicates(["__r1", "__r2"])
+    r1, r2 = row_name(docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit("")))
+    kept = F.coalesce(left["__kept"], docs[text_col])
     columns = [kept.alias(c) if c == text_col else F.length(kept).cast(docs.schema[c].dataType).alias(c) if c == length_col else docs[c] for c in docs.columns]
-    return docs.join(left, name == left["__row"]).select(*columns)
+    return docs.join(left, (r1 == left["__r1"]) & (r2 == left["__r2"]), "left").select(*columns)

@@ -165,4 +165,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     misses.mapInPandas(encode, schema).write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
     digests = cut(rows.select("doc_id", "n_bytes", "digest"), "token-digests")
-    return join_hot(digests, counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return join_hot(digests, counts, ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

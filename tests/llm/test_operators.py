@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.llm import exact_dedup, induced, licences, minhash, packing, pieces, quality, repeats, token_counts, topk, toxicity
+from hearthline.llm import common, exact_dedup, induced, licences, minhash, packing, pieces, quality, repeats, token_counts, topk, toxicity
 
 DOC = "doc_id long, text string, lang string, bucket int, row string, key long, kept boolean, z int"
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -99,6 +99,24 @@ def test_pieces(corpus):
     assert [x.tolist() for x in m.encode(odd)] == sp.encode(odd)
 
 
+def test_token_ids_of_odd_signs():
+    """Random strings of marks, stops and letters whose lower case is longer, against the library."""
+    from tokenizers import Tokenizer
+
+    t, encoder, rng = Tokenizer.from_file(WORD), token_counts.WordEncoder(WORD), random.Random(2)
+    pool = [*"abXY.,!?'’- 09", "İ", "ı", "ß", "ŉ", "ﬁ", "e\u0301", "\u0307", "Σ", "я", "Ї", "日", "ª", "ΐ", "K", "'s", "<|endoftext|>", " ", "\x1c", "\x85", "🎉", "ſ"]
+    texts = ["İ,", "ISTANBUL İ, x", *("".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(3000))]
+    for x, chunks in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(b"".join(chunks), dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_hot_texts_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    docs = spark.createDataFrame([(i, "same words" if i % 2 else f"text {i}") for i in range(40)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, WORD).collect()}
+    assert len(got) == 40 and {got[i] for i in range(1, 40, 2)} == {2}
+
+
 def shingles(text, n):
     w = (text or "").encode().lower().split()
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
@@ -130,6 +148,9 @@ def test_sketch_estimates():
 @pytest.mark.parametrize("group", [512, 1])
 def test_repeats(corpus, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
+    if group == 1:  # hot keys everywhere
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+        monkeypatch.setattr(common, "HOT_SHARE", 10_000)
     from collections import Counter
 
     seen = Counter(d[k : k + 200] for _, t in corpus[0] for d in [(t or "").encode()] for k in range(len(d) - 199))

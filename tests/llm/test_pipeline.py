@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from hearthline.llm import quality
+from hearthline.llm import common, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, row string, z int, label int, score double"
 
@@ -44,7 +44,11 @@ def stage(spark, k, docs):
     return sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str)
 
 
-def test_exact_stage(spark, rows):
+@pytest.mark.parametrize("hot", [False, True])
+def test_exact_stage(spark, rows, hot, monkeypatch):
+    if hot:  # every text that occurs twice is cut over many ranges
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+        monkeypatch.setattr(common, "HOT_SHARE", 10_000)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     got = stage(spark, 1, docs_of(spark, rows))
     assert Counter(norm(t) for _, t in got) == Counter({norm(t): 1 for _, t in rows})
@@ -79,12 +83,12 @@ def test_repeats_stage(spark, rows):
     data = [(t or "").encode() for _, t in rows]
     seen = Counter(d[k : k + 200] for d in data for k in range(len(d) - 199))
     want = []
-    for (i, _), d in zip(rows, data):
+    for (i, t), d in zip(rows, data):
         gone = np.zeros(len(d), dtype=bool)
         for k in range(len(d) - 199):
             if seen[d[k : k + 200]] > 1:
                 gone[k : k + 200] = True
-        want.append((i, bytes(np.frombuffer(d, dtype=np.uint8)[~gone]).decode(errors="ignore")))
+        want.append((i, t if t is None else bytes(np.frombuffer(d, dtype=np.uint8)[~gone]).decode(errors="ignore")))
     assert stage(spark, 3, docs_of(spark, rows)) == sorted(want, key=str)
 
 
