@@ -64,6 +64,13 @@ def clean_url(url: Column, redirect_param: str = "uddg") -> Column:
     return F.coalesce(F.try_url_decode(F.nullif(F.regexp_extract(full, rf"[?&]{redirect_param}=([^&#]+)", 1), F.lit(""))), full)
 
 
+def unwrap_redirect(url: Column, host: str = "duckduckgo.com", path: str = "/l/", param: str = "uddg") -> Column:
+    """The target of a search engine's redirect; other addresses as they are."""
+    target = F.try_url_decode(F.nullif(F.regexp_extract(url, rf"[?&]{param}=([^&#]+)", 1), F.lit("")))
+    redirects = F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1).endswith(host) & F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1).startswith(path)
+    return F.coalesce(F.when(redirects, target), url)
+
+
 def external_id(url: Column, seed: Column) -> Column:
     path = F.regexp_extract(_text(url), r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
     found = F.regexp_extract(path, r"\d{5,}", 0)

@@ -13,7 +13,17 @@ PROPERTY_RULES = (("warehouse", ("склад",)), ("office", ("офис",)), ("i
 RENT, SALE = ("аренд",), ("продаж",)
 AREA_BANDS = ((0, 10, "до 10"), (10, 30, "10-30"), (30, 80, "30-80"), (80, 150, "80-150"), (150, 300, "150-300"), (300, 500, "300-500"), (500, 800, "500-800"), (800, 1000, "800-1000"), (1000, 1500, "1000-1500"), (1500, 2000, "1500-2000"), (2000, 10_000_000, "2000+"))
 EDGE_CONFIDENCE = {"contact_to_listing": 0.9, "listing_to_object": 0.8, "object_to_address": 0.7, "contact_to_organization": 0.6, "organization_to_object": 0.6, "contact_to_address": 0.6, "listing_to_source": 0.7}
-SEARCH_HOSTS = ("google.", "yandex.", "bing.", "duckduckgo.")
+SEARCH_HOSTS = ("duckduckgo.com", "yandex.ru", "yandex.kz", "google.com", "bing.com")
+# Crawled pages: words of the trade, hints in the address of a listing, and the words that tell kinds of sources apart, in the order of the rules.
+COMMERCIAL = ("коммерческ", "недвижим", "офис", "склад", "торгов", "помещен", "аренд", "продаж", "бизнес-центр", "бц", "warehouse", "office", "retail", "industrial")
+LISTING_HINTS = ("/commercial", "/kommerchesk", "/office", "/warehouse", "/sklad", "/arenda", "/rent", "/sale", "/prodazha", "/catalog", "/listing")
+SOURCE_KINDS = (
+    ("auction", ("банкрот", "торги", "auction")), ("government", (".gov.ru", "гос", "реестр")), ("business_center", ("бизнес-центр", "бизнес центр", "бц")), ("mall", ("торговый центр", "тц", "mall")),
+    ("developer", ("застройщик", "developer", "девелопер")), ("agency", ("агентство", "риэлтор", "broker", "agency")), ("classifieds", COMMERCIAL),
+)
+SOURCE_HOSTS = (("avito", "avito"), ("cian", "cian"), ("domclick", "domclick"), ("yandex", "yandex"), ("t.me", "telegram"))
+LISTING_PATHS = {"avito": ("avito.ru", r"_\d{5,}"), "cian": ("cian.ru", r"/(?:rent|sale)/commercial/\d+/?$"), "domclick": ("domclick.ru", r"/card/|commerce"), "yandex": ("realty.yandex.ru", r"/(?:offer|commercial)/\d+/?$")}
+AUCTION_LINKS = ("bankrot", "банкрот", "торги", "torgi", "auction")
 # Contacts: who speaks, what points at the seller, what points at a service desk or an advertiser, and how sure each class is.
 CONTACT_OWNER = ("собственник", "владел", "прямой", "без комиссии", "продавец", "арендодатель", "owner")
 CONTACT_AGENT = ("агент", "риэлтор", "брокер", "менеджер", "agent", "realtor", "broker")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from hearthline.functions import normalize as N
 
+from .shared import cut
+
 AREA_TOLERANCE, PRICE_TOLERANCE = 0.15, 0.20
 
 
@@ -27,30 +29,39 @@ def fingerprint(phone: Column, email: Column, address: Column, area: Column, pri
 
 
 def decisions(listings: DataFrame, strict_empty: bool = True) -> DataFrame:
-    """id, agency_id, status, duplicate_of_id, fingerprint (the parent's for external-id duplicates)."""
+    """id, agency_id, status, duplicate_of_id, fingerprint (the parent's for external-id duplicates). listings are read once."""
     rows = listings.select(
         "id", "agency_id", "source_channel", F.nullif("source_external_id", F.lit("")).alias("ext"), N.address(F.col("address")).alias("addr"), F.col("area_sqm").cast("double").alias("area"),
         F.col("price_rub").cast("double").alias("price"), fingerprint(F.col("contact_phone"), F.col("contact_email"), F.col("address"), F.col("area_sqm"), F.col("price_rub"), strict_empty).alias("own"),
     )
-    ext = Window.partitionBy("agency_id", "source_channel", "ext")
-    rows = rows.withColumn("ext_first", F.when(F.col("ext").isNotNull(), F.min("id").over(ext))).withColumn("ext_own", F.min_by("own", "id").over(ext))
-    is_ext = F.col("ext_first") < F.col("id")
-    rows = rows.withColumn("by_ext", F.coalesce(is_ext, F.lit(False)))
-    same = Window.partitionBy("agency_id", "own", "by_ext")
-    rows = rows.withColumn("fp_first", F.when(~F.col("by_ext") & F.col("own").isNotNull(), F.min("id").over(same)))
-    rows = rows.withColumn("by_fp", F.coalesce(F.col("fp_first") < F.col("id"), F.lit(False)))
-    width = -math.log(1 - PRICE_TOLERANCE)
-    band = F.floor(F.log(F.abs("price")) / width)
+    # Each rule gathers only rows that have its key, as aggregates combined before the shuffle; rows without one pass by.
+    by_key = ["agency_id", "source_channel", "ext"]
+    with_ext = rows.where(F.col("ext").isNotNull())
+    firsts = with_ext.groupBy(*by_key).agg(F.min("id").alias("ext_first"), F.min_by("own", "id").alias("ext_own"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = with_ext.join(firsts, by_key, "left").unionByName(rows.where(F.col("ext").isNull()), allowMissingColumns=True)
+    rows = cut(rows.withColumn("by_ext", F.coalesce(F.col("ext_first") < F.col("id"), F.lit(False))).drop("source_channel", "ext"), "dedup-ext")
+    asks = F.col("own").isNotNull() & ~F.col("by_ext")
+    same = rows.where(asks).groupBy("agency_id", "own").agg(F.min("id").alias("fp_first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.where(asks).join(same, ["agency_id", "own"], "left").unionByName(rows.where(~asks), allowMissingColumns=True)
+    rows = cut(rows.withColumn("by_fp", F.coalesce(F.col("fp_first") < F.col("id"), F.lit(False))), "dedup-print")
+    # A pair within tolerance lies in the same or in neighbouring bands of price and of area; later rows go to three bands of area, earlier ones to three of price.
     usable = (F.col("addr") != "") & (F.col("price") != 0) & (F.col("area") != 0)
-    later = rows.where(~F.col("by_ext") & ~F.col("by_fp") & usable).select("id", "agency_id", "addr", "area", "price", band.alias("band"))
-    earlier = rows.where(usable).select(F.col("id").alias("e_id"), "agency_id", "addr", F.col("area").alias("e_area"), F.col("price").alias("e_price"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    around = lambda band: F.explode(F.array(band - 1, band, band + 1))
+    price_band, area_band = _band("price", PRICE_TOLERANCE), _band("area", AREA_TOLERANCE)
+    where = ["agency_id", "addr", "price_band", "area_band"]
+    later = rows.where(~F.col("by_ext") & ~F.col("by_fp") & usable).select("id", "agency_id", "addr", "area", "price", price_band.alias("price_band"), around(area_band).alias("area_band"))
+    earlier = rows.where(usable).select(F.col("id").alias("e_id"), "agency_id", "addr", F.col("area").alias("e_area"), F.col("price").alias("e_price"), around(price_band).alias("price_band"), area_band.alias("area_band"))
     close = (F.abs(F.col("area") - F.col("e_area")) <= AREA_TOLERANCE * F.abs("e_area")) & (F.abs(F.col("price") - F.col("e_price")) <= PRICE_TOLERANCE * F.abs("e_price"))
-    near = later.join(earlier, ["agency_id", "addr", "band"]).where((F.col("e_id") < F.col("id")) & close).groupBy("id").agg(F.min("e_id").alias("near_id"))
+    near = later.join(earlier, where).where((F.col("e_id") < F.col("id")) & close).groupBy("id").agg(F.min("e_id").alias("near_id"))
     status = F.when(F.col("by_ext") | F.col("by_fp"), "duplicate").when(F.col("near_id").isNotNull(), "possible_duplicate").otherwise("new")
     parent = F.when(F.col("by_ext"), F.col("ext_first")).when(F.col("by_fp"), F.col("fp_first")).otherwise(F.col("near_id"))
     return rows.join(near, "id", "left").select("id", "agency_id", status.alias("status"), parent.alias("duplicate_of_id"), F.when(F.col("by_ext"), F.col("ext_own")).otherwise(F.col("own")).alias("fingerprint"))
 
 
+def _band(column: str, tolerance: float) -> Column:
+    return F.floor(F.log(F.abs(F.col(column))) / -math.log(1 - tolerance))
+
+
 def tally(listings: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows fetched, inserted and doubled of each source; a possible duplicate also counts as inserted."""
     rows = listings.select("id", "source_channel").join(decided.select("id", "status"), "id")

@@ -12,38 +12,74 @@ from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
 
 
-def page_scores(pages: DataFrame, hints: Iterable[str], card: str) -> DataFrame:
-    """page_id, domain and four scores of at most 100. card: pattern of a listing card."""
-    text = X.page_text(F.col("html"))
-    cards = F.regexp_count("html", F.lit(card))
-    contacts = F.size(X.all_matches(text, X.PHONE)) + F.size(X.all_matches(text, X.EMAIL))
-    dates = F.regexp_count(text, F.lit(r"\d{2}\.\d{2}\.\d{4}"))
-    return pages.select(
-        "page_id", "url", N.domain(F.col("url")).alias("domain"), F.least(F.lit(100), 20 * X.hint_count(text, hints)).cast("int").alias("relevance"), F.least(F.lit(100), 10 * cards).cast("int").alias("density"),
-        F.least(F.lit(100), 20 * contacts).cast("int").alias("richness"), F.least(F.lit(100), 10 * dates).cast("int").alias("updates"), template_match(F.col("html"), cards).alias("template"),
+#: Signs of a page's text that are scored, and links of a page that are followed.
+TEXT_CAP, LINK_CAP = 15_000, 120
+DATE = r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b"
+
+
+def page_scores(pages: DataFrame, words: Iterable[str] = keywords.COMMERCIAL, hints: Iterable[str] = keywords.LISTING_HINTS, card: str = r"""class="[^"]*\b(?:card|item|listing|offer|object|product)\b""", kinds=keywords.SOURCE_KINDS) -> DataFrame:
+    """page_id, url, domain, four scores of at most 100, template and kind. words: of the trade; hints: in a listing's address; card: pattern of a listing card."""
+    text = F.left(X.page_text(F.col("html")), F.lit(TEXT_CAP))
+    link = F.transform(X.links(F.col("html")), lambda h: X.resolve_link(F.col("url"), h))
+    rows = pages.select("page_id", "url", "html", N.domain(F.col("url")).alias("domain"), text.alias("text"), F.size(F.filter(link, lambda x: X.hint_count(x, hints) > 0)).alias("listed"))
+    contacts = F.size(X.all_matches(F.col("text"), X.PHONE)) + F.size(X.all_matches(F.col("text"), X.EMAIL))
+    capped = lambda c: F.least(F.lit(100), c).cast("int")
+    return rows.select(
+        "page_id", "url", "domain", capped(10 * X.hint_count(F.col("text"), words) + 2 * F.col("listed")).alias("relevance"), capped(4 * F.col("listed")).alias("density"), capped(40 * contacts).alias("richness"),
+        capped(20 * F.regexp_count("text", F.lit(DATE))).alias("updates"), template_match(F.col("html"), F.regexp_count("html", F.lit(card))).alias("template"), source_kind(F.col("domain"), F.col("text"), kinds).alias("kind"),
     )
 
 
 def template_match(html: Column, cards: Column) -> Column:
-    best = F.greatest(F.when(F.contains(html, F.lit("application/ld+json")), 0.85).otherwise(0.0), F.when(cards >= 6, 0.7).when(cards >= 3, 0.5).otherwise(0.0))
+    """How surely a page follows a known template; 0 below the acceptance threshold."""
+    low = F.lower(html)
+    marked = F.contains(low, F.lit("application/ld+json")) & (F.contains(low, F.lit("offer")) | F.contains(low, F.lit("realestate")))
+    best = F.greatest(F.when(marked, 0.85).otherwise(0.0), F.when(cards >= 6, 0.7).when(cards >= 3, 0.5).otherwise(0.0))
     return F.when(best >= 0.55, best).otherwise(0.0)
 
 
+def source_kind(domain: Column, text: Column, kinds=keywords.SOURCE_KINDS) -> Column:
+    """Kind of a source: channels by their host, then the first kind whose words or host sign occur."""
+    low, by_host = F.lower(text), {"auction": F.contains(domain, F.lit("bankrot")), "government": domain.endswith(".gov.ru")}
+    out = F.when(F.contains(domain, F.lit("t.me")), "telegram")
+    for name, words in kinds:
+        out = out.when(X.any_keyword(low, words) | by_host.get(name, F.lit(False)), name)
+    return out.otherwise("unknown")
+
+
+def channel(domain: Column, kind: Column, hosts=keywords.SOURCE_HOSTS) -> Column:
+    """Channel under which a source is onboarded."""
+    out = F.when(F.lit(False), "")
+    for sign, name in hosts:
+        out = out.when(F.contains(domain, F.lit(sign)), name)
+    return out.when(kind == "auction", "bankrupt").otherwise("web")
+
+
+def is_listing_link(channel_: Column, link: Column, paths=keywords.LISTING_PATHS, auction_words: Iterable[str] = keywords.AUCTION_LINKS, text: Column | None = None) -> Column:
+    """Whether a link leads to a listing, by the rules of its channel; auctions go by words in link or anchor text."""
+    host, path, low = N.domain(link), F.lower(F.regexp_extract(link, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)), F.lower(F.concat_ws(" ", link, text if text is not None else F.lit("")))
+    out = F.when(channel_ == "bankrupt", X.any_keyword(low, auction_words))
+    for name, (sign, pattern) in paths.items():
+        out = out.when(channel_ == name, F.contains(host, F.lit(sign)) & path.rlike(pattern))
+    return out.otherwise(False)
+
+
 def priority(score: Column) -> Column:
-    return F.when(score >= 80, "high").when(score >= 65, "medium").when(score >= 50, "low").otherwise("none")
+    return F.when(score >= 80, "urgent").when(score >= 65, "high").when(score >= 50, "medium").otherwise("low")
 
 
 def domains(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("domain").agg(*(F.max(c).alias(c) for c in ("relevance", "density", "richness", "updates", "template")), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"), F.count(F.lit(1)).alias("pages"))
+    """One row for each domain: the best of every score, the kind of its latest page, first and last page, and its priority."""
+    best = scored.groupBy("domain").agg(*(F.max(c).alias(c) for c in ("relevance", "density", "richness", "updates", "template")), F.max_by("kind", "page_id").alias("kind"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"), F.count(F.lit(1)).alias("pages"))
+    return best.withColumn("priority", priority(F.col("relevance")))
 
 
-def link_table(pages: DataFrame, hints: Iterable[str], cap: int = 120) -> DataFrame:
-    """page_id, link, link_domain, kind of each page's first links, without search engines."""
-    rows = pages.select("page_id", "url", F.explode(F.slice(X.links(F.col("html")), 1, cap)).alias("href"))
-    link = N.clean_url(X.resolve_link(F.col("url"), F.col("href")))
-    rows = rows.select("page_id", "url", link.alias("link")).withColumn("link_domain", N.domain(F.col("link")))
-    rows = rows.where(~X.any_keyword(F.col("link_domain"), keywords.SEARCH_HOSTS))
-    return rows.select("page_id", F.col("link"), "link_domain", (F.col("link_domain") == N.domain(F.col("url"))).alias("internal"), F.when(X.hint_count(F.col("link"), hints) > 0, "listing").otherwise("outbound").alias("kind"))
+def link_table(pages: DataFrame, hints: Iterable[str] = keywords.LISTING_HINTS, cap: int = LINK_CAP) -> DataFrame:
+    """page_id, link, link_domain, anchor, internal and kind of each page's first links, without search engines."""
+    rows = pages.select("page_id", "url", F.explode(F.slice(X.anchors(F.col("html")), 1, cap)).alias("a"))
+    rows = rows.select("page_id", "url", N.unwrap_redirect(X.resolve_link(F.col("url"), F.col("a.href"))).alias("link"), F.left("a.text", F.lit(255)).alias("anchor")).withColumn("link_domain", N.domain(F.col("link")))
+    rows = rows.where((F.col("link_domain") != "") & ~F.col("link_domain").isin(*keywords.SEARCH_HOSTS))
+    return rows.select("page_id", "link", "link_domain", "anchor", (F.col("link_domain") == N.domain(F.col("url"))).alias("internal"), F.when(X.hint_count(F.col("link"), hints) > 0, "listing").otherwise("outbound").alias("kind"))
 
 
 def frontier(links: DataFrame, scored: DataFrame, include_internal: bool = False) -> DataFrame:
@@ -52,8 +88,13 @@ def frontier(links: DataFrame, scored: DataFrame, include_internal: bool = False
     return rows.join(scored.select("page_id", "relevance"), "page_id").groupBy("link").agg(F.max(F.floor(F.col("relevance") * 0.6).cast("int")).alias("priority"), F.count(F.lit(1)).alias("seen"))
 
 
-def activation(relevance: Column, template: Column, density: Column) -> Column:
-    return F.when(relevance < 20, "reject").when((template >= 0.55) & (relevance >= 60), "activate").when((relevance >= 80) & (density >= 30), "activate").otherwise("review")
+def activation(relevance: Column, template: Column, density: Column, richness: Column, known_template: Column | None = None) -> Column:
+    """What becomes of a source: reject, activate or review. known_template: whether a parser template is already assigned."""
+    sure = (template >= 0.7) | (F.lit(False) if known_template is None else known_template)
+    return (
+        F.when((relevance < 40) | (density < 10), "reject").when((relevance >= 70) & (density >= 25) & sure, "activate")
+        .when((relevance >= 55) & (density >= 20) & (richness >= 20) & (template >= 0.6), "activate").otherwise("review")
+    )
 
 
 def health(code: Column) -> Column:
@@ -61,15 +102,19 @@ def health(code: Column) -> Column:
 
 
 def streaks(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
-    """Each event with the successes and failures in a row up to it, and the state they lead to."""
+    """Each event with run, the successes or failures in a row up to it, and the state of the source after it.
+
+    Three failures in a row pause a source and two successes in a row resume it; in between it keeps its state, and it
+    starts active. So the state is that of the latest event that paused or resumed.
+    """
     at = Window.partitionBy(key).orderBy(*order)
     rows = events.withColumn("failed", failed)
     turn = F.when(F.lag("failed").over(at) == F.col("failed"), 0).otherwise(1)
     rows = rows.withColumn("turn", turn).withColumn("island", F.sum("turn").over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.row_number().over(Window.partitionBy(key, "island").orderBy(*order))
-    rows = rows.withColumn("run", run)
-    state = F.when(F.col("failed") & (F.col("run") >= 3), "paused").when(~F.col("failed") & (F.col("run") >= 2), "active").otherwise("watch")
-    return rows.withColumn("state", state).drop("turn", "island")
+    rows = rows.withColumn("run", F.row_number().over(Window.partitionBy(key, "island").orderBy(*order)))
+    change = F.when(F.col("failed") & (F.col("run") >= 3), "paused").when(~F.col("failed") & (F.col("run") >= 2), "active")
+    state = F.last(change, ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("state", F.coalesce(state, F.lit("active"))).drop("turn", "island")
 
 
 def next_due_minutes(base: Column, failures: Column) -> Column:
@@ -97,3 +142,22 @@ def recent_messages(messages: DataFrame, at: str, permalink: str, channel: str,
         rows = rows.join(allowed.toDF("__allowed"), F.col(channel) == F.col("__allowed"), "left_semi")
     every = rows.groupBy(permalink).agg(F.min_by(F.struct(*(c for c in messages.columns if c != permalink)), F.struct(*(c for c in messages.columns if c != permalink))).alias("m"))
     return every.select(permalink, "m.*")
+
+
+def merge_catalogue(stored: DataFrame, found: DataFrame, now: Column, allowed: DataFrame | None = None, relevant: Column | None = None, queries: int = 25, cap: int = 500) -> DataFrame:
+    """The channel catalogue after a search: username, title, first_seen, last_seen, matched_queries.
+
+    stored has these columns, found has (username, title, query). Stored channels stay if relevant holds for them or allowed
+    names them; the title found last counts; queries are united, sorted and capped, and so are channels by name.
+    """
+    handle = N.channel_handle(F.col("username"))
+    title = F.coalesce(F.nullif(N.squeeze(F.col("title")), F.lit("")), F.concat(F.lit("@"), handle))
+    old = stored.withColumn("title", title).withColumn("username", handle).where("username <> ''")
+    if relevant is not None:
+        named = allowed.select(N.channel_handle(F.col(allowed.columns[0])).alias("username"), F.lit(True).alias("named")) if allowed is not None else None
+        old = (old.join(named.distinct(), "username", "left") if named is not None else old.withColumn("named", F.lit(False))).where(relevant | F.coalesce("named", F.lit(False)))
+    old = old.select("username", "title", "first_seen", "last_seen", F.explode_outer("matched_queries").alias("query"), F.lit(0).alias("turn"))
+    new = found.select(handle.alias("username"), title.alias("title"), now.alias("first_seen"), now.alias("last_seen"), "query", F.lit(1).alias("turn")).where("username <> ''")
+    rows = old.unionByName(new).withColumn("query", F.nullif(N.squeeze(F.col("query")), F.lit("")))
+    merged = rows.groupBy("username").agg(F.max_by("title", F.struct("turn", "title")).alias("title"), F.min_by("first_seen", "turn").alias("first_seen"), F.max_by("last_seen", "turn").alias("last_seen"), F.slice(F.array_sort(F.collect_set("query")), 1, queries).alias("matched_queries"))
+    return merged.orderBy("username").limit(cap)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.functions.extract import keywords_of
+
 
 def upsert(events: DataFrame, key: list[str], fields: list[str], order: list[str], first: dict[str, str] | None = None) -> DataFrame:
     """The latest non-null value of each field for each key; first: output name -> column whose earliest value counts."""
@@ -34,3 +36,11 @@ def calls_to_leads(calls: DataFrame, leads: DataFrame) -> DataFrame:
         "call_id", "known_id", F.when(is_new, F.concat(F.lit("Call lead "), F.coalesce("from_number", F.lit("unknown")))).otherwise(F.col("known_title")).alias("title"),
         F.when(is_new, F.col("from_number")).otherwise(F.col("known_phone")).alias("contact_phone"), F.when(is_new, F.concat(F.lit("call:"), F.col("call_id"))).alias("source_record_id"), is_new.alias("is_new"),
     )
+
+
+def top_keywords(transcripts: DataFrame, key: str, turn: str, text: str, n: int = 10, least: int = 5) -> DataFrame:
+    """key, word, n, rank: the most frequent long words of each transcript; of equally frequent ones the earlier first."""
+    words = transcripts.select(key, turn, F.posexplode(keywords_of(F.col(text), least)).alias("at", "word"))
+    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(turn, "at")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= n).select(key, "word", "n", F.col("rank").cast("int").alias("rank"))

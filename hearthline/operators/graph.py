@@ -13,21 +13,27 @@ from hearthline import keywords
 from hearthline.functions import normalize as N
 from hearthline.functions.extract import organisations
 
+LEGAL_FORMS = tuple(f.upper() for f in keywords.LEGAL_FORMS)
+
 
 def contact_key(phone: Column, email: Column) -> Column:
     p, e = N.phone_strict(phone), N.email(email)
     return F.when(p != "", F.concat(F.lit("phone:"), p)).when(e != "", F.concat(F.lit("email:"), e))
 
 
-def keyed(listings: DataFrame, decided: DataFrame) -> DataFrame:
-    """Listings with the keys of their entities: object (fingerprint, else address|area|type), address, contact, source."""
+def keyed(listings: DataFrame, decided: DataFrame, forms=LEGAL_FORMS) -> DataFrame:
+    """Listings with the keys of their entities: object (fingerprint, else address|area|type), address, contact, source, organisations.
+
+    Columns tier, contact_class and contact_name come through where listings have them. forms: legal forms that announce an organisation.
+    """
+    more = [c for c in ("description", "region_code", "city", "price_rub", "area_sqm", "listing_type", "contact_phone", "contact_email", "tier", "contact_class", "contact_name") if c in listings.columns]
     addr = N.address(F.col("address"))
     rest = F.concat_ws("|", addr, F.coalesce(F.col("area_sqm").cast("string"), F.lit("")), F.coalesce("listing_type", F.lit("")))
     prints = decided.select(F.col("id").alias("d_id"), "fingerprint", "status")
     return listings.join(prints, listings["id"] == prints["d_id"]).select(
         "id", "agency_id", "title", "created_at", "updated_at", "status", F.coalesce("fingerprint", rest).alias("object_key"), F.nullif(addr, F.lit("")).alias("address_key"),
         contact_key(F.col("contact_phone"), F.col("contact_email")).alias("contact_key"), F.col("source_channel").alias("source_key"),
-        F.transform(organisations(F.concat_ws(" ", F.col("title"), F.col("description"))), lambda o: N.organisation(o)).alias("org_keys"),
+        F.array_distinct(F.transform(organisations(F.concat_ws(" ", F.col("title"), F.col("description")), forms), lambda o: N.organisation(o))).alias("org_keys"), *more,
     )
 
 
@@ -66,17 +72,30 @@ def evidence(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def contact_features(rows: DataFrame) -> DataFrame:
-    """Measures of each contact; listings are first summed up per (contact, object), so no hop multiplies rows."""
+    """Twelve measures of each contact, rounded as they are stored.
+
+    Values are counted per (contact, kind, value) first, so a contact with very many listings never gathers them in one
+    row. An address counts if any listing of an object of the contact names it.
+    """
+    key = ["agency_id", "contact_key"]
     own = rows.where("contact_key IS NOT NULL")
-    per_object = own.groupBy("agency_id", "contact_key", "object_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "rejected").alias("active"), F.count_distinct("source_key").alias("sources"), F.collect_set("address_key").alias("a"), F.collect_set("source_key").alias("s"))
-    at = per_object.groupBy("agency_id", "contact_key").agg(
-        F.sum("n").alias("listings"), F.sum("active").alias("active"), F.count(F.lit(1)).alias("objects"), F.max("n").alias("most"), F.count_if(F.col("sources") > 1).alias("crossed"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("a")))).alias("addresses"), F.size(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"),
-    )
-    spread = F.col("addresses") / F.greatest(F.lit(1), "listings")
-    return at.select(
-        "agency_id", "contact_key", "listings", "active", "objects", "addresses", "sources", spread.alias("spread"), (F.col("most") / F.greatest(F.lit(1), "listings")).alias("concentration"),
-        (F.col("crossed") / F.greatest(F.lit(1), "objects")).alias("cross_source"), F.least(F.lit(100.0), F.col("listings") * F.greatest(F.lit(1), "sources") * spread * 5).alias("hub"), (F.col("listings") / F.greatest(F.lit(1), "objects")).alias("density"),
+    tier = F.coalesce("tier", F.lit("")) if "tier" in rows.columns else F.lit("")
+    total = own.groupBy(*key).agg(F.count(F.lit(1)).alias("listings"), F.count_if(~F.coalesce("status", F.lit("")).isin("rejected", "archive")).alias("active"), F.count_if(tier == "archive").alias("archived"))
+    at = lambda kind, value: F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value")))
+    every = F.concat(at("object", F.col("object_key")), at("source", F.col("source_key")), F.transform("org_keys", lambda o: F.struct(F.lit("organisation").alias("kind"), o.alias("value"))))
+    values = own.select(*key, "source_key", F.explode(every).alias("e")).select(*key, "source_key", "e.*").where("value <> ''")
+    counted = values.groupBy(*key, "kind", "value").agg(F.count(F.lit(1)).alias("n"), (F.min("source_key") != F.max("source_key")).alias("crossed"))
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    is_object = F.col("kind") == "object"
+    kinds = counted.groupBy(*key).agg(of("object").alias("objects"), of("source").alias("sources"), of("organisation").alias("organisations"), F.max(F.when(is_object, F.col("n"))).alias("most"), F.count_if(is_object & F.col("crossed")).alias("crossed"))
+    named = rows.where("address_key <> ''").select("agency_id", F.col("object_key").alias("value"), "address_key").distinct()
+    addresses = counted.where(is_object).select(*key, "value").join(named, ["agency_id", "value"]).select(*key, "address_key").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("addresses"))
+    m = total.join(kinds, key).join(addresses, key, "left").withColumn("addresses", F.coalesce("addresses", F.lit(0)))
+    one, places = F.lit(1), lambda c, digits=3: F.bround(c, digits)
+    spread = F.col("addresses") / F.greatest(one, "listings")
+    return m.select(
+        *key, "listings", "active", "archived", "objects", "addresses", "organisations", "sources", places(spread).alias("spread"), places(F.col("most") / F.greatest(one, "listings")).alias("concentration"),
+        places(F.col("crossed") / F.greatest(one, "objects")).alias("cross_source"), places(F.least(F.lit(100.0), F.col("listings") * F.greatest(one, "sources") * spread * 5), 2).alias("hub"), places(F.col("listings") / F.greatest(one, "objects")).alias("density"),
     )
 
 

@@ -7,21 +7,42 @@ from pyspark.sql import functions as F
 
 from hearthline.functions.normalize import _text
 
-# Stages in order.
-STAGES = ("raw", "normalized", "deduplicated", "enriched", "scored", "published", "rejected")
+# Stages in order, contacts that never count, labels of lead sources.
+STAGES = ("raw", "parsed", "normalized", "object_resolved", "contacts_resolved", "scored", "published", "rejected")
+INVALID_CONTACTS = ("platform_contact", "support_contact")
+SOURCE_LABELS = {"telegram": "Telegram", "avito": "Avito", "yandex": "Яндекс Недвижимость", "bankrupt": "Банкротство"}
+NO_LABEL, NO_ADDRESS, NO_CITY, REGION = "Не выбрано", "Без адреса", "Не указан", "RU-UDM"
+CONVERTED = ("converted_to_lead", "converted_to_deal")
 
 
 def gate(title: Column, address: Column, city: Column, contact_class: Column) -> Column:
     """Reasons against publishing; empty means it passes."""
-    reasons = F.array(F.when(F.length(F.trim(_text(title))) < 3, "title"), F.when((_text(address) == "") & (_text(city) == ""), "location"), F.when(contact_class.isin("platform", "support"), "contact"))
+    reasons = F.array(
+        F.when(F.length(F.trim(_text(title))) < 3, "missing_title"), F.when((_text(address) == "") & (_text(city) == ""), "missing_location"), F.when(_text(contact_class).isin(*INVALID_CONTACTS), "invalid_contact"),
+    )
     return F.filter(reasons, lambda x: x.isNotNull())
 
 
 def advance(current: Column, target: Column) -> Column:
-    """The later of two stages; published and rejected are final."""
+    """The later of two stages; a missing stage takes any, an unknown target changes nothing."""
     rank = F.create_map(*(F.lit(x) for k, s in enumerate(STAGES) for x in (s, k)))
-    known = F.coalesce(current, F.lit(STAGES[0]))
-    return F.when(known.isin("published", "rejected"), known).when(rank[target] >= rank[known], target).otherwise(known)
+    return F.when(rank[target].isNull(), current).when(current.isNull(), target).when(rank[target] > F.coalesce(rank[current], F.lit(0)), target).otherwise(current)
+
+
+def published(rows: DataFrame) -> DataFrame:
+    """rows with reasons, stage and status after publishing. rows: title, address, city, contact_class, stage, status."""
+    reasons = gate(F.col("title"), F.col("address"), F.col("city"), F.col("contact_class"))
+    rows = rows.withColumn("reasons", reasons)
+    bad = F.size("reasons") > 0
+    return rows.withColumn("stage", F.when(bad, "rejected").otherwise("published")).withColumn("status", F.when(bad & ~F.coalesce(F.col("status").isin(*CONVERTED), F.lit(False)), "rejected").otherwise(F.col("status")))
+
+
+def publish_owners(identities: DataFrame, at: Column) -> DataFrame:
+    """identities with lifecycle_status and published_at: owners are published, the first time is kept, others keep their state."""
+    owner = F.col("contact_class") == "owner_candidate"
+    return identities.withColumn("published_at", F.when(owner, F.coalesce("published_at", at)).otherwise(F.col("published_at"))).withColumn(
+        "lifecycle_status", F.when(owner, "published_to_owners").otherwise(F.coalesce(F.nullif("lifecycle_status", F.lit("")), F.lit("owner_scored")))
+    )
 
 
 def new_properties(listings: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -29,16 +50,41 @@ def new_properties(listings: DataFrame, existing: DataFrame | None = None) -> Da
     key = ["agency_id", "source_channel", "source_external_id"]
     rows = listings.where("source_external_id IS NOT NULL")
     rows = rows if existing is None else rows.join(existing, key, "left_anti")
-    first = F.min_by(F.struct("id", F.coalesce("address", "title").alias("address"), F.coalesce("city", F.lit("")).alias("city"), "region_code"), "id")
+    first = F.min_by(F.struct("id", F.coalesce(F.nullif("address", F.lit("")), F.lit(NO_ADDRESS)).alias("address"), F.coalesce(F.nullif("city", F.lit("")), F.lit(NO_CITY)).alias("city"), F.coalesce(F.nullif("region_code", F.lit("")), F.lit(REGION)).alias("region_code")), "id")
     return rows.groupBy(*key).agg(first.alias("p")).select(*key, "p.*")
 
 
-def auto_leads(scored: DataFrame, leads: DataFrame | None = None, least: float = 70.0) -> DataFrame:
-    """Published listings with a contact that score enough and are no lead yet. scored: id, status, score, owner_score, below_market, contact_key, stage."""
-    good = scored.where((F.col("stage") == "published") & ~F.col("status").isin("duplicate", "rejected") & F.col("contact_key").isNotNull() & ((F.col("score") >= least) | (F.col("owner_score") >= least) | F.col("below_market")))
+def auto_leads(scored: DataFrame, leads: DataFrame | None = None, least: float = 70.0, below_market: bool = True) -> DataFrame:
+    """Published listings with a usable contact that score enough and are no lead yet.
+
+    scored: id, status, stage, score, owner_score, below_market, contact_phone, contact_email, contact_class; leads: id of the listings that are leads.
+    """
+    c = F.col
+    usable = ~_text(c("contact_class")).isin(*INVALID_CONTACTS) & ((_text(c("contact_phone")) != "") | (_text(c("contact_email")) != ""))
+    enough = (F.coalesce("score", F.lit(0.0)) >= least) | (F.coalesce("owner_score", F.lit(0.0)) >= least)
+    enough = enough | F.coalesce("below_market", F.lit(False)) if below_market else enough
+    good = scored.where((c("stage") == "published") & ~c("status").isin("duplicate", "possible_duplicate", "rejected") & usable & enough)
     return good if leads is None else good.join(leads.select("id"), "id", "left_anti")
 
 
+def to_leads(listings: DataFrame, auto_created: bool = False, state: str = "active", title: Column | None = None) -> DataFrame:
+    """A lead for each listing, with the defaults and labels of a conversion, and the listing's status after it."""
+    labels = F.create_map(*(F.lit(x) for kv in SOURCE_LABELS.items() for x in kv))
+    return listings.select(
+        F.col("id").cast("string").alias("source_record_id"), "agency_id", F.coalesce(title if title is not None else F.lit(None).cast("string"), F.col("title")).alias("title"), "contact_phone", "contact_email",
+        F.lit("new_lead").alias("status"), F.coalesce(labels[F.col("source_channel")], F.lit(NO_LABEL)).alias("lead_source"), F.lit(state).alias("lead_state"), F.lit(auto_created).alias("auto_created"),
+        F.lit("converted_to_lead").alias("listing_status"),
+    )
+
+
+def to_deals(listings: DataFrame, value: Column | None = None, title: Column | None = None) -> DataFrame:
+    """A deal for each listing, through a promoted lead. value: what was agreed; 0 and null give the listing's price."""
+    given = F.lit(None).cast("double") if value is None else value.cast("double")
+    worth = F.coalesce(F.when(given != 0, given), F.col("price_rub").cast("double"))
+    name = F.coalesce(title if title is not None else F.lit(None).cast("string"), F.col("title"))
+    return listings.select(F.col("id").cast("string").alias("source_record_id"), "agency_id", name.alias("title"), F.lit("promoted_to_deal").alias("lead_state"), F.lit("new").alias("status"), worth.alias("value_rub"), F.lit("converted_to_deal").alias("listing_status"))
+
+
 def call_tasks(leads: DataFrame, calls: DataFrame) -> DataFrame:
     """Leads with a phone and no call yet."""
     return leads.where(F.col("contact_key").startswith("phone:")).join(calls.select("contact_key").distinct(), "contact_key", "left_anti")
@@ -49,10 +95,6 @@ def promoted(identities: DataFrame, phones_and_mails: DataFrame) -> DataFrame:
     return identities.join(phones_and_mails.select("contact_key").distinct(), "contact_key", "left_semi")
 
 
-def lead_value(given: Column, price: Column) -> Column:
-    return F.coalesce(given.cast("double"), price.cast("double"), F.lit(0.0))
-
-
 def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """The first row of each key in that order."""
     w = Window.partitionBy(*key).orderBy(*order)

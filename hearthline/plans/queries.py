@@ -9,6 +9,7 @@ from hearthline import keywords
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
 from hearthline.operators import contacts, dedup, discovery, events, graph, identity, market, publish, scoring
+from hearthline.operators.shared import cut
 from hearthline.sources import listings as S
 
 from .listings_view import LISTINGS, listings
@@ -18,7 +19,8 @@ AS_OF = "2001-08-01 00:00:00"
 PACKS = {"owner": ("small", "old"), "agent": ("promo", "plate"), "discount": ("urgent", "low"), "urgency": ("urgent", "high")}
 IDENTITY_PACKS = {"owner": ("small", "old"), "agent": ("promo", "plate"), "urgency": ("urgent", "high"), "negotiation": ("medium", "low")}
 RULES = (("warehouse", ("rod",)), ("office", ("plate",)), ("retail", ("new", "blue")))
-PAGE_HINTS, CARD, LINK_HINTS = ("license", "the ", "que "), 'class="ad"|<p>', ("/de", "/the")
+PAGE_HINTS, CARD, LINK_HINTS = ("license", "the ", "que ", "der ", "la ", "von "), 'class="ad"|<p>', ("/de", "/the", "/in", "/la", "/l", "/e", "/a")
+KINDS = (("auction", ("license",)), ("government", ("idiot",)), ("agency", ("que ",)), ("classifieds", ("der ",)))
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,33 +65,36 @@ LV = f"lv AS ({LISTINGS})"
 FP = f"""fp AS (SELECT *, {ADDR} AS addr, {_loose('contact_phone')} || '|' || lower(trim(coalesce(contact_email, ''))) || '|' || {ADDR} || '|' ||
   CASE WHEN coalesce(area_sqm, 0) = 0 THEN '0' ELSE CAST(CAST(round_even(area_sqm, 0) AS DECIMAL(18,1)) AS VARCHAR) END || '|' ||
   CASE WHEN coalesce(price_rub, 0) = 0 THEN '0' ELSE CAST(CAST(round_even(price_rub / 1000, 0) * 1000 AS DECIMAL(18,1)) AS VARCHAR) END AS raw_fp FROM lv)"""
+PRICE_BAND = 0.2232  # at least -ln(0.8): a pair within a fifth lies in the same or in neighbouring bands
 DECIDED = f"""{LV}, {FP},
-e AS (SELECT *, CASE WHEN raw_fp <> '|||0|0' THEN sha1(raw_fp) END AS own, CASE WHEN source_external_id IS NOT NULL THEN min(id) OVER (PARTITION BY agency_id, source_channel, source_external_id) END AS ext_first FROM fp),
-e2 AS (SELECT *, coalesce(id > ext_first, false) AS by_ext FROM e),
+e AS (SELECT *, CASE WHEN raw_fp <> '|||0|0' THEN sha1(raw_fp) END AS own, CASE WHEN source_external_id IS NOT NULL THEN min(id) OVER (PARTITION BY agency_id, source_channel, source_external_id) END AS ext_first,
+  CASE WHEN price_rub > 0 THEN floor(ln(price_rub) / {PRICE_BAND}) END AS price_band FROM fp),
+e2 AS (SELECT *, coalesce(id > ext_first, false) AS by_ext, arg_min(own, id) OVER (PARTITION BY agency_id, source_channel, source_external_id) AS ext_own FROM e),
 e3 AS (SELECT *, CASE WHEN NOT by_ext AND own IS NOT NULL THEN min(id) OVER (PARTITION BY agency_id, own, by_ext) END AS fp_first FROM e2),
 e4 AS (SELECT *, coalesce(id > fp_first, false) AS by_fp FROM e3),
-nr AS (SELECT a.id, min(b.id) AS near_id FROM e4 a JOIN e4 b ON a.agency_id = b.agency_id AND a.addr = b.addr AND b.id < a.id AND a.addr <> '' AND NOT a.by_ext AND NOT a.by_fp
+e5 AS (SELECT *, unnest([price_band - 1, price_band, price_band + 1]) AS band FROM e4 WHERE price_rub <> 0),
+nr AS (SELECT a.id, min(b.id) AS near_id FROM e4 a JOIN e5 b ON a.agency_id = b.agency_id AND a.addr = b.addr AND a.price_band = b.band AND b.id < a.id AND a.addr <> '' AND NOT a.by_ext AND NOT a.by_fp
   AND b.area_sqm <> 0 AND b.price_rub <> 0 AND a.area_sqm <> 0 AND a.price_rub <> 0 AND abs(a.area_sqm - b.area_sqm) <= 0.15 * abs(b.area_sqm) AND abs(a.price_rub - b.price_rub) <= 0.2 * abs(b.price_rub) GROUP BY a.id),
 dec AS (SELECT e4.id, e4.agency_id, CASE WHEN by_ext OR by_fp THEN 'duplicate' WHEN near_id IS NOT NULL THEN 'possible_duplicate' ELSE 'new' END AS status,
   CASE WHEN by_ext THEN ext_first WHEN by_fp THEN fp_first ELSE near_id END AS duplicate_of_id,
-  CASE WHEN by_ext THEN (SELECT p.own FROM e3 p WHERE p.id = e4.ext_first) ELSE own END AS fingerprint FROM e4 LEFT JOIN nr ON e4.id = nr.id)"""
+  CASE WHEN by_ext THEN ext_own ELSE own END AS fingerprint FROM e4 LEFT JOIN nr ON e4.id = nr.id)"""
 
 
 @query(f"WITH {DECIDED} SELECT id, agency_id, status, duplicate_of_id, fingerprint FROM dec")
 def dedup_decisions(spark, sf_dir):
-    return dedup.decisions(listings(spark, sf_dir))
+    return dedup.decisions(cut(listings(spark, sf_dir), "listings"))
 
 
 @query(f"""WITH {DECIDED} SELECT source_channel, count(*) AS fetched, count(*) FILTER (status <> 'duplicate') AS inserted, count(*) FILTER (status = 'duplicate') AS duplicates,
 count(*) FILTER (status = 'possible_duplicate') AS possible FROM lv JOIN dec USING (id) GROUP BY 1""")
 def dedup_tally(spark, sf_dir):
-    rows = listings(spark, sf_dir)
+    rows = cut(listings(spark, sf_dir), "listings")
     return dedup.tally(rows, dedup.decisions(rows))
 
 
 @query(f"WITH {DECIDED} SELECT agency_id, fingerprint, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM dec WHERE fingerprint IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_groups(spark, sf_dir):
-    d = dedup.decisions(listings(spark, sf_dir)).where("fingerprint IS NOT NULL")
+    d = dedup.decisions(cut(listings(spark, sf_dir), "listings")).where("fingerprint IS NOT NULL")
     return d.groupBy("agency_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("n > 1")
 
 
@@ -109,7 +114,7 @@ def page_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.domain(u).alias("domain"), N.canonical_url(u).alias("canonical"), N.external_id(u, u).alias("external_id"), X.page_title(F.col("html")).alias("title"))
 
 
-@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '{X.PHONE}')) AS n_phones, array_to_string(regexp_extract_all(text, '{X.EMAIL}'), ',') AS emails, len(regexp_extract_all(text, '{X.URL.replace(chr(39), chr(39) * 2)}')) AS n_urls FROM documents""")
+@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '{X.PHONE}')) AS n_phones, array_to_string(regexp_extract_all(text, '{X.EMAIL}'), ',') AS emails, len(regexp_extract_all(text, '{X.URL}')) AS n_urls FROM documents""")
 def document_contacts(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.all_matches(t, X.PHONE)).cast("long").alias("n_phones"), F.array_join(X.all_matches(t, X.EMAIL), ",").alias("emails"), F.size(X.all_matches(t, X.URL)).cast("long").alias("n_urls"))
@@ -128,7 +133,7 @@ _BAND = "CASE " + " ".join(f"WHEN area_sqm > {a} AND area_sqm <= {b} THEN '{c}'"
 SEG = f"""seg AS (SELECT *, coalesce(region_code, city) AS region, {_PTYPE} AS property_type, CASE WHEN listing_type = 'sale' THEN 'sale' ELSE 'rent' END AS deal_type, {_BAND} AS area_band,
   CASE WHEN area_sqm > 0 THEN price_rub / area_sqm END AS price_m2 FROM (SELECT *, lower(title || ' ' || description) AS txt FROM lv))"""
 BENCH = f"""bench AS (SELECT agency_id, region, district, property_type, deal_type, area_band, median(price_rub) AS median_price, median(price_m2) AS median_price_m2, count(*) AS listing_count, min(updated_at) AS first_at, max(updated_at) AS last_at
-  FROM seg WHERE updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL '180' DAY AND price_rub IS NOT NULL AND area_sqm IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)"""
+  FROM seg WHERE updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL '180' DAY AND price_rub IS NOT NULL AND area_sqm IS NOT NULL AND (coalesce(address, '') <> '' OR coalesce(city, '') <> '') GROUP BY ALL HAVING count(*) >= 3)"""
 
 
 def _rung(keep: tuple[str, ...]) -> str:
@@ -141,7 +146,8 @@ dev AS (SELECT seg.*, best.rung, best.m AS market_m2, (price_m2 - best.m) / best
 
 
 def _benchmarks(spark, sf_dir):
-    seg = market.segments(listings(spark, sf_dir), RULES)
+    rows = listings(spark, sf_dir).withColumn("status", F.when(F.size(publish.gate(F.col("title"), F.col("address"), F.col("city"), F.lit(None).cast("string"))) > 0, "rejected"))
+    seg = cut(market.segments(rows, RULES), "segments")
     return seg, market.benchmarks(seg, AS_OF)
 
 
@@ -171,7 +177,7 @@ sc AS (SELECT *, least(greatest(.25 * freshness + .2 * owner + .2 * under_market
 
 def _scored(spark, sf_dir):
     rows = listings(spark, sf_dir)
-    dev = market.deviations(*_benchmarks(spark, sf_dir))
+    dev = market.deviations(*_benchmarks(spark, sf_dir)).drop("status")
     return scoring.lead_scores(dev.join(dedup.decisions(rows).select("id", "status"), "id"), AS_OF, PACKS)
 
 
@@ -191,24 +197,42 @@ def quick_views(spark, sf_dir):
     )
 
 
+# Entities: a legal form, contact classes and tiers that occur in the test texts.
+FORMS, CLASSES = ("PROMO",), (("support_contact", ("hot",)), ("owner_candidate", ("small", "old")), ("agent_candidate", ("promo",)))
 _CK = f"CASE WHEN {_strict('contact_phone')} <> '' THEN 'phone:' || {_strict('contact_phone')} WHEN trim(coalesce(contact_email, '')) <> '' THEN 'email:' || lower(trim(contact_email)) END"
-KEYED = f"""{DECIDED}, keyed AS (SELECT lv.*, dec.status, fingerprint AS object_key, nullif({ADDR}, '') AS address_key, {_CK} AS contact_key FROM lv JOIN dec USING (id))"""
+_LOW = r"lower(title || ' ' || description)"
+_ORGS = r"""list_distinct(list_transform(regexp_extract_all(title || ' ' || description, '(?i)\bPROMO\s+"?([A-Za-zА-Яа-я0-9 .\-]{2,})"?', 1), lambda x: trim(regexp_replace(lower('PROMO ' || x), '[^a-z0-9]+', ' ', 'g'))))"""
+KEYED = f"""{DECIDED}, keyed AS (SELECT lv.*, dec.status, fingerprint AS object_key, nullif({ADDR}, '') AS address_key, {_CK} AS contact_key, {_ORGS} AS org_keys,
+  CASE WHEN updated_at < TIMESTAMP '{AS_OF}' - INTERVAL '720' HOUR THEN 'archive' ELSE 'premium' END AS tier, CASE {' '.join(f"WHEN {_any(_LOW, w)} THEN '{n}'" for n, w in CLASSES)} ELSE 'unknown_contact' END AS said_class FROM lv JOIN dec USING (id))"""
 EDGES = f"""er AS (
   SELECT agency_id, id, created_at, updated_at, 'contact_to_listing' AS edge_type, contact_key AS from_id, CAST(id AS VARCHAR) AS to_id, 0.9 AS confidence, 1.0 AS weight FROM keyed
   UNION ALL SELECT agency_id, id, created_at, updated_at, 'listing_to_object', CAST(id AS VARCHAR), object_key, 0.8, 0.8 FROM keyed
   UNION ALL SELECT agency_id, id, created_at, updated_at, 'object_to_address', object_key, address_key, 0.7, 0.7 FROM keyed
   UNION ALL SELECT agency_id, id, created_at, updated_at, 'contact_to_address', contact_key, address_key, 0.6, 0.6 FROM keyed
+  UNION ALL SELECT agency_id, id, created_at, updated_at, 'contact_to_organization', contact_key, unnest(org_keys), 0.6, 0.6 FROM keyed
+  UNION ALL SELECT agency_id, id, created_at, updated_at, 'organization_to_object', unnest(org_keys), object_key, 0.6, 0.6 FROM keyed
   UNION ALL SELECT agency_id, id, created_at, updated_at, 'listing_to_source', CAST(id AS VARCHAR), source_channel, 0.7, 0.7 FROM keyed),
-er2 AS (SELECT * FROM er WHERE from_id IS NOT NULL AND to_id IS NOT NULL)"""
+er2 AS (SELECT * FROM er WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND from_id <> '' AND to_id <> '')"""
 
 
-def _keyed(spark, sf_dir):
-    rows = listings(spark, sf_dir)
-    return graph.keyed(rows, dedup.decisions(rows))
+def _rows(spark, sf_dir):
+    """The listings with a contact class and a tier, written once."""
+    text = F.lower(F.concat_ws(" ", "title", "description"))
+    kind = F.lit("unknown_contact")
+    for name, words in reversed(CLASSES):
+        kind = F.when(X.any_keyword(text, words), name).otherwise(kind)
+    hours = scoring.age_hours(F.col("updated_at"), F.lit(AS_OF).cast("timestamp"))
+    return cut(listings(spark, sf_dir).withColumns({"contact_class": kind, "tier": F.when(hours > 720, "archive").otherwise("premium")}), "listings")
+
+
+def _keyed(spark, sf_dir, rows=None):
+    rows = _rows(spark, sf_dir) if rows is None else rows
+    return cut(graph.keyed(rows, dedup.decisions(rows), FORMS), "keyed")
 
 
 @query(f"""WITH {KEYED}, n AS (SELECT agency_id, id, 'listing' AS node_type, CAST(id AS VARCHAR) AS entity_id, title AS label FROM keyed UNION ALL SELECT agency_id, id, 'object', object_key, coalesce(address_key, title) FROM keyed
-UNION ALL SELECT agency_id, id, 'address', address_key, address_key FROM keyed UNION ALL SELECT agency_id, id, 'contact', contact_key, contact_key FROM keyed UNION ALL SELECT agency_id, id, 'source', source_channel, source_channel FROM keyed)
+UNION ALL SELECT agency_id, id, 'address', address_key, address_key FROM keyed UNION ALL SELECT agency_id, id, 'contact', contact_key, contact_key FROM keyed UNION ALL SELECT agency_id, id, 'source', source_channel, source_channel FROM keyed
+UNION ALL SELECT agency_id, id, 'organization', o, o FROM (SELECT agency_id, id, unnest(org_keys) AS o FROM keyed))
 SELECT agency_id, node_type, entity_id, max_by(label, id) AS label, count(*) AS n_rows FROM n WHERE entity_id IS NOT NULL GROUP BY 1, 2, 3""")
 def graph_nodes(spark, sf_dir):
     return graph.nodes(_keyed(spark, sf_dir))
@@ -225,50 +249,83 @@ def edge_evidence(spark, sf_dir):
     return graph.evidence(_keyed(spark, sf_dir))
 
 
-@query(f"""WITH {KEYED}, po AS (SELECT agency_id, contact_key, object_key, count(*) AS n, count(DISTINCT source_channel) AS s FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2, 3),
-a AS (SELECT agency_id, contact_key, count(*) AS listings, count(*) FILTER (status <> 'rejected') AS active, count(DISTINCT address_key) AS addresses, count(DISTINCT source_channel) AS sources FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2),
-o AS (SELECT agency_id, contact_key, count(*) AS objects, max(n) AS most, count(*) FILTER (s > 1) AS crossed FROM po GROUP BY 1, 2)
-SELECT agency_id, contact_key, listings, active, objects, CAST(addresses AS INT) AS addresses, CAST(sources AS INT) AS sources, round(addresses / listings, 6) AS spread, round(most / listings, 6) AS concentration, round(crossed / objects, 6) AS cross_source,
-round(least(100, listings * sources * (addresses / listings) * 5), 6) AS hub, round(listings / objects, 6) AS density FROM a JOIN o USING (agency_id, contact_key)""")
+FEATURES = """fo AS (SELECT agency_id, contact_key, object_key, count(*) AS n, count(DISTINCT source_channel) AS s FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2, 3),
+fa AS (SELECT agency_id, contact_key, count(*) AS listings, count(*) FILTER (status NOT IN ('rejected', 'archive')) AS active, count(*) FILTER (tier = 'archive') AS archived, count(DISTINCT source_channel) AS sources FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2),
+fc AS (SELECT agency_id, contact_key, count(*) AS objects, max(n) AS most, count(*) FILTER (s > 1) AS crossed FROM fo GROUP BY 1, 2),
+fd AS (SELECT fo.agency_id, fo.contact_key, count(DISTINCT k.address_key) AS addresses FROM fo JOIN keyed k ON k.agency_id = fo.agency_id AND k.object_key = fo.object_key WHERE k.address_key IS NOT NULL GROUP BY 1, 2),
+fe AS (SELECT agency_id, contact_key, count(DISTINCT o) AS organisations FROM (SELECT agency_id, contact_key, unnest(org_keys) AS o FROM keyed WHERE contact_key IS NOT NULL) GROUP BY 1, 2),
+ft AS (SELECT agency_id, contact_key, listings, active, archived, objects, coalesce(addresses, 0) AS addresses, coalesce(organisations, 0) AS organisations, sources, round_even(coalesce(addresses, 0) / listings, 3) AS spread, round_even(most / listings, 3) AS concentration,
+  round_even(crossed / objects, 3) AS cross_source, round_even(least(100, listings * greatest(1, sources) * (coalesce(addresses, 0) / listings) * 5), 2) AS hub, round_even(listings / objects, 3) AS density
+  FROM fa JOIN fc USING (agency_id, contact_key) LEFT JOIN fd USING (agency_id, contact_key) LEFT JOIN fe USING (agency_id, contact_key))"""
+
+
+@query(f"WITH {KEYED}, {FEATURES} SELECT * FROM ft")
 def contact_features(spark, sf_dir):
-    return graph.contact_features(_keyed(spark, sf_dir)).select("agency_id", "contact_key", "listings", "active", "objects", "addresses", "sources", *map(r6, ("spread", "concentration", "cross_source", "hub", "density")))
+    return graph.contact_features(_keyed(spark, sf_dir))
 
 
 _H = lambda k: _any("txt2", IDENTITY_PACKS[k])
-BEHAVIOUR = f"""{KEYED}, {SEG}, kx AS (SELECT keyed.*, seg.region, seg.price_m2, {_T} AS txt2 FROM keyed JOIN (SELECT id, region, price_m2 FROM seg) seg USING (id) WHERE contact_key IS NOT NULL),
+_SHARE = lambda *c: f"count(*) FILTER (said_class IN ({', '.join(repr(x) for x in c)})) / count(*)"
+
+
+def _main(value: str, name: str) -> str:
+    return f"""{name} AS (SELECT agency_id, contact_key, {value} AS v_{name}, n AS n_{name}, of_{name} FROM (SELECT agency_id, contact_key, {value}, count(*) AS n, min(id) AS f, sum(count(*)) OVER (PARTITION BY agency_id, contact_key) AS of_{name} FROM kx WHERE {value} IS NOT NULL GROUP BY 1, 2, 3)
+  QUALIFY row_number() OVER (PARTITION BY agency_id, contact_key ORDER BY n DESC, f) = 1)"""
+
+
+BEHAVIOUR = rf"""{KEYED}, {FEATURES}, kx AS (SELECT keyed.*, CASE WHEN area_sqm > 0 THEN price_rub / area_sqm END AS price_m2, {_T} AS txt2 FROM keyed WHERE contact_key IS NOT NULL),
 po AS (SELECT agency_id, contact_key, object_key, count(*) AS n, count(DISTINCT source_channel) AS s FROM kx GROUP BY 1, 2, 3),
-o AS (SELECT agency_id, contact_key, count(*) AS objects, count(*) FILTER (n > 1) AS reposted, count(*) FILTER (s > 1) AS crossed FROM po GROUP BY 1, 2),
-pl AS (SELECT agency_id, contact_key, region, count(*) AS n, min(id) AS f FROM kx WHERE region IS NOT NULL GROUP BY 1, 2, 3),
-pl1 AS (SELECT agency_id, contact_key, region AS main_region, n AS in_region FROM pl QUALIFY row_number() OVER (PARTITION BY agency_id, contact_key ORDER BY n DESC, f) = 1),
+o AS (SELECT agency_id, contact_key, count(*) AS objects, max(n) AS most_object, count(*) FILTER (s > 1) AS crossed FROM po GROUP BY 1, 2),
+{_main('region_code', 'rg')}, {_main('city', 'ct')},
+org AS (SELECT agency_id, contact_key, 'PROMO ' || trim(regexp_replace(x, '\s+', ' ', 'g')) AS v, count(*) AS n, min(id) AS f FROM (SELECT agency_id, contact_key, id, unnest(regexp_extract_all(txt2, '\bpromo\s+"?([a-zа-я0-9 .\-]{{2,}})"?', 1)) AS x FROM kx) GROUP BY 1, 2, 3),
+og AS (SELECT agency_id, contact_key, count(*) AS orgs FROM org GROUP BY 1, 2),
+ot AS (SELECT agency_id, contact_key, string_agg(v, ',' ORDER BY r) AS organizations FROM (SELECT *, row_number() OVER (PARTITION BY agency_id, contact_key ORDER BY n DESC, f, v) AS r FROM org) WHERE r <= 3 GROUP BY 1, 2),
 md AS (SELECT agency_id, contact_key, median(price_m2) AS med FROM kx GROUP BY 1, 2),
-un AS (SELECT agency_id, contact_key, count(*) FILTER (price_m2 <= 0.8 * med) / greatest(1, count(price_m2)) AS under_share FROM kx JOIN md USING (agency_id, contact_key) GROUP BY 1, 2),
-t AS (SELECT agency_id, contact_key, count(*) AS listings, count(*) FILTER (status <> 'rejected') AS active, count(DISTINCT coalesce(address_key, '')) AS addresses, count(DISTINCT source_channel) AS sources, 1 - count(DISTINCT left(txt2, 240)) / count(*) AS template_ratio,
+un AS (SELECT agency_id, contact_key, count(*) FILTER (med <> 0 AND price_m2 <= 0.8 * med) / greatest(1, count(price_m2)) AS under_share FROM kx JOIN md USING (agency_id, contact_key) GROUP BY 1, 2),
+t AS (SELECT agency_id, contact_key, count(*) AS listings, count(*) FILTER (status <> 'rejected') AS active, count(*) FILTER (status LIKE '%duplicate') / count(*) AS repost_rate, count(DISTINCT coalesce(address_key, '')) AS addresses, count(DISTINCT source_channel) AS sources,
+  1 - count(DISTINCT trim(regexp_replace(lower(left(description, 240)), '\s+', ' ', 'g'))) / count(*) AS template_ratio, {_SHARE('owner_candidate')} AS owner_share, {_SHARE('agent_candidate')} AS agent_share, {_SHARE('platform_contact', 'support_contact')} AS platform_share,
   min(created_at) AS first_seen, max(updated_at) AS last_seen, count(*) FILTER ({_H('owner')}) AS owner_hits, count(*) FILTER ({_H('agent')}) AS agent_hits, count(*) FILTER ({_H('urgency')}) AS urgency_hits, count(*) FILTER ({_H('negotiation')}) AS negotiation_hits FROM kx GROUP BY 1, 2),
-b AS (SELECT *, reposted / objects AS repost_rate, listings / objects AS reuse, crossed / objects AS cross_source, coalesce(in_region / listings, 0) AS region_share, listings / greatest(1, floor((epoch(last_seen) - epoch(first_seen)) / 86400) + 1) * 30 AS per_month
-  FROM t JOIN o USING (agency_id, contact_key) LEFT JOIN pl1 USING (agency_id, contact_key) JOIN un USING (agency_id, contact_key)),
+b AS (SELECT t.*, o.objects, most_object, coalesce(orgs, 0) AS orgs, coalesce(organizations, '') AS organizations, under_share, coalesce(v_rg, v_ct) AS main_region, t.listings / o.objects AS reuse, o.crossed / o.objects AS cross_source, greatest(coalesce(n_rg / of_rg, 0), coalesce(n_ct / of_ct, 0)) AS region_share,
+  greatest(1, floor((epoch(last_seen) - epoch(first_seen)) / 86400) + 1) AS span_days, t.listings / greatest(1, floor((epoch(last_seen) - epoch(first_seen)) / 86400) + 1) * 30 AS per_month, ft.objects AS g_objects, ft.spread AS g_spread, ft.concentration AS g_one, ft.hub AS g_hub, ft.cross_source AS g_cross, ft.density AS g_density
+  FROM t JOIN o USING (agency_id, contact_key) LEFT JOIN rg USING (agency_id, contact_key) LEFT JOIN ct USING (agency_id, contact_key) JOIN un USING (agency_id, contact_key) LEFT JOIN og USING (agency_id, contact_key) LEFT JOIN ot USING (agency_id, contact_key) JOIN ft USING (agency_id, contact_key)),
 os AS (SELECT *, least(greatest(50 + CASE WHEN listings <= 1 THEN 25 WHEN listings <= 3 THEN 15 WHEN listings >= 10 THEN -20 WHEN listings >= 6 THEN -10 ELSE 0 END + CASE WHEN addresses <= 1 THEN 15 WHEN addresses <= 2 THEN 8 ELSE 0 END + CASE WHEN objects <= 1 THEN 10 WHEN objects <= 2 THEN 5 ELSE 0 END
   + CASE WHEN region_share >= 0.7 THEN 10 ELSE 0 END + CASE WHEN sources <= 1 THEN 8 ELSE 0 END + CASE WHEN repost_rate >= 0.5 THEN -8 WHEN repost_rate <= 0.2 THEN 5 ELSE 0 END + CASE WHEN cross_source <= 0.1 THEN 3 ELSE 0 END + CASE WHEN template_ratio >= 0.6 THEN -8 ELSE 0 END + CASE WHEN per_month <= 2 THEN 5 ELSE 0 END
-  + CASE WHEN reuse >= 2 AND repost_rate < 0.4 AND objects <= 2 THEN 5 ELSE 0 END + least(20, 4 * owner_hits) - least(15, 3 * agent_hits) + CASE WHEN negotiation_hits > 0 THEN 3 ELSE 0 END + CASE WHEN active <= 2 THEN 5 ELSE 0 END, 0), 100) AS owner_score,
+  + CASE WHEN reuse >= 2 AND repost_rate < 0.4 AND objects <= 2 THEN 5 ELSE 0 END + least(20, 4 * owner_hits) - least(15, 3 * agent_hits) + CASE WHEN negotiation_hits > 0 THEN 3 ELSE 0 END + CASE WHEN orgs = 1 AND listings <= 3 THEN 5 ELSE 0 END + CASE WHEN g_objects <= 1 AND g_spread <= 0.3 THEN 12 ELSE 0 END
+  + CASE WHEN g_one >= 0.6 THEN 8 ELSE 0 END + CASE WHEN owner_share >= 0.5 THEN 8 ELSE 0 END - CASE WHEN platform_share >= 0.6 THEN 20 ELSE 0 END + CASE WHEN active <= 2 THEN 5 ELSE 0 END, 0), 100) AS owner_score,
   least(greatest(50 + CASE WHEN listings >= 10 THEN 25 WHEN listings >= 6 THEN 12 ELSE 0 END + CASE WHEN addresses > 2 THEN 10 ELSE 0 END + CASE WHEN objects >= 8 THEN 10 ELSE 0 END + CASE WHEN region_share <= 0.4 THEN 8 ELSE 0 END + CASE WHEN sources >= 3 THEN 12 ELSE 0 END + CASE WHEN repost_rate >= 0.5 THEN 10 ELSE 0 END
-  + CASE WHEN cross_source >= 0.3 THEN 8 ELSE 0 END + CASE WHEN template_ratio >= 0.6 THEN 10 ELSE 0 END + CASE WHEN per_month >= 12 THEN 10 ELSE 0 END + CASE WHEN reuse >= 2 AND repost_rate < 0.4 AND objects <= 2 THEN 0 WHEN reuse <= 1.2 AND listings >= 6 THEN 5 ELSE 0 END + least(20, 4 * agent_hits), 0), 100) AS agent_score FROM b),
-cl AS (SELECT *, CASE WHEN owner_score >= agent_score AND owner_score >= 60 THEN 'owner' WHEN agent_score >= 60 THEN 'agent' ELSE 'unknown' END AS contact_class,
-  least(greatest((greatest(owner_score, agent_score) - least(owner_score, agent_score)) / 100 + 0.2, 0.1), 1) AS confidence,
+  + CASE WHEN cross_source >= 0.3 THEN 8 ELSE 0 END + CASE WHEN template_ratio >= 0.6 THEN 10 ELSE 0 END + CASE WHEN per_month >= 12 THEN 10 ELSE 0 END + CASE WHEN reuse >= 2 AND repost_rate < 0.4 AND objects <= 2 THEN 0 WHEN reuse <= 1.2 AND listings >= 6 THEN 5 ELSE 0 END + least(20, 4 * agent_hits) + CASE WHEN orgs >= 3 AND listings >= 5 THEN 5 ELSE 0 END
+  + CASE WHEN g_hub >= 60 THEN 10 ELSE 0 END + CASE WHEN g_cross >= 0.4 THEN 8 ELSE 0 END + CASE WHEN g_density >= 3 THEN 6 ELSE 0 END + CASE WHEN agent_share >= 0.5 THEN 8 ELSE 0 END - CASE WHEN platform_share >= 0.6 THEN 10 ELSE 0 END, 0), 100) AS agent_score, CASE WHEN platform_share >= 0.6 THEN 80 ELSE 0 END AS platform_score FROM b),
+cl AS (SELECT *, CASE WHEN platform_score >= 70 THEN 'platform_contact' WHEN owner_score >= agent_score AND owner_score >= 60 THEN 'owner_candidate' WHEN agent_score >= 60 THEN 'agent_candidate' ELSE 'unknown' END AS contact_class,
+  least(greatest((list_sort([owner_score, agent_score, platform_score])[3] - list_sort([owner_score, agent_score, platform_score])[2]) / 100 + 0.2, 0.1), 1) AS confidence,
   owner_score * 0.6 + CASE WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(last_seen) <= 86400 THEN 20 WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(last_seen) <= 259200 THEN 10 ELSE 0 END + CASE WHEN objects <= 1 THEN 10 WHEN objects <= 2 THEN 5 ELSE 0 END
   + CASE WHEN urgency_hits / listings >= 0.3 THEN 10 WHEN urgency_hits / listings >= 0.15 THEN 5 ELSE 0 END + CASE WHEN under_share >= 0.2 THEN 5 ELSE 0 END + CASE WHEN repost_rate >= 0.5 THEN -5 ELSE 0 END AS priority FROM os)"""
 
 
-def _identities(spark, sf_dir):
-    seg = market.segments(listings(spark, sf_dir), RULES).select("id", "region", "price_m2", "description")
-    return identity.priorities(identity.scores(identity.behaviour(_keyed(spark, sf_dir).join(seg, "id"), IDENTITY_PACKS)), AS_OF)
+def _identities(spark, sf_dir, keyed=None):
+    keyed = _keyed(spark, sf_dir) if keyed is None else keyed
+    scored = identity.scores(identity.behaviour(keyed, IDENTITY_PACKS, FORMS), graph.contact_features(keyed))
+    return cut(identity.explained(identity.priorities(scored, AS_OF)), "identities")
 
 
 _BUCKET = "CASE WHEN priority >= 80 THEN 'hot' WHEN priority >= 65 THEN 'high' WHEN priority >= 45 THEN 'medium' ELSE 'low' END"
 
 
-@query(f"""WITH {BEHAVIOUR} SELECT agency_id, contact_key, listings, objects, addresses, main_region, round(repost_rate, 6) AS repost_rate, round(per_month, 6) AS per_month, round(under_share, 6) AS under_share,
-CAST(owner_score AS DOUBLE) AS owner_score, CAST(agent_score AS DOUBLE) AS agent_score, contact_class, round(CAST(confidence AS DOUBLE), 6) AS confidence, round(CAST(priority AS DOUBLE), 6) AS priority, {_BUCKET} AS priority_bucket FROM cl""")
+@query(f"""WITH {BEHAVIOUR} SELECT agency_id, contact_key, listings, active, objects, addresses, sources, orgs AS organisations, organizations, main_region, round(repost_rate, 6) AS repost_rate, round(template_ratio, 6) AS template_ratio, round(region_share, 6) AS region_share, round(per_month, 6) AS per_month, round(under_share, 6) AS under_share,
+round(owner_share, 6) AS owner_share, round(agent_share, 6) AS agent_share, round(platform_share, 6) AS platform_share, CAST(owner_score AS DOUBLE) AS owner_score, CAST(agent_score AS DOUBLE) AS agent_score, CAST(platform_score AS DOUBLE) AS platform_score, contact_class, round(CAST(confidence AS DOUBLE), 6) AS confidence, round(CAST(priority AS DOUBLE), 6) AS priority, {_BUCKET} AS priority_bucket FROM cl""")
 def owner_scores(spark, sf_dir):
-    return _identities(spark, sf_dir).select("agency_id", "contact_key", "listings", "objects", "addresses", "main_region", *map(r6, ("repost_rate", "per_month", "under_share")), "owner_score", "agent_score", "contact_class", r6("confidence"), r6("priority"), "priority_bucket")
+    return _identities(spark, sf_dir).select("agency_id", "contact_key", "listings", "active", "objects", "addresses", "sources", "organisations", F.array_join(F.coalesce("organizations", F.array().cast("array<string>")), ",").alias("organizations"), "main_region", *map(r6, ("repost_rate", "template_ratio", "region_share", "per_month", "under_share", "owner_share", "agent_share", "platform_share")), "owner_score", "agent_score", "platform_score", "contact_class", r6("confidence"), r6("priority"), "priority_bucket")
+
+
+@query(f"""WITH {BEHAVIOUR} SELECT agency_id, contact_key, CAST(span_days AS BIGINT) AS span_days, round_even(per_month, 2) AS per_month, owner_hits, urgency_hits, most_object, round_even(listings * sources * (1 - region_share), 2) AS hub_score, round_even(CAST(priority AS DOUBLE), 2) AS priority_score FROM cl""")
+def owner_explanations(spark, sf_dir):
+    e = F.col("explanation")
+    return _identities(spark, sf_dir).select("agency_id", "contact_key", e["behaviour"]["span_days"].alias("span_days"), e["behaviour"]["per_month"].alias("per_month"), e["text_signals"]["owner_hits"].alias("owner_hits"), e["text_signals"]["urgency_hits"].alias("urgency_hits"), e["graph"]["max_object_cluster"].alias("most_object"), e["graph"]["hub_score"].alias("hub_score"), e["priority_score"].alias("priority_score"))
+
+
+@query(f"WITH {BEHAVIOUR} SELECT keyed.agency_id, keyed.contact_key, keyed.id, round_even(CAST(owner_score AS DOUBLE), 2) AS owner_intel_score, round_even(CAST(priority AS DOUBLE), 2) AS owner_intel_priority_score, contact_class AS owner_intel_class, {_BUCKET} AS owner_intel_priority FROM keyed JOIN cl USING (agency_id, contact_key)")
+def identity_links(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    return identity.links(keyed, _identities(spark, sf_dir, keyed)).drop("owner_intel_confidence", "owner_intel_summary")
 
 
 @query(f"WITH {BEHAVIOUR} SELECT agency_id, contact_key, contact_class, round(CAST(priority AS DOUBLE), 6) AS priority FROM cl ORDER BY round(CAST(priority AS DOUBLE), 6) DESC, contact_key, agency_id LIMIT 100")
@@ -276,69 +333,126 @@ def identity_ranking(spark, sf_dir):
     return _identities(spark, sf_dir).select("agency_id", "contact_key", "contact_class", r6("priority")).orderBy(F.desc("priority"), "contact_key", "agency_id").limit(100)
 
 
-LEADS = f"""{BEHAVIOUR}, {SCORED.removeprefix(DECIDED + ', ' + SEG + ', ')},
-ready AS (SELECT keyed.id, keyed.agency_id, keyed.status, sc.score, sc.below_market, cl.owner_score, keyed.contact_key, keyed.source_channel, keyed.price_rub FROM keyed JOIN sc USING (id) LEFT JOIN cl ON cl.agency_id = keyed.agency_id AND cl.contact_key = keyed.contact_key
-  WHERE keyed.contact_key IS NOT NULL AND length(trim(keyed.title)) >= 3 AND (coalesce(keyed.address, '') <> '' OR coalesce(keyed.city, '') <> '') AND keyed.status <> 'duplicate' AND (sc.score >= 70 OR cl.owner_score >= 70 OR sc.below_market))"""
+@query(f"WITH {BEHAVIOUR} SELECT agency_id, contact_key, CAST(owner_score AS DOUBLE) AS owner_score FROM cl WHERE contact_class = 'owner_candidate' AND owner_score >= 60 AND repost_rate <= 0.2 AND last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL '365' DAY")
+def identity_filters(spark, sf_dir):
+    return identity.filtered(_identities(spark, sf_dir), least_score=60, low_competition=True, new_days=365, as_of=F.lit(AS_OF).cast("timestamp")).select("agency_id", "contact_key", "owner_score")
 
 
-def _leads(spark, sf_dir):
-    people = _identities(spark, sf_dir).select("agency_id", "contact_key", "owner_score", "contact_class")
-    rows = _keyed(spark, sf_dir).select("id", "agency_id", "contact_key", "source_key").join(_scored(spark, sf_dir).select("id", "status", "score", "below_market"), "id").join(people, ["agency_id", "contact_key"], "left")
-    lv = listings(spark, sf_dir).select("id", "title", "address", "city", "price_rub")
-    rows = rows.join(lv, "id")
-    passed = F.size(publish.gate(F.col("title"), F.col("address"), F.col("city"), F.col("contact_class"))) == 0
-    return publish.auto_leads(rows.withColumn("stage", F.when(passed, publish.advance(F.lit("scored"), F.lit("published"))).otherwise("rejected")))
+@query(f"WITH {BEHAVIOUR} SELECT agency_id, contact_key, CASE WHEN contact_class = 'owner_candidate' THEN 'published_to_owners' ELSE 'owner_scored' END AS lifecycle_status, CASE WHEN contact_class = 'owner_candidate' THEN coalesce(CASE WHEN listings % 2 = 0 THEN epoch(first_seen) END, epoch(TIMESTAMP '{AS_OF}')) END::BIGINT AS published_at FROM cl")
+def published_owners(spark, sf_dir):
+    owner = F.col("contact_class") == "owner_candidate"
+    people = _identities(spark, sf_dir).select("agency_id", "contact_key", "contact_class", F.when(owner & (F.col("listings") % 2 == 0), F.col("first_seen").cast("timestamp")).alias("published_at"), F.lit(None).cast("string").alias("lifecycle_status"))
+    return publish.publish_owners(people, F.lit(AS_OF).cast("timestamp")).select("agency_id", "contact_key", "lifecycle_status", F.col("published_at").cast("long").alias("published_at"))
 
 
-@query(f"WITH {LEADS} SELECT id, agency_id, contact_key, round(CAST(score AS DOUBLE), 6) AS score, coalesce(price_rub, 0) AS value FROM ready")
+LEADS = f"""{BEHAVIOUR}, {SCORED.removeprefix(DECIDED + ', ')},
+ready AS (SELECT keyed.*, sc.score, sc.below_market, cl.owner_score FROM keyed JOIN sc USING (id) LEFT JOIN cl ON cl.agency_id = keyed.agency_id AND cl.contact_key = keyed.contact_key
+  WHERE keyed.said_class NOT IN ('platform_contact', 'support_contact') AND (coalesce(contact_phone, '') <> '' OR coalesce(contact_email, '') <> '') AND length(trim(keyed.title)) >= 3 AND (coalesce(keyed.address, '') <> '' OR coalesce(keyed.city, '') <> '') AND keyed.status = 'new'
+  AND (sc.score >= 70 OR cl.owner_score >= 70 OR sc.below_market) AND keyed.id % 7 <> 0)"""
+
+
+def _leads(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    keyed = _keyed(spark, sf_dir, rows)
+    people = _identities(spark, sf_dir, keyed).select("agency_id", "contact_key", "owner_score")
+    seg = market.segments(rows.withColumn("status", F.when(F.size(publish.gate(F.col("title"), F.col("address"), F.col("city"), F.lit(None).cast("string"))) > 0, "rejected")), RULES)
+    scored = scoring.lead_scores(market.deviations(seg, market.benchmarks(seg, AS_OF)).drop("status").join(keyed.select("id", "status"), "id"), AS_OF, PACKS).select("id", "score", "below_market")
+    made = keyed.select("id", "contact_key", "status").join(rows.withColumn("stage", F.lit(None).cast("string")), "id")
+    ready = publish.published(made).join(scored, "id").join(people, ["agency_id", "contact_key"], "left")
+    known = rows.where("id % 7 = 0").select("id")
+    return publish.auto_leads(ready, known)
+
+
+@query(f"WITH {LEADS} SELECT id, agency_id, contact_key, round(CAST(score AS DOUBLE), 6) AS score FROM ready")
 def auto_leads(spark, sf_dir):
-    return _leads(spark, sf_dir).select("id", "agency_id", "contact_key", r6("score"), publish.lead_value(F.lit(None), F.col("price_rub")).alias("value"))
+    return _leads(spark, sf_dir).select("id", "agency_id", "contact_key", r6("score"))
 
 
 @query(f"WITH {LEADS}, called AS (SELECT DISTINCT 'phone:+7900' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS contact_key FROM events) SELECT source_channel AS source_key, count(*) AS tasks FROM ready WHERE contact_key LIKE 'phone:%' AND contact_key NOT IN (SELECT contact_key FROM called) GROUP BY 1")
 def call_tasks(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select(F.concat(F.lit("phone:+7900"), F.lpad(F.col("user_id").cast("string"), 7, "0")).alias("contact_key"))
-    return publish.call_tasks(_leads(spark, sf_dir), calls).groupBy("source_key").agg(F.count(F.lit(1)).alias("tasks"))
+    return publish.call_tasks(_leads(spark, sf_dir), calls).groupBy(F.col("source_channel").alias("source_key")).agg(F.count(F.lit(1)).alias("tasks"))
 
 
-@query(f"""WITH {LV} SELECT agency_id, source_channel, source_external_id, min(id) AS id, min_by(coalesce(address, title), id) AS address, min_by(coalesce(city, ''), id) AS city FROM lv WHERE source_external_id IS NOT NULL GROUP BY 1, 2, 3""")
-def new_properties(spark, sf_dir):
-    return publish.new_properties(listings(spark, sf_dir)).drop("region_code")
+@query(f"WITH {KEYED} SELECT id, CASE WHEN reasons = '' THEN 'published' ELSE 'rejected' END AS stage, CASE WHEN reasons = '' THEN status ELSE 'rejected' END AS status, reasons FROM (SELECT id, status, concat_ws(',', CASE WHEN length(trim(title)) < 3 THEN 'missing_title' END, CASE WHEN coalesce(address, '') = '' AND coalesce(city, '') = '' THEN 'missing_location' END, CASE WHEN said_class IN ('platform_contact', 'support_contact') THEN 'invalid_contact' END) AS reasons FROM keyed)")
+def published_listings(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    decided = dedup.decisions(rows).select("id", "status")
+    return publish.published(rows.withColumn("stage", F.lit("raw")).join(decided, "id")).select("id", "stage", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
-_PT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
-_DOM = r"regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)', 1)), '^www\.', '')"
-PSC = rf"""pt AS (SELECT page_id, url, html, {_PT} AS txt, len(regexp_extract_all(html, '{CARD}')) AS cards FROM pages),
-ps AS (SELECT page_id, url, {_DOM} AS domain, CAST(least(100, 20 * ({' + '.join(f"CAST(contains(lower(txt), '{h}') AS INT)" for h in PAGE_HINTS)})) AS INT) AS relevance, CAST(least(100, 10 * cards) AS INT) AS density,
-  CAST(least(100, 20 * (len(regexp_extract_all(txt, '{X.PHONE}')) + len(regexp_extract_all(txt, '{X.EMAIL}')))) AS INT) AS richness, CAST(least(100, 10 * len(regexp_extract_all(txt, '[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}'))) AS INT) AS updates,
-  CASE WHEN contains(html, 'application/ld+json') THEN 0.85 WHEN cards >= 6 THEN 0.7 ELSE 0.0 END AS template FROM pt)"""
+@query(f"WITH {LV} SELECT CAST(id AS VARCHAR) AS source_record_id, agency_id, title, CASE source_channel WHEN 'repost' THEN 'Telegram' ELSE 'Не выбрано' END AS lead_source, 'new_lead' AS status, 'active' AS lead_state, 'converted_to_lead' AS listing_status FROM lv")
+def listing_leads(spark, sf_dir):
+    rows = listings(spark, sf_dir).withColumn("source_channel", F.when(F.col("source_channel") == "repost", "telegram").otherwise(F.col("source_channel")))
+    return publish.to_leads(rows).select("source_record_id", "agency_id", "title", "lead_source", "status", "lead_state", "listing_status")
+
 
+@query(f"WITH {LV} SELECT CAST(id AS VARCHAR) AS source_record_id, agency_id, title, 'promoted_to_deal' AS lead_state, 'new' AS status, coalesce(nullif(CASE WHEN id % 3 = 0 THEN area_sqm END, 0), price_rub) AS value_rub, 'converted_to_deal' AS listing_status FROM lv")
+def listing_deals(spark, sf_dir):
+    return publish.to_deals(listings(spark, sf_dir), value=F.when(F.col("id") % 3 == 0, F.col("area_sqm")))
 
-@query(f"WITH {PSC} SELECT page_id, domain, relevance, density, richness, updates, CAST(template AS DOUBLE) AS template, CASE WHEN relevance >= 80 THEN 'high' WHEN relevance >= 65 THEN 'medium' WHEN relevance >= 50 THEN 'low' ELSE 'none' END AS priority, CASE WHEN relevance < 20 THEN 'reject' WHEN template >= 0.55 AND relevance >= 60 THEN 'activate' WHEN relevance >= 80 AND density >= 30 THEN 'activate' ELSE 'review' END AS decision FROM ps")
+
+@query(f"""WITH {LV} SELECT agency_id, source_channel, source_external_id, min(id) AS id, min_by(coalesce(address, 'Без адреса'), id) AS address, min_by(coalesce(city, 'Не указан'), id) AS city, min_by(coalesce(region_code, 'RU-UDM'), id) AS region_code FROM lv WHERE source_external_id IS NOT NULL GROUP BY 1, 2, 3""")
+def new_properties(spark, sf_dir):
+    return publish.new_properties(listings(spark, sf_dir))
+
+
+_PT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'))"
+_DOM = r"regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)', 1)), '^www\.', '')"
+# The test pages hold links without dots, from the root, from the page's folder or with a host.
+LK = rf"""hr AS (SELECT page_id, url, unnest(list_slice(list_filter(list_zip(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1), regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2))[:400], lambda h: NOT regexp_matches(trim(h[1]), '^(?:#|mailto:|tel:|$)')), 1, 400)) AS a FROM pages),
+l0 AS (SELECT page_id, url, row_number() OVER () AS seq, trim(a[1]) AS href, trim(regexp_replace(regexp_replace(a[2], '(?s)<[^>]*>', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS anchor FROM hr),
+l1 AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z]+:)//', 1) || href WHEN href LIKE '?%' THEN regexp_extract(url, '^[A-Za-z]+://[^?#]*', 0) || href
+  WHEN href LIKE '/%' THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]+', 0) || href ELSE regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^?#]*', 0), '[^/]*$', '') || href END AS link FROM l0),
+lk AS (SELECT page_id, link, anchor, regexp_replace(lower(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)', 1)), '^www\.', '') AS link_domain, {_DOM} AS page_domain, CASE WHEN {_any('lower(link)', LINK_HINTS)} THEN 'listing' ELSE 'outbound' END AS kind FROM l1)"""
+PSC = rf"""{LK}, pt AS (SELECT page_id, url, html, left({_PT}, 15000) AS txt, len(regexp_extract_all(html, '{CARD}')) AS cards FROM pages),
+li AS (SELECT page_id, count(*) AS listed FROM lk WHERE kind = 'listing' GROUP BY 1),
+p0 AS (SELECT *, {_DOM} AS domain, {' + '.join(f"CAST(contains(lower(txt), '{h}') AS INT)" for h in PAGE_HINTS)} AS hits, coalesce(listed, 0) AS links FROM pt LEFT JOIN li USING (page_id)),
+ps AS (SELECT page_id, url, domain, CAST(least(100, 10 * hits + 2 * links) AS INT) AS relevance, CAST(least(100, 4 * links) AS INT) AS density, CAST(least(100, 40 * (len(regexp_extract_all(txt, '{X.PHONE}')) + len(regexp_extract_all(txt, '{X.EMAIL}')))) AS INT) AS richness,
+  CAST(least(100, 20 * len(regexp_extract_all(txt, '{discovery.DATE}'))) AS INT) AS updates, CASE WHEN contains(lower(html), 'application/ld+json') AND (contains(lower(html), 'offer') OR contains(lower(html), 'realestate')) THEN 0.85 WHEN cards >= 6 THEN 0.7 ELSE 0.0 END AS template,
+  CASE WHEN contains(domain, 't.me') THEN 'telegram' {' '.join(f"WHEN {_any('lower(txt)', w)} THEN '{k}'" for k, w in KINDS)} ELSE 'unknown' END AS kind FROM p0)"""
+_PRIO = "CASE WHEN relevance >= 80 THEN 'urgent' WHEN relevance >= 65 THEN 'high' WHEN relevance >= 50 THEN 'medium' ELSE 'low' END"
+
+
+def _scores(spark, sf_dir):
+    return cut(discovery.page_scores(table(spark, sf_dir, "pages"), PAGE_HINTS, LINK_HINTS, CARD, KINDS), "page-scores")
+
+
+@query(f"""WITH {PSC} SELECT page_id, domain, kind, relevance, density, richness, updates, CAST(template AS DOUBLE) AS template, {_PRIO} AS priority,
+CASE WHEN relevance < 40 OR density < 10 THEN 'reject' WHEN relevance >= 70 AND density >= 25 AND template >= 0.7 THEN 'activate' WHEN relevance >= 55 AND density >= 20 AND richness >= 20 AND template >= 0.6 THEN 'activate' ELSE 'review' END AS decision FROM ps""")
 def page_scores(spark, sf_dir):
-    s = discovery.page_scores(table(spark, sf_dir, "pages"), PAGE_HINTS, CARD)
-    return s.select("page_id", "domain", "relevance", "density", "richness", "updates", "template", discovery.priority(F.col("relevance")).alias("priority"), discovery.activation(F.col("relevance"), F.col("template"), F.col("density")).alias("decision"))
+    c = F.col
+    return _scores(spark, sf_dir).select("page_id", "domain", "kind", "relevance", "density", "richness", "updates", "template", discovery.priority(c("relevance")).alias("priority"), discovery.activation(c("relevance"), c("template"), c("density"), c("richness")).alias("decision"))
 
 
-@query(f"WITH {PSC} SELECT domain, max(relevance) AS relevance, max(density) AS density, max(richness) AS richness, max(updates) AS updates, CAST(max(template) AS DOUBLE) AS template, min(page_id) AS first_page, max(page_id) AS last_page, count(*) AS pages FROM ps GROUP BY 1")
+@query(f"WITH {PSC}, d AS (SELECT domain, max(relevance) AS relevance, max(density) AS density, max(richness) AS richness, max(updates) AS updates, CAST(max(template) AS DOUBLE) AS template, max_by(kind, page_id) AS kind, min(page_id) AS first_page, max(page_id) AS last_page, count(*) AS pages FROM ps GROUP BY 1) SELECT *, {_PRIO} AS priority FROM d")
 def source_domains(spark, sf_dir):
-    return discovery.domains(discovery.page_scores(table(spark, sf_dir, "pages"), PAGE_HINTS, CARD))
+    return discovery.domains(_scores(spark, sf_dir))
+
 
+_HOSTS = (("thth", "avito"), ("example.net", "yandex"))
 
-LK = rf"""hr AS (SELECT page_id, url, unnest(list_slice(list_filter(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1), lambda h: NOT (h LIKE '#%' OR h LIKE 'mailto:%' OR h LIKE 'tel:%' OR h = '')), 1, 120)) AS href FROM pages),
-l1 AS (SELECT page_id, url, regexp_replace(trim(CASE WHEN regexp_matches(href, '^[A-Za-z]+://') THEN href WHEN href LIKE '/%' THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]+', 0) || href ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]+', 0) || '/' || href END), '[).,\]]+$', '') AS link FROM hr),
-lk AS (SELECT page_id, link, regexp_replace(lower(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)', 1)), '^www\.', '') AS link_domain, {_DOM} AS page_domain, CASE WHEN {_any('lower(link)', LINK_HINTS)} THEN 'listing' ELSE 'outbound' END AS kind FROM l1)"""
 
+@query(f"WITH {PSC} SELECT page_id, CASE {' '.join(f"WHEN contains(domain, '{h}') THEN '{c}'" for h, c in _HOSTS)} WHEN kind = 'auction' THEN 'bankrupt' ELSE 'web' END AS channel FROM ps")
+def source_channels(spark, sf_dir):
+    return _scores(spark, sf_dir).select("page_id", discovery.channel(F.col("domain"), F.col("kind"), _HOSTS).alias("channel"))
 
-@query(f"WITH {LK} SELECT page_id, link, link_domain, link_domain = page_domain AS internal, kind FROM lk")
+
+@query(f"WITH {LK}, x AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS k FROM l1) SELECT page_id, link, left(anchor, 255) AS anchor, link_domain, link_domain = page_domain AS internal, kind FROM (SELECT k, page_id, link, anchor, regexp_replace(lower(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)', 1)), '^www\\.', '') AS link_domain, {_DOM} AS page_domain, CASE WHEN {_any('lower(link)', LINK_HINTS)} THEN 'listing' ELSE 'outbound' END AS kind FROM x) WHERE k <= 120")
 def page_links(spark, sf_dir):
     return discovery.link_table(table(spark, sf_dir, "pages"), LINK_HINTS)
 
 
-@query(f"WITH {PSC}, {LK} SELECT link, max(CAST(floor(relevance * 0.6) AS INT)) AS priority, count(*) AS seen FROM lk JOIN ps USING (page_id) GROUP BY 1")
+@query(f"WITH {PSC} SELECT link, max(CAST(floor(relevance * 0.6) AS INT)) AS priority, count(*) AS seen FROM lk JOIN ps USING (page_id) GROUP BY 1")
 def link_frontier(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return discovery.frontier(discovery.link_table(pages, LINK_HINTS), discovery.page_scores(pages, PAGE_HINTS, CARD), include_internal=True)
+    return discovery.frontier(discovery.link_table(table(spark, sf_dir, "pages"), LINK_HINTS, cap=400), _scores(spark, sf_dir), include_internal=True)
+
+
+@query(f"""WITH {LK} SELECT page_id, link, CASE WHEN page_id % 2 = 0 THEN {_any("lower(link || ' ' || anchor)", ('der', 'que'))} ELSE contains(link_domain, 'example') AND regexp_matches(lower(regexp_extract(link, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)), '/(?:de|the)') END AS is_listing FROM lk""")
+def listing_links(spark, sf_dir):
+    links = discovery.link_table(table(spark, sf_dir, "pages"), LINK_HINTS, cap=400)
+    kind = F.when(F.col("page_id") % 2 == 0, "bankrupt").otherwise("cian")
+    return links.select("page_id", "link", discovery.is_listing_link(kind, F.col("link"), {"cian": ("example", "/(?:de|the)")}, ("der", "que"), F.col("anchor")).alias("is_listing"))
 
 
 @query("""SELECT user_id, max_by(event_type, struct_pack(ts := ts, e := event_id)) AS event_type, max_by(value, struct_pack(ts := ts, e := event_id)) AS value, min_by(event_id, struct_pack(ts := ts, e := event_id)) AS first_event, count(*) AS n FROM events GROUP BY 1""")
@@ -357,9 +471,9 @@ def field_changes(spark, sf_dir):
 
 
 @query("""WITH x AS (SELECT *, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), y AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, failed ORDER BY k) AS island FROM x),
-z AS (SELECT *, row_number() OVER (PARTITION BY user_id, failed, island ORDER BY k) AS run FROM y)
-SELECT event_id, user_id, CAST(run AS INT) AS run, CASE WHEN failed AND run >= 3 THEN 'paused' WHEN NOT failed AND run >= 2 THEN 'active' ELSE 'watch' END AS state,
-CAST(greatest(15, 30 * pow(2, least(CASE WHEN failed THEN run ELSE 0 END, 4))) AS INT) AS next_due FROM z""")
+z AS (SELECT *, row_number() OVER (PARTITION BY user_id, failed, island ORDER BY k) AS run FROM y),
+s AS (SELECT *, coalesce(last_value(CASE WHEN failed AND run >= 3 THEN 'paused' WHEN NOT failed AND run >= 2 THEN 'active' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING), 'active') AS state FROM z)
+SELECT event_id, user_id, CAST(run AS INT) AS run, state, CAST(greatest(15, 30 * pow(2, least(CASE WHEN failed THEN run ELSE 0 END, 4))) AS INT) AS next_due FROM s""")
 def source_states(spark, sf_dir):
     s = discovery.streaks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
     return s.select("event_id", "user_id", F.col("run").cast("int").alias("run"), "state", discovery.next_due_minutes(F.lit(30), F.when(F.col("failed"), F.col("run")).otherwise(0)).alias("next_due"))
@@ -386,12 +500,11 @@ def event_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.try_cast("int").alias("k"), N.clamp_int(k, 50, 10, 80).alias("clamped"))
 
 
-@query(r"""WITH w AS (SELECT conv_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM conversations), c AS (SELECT conv_id, word, count(*) AS n FROM w WHERE length(word) >= 5 GROUP BY 1, 2)
-SELECT conv_id, word, n, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, word) AS INT) AS rank FROM c QUALIFY rank <= 10""")
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(list_transform(regexp_split_to_array(text, '[\s\p{Z}\x1c-\x1f\x85\x0b]+'), lambda x: lower(regexp_replace(x, '^[.,:;!?()\[\]{}"'']+|[.,:;!?()\[\]{}"'']+$', '', 'g')))) AS word, generate_subscripts(regexp_split_to_array(text, '[\s\p{Z}\x1c-\x1f\x85\x0b]+'), 1) AS pos FROM conversations),
+c AS (SELECT conv_id, word, count(*) AS n, min((turn, pos)) AS f FROM w WHERE length(word) >= 5 GROUP BY 1, 2)
+SELECT conv_id, word, n, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) AS INT) AS rank FROM c QUALIFY rank <= 10""")
 def transcript_keywords(spark, sf_dir):
-    words = table(spark, sf_dir, "conversations").select("conv_id", F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "").alias("words"))
-    words = words.withColumn("words", F.filter("words", lambda w: F.length(w) >= 5))
-    return identity.top_values(words, ["conv_id"], "words", 10).select("conv_id", F.col("value").alias("word"), F.col("count").alias("n"), F.col("rank").cast("int").alias("rank"))
+    return events.top_keywords(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 @query(f"""SELECT conv_id, turn, role, CASE WHEN length(t) > 260 THEN left(t, 257) || '...' ELSE t END AS summary FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) WHERE NOT {_any('lower(text)', ('license',))} AND {_any('lower(text)', ('the', 'que', 'der'))} AND text <> ''""")
