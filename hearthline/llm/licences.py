@@ -9,8 +9,8 @@ of that text. The lookup table is a parameter (license, digest of a whole unit);
 Defined cases: null and empty texts have no unit and match nothing (text_license null, n_license_lines 0); a text that
 is only a copyright line has an empty canonical form and matches nothing, nor does an empty known text; blocks of several
 lines count with all their lines that are not blank; texts with a holder's own name inside a clause are not known; repeated rows are returned once each with
-equal values (rows are told apart by doc_id; ids that repeat share one result per id and text digest); extra columns
-are ignored; an empty table gives an empty result.
+equal values; rows are told apart by a hash of id and text, so a null id and an id with several texts lose nothing; very long
+texts are scanned whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -133,26 +133,26 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     # An entire text without paragraphs is its own block.
     entire = unit(0, text, F.lit(0), F.when(text.rlike(BREAK), F.lit(1)).otherwise(lines_of(text)))
     units = rows.select(
-        "doc_id", F.xxhash64("text").alias("row_key"),
-        F.explode(F.concat(F.array(entire), F.transform(F.split(text, "\n", -1), lambda x: unit(1, x)), paragraphs)).alias("u"),
+        F.xxhash64("doc_id", "text").alias("row_key"),
+        F.explode(F.concat(F.array(entire), F.transform(F.split(text, "\n", -1), lambda x, at: unit(1, x, at)), paragraphs)).alias("u"),
     )
     block = (F.col("kind") != 1) & (F.col("lines") > 1)
     found = (
-        units.select("doc_id", "row_key", "u.kind", "u.at", "u.lines", F.sha2(canonical(F.col("u.body")), 256).alias("digest"))
+        units.select("row_key", "u.kind", "u.at", "u.lines", F.sha2(canonical(F.col("u.body")), 256).alias("digest"))
         .join(F.broadcast(_known(docs.sparkSession, known)), "digest").where("m = 1 OR kind = 2")
-        .groupBy("doc_id", "row_key", "kind", "license", "variant", "m", (F.col("at") - F.col("k")).alias("start"))
-        .agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("k", "lines")).alias("parts")).where("size(parts) = m")
+        # A set for each place of a row: rows that repeat id and text find each place once.
+        .groupBy("row_key", "kind", "license", "variant", "m", (F.col("at") - F.col("k")).alias("start"))
+        .agg(F.collect_set(F.struct("k", "lines")).alias("parts")).where("size(parts) = m")
         .withColumn("lines", F.aggregate("parts", F.lit(0), lambda s, x: s + x["lines"]))
-        .groupBy("doc_id", "row_key", "kind", "license", F.when(F.col("kind") == 1, F.col("variant")).otherwise(F.col("start")).alias("place"))
-        .agg(F.max("n").alias("n"), F.max("lines").alias("lines"))
-        .groupBy("doc_id", "row_key")
+        .groupBy("row_key", "kind", "license", "start").agg(F.max("lines").alias("lines"))
+        .groupBy("row_key")
         .agg(
             F.min(F.when(F.col("kind") == 0, F.col("license"))).alias("text_license"),
             F.array_join(F.array_sort(F.collect_set(F.when((F.col("kind") == 1) | block, F.col("license")))), ",").alias("licenses"),
-            F.sum(F.when(F.col("kind") == 1, F.col("n")).when(block, F.col("lines")).otherwise(0)).alias("n_license_lines"),
+            F.sum(F.when((F.col("kind") == 1) | block, F.col("lines")).otherwise(0)).alias("n_license_lines"),
         )
     )
-    return rows.select("doc_id", F.xxhash64("text").alias("row_key")).join(found, ["doc_id", "row_key"], "left").select(
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key")).join(found, "row_key", "left").select(
         "doc_id", "text_license", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines")
     )
 
