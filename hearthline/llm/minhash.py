@@ -6,8 +6,9 @@ make the buckets; at 80 % similarity a pair shares none of the 40 buckets with p
 
 Shingles are compared by 64-bit hashes; equal shingle sets, by 128 bits of hash, are one node. Each bucket first links its members to its smallest node, verified on the full sets.
 Buckets that still hold several components are then compared across components: small ones pair by pair, larger ones in
-blocks of at most about 2 * BLOCK members within a task, so that no link of a bucket is lost and no task or row count
-grows with the square of a bucket. Labels travel by smallest neighbour and pointer jumping over written tables.
+blocks of at most about 2 * BLOCK members within a task, so that no link of a bucket is lost and no task grows with the
+bucket. What does grow with its square, divided by BLOCK, is the number of sets sent to tasks for members that share a
+bucket but no component; at 5 equal bins of 200 such members are few unless very many texts are half alike. Labels travel by smallest neighbour and pointer jumping over written tables.
 
 Defined cases: null and empty texts, or texts of white space, have n_shingles 0 and are linked with nothing; fewer words
 than a shingle make one shingle of the whole sequence; rows that share an id count as one document that is linked if any
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, whole_text
+from .common import cut, hot_keys, hot_least, join_hot, packed, whole_text
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
@@ -146,14 +147,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): smallest reachable node, by smallest neighbour and pointer jumping; each round is a written table."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
+    """(node, comp): smallest reachable node, by smallest neighbour and pointer jumping; each round is a written table.
+
+    A node with very many links, and the label of a very large component, are met by broadcast.
+    """
+    both = cut(edges.select("a", F.col("b").alias("node")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("node"))).distinct(), "links")
+    hubs = hot_keys(both.select("node"), "node")
+    labels = cut(both.groupBy("a").agg(F.least(F.min("node"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        step = cut(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")), "labels")
+        near = join_hot(both, labels, ["node"], hubs).groupBy("a").agg(F.min("comp").alias("near"))
+        step = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid")), "labels")
+        step = cut(join_hot(step, labels.select(F.col("node").alias("mid"), F.col("comp").alias("far")), ["mid"]).select("node", "old", F.least("mid", "far").alias("comp")), "labels")
         labels = step.select("node", "comp")
         if step.where("old <> comp").isEmpty():
             return labels
@@ -209,21 +213,25 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = whole_text(docs, id_col, text_col)
     sketches = cut(_sketches(rows, shingle), "sketches")
     # Equal shingle sets are one node, named by their smallest id; first() combines on the map side.
-    classes = cut(
-        sketches.where("doc_id IS NOT NULL AND h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes"
-    )
+    named = sketches.where("doc_id IS NOT NULL AND h1 IS NOT NULL")
+    classes = cut(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "classes")
     buckets = classes.select("node", F.explode("bands").alias("key"))
     heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.count(F.lit(1)).alias("m")).where("m > 1")
     found = cut(buckets.join(heads.where("head < tail").select("key", "head"), "key"), "near-buckets")
     sets = cut(_sets(rows, found.select("node").distinct(), shingle), "near-sets")
     star = found.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    # Ids that stand for several texts tie their classes together.
     links = cut(_verified(star, sets, percent), "near-links")
     more = cut(_across(found, components(links), sets, percent), "near-links")
-    member = sketches.select("doc_id", "n_shingles", "h1", "h2")
-    own = member.where("doc_id IS NOT NULL AND h1 IS NOT NULL").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(links.unionByName(more).unionByName(own))
-    return member.join(labels, member["doc_id"] == labels["node"], "left").select(
+    # Copies follow their class and stay out of the links; only ids that stand for several texts tie classes together.
+    large = classes.where(F.col("copies") > hot_least(named))
+    own = join_hot(named.select("doc_id", "h1", "h2"), classes.select("h1", "h2", "node"), ["h1", "h2"], large.select("h1", "h2"))
+    by_id = cut(own.groupBy("doc_id").agg(F.min("node").alias("node"), F.array_sort(F.collect_set("node")).alias("nodes")), "near-members")
+    ties = by_id.where("size(nodes) > 1").select(F.col("node").alias("a"), F.explode("nodes").alias("b")).where("a <> b")
+    labels = components(links.unionByName(more).unionByName(ties))
+    every = classes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    comps = join_hot(by_id.select("doc_id", "node"), every, ["node"], large.select("node").distinct()).select(F.col("doc_id").alias("__id"), "comp")
+    member = sketches.select("doc_id", "n_shingles")
+    return member.join(comps, member["doc_id"] == comps["__id"], "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept")
     )
 

@@ -240,6 +240,92 @@ def test_top_k_over_many_shards(spark, monkeypatch):
     test_top_k(spark)
 
 
+def test_top_k_asks_each_query_once(spark):
+    """A query id on two rows, equal and unequal ones, and candidates that repeat."""
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (200, [0.0, 2.0]), (200, [0.0, 1.0]), (None, [9.0, 9.0]), *((i, [i / 10, i / 20]) for i in range(1, 6))]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, k=4).collect()}
+    v = lambda x: [math.floor(1024 * float(np.float32(c))) for c in x]
+    want = {}
+    for q, mine in ((100, v([1.0, 0.0])), (200, v([0.0, 1.0]))):
+        best = sorted(((-sum(a * b for a, b in zip(mine, v(x))), i) for i, x in rows if i is not None and i != q))[:4]
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+
+
+def test_licences_of_repeated_rows(spark):
+    mit = "Some words\nReleased under the MIT License.\nmore\nReleased under the MIT License."
+    docs = spark.createDataFrame([(1, mit), (1, mit), (1, "other"), (None, mit), (None, None), (2, "word " * 200_000 + "\nLicensed under CC BY 4.0.")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["licenses"], r["n_license_lines"]) for r in licences.scan(docs).collect()), key=str)
+    assert got == sorted([(1, "MIT", 2), (1, "MIT", 2), (1, "", 0), (None, "MIT", 2), (None, "", 0), (2, "CC-BY-4.0", 1)], key=str)
+
+
+def test_near_components_of_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_SHARE", 10_000)
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (6, a), (7, b), (5, b), (8, c), (9, c), (10, c + " end"), (None, c), (11, ""), (8, None)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()), key=str)
+    want = [(5, 27, 5, True), (6, 27, 5, False), (7, 27, 5, False), (5, 27, 5, True), (8, 27, 8, True), (9, 27, 8, False), (10, 28, 8, False), (None, 27, None, False), (11, 0, 11, True), (8, 0, 8, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_plan_is_optimal_on_tiny_inputs():
+    """Against all ways to pack up to seven pieces, with a small capacity."""
+    def least(pieces, capacity):
+        best = len(pieces)
+
+        def place(k, loads):
+            nonlocal best
+            if len(loads) >= best:
+                return
+            if k == len(pieces):
+                best = len(loads)
+                return
+            for j in range(len(loads)):
+                if loads[j] + pieces[k] <= capacity:
+                    place(k + 1, [*loads[:j], loads[j] + pieces[k], *loads[j + 1 :]])
+            place(k + 1, [*loads, pieces[k]])
+
+        place(0, [])
+        return best
+
+    rng, over = random.Random(9), 0
+    for _ in range(150):
+        pieces_ = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 7))), reverse=True)
+        used = {first + (o - low) // per for _, low, high, first, per in packing.plan({s: pieces_.count(s) for s in pieces_}, 20) for o in range(low, high)}
+        over += len(used) - least(pieces_, 20)
+    assert over <= 5
+
+
+def test_viterbi_finds_the_best_reading():
+    """Against the score of every reading of short words."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    logp = np.log(rng.dirichlet(np.ones(28), size=(28, 28)))
+    code = lambda ch: int(toxicity._CODES[ord(ch)])
+    for word in ("a1b", "$o", "l0!l", "aab", "s.t", "t33", "1337", "b@@d"):
+        readings = {}
+        options = []
+        for ch in word:
+            moves = [(x, toxicity.COST_LOOK, "add") for x in toxicity.LOOKS.get(ch, "")] or ([(ch, 0.0, "add")] if ch.isalpha() else [])
+            moves += [(x, toxicity.COST_REPEAT, "same") for x, _, _ in moves] + ([("", toxicity.COST_DROP, "drop")] if not ch.isalpha() else [])
+            options.append(moves)
+        for path in itertools.product(*options):
+            out, score, a, b = "", 0.0, 0, 0
+            for x, cost, kind in path:
+                if kind == "same" and not (out and out[-1] == x):
+                    break
+                score += cost
+                if kind == "add":
+                    score, a, b, out = score + logp[a, b, code(x)], b, code(x), out + x
+            else:
+                total = score + logp[a, b, 0]
+                readings[out] = max(readings.get(out, -np.inf), total)
+        got = toxicity.restore(word, logp)
+        assert readings[got] >= max(readings.values()) - 1e-9, (word, got)
+
+
 def test_classifiers_learn(spark):
     rng = random.Random(4)
     clean = [f"w{rng.randrange(300)}x" for _ in range(300)]
