@@ -17,20 +17,30 @@ from hearthline.functions import normalize as N
 #: Places whose contacts belong to the listing's own block.
 OWN_BLOCK = ("seller_block", "listing_meta", "detail_block")
 EDGE = ("header", "footer")
+#: Arrays of contacts that come with their place.
+MARKED = "array<struct<type:string,value:string,location:string,context:string>>"
+# What a chosen contact is called.
+LABELS = {"owner_candidate": "Собственник", "agent_candidate": "Агент", "organization_contact": "Организация", "unknown_contact": "Контакт"}
 
 
-def candidates(rows: DataFrame, id_col: str, origins: list[tuple[str, Column]]) -> DataFrame:
+def candidates(rows: DataFrame, id_col: str, origins: list[tuple[str, Column]], marked: list[Column] = ()) -> DataFrame:
     """id_col, seq, type, value, normalized, location, context; the first origin that names a value wins.
 
-    origins: (location, text), the most trusted first. Phones come before e-mails within an origin.
+    marked: arrays of (type, value, location, context), as seeds, payloads and markup give them; they come first. origins:
+    (location, text), the most trusted first. Phones come before e-mails within a text.
     """
+    def given(place: int, found: Column) -> Column:
+        clean = lambda v: F.when(v["type"] == "phone", N.phone_keep(v["value"])).otherwise(N.email(v["value"]))
+        return F.transform(found, lambda v, i: F.struct(F.lit(place).alias("origin"), i.alias("at"), v["type"].alias("type"), F.trim(v["value"]).alias("value"), clean(v).alias("normalized"), v["location"].alias("location"), F.left(N.squeeze(v["context"]), F.lit(240)).alias("context")))
+
+
     def mentions(place: int, location: str, text: Column, kind: str, pattern: str, clean) -> Column:
         context = F.left(N.squeeze(text), F.lit(240))
         one = lambda v, i: F.struct(F.lit(place).alias("origin"), i.alias("at"), F.lit(kind).alias("type"), F.trim(v).alias("value"), clean(v).alias("normalized"), F.lit(location).alias("location"), context.alias("context"))
         return F.transform(X.all_matches(text, pattern), one)
 
     kinds = (("phone", X.PHONE, N.phone_keep), ("email", X.EMAIL, N.email))
-    parts = [mentions(2 * k + j, location, text, *kind) for k, (location, text) in enumerate(origins) for j, kind in enumerate(kinds)]
+    parts = [given(k - len(marked), F.coalesce(c, F.array().cast(MARKED))) for k, c in enumerate(marked)] + [mentions(2 * k + j, location, text, *kind) for k, (location, text) in enumerate(origins) for j, kind in enumerate(kinds)]
     found = rows.select(id_col, F.explode(F.concat(*parts)).alias("c")).select(id_col, "c.*").where("normalized <> ''")
     # The earliest mention of each value: an aggregate, combined before the shuffle.
     first = found.groupBy(id_col, "type", "normalized").agg(F.min_by(F.struct("origin", "at", "value", "location", "context"), F.struct("origin", "at")).alias("m"))
@@ -73,5 +83,6 @@ def bundles(rated: DataFrame, id_col: str) -> DataFrame:
     all_ = rated.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("candidates"))
     all_ = all_.withColumn("rejected", F.filter("candidates", lambda c: F.size(c["reasons"]) > 0))
     all_ = all_.withColumn("rejection_reasons", F.array_sort(F.array_distinct(F.flatten(F.transform("rejected", lambda c: c["reasons"])))))
-    chosen = best(rated, id_col).select(F.col(id_col).alias("__id"), F.struct("type", "normalized", "contact_class", "confidence").alias("selected"))
+    labels = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    chosen = best(rated, id_col).select(F.col(id_col).alias("__id"), F.struct("type", "normalized", "contact_class", "confidence", labels[F.col("contact_class")].alias("label")).alias("selected"))
     return all_.join(chosen, all_[id_col] == chosen["__id"], "left").drop("__id").withColumn("contact_confidence", F.col("selected.confidence"))

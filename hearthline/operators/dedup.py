@@ -58,6 +58,20 @@ def decisions(listings: DataFrame, strict_empty: bool = True) -> DataFrame:
     return rows.join(near, "id", "left").select("id", "agency_id", status.alias("status"), parent.alias("duplicate_of_id"), F.when(F.col("by_ext"), F.col("ext_own")).otherwise(F.col("own")).alias("fingerprint"))
 
 
+def related(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The stored rows that can bear on decisions about a batch: those of its fingerprints, addresses and external ids, and the rows that share an external id with one of these."""
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select("agency_id", F.explode(F.array(
+            F.concat(F.lit("f"), fingerprint(F.col("contact_phone"), F.col("contact_email"), F.col("address"), F.col("area_sqm"), F.col("price_rub"))),
+            F.concat(F.lit("a"), F.nullif(N.address(F.col("address")), F.lit(""))), F.concat(F.lit("e"), F.col("source_channel"), F.lit("\x1f"), F.nullif("source_external_id", F.lit(""))),
+        )).alias("key"), "id").where("key IS NOT NULL")
+
+    own = keys(stored)
+    hit = own.join(keys(batch).select("agency_id", "key").distinct(), ["agency_id", "key"], "left_semi").select("id").distinct()
+    shared = own.where(F.col("key").startswith("e")).join(own.join(hit, "id", "left_semi").select("agency_id", "key").distinct(), ["agency_id", "key"], "left_semi").select("id")
+    return stored.join(hit.unionByName(shared).unionByName(batch.select("id")).distinct(), "id", "left_semi")
+
+
 def _band(column: str, tolerance: float) -> Column:
     return F.floor(F.log(F.abs(F.col(column))) / -math.log(1 - tolerance))
 
@@ -72,12 +86,19 @@ def tally(listings: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def groups(decided: DataFrame, ids: DataFrame, newest: int = 25) -> DataFrame:
-    """(id, related_id): children, parent and rows of the same fingerprint of each id, the newest ones."""
-    ask = ids.join(decided, "id").select("id", "agency_id", "duplicate_of_id", "fingerprint")
-    other = decided.select(F.col("id").alias("related_id"), "agency_id", F.col("duplicate_of_id").alias("parent"), F.col("fingerprint").alias("print"))
-    children = ask.join(other, (ask["agency_id"] == other["agency_id"]) & (ask["id"] == other["parent"])).select("id", "related_id")
+    """(id, related_id): children, parent and rows of the same fingerprint of each id, the newest ones.
+
+    Of each fingerprint and of each parent only the newest rows can be among them, so a large group is cut before it is joined.
+    """
+    def top(key: list[str], n: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("related_id")))
+        rows = decided.select(F.col("id").alias("related_id"), "agency_id", F.col("duplicate_of_id").alias("parent"), "fingerprint").where(F.col(key[-1]).isNotNull())
+        return rows.withColumn("k", rank).where(F.col("k") <= n).select(*key, "related_id")
+
+    ask = ids.join(decided.select("id", "agency_id", "duplicate_of_id", "fingerprint"), "id")
+    children = ask.select(F.col("id").alias("parent"), "agency_id").join(top(["agency_id", "parent"], newest), ["agency_id", "parent"]).select(F.col("parent").alias("id"), "related_id")
     parents = ask.where("duplicate_of_id IS NOT NULL").select("id", F.col("duplicate_of_id").alias("related_id"))
-    prints = ask.join(other, (ask["agency_id"] == other["agency_id"]) & (ask["fingerprint"] == other["print"])).select("id", "related_id")
-    best = Window.partitionBy("id").orderBy(F.desc("related_id"))
+    prints = ask.join(top(["agency_id", "fingerprint"], newest + 1), ["agency_id", "fingerprint"]).select("id", "related_id")
     found = children.unionByName(parents).unionByName(prints).where("id <> related_id").distinct()
-    return found.withColumn("k", F.row_number().over(best)).where(F.col("k") <= newest).select("id", "related_id")
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("related_id")))
+    return found.withColumn("k", best).where(F.col("k") <= newest).select("id", "related_id")

@@ -49,6 +49,19 @@ def nodes(rows: DataFrame) -> DataFrame:
     return flat.groupBy("agency_id", "node_type", "entity_id").agg(F.max_by("label", F.when(F.col("label") != "", F.col("id"))).alias("label"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def node_metadata(rows: DataFrame) -> DataFrame:
+    """agency_id, node_type, entity_id, key, value: what the latest listing that says anything says about a node, key by key."""
+    have = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    said = {
+        "listing": (F.col("id").cast("string"), {"status": "status", "updated_at": "updated_at", "source_channel": "source_key", "monetization_tier": "tier", "region_code": "region_code", "city": "city", "listing_type": "listing_type", "area_sqm": "area_sqm", "price_rub": "price_rub"}),
+        "object": (F.col("object_key"), {"address": "address_key", "area_sqm": "area_sqm", "listing_type": "listing_type"}), "address": (F.col("address_key"), {"city": "city"}),
+        "contact": (F.col("contact_key"), {"contact_name": "contact_name", "contact_key": "contact_key"}),
+    }
+    every = F.array(*(F.struct(F.lit(kind).alias("node_type"), entity.alias("entity_id"), F.lit(k).alias("key"), have(c).alias("value")) for kind, (entity, keys) in said.items() for k, c in keys.items()))
+    flat = rows.select("agency_id", "id", F.explode(every).alias("m")).select("agency_id", "id", "m.*").where("entity_id <> '' AND value <> ''")
+    return flat.groupBy("agency_id", "node_type", "entity_id", "key").agg(F.max_by("value", "id").alias("value"))
+
+
 def _edge_rows(rows: DataFrame) -> DataFrame:
     lid = F.col("id").cast("string")
     def one(kind: str, a: Column, b: Column) -> Column:
@@ -100,7 +113,7 @@ def contact_features(rows: DataFrame) -> DataFrame:
 
 
 def contact_detail(rows: DataFrame, latest: int = 50) -> DataFrame:
-    """Features with all organisations and addresses of each contact, the organisations whose names are like its own, and its latest listings.
+    """Features with all organisations and addresses of each contact, the organisations whose names are like its own, its latest listings and evidence.
 
     A contact is named by contact_name where rows have that column, else by its key.
     """
@@ -114,7 +127,11 @@ def contact_detail(rows: DataFrame, latest: int = 50) -> DataFrame:
     names = own.select(*key, N.organisation(label).alias("name")).distinct()
     orgs = rows.select("agency_id", F.explode("org_keys").alias("name")).distinct()
     alike = contact_organisations(names, orgs).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("organisation", "ratio", "confidence"))).alias("fuzzy_organisations"))
-    found = contact_features(rows).join(last, key, "left").join(linked(F.col("address_key"), "linked_addresses"), key, "left").join(linked(F.explode("org_keys"), "organisations"), key, "left").join(alike, key, "left")
+    edges_ = _edge_rows(rows).where(F.col("edge_type").isin("contact_to_listing", "contact_to_organization", "contact_to_address")).withColumnRenamed("from_id", "contact_key")
+    seen = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("updated_at"), F.desc("id"), "edge_type", "to_id"))
+    evidence_ = edges_.withColumn("k", seen).where(F.col("k") <= latest).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "edge_type", "to_id", F.col("id").alias("source_id"), F.col("updated_at").alias("observed_at")))), lambda x: x.dropFields("k")).alias("evidence"))
+    features = contact_features(rows).withColumnRenamed("organisations", "organisation_count")
+    found = features.join(evidence_, key, "left").join(last, key, "left").join(linked(F.col("address_key"), "linked_addresses"), key, "left").join(linked(F.explode("org_keys"), "organisations"), key, "left").join(alike, key, "left")
     return found.withColumns({c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("linked_addresses", "organisations", "fuzzy_organisations")})
 
 

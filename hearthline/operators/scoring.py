@@ -73,3 +73,10 @@ def lead_scores(rows: DataFrame, as_of: str, packs: dict | None = None) -> DataF
 
 def bucket(score: Column) -> Column:
     return F.when(score >= 80, "hot").when(score >= 65, "high").when(score >= 45, "medium").otherwise("low")
+
+
+def with_owner(scored: DataFrame, links: DataFrame) -> DataFrame:
+    """scored with what the contact's identity says about each listing. links: identity.links()."""
+    names = {"owner_intel_score": "owner_probability_score", "owner_intel_confidence": "owner_confidence", "owner_intel_summary": "owner_explanation_summary", "owner_intel_priority_score": "owner_priority_score"}
+    given = links.select(F.col("id").alias("__id"), *(F.col(a).alias(b) for a, b in names.items()))
+    return scored.join(given, scored["id"] == given["__id"], "left").drop("__id")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from hearthline import keywords
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
-from hearthline.operators import contacts, dedup, discovery, events, graph, identity, market, publish, scoring
+from hearthline.operators import contacts, dedup, discovery, events, graph, identity, market, publish, reports, scoring
 from hearthline.operators.shared import cut
 from hearthline.sources import listings as S
+from hearthline.sources import payload
 
 from .listings_view import LISTINGS, listings
 
@@ -374,6 +375,15 @@ def call_tasks(spark, sf_dir):
     return publish.call_tasks(_leads(spark, sf_dir), calls).groupBy(F.col("source_channel").alias("source_key")).agg(F.count(F.lit(1)).alias("tasks"))
 
 
+@query(f"""WITH {BEHAVIOUR}, {SCORED.removeprefix(DECIDED + ', ')} SELECT keyed.id, round(CAST(sc.score AS DOUBLE), 6) AS score, sc.below_market, round_even(CAST(owner_score AS DOUBLE), 2) AS owner_probability_score, round_even(CAST(confidence AS DOUBLE), 3) AS owner_confidence, round_even(CAST(priority AS DOUBLE), 2) AS owner_priority_score FROM keyed JOIN sc USING (id) LEFT JOIN cl ON cl.agency_id = keyed.agency_id AND cl.contact_key = keyed.contact_key""")
+def rescored_listings(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    keyed = _keyed(spark, sf_dir, rows)
+    seg, bench = _benchmarks(spark, sf_dir)
+    scored = scoring.lead_scores(market.deviations(seg, bench).drop("status").join(keyed.select("id", "status"), "id"), AS_OF, PACKS)
+    return scoring.with_owner(scored, identity.links(keyed, _identities(spark, sf_dir, keyed))).select("id", r6("score"), "below_market", "owner_probability_score", "owner_confidence", "owner_priority_score")
+
+
 @query(f"WITH {KEYED} SELECT id, CASE WHEN reasons = '' THEN 'published' ELSE 'rejected' END AS stage, CASE WHEN reasons = '' THEN status ELSE 'rejected' END AS status, reasons FROM (SELECT id, status, concat_ws(',', CASE WHEN length(trim(title)) < 3 THEN 'missing_title' END, CASE WHEN coalesce(address, '') = '' AND coalesce(city, '') = '' THEN 'missing_location' END, CASE WHEN said_class IN ('platform_contact', 'support_contact') THEN 'invalid_contact' END) AS reasons FROM keyed)")
 def published_listings(spark, sf_dir):
     rows = _rows(spark, sf_dir)
@@ -513,41 +523,125 @@ def relevant_messages(spark, sf_dir):
     return c.select("conv_id", "turn", "role", X.summary(F.col("text")).alias("summary"))
 
 
-@query("""SELECT s.o_orderstatus AS status, count(o.o_orderkey) AS n, round(coalesce(sum(o.o_totalprice), 0), 2) AS total FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(o_orderstatus) LEFT JOIN orders o USING (o_orderstatus) GROUP BY 1""")
+ORDER_STATUSES, SEGMENTS = ["F", "O", "P", "X"], ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD", "NONE"]
+
+
+@query("""SELECT s.o_orderstatus AS status, count(o.o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(o_orderstatus) LEFT JOIN orders o USING (o_orderstatus) GROUP BY 1""")
 def status_counts(spark, sf_dir):
-    known = spark.createDataFrame([("F",), ("O",), ("P",), ("X",)], "status string")
-    sums = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
-    return known.join(sums, known["status"] == sums["o_orderstatus"], "left").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
+    return reports.status_counts(table(spark, sf_dir, "orders"), ORDER_STATUSES, "o_orderstatus").select("status", "n")
 
 
-@query("""SELECT count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS won, count(*) FILTER (o_orderstatus = 'O') AS open, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 2) AS conversion,
-round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 0) AS pipeline, count(DISTINCT o_custkey) AS customers, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders""")
+def _counted(rows: str, column: str, known) -> str:
+    values = ", ".join(f"({k}, '{s}')" for k, s in enumerate(known))
+    return f"(SELECT string_agg(s || '=' || CAST(n AS VARCHAR), ',' ORDER BY k) FROM (SELECT k, s, count(r.{column}) AS n FROM (VALUES {values}) v(k, s) LEFT JOIN {rows} r ON r.{column} = v.s GROUP BY 1, 2))"
+
+
+@query(f"""WITH {DECIDED}, d AS (SELECT count(*) AS parser_total, count(*) FILTER (status = 'new') AS parser_new, count(*) FILTER (status = 'possible_duplicate') AS parser_possible_duplicate, count(*) FILTER (status = 'duplicate') AS parser_duplicate FROM dec),
+c AS (SELECT count(*) AS calls_total, count(*) FILTER (event_type = 'error') AS calls_missed, count(*) FILTER (value >= 10) AS calls_transcribed FROM events), l AS (SELECT count(*) AS leads_total FROM customer),
+o AS (SELECT count(*) AS deals_total, coalesce(sum(o_totalprice) FILTER (o_orderstatus IN ('O', 'P')), 0) AS pipeline FROM orders)
+SELECT d.*, c.*, leads_total, deals_total, {_counted('customer', 'c_mktsegment', SEGMENTS)} AS leads_by_status, {_counted('orders', 'o_orderstatus', ORDER_STATUSES)} AS deals_by_status, round_even(deals_total / leads_total * 100, 2) AS conversion_lead_to_deal_percent, round(pipeline, 0) AS pipeline_value_rub FROM d, c, l, o""")
 def kpi_summary(spark, sf_dir):
-    won, is_open = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O"
-    return table(spark, sf_dir, "orders").agg(
-        F.count(F.lit(1)).alias("orders"), F.count_if(won).alias("won"), F.count_if(is_open).alias("open"), F.round(100.0 * F.count_if(won) / F.count(F.lit(1)), 2).alias("conversion"),
-        F.round(F.sum(F.when(is_open, F.col("o_totalprice"))), 0).alias("pipeline"), F.count_distinct("o_custkey").alias("customers"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
-    )
+    calls = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "missed").otherwise("answered").alias("status"), F.when(F.col("value") >= 10, "completed").alias("transcript_status"))
+    leads = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("status"))
+    deals = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value_rub"))
+    found = reports.kpis(dedup.decisions(cut(listings(spark, sf_dir), "listings")), calls, leads, deals, SEGMENTS, ORDER_STATUSES, ("O", "P"))
+    return found.withColumn("pipeline_value_rub", F.round("pipeline_value_rub", 0))
 
 
-@query(f"""WITH {LV} SELECT id, title, city, price_rub FROM lv WHERE listing_type = 'sale' AND lower(region_code) LIKE '%a%' AND created_at >= TIMESTAMP '1998-01-01' AND created_at < TIMESTAMP '1999-01-01' AND (title ILIKE '%rod%' OR address ILIKE '%rod%' OR district ILIKE '%rod%')
-ORDER BY price_rub DESC NULLS LAST, updated_at DESC, id DESC LIMIT 50 OFFSET 50""")
+@query(f"""WITH {DECIDED}, f AS (SELECT lv.id, title, city, price_rub, lv.updated_at, dec.status, count(*) OVER () AS total FROM lv JOIN dec USING (id) WHERE listing_type = 'sale' AND (region_code = 'a' OR city ILIKE '%a%') AND updated_at >= TIMESTAMP '1998-01-01' AND updated_at < TIMESTAMP '2000-01-01'
+AND dec.status IN ('duplicate', 'possible_duplicate') AND (coalesce(address, '') <> '' OR coalesce(city, '') <> '') AND (title ILIKE '%small%' OR description ILIKE '%small%' OR listing_type ILIKE '%small%' OR address ILIKE '%small%' OR district ILIKE '%small%' OR city ILIKE '%small%' OR contact_phone ILIKE '%small%' OR contact_email ILIKE '%small%'))
+SELECT id, title, city, price_rub, status, total, CAST(least(2, greatest(1, ceil(total / 20))) AS INT) AS page, CAST(greatest(1, ceil(total / 20)) AS INT) AS pages FROM f QUALIFY row_number() OVER (ORDER BY price_rub DESC NULLS LAST, updated_at DESC, id DESC) BETWEEN (least(2, greatest(1, ceil(total / 20))) - 1) * 20 + 1 AND least(2, greatest(1, ceil(total / 20))) * 20""")
 def paged_search(spark, sf_dir):
-    found = search(listings(spark, sf_dir), "rod", ("title", "address", "district"), listing_type="sale", region="a", since="1998-01-01", until="1998-12-31")
-    return found.orderBy(F.desc_nulls_last("price_rub"), F.desc("updated_at"), F.desc("id")).offset(50).limit(50).select("id", "title", "city", "price_rub")
-
-
-def search(rows: DataFrame, text: str, columns, listing_type: str | None = None, region: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Listing search: every condition that is given; until holds to the end of its day; % and _ in text are plain signs."""
-    plain = text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-    hit = F.lit(False)
-    for c in columns:
-        hit = hit | F.coalesce(F.col(c).ilike(f"%{plain}%"), F.lit(False))
-    rows = rows.where(hit)
-    rows = rows if listing_type is None else rows.where(F.col("listing_type") == listing_type)
-    rows = rows if region is None else rows.where(F.col("region_code").ilike(f"%{region}%"))
-    rows = rows if since is None else rows.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
-    return rows if until is None else rows.where(F.col("created_at") < F.date_add(F.lit(until).cast("date"), 1).cast("timestamp"))
+    rows = cut(listings(spark, sf_dir), "listings")
+    stage = F.when(F.size(publish.gate(F.col("title"), F.col("address"), F.col("city"), F.lit(None).cast("string"))) == 0, "published")
+    rows = rows.join(dedup.decisions(rows).select("id", "status"), "id").withColumn("pipeline_status", stage)
+    found = cut(reports.search(rows, "small", listing_type="sale", region="a", updated_from="1998-01-01", updated_to="1999-12-31", duplicates_only=True), "found")
+    items, total, page, pages = reports.paged(found, [F.desc_nulls_last("price_rub"), F.desc("updated_at"), F.desc("id")], page=2)
+    return items.select("id", "title", "city", "price_rub", "status", F.lit(total).cast("long").alias("total"), F.lit(page).alias("page"), F.lit(pages).alias("pages"))
+
+
+@query(f"WITH {KEYED} SELECT agency_id, contact_key, object_key, count(*) AS count, CAST(epoch(max(updated_at)) AS BIGINT) AS last_seen, arg_max(area_sqm, struct_pack(t := updated_at, i := -id)) AS area_sqm FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2, 3")
+def contact_objects(spark, sf_dir):
+    return reports.contact_objects(_keyed(spark, sf_dir)).select("agency_id", "contact_key", "object_key", "count", F.col("last_seen").cast("timestamp").cast("long").alias("last_seen"), "area_sqm")
+
+
+@query(f"WITH {KEYED} SELECT agency_id, contact_key, strftime(updated_at, '%Y-%m-%d') AS date, count(*) AS count FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY agency_id, contact_key ORDER BY date DESC) <= 30")
+def contact_timeline(spark, sf_dir):
+    return reports.contact_timeline(_keyed(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50")
+def top_orders(spark, sf_dir):
+    return reports.top(table(spark, sf_dir, "orders"), [F.desc("o_totalprice"), F.desc("o_orderkey")], 50, F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority = '2-HIGH'")
+def newest_orders(spark, sf_dir):
+    return reports.newest(table(spark, sf_dir, "orders"), F.col("o_orderpriority") == "2-HIGH", "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query(f"WITH {LV} SELECT agency_id FROM lv GROUP BY 1 HAVING count(price_rub) > 0")
+def active_tenants(spark, sf_dir):
+    return reports.active_tenants(listings(spark, sf_dir).select("agency_id", F.col("price_rub").isNotNull().alias("is_active")))
+
+
+_STATES = """x AS (SELECT *, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), y AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, failed ORDER BY k) AS island FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY user_id, failed, island ORDER BY k) AS run FROM y),
+s AS (SELECT *, coalesce(last_value(CASE WHEN failed AND run >= 3 THEN 'paused' WHEN NOT failed AND run >= 2 THEN 'active' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING), 'active') AS state FROM z)"""
+
+
+@query(f"""WITH {_STATES}, f AS (SELECT user_id, arg_max(state, k) AS state FROM s GROUP BY 1), a AS (SELECT count(*) FILTER (state = 'active') AS active_sources, count(*) FILTER (user_id % 2 = 0) AS auto_activated_sources, count(*) FILTER (state = 'paused') AS failed_sources FROM f)
+SELECT event_type AS job_key, max(event_id) AS next_run_at, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS last_run_at, any_value(active_sources) AS active_sources, any_value(auto_activated_sources) AS auto_activated_sources, any_value(failed_sources) AS failed_sources FROM events, a GROUP BY 1""")
+def source_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    states = discovery.streaks(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error").groupBy("user_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
+    runs = e.select(F.col("event_type").alias("job_key"), F.struct("ts", "event_id").alias("started_at"), F.col("event_id").alias("finished_at"))
+    jobs = e.groupBy(F.col("event_type").alias("job_key")).agg(F.max("event_id").alias("next_run_at"))
+    return reports.source_summary(states.withColumn("auto_discovered", F.col("user_id") % 2 == 0), runs, jobs)
+
+
+@query("SELECT s.status, o.o_orderkey FROM (VALUES ('O'), ('X'), ('F')) s(status) LEFT JOIN orders o ON o.o_orderstatus = s.status UNION ALL SELECT o_orderstatus, o_orderkey FROM orders WHERE o_orderstatus NOT IN ('O', 'X', 'F')")
+def order_board(spark, sf_dir):
+    return reports.board(table(spark, sf_dir, "orders"), ["O", "X", "F"], "o_orderkey", "o_orderstatus").select("status", "o_orderkey")
+
+
+@query(f"""WITH {DECIDED}, pairs AS (SELECT a.id, b.id AS related_id FROM dec a JOIN dec b ON a.agency_id = b.agency_id AND b.duplicate_of_id = a.id UNION SELECT id, duplicate_of_id FROM dec WHERE duplicate_of_id IS NOT NULL
+  UNION SELECT a.id, b.id FROM dec a JOIN dec b ON a.agency_id = b.agency_id AND a.fingerprint = b.fingerprint) SELECT id, related_id FROM pairs WHERE id <> related_id QUALIFY row_number() OVER (PARTITION BY id ORDER BY related_id DESC) <= 25""")
+def duplicate_relations(spark, sf_dir):
+    decided = cut(dedup.decisions(cut(listings(spark, sf_dir), "listings")), "decided")
+    return dedup.groups(decided, decided.select("id"))
+
+
+@query(f"""WITH {KEYED}, n AS (SELECT agency_id, id, 'listing' AS node_type, CAST(id AS VARCHAR) AS entity_id, 'status' AS key, status AS value FROM keyed UNION ALL SELECT agency_id, id, 'listing', CAST(id AS VARCHAR), 'source_channel', source_channel FROM keyed UNION ALL SELECT agency_id, id, 'object', object_key, 'address', address_key FROM keyed
+  UNION ALL SELECT agency_id, id, 'object', object_key, 'listing_type', listing_type FROM keyed UNION ALL SELECT agency_id, id, 'address', address_key, 'city', city FROM keyed UNION ALL SELECT agency_id, id, 'contact', contact_key, 'contact_key', contact_key FROM keyed)
+SELECT agency_id, node_type, entity_id, key, arg_max(value, id) AS value FROM n WHERE entity_id <> '' AND value <> '' GROUP BY 1, 2, 3, 4""")
+def node_metadata(spark, sf_dir):
+    found = graph.node_metadata(_keyed(spark, sf_dir))
+    return found.where(F.struct("node_type", "key").isin(*(F.struct(F.lit(a), F.lit(b)) for a, b in (("listing", "status"), ("listing", "source_channel"), ("object", "address"), ("object", "listing_type"), ("address", "city"), ("contact", "contact_key")))))
+
+
+@query(f"WITH {LV} SELECT id, CASE WHEN coalesce(city, '') = '' AND coalesce(region_code, '') = '' THEN true WHEN {ADDR} <> '' AND coalesce(city, '') <> '' AND contains({ADDR}, lower(city)) THEN true WHEN {ADDR} <> '' AND region_code = 'ASIA' THEN contains({ADDR}, 'bolt') WHEN coalesce(city, '') <> '' AND contains(lower(title), lower(city)) THEN true WHEN region_code = 'ASIA' THEN contains(lower(title), 'bolt') ELSE true END AS inside FROM (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN city ELSE 'Nowhere' END AS city) FROM lv)")
+def region_filter(spark, sf_dir):
+    town = F.when(F.col("id") % 3 == 0, F.col("city")).otherwise("Nowhere")
+    return listings(spark, sf_dir).withColumn("city", town).select("id", S.in_region(F.col("title"), N.address(F.col("address")), F.col("city"), F.col("region_code"), ("bolt",), "ASIA").alias("inside"))
+
+
+@query(f"WITH {LV} SELECT id, CASE source_channel WHEN 'repost' THEN 7 END AS parser_source_id, CASE WHEN source_channel = 'repost' THEN 'R' END AS source_name, CASE WHEN id % 2 = 0 THEN 'mine' WHEN source_channel = 'repost' THEN 'http://r' END AS source_url FROM lv")
+def listing_sources(spark, sf_dir):
+    sources = spark.createDataFrame([("repost", 7, "R", "http://r")], "source_channel string, source_id int, source_name string, source_url string")
+    rows = listings(spark, sf_dir).select("id", "source_channel", F.when(F.col("id") % 2 == 0, F.create_map(F.lit("source_url"), F.lit("mine"))).alias("payload"))
+    return S.with_source(rows, sources).select("id", "parser_source_id", F.col("payload")["source_name"].alias("source_name"), F.col("payload")["source_url"].alias("source_url"))
+
+
+@query()
+def page_contacts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("text", X.page_text(F.col("html")))
+    return contacts.classified(contacts.candidates(pages, "page_id", [("listing_body", F.col("text"))], [payload.markup_contacts("html")]), N.domain(F.lit("")))
+
+
+@query()
+def page_listings(spark, sf_dir):
+    return S.page_records(table(spark, sf_dir, "pages"))
 
 
 @query(f"WITH {DECIDED} SELECT agency_id, count(*) AS listings, count(DISTINCT source_channel) AS sources, count(*) FILTER (dec.status = 'duplicate') AS duplicates, CASE WHEN count(*) FILTER (price_rub IS NULL) > 0 THEN 'partial' ELSE 'done' END AS run_status FROM lv JOIN dec USING (id, agency_id) GROUP BY 1")

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
 
-CANONICAL = "id long, agency_id int, parser_source_id long, source_channel string, source_external_id string, raw_url string, title string, description string, listing_type string, image_url string, normalized_address string, city string, region_code string, latitude double, longitude double, area_sqm double, price_rub decimal(14,2), contact_name string, contact_phone string, contact_email string, intent string, payload string"
+from . import payload
+
+_CANDIDATE = "struct<seq:int,type:string,normalized:string,value:string,location:string,contact_class:string,confidence:double,reasons:array<string>>"
+#: The canonical listing: its columns and types.
+CANONICAL = {
+    "id": "long", "agency_id": "int", "parser_source_id": "long", "source_channel": "string", "source_external_id": "string", "raw_url": "string", "telegram_post_url": "string", "title": "string", "description": "string",
+    "listing_type": "string", "image_url": "string", "normalized_address": "string", "address_district": "string", "address_street": "string", "city": "string", "region_code": "string", "latitude": "double", "longitude": "double",
+    "area_sqm": "double", "price_rub": "decimal(14,2)", "contact_name": "string", "contact_phone": "string", "contact_email": "string", "contact_candidates": f"array<{_CANDIDATE}>", "selected_contact": _CANDIDATE,
+    "rejected_contacts": f"array<{_CANDIDATE}>", "contact_rejection_reasons": "array<string>", "contact_confidence": "double", "intent": "string", "payload": "map<string,string>",
+}
 # Names under which a field may arrive.
 ALIASES = {"title": ("title", "name"), "raw_url": ("url", "link"), "description": ("description", "text"), "area_sqm": ("area", "area_sqm"), "price_rub": ("price", "price_rub"), "contact_phone": ("phone", "contact_phone"), "contact_email": ("email", "contact_email"), "source_external_id": ("id", "external_id"), "address": ("address",)}
 
@@ -23,8 +34,7 @@ def validate(rows: DataFrame, bounds: dict[str, tuple[float, float]] | None = No
 def canonical(rows: DataFrame, region: str = "RU-UDM") -> DataFrame:
     """Rows in the canonical columns, with the defaults of an ingest."""
     have = set(rows.columns)
-    fields = [f.strip().split(" ") for f in CANONICAL.replace("decimal(14,2)", "decimal(14;2)").split(",")]
-    cols = {n: (F.col(n) if n in have else F.lit(None)).cast(t.replace(";", ",")) for n, t in fields}
+    cols = {n: (F.col(n) if n in have else F.lit(None)).cast(t) for n, t in CANONICAL.items()}
     cols["title"] = F.left(N.squeeze(cols["title"]), F.lit(255))
     cols["description"] = F.left(cols["description"], F.lit(4000))
     cols["region_code"], cols["intent"] = F.coalesce(cols["region_code"], F.lit(region)), F.coalesce(cols["intent"], F.lit("unknown"))
@@ -46,17 +56,63 @@ def json_records(raw: DataFrame, column: str = "value", items_key: str | None =
 
 
 def rss(spark: SparkSession, path: str) -> DataFrame:
-    schema = "title string, link string, description string, enclosure struct<_url:string>"
-    return spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).select("title", F.col("link").alias("raw_url"), "description", F.col("enclosure._url").alias("image_url"))
+    """Items of RSS files; the picture comes from the enclosure, the media tags or the description."""
+    media = "array<struct<_url:string>>"
+    schema = f"title string, link string, description string, enclosure struct<_url:string>, `media:content` {media}, `media:thumbnail` {media}"
+    rows = spark.read.format("xml").option("rowTag", "item").option("attributePrefix", "_").schema(schema).load(path)
+    body = F.coalesce("description", F.lit(""))
+    picture = F.coalesce(F.nullif(F.col("enclosure._url"), F.lit("")), F.get("media:content", 0)["_url"], F.get("media:thumbnail", 0)["_url"], X.image_url(body, F.col("link")))
+    text = F.nullif(X.page_text(body), F.lit(""))
+    return rows.select(N.squeeze(F.col("title")).alias("title"), F.col("link").alias("raw_url"), F.coalesce(text, N.squeeze(body)).alias("description"), picture.alias("image_url")).where("title <> ''")
+
+
+def embedded_records(pages: DataFrame) -> DataFrame:
+    """Listing records in the JSON scripts of pages(page_id, url, html), in canonical names; a record without a title is none."""
+    rows = pages.select("page_id", "url", F.explode(payload.embedded_records("html")).alias("record"))
+    found = payload.payload_fields("record", "url")
+    said = lambda *names: F.coalesce(*(F.nullif(N.squeeze(F.get_json_object("record", f"$.{n}")), F.lit("")) for n in names))
+    text = F.concat_ws(" ", "title", "description")
+    rows = rows.select(
+        "page_id", said("title", "name", "heading").alias("title"), F.coalesce(said("url", "link", "href"), F.col("url")).alias("raw_url"), F.coalesce(said("description", "text", "summary"), F.lit("")).alias("description"), said("address", "location").alias("address"),
+        N.safe_float(said("price", "cost", "amount")).alias("price"), N.safe_float(said("area", "area_sqm", "sqm")).alias("area"), said("id", "external_id").alias("own_id"), said("phone", "contact_phone").alias("phone"), said("email", "contact_email").alias("contact_email"), found.alias("found"),
+    ).where("title IS NOT NULL")
+    return rows.select(
+        "page_id", F.coalesce("own_id", N.external_id(F.col("raw_url"), F.col("title"))).alias("source_external_id"), "raw_url", F.left("title", F.lit(255)).alias("title"), F.left("description", F.lit(4000)).alias("description"), F.coalesce("address", X.labelled_address(text)).alias("normalized_address"),
+        F.coalesce("price", X.price(text)).alias("price_rub"), F.coalesce("area", X.area(text)).alias("area_sqm"), F.coalesce("phone", F.col("found.phone")).alias("contact_phone"), "contact_email", F.col("found.image").alias("image_url"),
+    )
+
+
+API_ITEM = "struct<id:string,title:string,address:string,price:string,status:string,url:string,category:struct<id:string,name:string>,item_detail:string>"
+
+
+def api_rows(raw: DataFrame, source: str, source_url: Column, column: str = "value", items_key: str = "resources") -> DataFrame:
+    """Listings in landed pages of a paged API: JSON objects with the items under items_key. source: what to call an item without a title."""
+    items = F.from_json(F.get_json_object(column, f"$.{items_key}"), f"array<{API_ITEM}>")
+    r = lambda name: N.squeeze(F.col(f"r.{name}"))
+    rows = raw.withColumn("__url", source_url).select("__url", F.explode(items).alias("r"))
+    own = r("id")
+    title = F.when(r("title") != "", r("title")).when(own != "", F.concat(F.lit(f"{source} item "), own)).otherwise(f"{source} item")
+    address = F.nullif(r("address"), F.lit(""))
+    rows = rows.select(
+        own.alias("own_id"), title.alias("title"), address.alias("normalized_address"), F.coalesce(F.nullif(r("url"), F.lit("")), F.col("__url")).alias("raw_url"), r("status").alias("status"), F.col("r.category").alias("category"), N.safe_float(F.col("r.price")).alias("price_rub"), F.col("r.item_detail").alias("detail"),
+        N.squeeze(F.concat_ws(" ", title, address, F.col("r.category.name"), F.col("r.status"))).alias("text"),
+    )
+    found = payload.payload_fields("detail", "raw_url")
+    return rows.select(
+        F.coalesce(F.nullif("own_id", F.lit("")), N.external_id(F.col("raw_url"), F.col("title"))).alias("source_external_id"), "raw_url", F.left("title", F.lit(255)).alias("title"), F.left(F.coalesce(F.nullif("text", F.lit("")), F.col("title")), F.lit(4000)).alias("description"), "normalized_address",
+        X.street(F.col("text"), F.col("normalized_address")).alias("address_street"), "price_rub", "status", F.col("category.name").alias("category"), found["phone"].alias("contact_phone"), found["image"].alias("image_url"),
+    )
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """A listing record of each page: heading or title, text, contacts, price and area found in it."""
-    text = X.page_text(F.col("html"))
-    title = F.coalesce(F.nullif(X.page_heading(F.col("html")), F.lit("")), X.page_title(F.col("html")))
-    return pages.select(
-        "page_id", N.canonical_url(F.col("url")).alias("raw_url"), N.external_id(F.col("url"), F.col("url")).alias("source_external_id"), F.left(title, F.lit(255)).alias("title"), F.left(text, F.lit(4000)).alias("description"),
-        X.price(text).alias("price_rub"), X.area(text).alias("area_sqm"), F.get(X.all_matches(text, X.PHONE), 0).alias("contact_phone"), F.get(X.all_matches(text, X.EMAIL), 0).alias("contact_email"), X.image_url(F.col("html")).alias("image_url"),
+    """A listing record of each page: heading or title, text, contacts, place, price, area and picture found in it."""
+    meta = F.filter(X.all_matches(F.col("html"), r"(?is)<meta\b[^>]*>"), lambda m: m.rlike(r"""(?i)(?:name|property)\s*=\s*["'](?:og:)?description["']"""))
+    about = N.squeeze(F.regexp_extract(F.get(meta, 0), r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1))
+    rows = pages.select("page_id", "url", "html", X.page_text(F.col("html")).alias("text"), F.coalesce(F.nullif(X.page_heading(F.col("html")), F.lit("")), X.page_title(F.col("html"))).alias("title"), F.nullif(about, F.lit("")).alias("about"))
+    text = F.col("text")
+    return rows.select(
+        "page_id", N.canonical_url(F.col("url")).alias("raw_url"), N.external_id(F.col("url"), F.col("url")).alias("source_external_id"), F.left("title", F.lit(255)).alias("title"), F.left(F.coalesce("about", "text"), F.lit(4000)).alias("description"), X.labelled_address(text).alias("normalized_address"),
+        X.street(text, X.labelled_address(text)).alias("address_street"), X.price(text).alias("price_rub"), X.area(text).alias("area_sqm"), F.get(X.all_matches(text, X.PHONE), 0).alias("contact_phone"), F.get(X.all_matches(text, X.EMAIL), 0).alias("contact_email"), X.image_url(F.col("html"), F.col("url")).alias("image_url"),
     )
 
 
@@ -71,9 +127,27 @@ def message_relevant(text: Column, exclude=(), topic=(), action=(), region=()) -
     return out
 
 
+def in_region(text: Column, address: Column, city: Column, region_code: Column, words: Iterable[str], special: str = "RU-UDM") -> Column:
+    """Whether a listing lies in its source's city or region. An address that names neither decides against the special region."""
+    place, said = F.lower(F.coalesce(address, F.lit(""))), F.lower(N.squeeze(text))
+    town, words = F.lower(F.coalesce(city, F.lit(""))), tuple(w.lower() for w in words)
+    in_town = lambda t: (town != "") & F.contains(t, town)
+    is_special = F.coalesce(region_code == special, F.lit(False))
+    anywhere = (town == "") & (F.coalesce(region_code, F.lit("")) == "")
+    return F.when(anywhere, True).when((place != "") & in_town(place), True).when((place != "") & is_special, X.any_keyword(place, words)).when(in_town(said), True).when(is_special, X.any_keyword(said, words)).otherwise(True)
+
+
 def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """rows with source_id and source_name by channel; sources is a dimension and joins as such."""
-    return rows.join(sources.select("source_channel", F.col("source_id").alias("known_id"), "source_name"), "source_channel", "left")
+    """rows with parser_source_id filled from their channel's source and payload completed by source_id, source_name and source_url.
+
+    sources(source_channel, source_id, source_name, source_url); keys that the payload has stay.
+    """
+    known = sources.select("source_channel", F.col("source_id").alias("__id"), F.col("source_name").alias("__name"), F.col("source_url").alias("__url"))
+    rows = rows.join(known, "source_channel", "left")
+    own = F.coalesce("payload", F.create_map().cast("map<string,string>")) if "payload" in rows.columns else F.create_map().cast("map<string,string>")
+    given = F.map_filter(F.create_map(F.lit("source_id"), F.col("__id").cast("string"), F.lit("source_name"), F.col("__name"), F.lit("source_url"), F.col("__url")), lambda k, v: v.isNotNull() & ~F.map_contains_key(own, k))
+    first = F.coalesce("parser_source_id", "__id") if "parser_source_id" in rows.columns else F.col("__id")
+    return rows.withColumns({"payload": F.map_concat(own, given), "parser_source_id": first}).drop("__id", "__name", "__url")
 
 
 def refresh(rows: DataFrame, path: str, partition: str = "agency_id") -> None:

@@ -22,13 +22,13 @@ def current(spark: SparkSession, table: str, key: list[str], fields: list[str],
 
 
 def dedup_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Each arriving listing is decided against all that the table holds; decisions go to table/decisions."""
+    """Each arriving listing is decided against what the table holds of its keys; decisions go to table/decisions."""
 
     def decide(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{table}/listings/batch={number}")
         stored = spark.read.schema(batch.schema).parquet(f"{table}/listings")
-        made = dedup.decisions(stored).join(batch.select("id"), "id", "left_semi")
+        made = dedup.decisions(dedup.related(stored, batch)).join(batch.select("id"), "id", "left_semi")
         made.write.mode("overwrite").parquet(f"{table}/decisions/batch={number}")
 
     return stream.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

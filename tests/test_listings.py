@@ -81,7 +81,7 @@ def test_changes_and_states(spark):
     rows = spark.createDataFrame([(1, 1, None), (1, 2, "a"), (1, 3, "b"), (1, 4, None), (1, 5, None)], "k int, t int, v string")
     assert [(r["t"], r["kind"]) for r in events.changes(rows, ["k"], ["v"], ["t"]).orderBy("t").collect()] == [(2, "filled"), (3, "changed"), (4, "cleared")]
     runs = spark.createDataFrame([(1, t, t < 4) for t in range(1, 7)], "k int, t int, bad boolean")
-    assert [r["state"] for r in discovery.streaks(runs, "k", ["t"], F.col("bad")).orderBy("t").collect()] == ["watch", "watch", "paused", "watch", "active", "active"]
+    assert [r["state"] for r in discovery.streaks(runs, "k", ["t"], F.col("bad")).orderBy("t").collect()] == ["active", "active", "paused", "paused", "active", "active"]
 
 
 def test_sources(spark, tmp_path):
