@@ -75,6 +75,15 @@ class PieceModel:
             if len(c) == 1:
                 self.code[ord(c)] = i
 
+        longest = sorted((names[i] for i in plain), key=len)[-50:]
+        self.check(sp, ["", " ", " a  b ", "Ａﬁ½ é\u0301", "\t\n x\r", "日本🎉\x00", "aé1_b2-3. C", *(f"x{p.replace(SPACE, ' ')}y" for p in longest)])
+
+    def check(self, sp, probes: list[str]) -> None:
+        """Refuses a model whose settings (normalisation, prefix, user symbols, byte pieces) are not those that these tables assume."""
+        for probe, ids in zip(probes, self.encode(probes)):
+            if ids.tolist() != sp.encode(probe) or self.decode(ids.tolist()) != sp.decode(ids.tolist()):
+                raise ValueError(f"this model encodes {probe!r} in a way that is not supported")
+
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids of independent segments, as little-endian 32-bit bytes."""
         out = [b""] * len(words)

@@ -83,6 +83,10 @@ class WordEncoder:
         self.ends = {x: self._encode([x])[0] for x in ".,!"}
         self.chunks: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        probes = ["", " ", "A  b\tc", "don't!! x.y,", "İ, Ünïcode. é\u0301!", "<|endoftext|> 12 日本🎉", "ﬁ ǅ. ß!"]
+        for probe, chunks in zip(probes, self.encode(probes)):
+            if b"".join(chunks) != self._encode([probe])[0]:
+                raise ValueError(f"this tokenizer encodes {probe!r} in a way that is not supported")
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
