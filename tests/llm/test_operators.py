@@ -188,6 +188,25 @@ def test_induced_order_finds_repeats(monkeypatch, spill):
         assert induced.repeated(texts, np.array(groups), length).tolist() == want, seed
 
 
+def test_a_shard_beyond_memory_limits():
+    """One group of 2.4 MB, with the limits of production: queues spill and arrays are mapped from disk."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 101, 1200).astype(np.uint8).tobytes() for _ in range(2000)]
+    for k in range(0, 2000, 10):
+        texts[k] = texts[k][:300] + texts[(k * 7 + 13) % 2000][200:500] + texts[k][600:]
+    assert sum(map(len, texts)) > induced.IN_MEMORY
+    spilled = []
+    spill = induced.Queue._spill
+    induced.Queue._spill = lambda self: (spilled.append(1), spill(self))
+    try:
+        got = induced.repeated(texts, np.zeros(len(texts), dtype=np.int64), repeats.LENGTH)
+    finally:
+        induced.Queue._spill = spill
+    strings = np.concatenate([repeats.hashes(np.frombuffer(t, dtype=np.uint8), repeats.LENGTH) for t in texts])
+    _, where, count = np.unique(strings, return_inverse=True, return_counts=True)
+    assert spilled and got.sum() > 10_000 and (got == (count[where] > 1)).all()
+
+
 def test_packing(corpus):
     from tokenizers import Tokenizer
 
