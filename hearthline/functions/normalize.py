@@ -44,10 +44,11 @@ def address(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(_text(c))), SPACES, " ")
 
 
-def organisation(c: Column, legal_forms: Iterable[str] = keywords.LEGAL_FORMS) -> Column:
-    t = F.regexp_replace(F.lower(_text(c)), "[\"'«»“”]", " ")
-    t = F.regexp_replace(t, rf"(?iU)\b({'|'.join(legal_forms)})\b", " ")
-    return squeeze(F.regexp_replace(t, r"[^\p{L}\p{N}\s]", " "))
+def organisation(c: Column, legal_forms: Iterable[str] = keywords.NAME_FORMS) -> Column:
+    """A name for comparison: lower case, without quotes, brackets and legal forms, letters and digits only."""
+    t = F.regexp_replace(F.lower(_text(c)), "[\"'«»()]+", " ")
+    t = F.regexp_replace(t, rf"(?U)\b(?:{'|'.join(legal_forms)})\b", " ")
+    return squeeze(F.regexp_replace(t, r"[^a-zа-я0-9\s]+", " "))
 
 
 def domain(url: Column) -> Column:

@@ -9,6 +9,8 @@ IDENTITY_AGENT = ("комиссия", "агентство", "подберем",
 IDENTITY_URGENCY = ("срочно", "горяч", "скидка", "снижение", "торг", "быстрый", "urgent")
 NEGOTIATION = ("торг", "обсудим", "гибкие условия", "возможен торг")
 LEGAL_FORMS = ("ооо", "ип", "ао", "пао", "зао", "оао", "гк", "тоо")
+# Forms that a name loses before names are compared; one is spelt with Latin letters.
+NAME_FORMS = ("ооо", "ип", "ао", "пao", "пао", "зао", "оао", "гк", "тоо")
 PROPERTY_RULES = (("warehouse", ("склад",)), ("office", ("офис",)), ("industrial", ("производ", "индустри")), ("retail", ("торгов", "магаз")), ("land", ("земел", "участ")), ("free_purpose", ("свобод", "псн")))
 RENT, SALE = ("аренд",), ("продаж",)
 AREA_BANDS = ((0, 10, "до 10"), (10, 30, "10-30"), (30, 80, "30-80"), (80, 150, "80-150"), (150, 300, "150-300"), (300, 500, "300-500"), (500, 800, "500-800"), (800, 1000, "800-1000"), (1000, 1500, "1000-1500"), (1500, 2000, "1500-2000"), (2000, 10_000_000, "2000+"))

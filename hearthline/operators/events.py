@@ -16,15 +16,20 @@ def upsert(events: DataFrame, key: list[str], fields: list[str], order: list[str
     )
 
 
-def changes(events: DataFrame, key: list[str], fields: list[str], order: list[str]) -> DataFrame:
-    """key, order, field, before, after, kind (filled, cleared, changed) of each field that differs from the row before."""
+def changes(events: DataFrame, key: list[str], fields: list[str], order: list[str], owner: str | None = None) -> DataFrame:
+    """key, order, field, before, after, kind of each field that differs from the row before.
+
+    kind: owner_changed for the field named owner, else filled, cleared or changed; null and blank count as empty.
+    """
     at = Window.partitionBy(*key).orderBy(*order)
     def one(f: str) -> Column:
         a, b = F.lag(F.col(f).cast("string")).over(at), F.col(f).cast("string")
         return F.struct(F.lit(f).alias("field"), a.alias("before"), b.alias("after"))
     rows = events.withColumn("first", F.row_number().over(at) == 1).select(*key, *order, "first", F.array(*map(one, fields)).alias("c"))
     rows = rows.where("NOT first").select(*key, *order, F.explode("c").alias("c")).select(*key, *order, "c.*").where(~F.col("before").eqNullSafe(F.col("after")))
-    return rows.withColumn("kind", F.when(F.col("before").isNull(), "filled").when(F.col("after").isNull(), "cleared").otherwise("changed"))
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    was, now = empty("before"), empty("after")
+    return rows.withColumn("kind", F.when(F.col("field") == F.lit(owner), "owner_changed").when(was & ~now, "filled").when(~was & now, "cleared").otherwise("changed"))
 
 
 def calls_to_leads(calls: DataFrame, leads: DataFrame) -> DataFrame:

@@ -80,3 +80,18 @@ def with_owner(scored: DataFrame, links: DataFrame) -> DataFrame:
     names = {"owner_intel_score": "owner_probability_score", "owner_intel_confidence": "owner_confidence", "owner_intel_summary": "owner_explanation_summary", "owner_intel_priority_score": "owner_priority_score"}
     given = links.select(F.col("id").alias("__id"), *(F.col(a).alias(b) for a, b in names.items()))
     return scored.join(given, scored["id"] == given["__id"], "left").drop("__id")
+
+
+def owner_label(owner_intel: Column, owner: Column) -> Column:
+    """Who seems to offer: by the identity's score, else by the listing's own."""
+    score = F.coalesce(owner_intel, owner)
+    return F.when(score.isNull(), "unknown").when(score >= 65, "owner").when(score <= 35, "agent").otherwise("maybe")
+
+
+def top_reasons(scored: DataFrame, owner_intel: Column, n: int = 3) -> Column:
+    """The first n reasons to look at a listing. scored: lead_scores()."""
+    c = F.col
+    cheap = F.coalesce(c("below_market"), F.lit(False))
+    own = F.coalesce(owner_intel >= 60, c("owner") >= 60, F.lit(False))
+    every = F.array(F.when(cheap | (c("under_market") >= 60), "below market"), F.when(own, "owner"), F.when(c("hours") <= 24, "new"), F.when(c("urgency") >= 60, "urgent"), F.when(c("uniqueness") >= 70, "rare"), F.when(cheap | (c("under_market") >= 65), "price drop"))
+    return F.slice(F.filter(every, lambda x: x.isNotNull()), 1, n)

@@ -188,6 +188,19 @@ def lead_scores(spark, sf_dir):
     return _scored(spark, sf_dir).select("id", "status", *(F.col(k).cast("double").alias(k) for k in ("freshness", "owner", "under_market", "uniqueness", "urgency", "completeness", "spam")), r6("score"), "tier")
 
 
+@query(f"""WITH {SCORED} SELECT id, CASE WHEN score >= 80 THEN 'hot' WHEN score >= 65 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS bucket, CASE WHEN owner >= 65 THEN 'owner' WHEN owner <= 35 THEN 'agent' ELSE 'maybe' END AS owner_label,
+array_to_string(list_filter([CASE WHEN below_market OR under_market >= 60 THEN 'below market' END, CASE WHEN owner >= 60 THEN 'owner' END, CASE WHEN hours <= 24 THEN 'new' END, CASE WHEN urgency >= 60 THEN 'urgent' END, CASE WHEN uniqueness >= 70 THEN 'rare' END, CASE WHEN below_market OR under_market >= 65 THEN 'price drop' END], lambda x: x IS NOT NULL)[:3], ',') AS reasons FROM sc""")
+def lead_labels(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    none = F.lit(None).cast("double")
+    return s.select("id", scoring.bucket(F.col("score")).alias("bucket"), scoring.owner_label(none, F.col("owner")).alias("owner_label"), F.array_join(scoring.top_reasons(s, none), ",").alias("reasons"))
+
+
+@query(f"WITH {LV} SELECT id, title FROM lv WHERE updated_at >= TIMESTAMP '1998-06-01'")
+def recent_listings(spark, sf_dir):
+    return S.updated_since(listings(spark, sf_dir), F.lit("1998-06-01").cast("timestamp")).select("id", "title")
+
+
 @query(f"""WITH {SCORED} SELECT agency_id, count(*) FILTER (score >= 80) AS hot, count(*) FILTER (owner >= 65) AS owners, count(*) FILTER (status LIKE '%duplicate') AS duplicates, count(*) FILTER (below_market OR under_market >= 65) AS price_drop,
 count(*) FILTER (hours > 720) AS archive, count(*) FILTER (score >= 65) AS high FROM sc GROUP BY 1""")
 def quick_views(spark, sf_dir):
@@ -472,12 +485,12 @@ def event_upsert(spark, sf_dir):
     return events.upsert(e, ["user_id"], ["event_type", "value"], ["ts", "event_id"], {"first_event": "event_id"}).join(counts, "user_id")
 
 
-@query("""WITH x AS (SELECT user_id, event_id, lag(event_type) OVER w AS b1, event_type AS a1, lag(CASE WHEN value >= 10 THEN 'big' END) OVER w AS b2, CASE WHEN value >= 10 THEN 'big' END AS a2, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-c AS (SELECT user_id, event_id, 'event_type' AS field, b1 AS before, a1 AS after FROM x WHERE k > 1 UNION ALL SELECT user_id, event_id, 'size', b2, a2 FROM x WHERE k > 1)
-SELECT user_id, event_id, field, before, after, CASE WHEN before IS NULL THEN 'filled' WHEN after IS NULL THEN 'cleared' ELSE 'changed' END AS kind FROM c WHERE before IS DISTINCT FROM after""")
+@query("""WITH x AS (SELECT user_id, event_id, lag(event_type) OVER w AS b1, event_type AS a1, lag(CASE WHEN value >= 10 THEN 'big' END) OVER w AS b2, CASE WHEN value >= 10 THEN 'big' END AS a2, lag(CAST(event_id % 3 AS VARCHAR)) OVER w AS b3, CAST(event_id % 3 AS VARCHAR) AS a3, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT user_id, event_id, 'event_type' AS field, b1 AS before, a1 AS after FROM x WHERE k > 1 UNION ALL SELECT user_id, event_id, 'size', b2, a2 FROM x WHERE k > 1 UNION ALL SELECT user_id, event_id, 'owner', b3, a3 FROM x WHERE k > 1)
+SELECT user_id, event_id, field, before, after, CASE WHEN field = 'owner' THEN 'owner_changed' WHEN before IS NULL THEN 'filled' WHEN after IS NULL THEN 'cleared' ELSE 'changed' END AS kind FROM c WHERE before IS DISTINCT FROM after""")
 def field_changes(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("size", F.when(F.col("value") >= 10, "big"))
-    return events.changes(e, ["user_id"], ["event_type", "size"], ["ts", "event_id"]).drop("ts")
+    e = table(spark, sf_dir, "events").withColumns({"size": F.when(F.col("value") >= 10, "big"), "owner": F.col("event_id") % 3})
+    return events.changes(e, ["user_id"], ["event_type", "size", "owner"], ["ts", "event_id"], owner="owner").drop("ts")
 
 
 @query("""WITH x AS (SELECT *, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), y AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, failed ORDER BY k) AS island FROM x),
@@ -501,7 +514,7 @@ def source_health(spark, sf_dir):
 def event_feed(spark, sf_dir):
     authors = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("author"))
     e = table(spark, sf_dir, "events")
-    return e.join(authors, e["user_id"] == authors["c_custkey"], "left").select("event_id", "user_id", "event_type", "author")
+    return e.join(authors, e["user_id"] == authors["c_custkey"], "left").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", "user_id", "event_type", "author")
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, least(greatest(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 50), 10), 80) AS clamped FROM events")
@@ -519,7 +532,7 @@ def transcript_keywords(spark, sf_dir):
 
 @query(f"""SELECT conv_id, turn, role, CASE WHEN length(t) > 260 THEN left(t, 257) || '...' ELSE t END AS summary FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) WHERE NOT {_any('lower(text)', ('license',))} AND {_any('lower(text)', ('the', 'que', 'der'))} AND text <> ''""")
 def relevant_messages(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where((F.col("text") != "") & S.message_relevant(F.col("text"), exclude=("license",), topic=("the", "que", "der")))
+    c = S.messages(table(spark, sf_dir, "conversations"), "text", [], exclude=("license",), topic=("the", "que", "der"))
     return c.select("conv_id", "turn", "role", X.summary(F.col("text")).alias("summary"))
 
 

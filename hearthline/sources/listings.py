@@ -116,6 +116,17 @@ def page_records(pages: DataFrame) -> DataFrame:
     )
 
 
+def messages(rows: DataFrame, text: str, order: list[Column], cap: int | None = None, **packs) -> DataFrame:
+    """Messages that are not blank and pass message_relevant(), the first cap of them in that order."""
+    kept = rows.where((F.trim(F.coalesce(text, F.lit(""))) != "") & message_relevant(F.col(text), **packs))
+    return kept if cap is None else kept.orderBy(*order).limit(cap)
+
+
+def updated_since(rows: DataFrame, at: Column | None, column: str = "updated_at") -> DataFrame:
+    """Rows updated at that moment or later; all without one. The condition reaches the scan."""
+    return rows if at is None else rows.where(F.col(column) >= at)
+
+
 def message_relevant(text: Column, exclude=(), topic=(), action=(), region=()) -> Column:
     """No excluded word, and a word of each pack that is given."""
     t, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(True)

@@ -141,6 +141,17 @@ def test_keywords_of_transcripts(spark):
     assert [(r.word, r.n) for r in events.top_keywords(rows, "c", "turn", "text").orderBy("rank").collect()] == [("größe", 3), ("später", 3), ("élèves", 1)]
 
 
+def test_changes_names_and_labels(spark):
+    rows = spark.createDataFrame([(1, 1, None, "u1"), (1, 2, "a", "u1"), (1, 3, " ", "u2"), (1, 4, "b", "u2"), (1, 5, "c", "u2")], "k int, t int, title string, owner string")
+    assert [(r.t, r.field, r.kind) for r in events.changes(rows, ["k"], ["title", "owner"], ["t"], owner="owner").orderBy("t", "field").collect()] == [(2, "title", "filled"), (3, "owner", "owner_changed"), (3, "title", "cleared"), (4, "title", "filled"), (5, "title", "changed")]
+    assert one(spark, N.organisation(F.col("t")), t="ПАО «Ёлка-2» (Север)") == "лка 2 север" and one(spark, N.organisation(F.col("t")), t="пao Мир") == "мир"
+    assert [one(spark, scoring.owner_label(F.lit(a).cast("double"), F.lit(b).cast("double"))) for a, b in ((None, None), (None, 65), (30, 90), (None, 50))] == ["unknown", "owner", "agent", "maybe"]
+    scored = spark.createDataFrame([(True, 75.0, 10.0, 5.0, 80.0, 80.0), (False, 20.0, 10.0, 50.0, 30.0, 80.0)], "below_market boolean, under_market double, owner double, hours double, urgency double, uniqueness double")
+    assert [r[0] for r in scored.select(scoring.top_reasons(scored, F.lit(70.0))).collect()] == [["below market", "owner", "new"], ["owner", "rare"]]
+    said = spark.createDataFrame([(1, "rent of an office"), (2, " "), (3, "office rent"), (4, "spam office")], "id int, text string")
+    assert [r.id for r in S.messages(said, "text", [F.desc("id")], cap=1, exclude=("spam",), topic=("office",)).collect()] == [3]
+
+
 def test_payload_walks(spark):
     page = '<script type="application/ld+json">[{"a": {"offers": [{"id": 7, "name": "Hall", "price": "1 000", "image": {"url": "/i.jpg"}}, {"id": 7, "name": "Hall", "price": 2}]}}, {"url": "/x", "title": "Shop", "seller": {"phones": ["8 900 111-22-33"]}}]</script><script type="application/json">{broken</script>'
     rows = S.embedded_records(spark.createDataFrame([(1, "http://a.b/c", page), (2, "http://a.b", None)], "page_id long, url string, html string")).orderBy("title").collect()
