@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, scratch, whole_text
+from .common import cut, join_hot, scratch, small_batches, whole_text
 from .merges import Merges
 
 #: Entries that a worker's word cache may hold before it starts anew; it bounds memory, not results.
@@ -166,7 +166,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         for b in batches:
             yield pd.DataFrame({"digest": b["digest"], "tokenizer": version, "n_tokens": np.array(count(b["text"].tolist()), dtype="int64")})
 
-    misses.mapInPandas(encode, schema).write.mode("append").parquet(cache)
+    with small_batches(spark):
+        misses.mapInPandas(encode, schema).write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
     digests = cut(rows.select("doc_id", "n_bytes", "digest"), "token-digests")
     return join_hot(digests, counts, ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
