@@ -330,10 +330,10 @@ def owner_scores(spark, sf_dir):
     return _identities(spark, sf_dir).select("agency_id", "contact_key", "listings", "active", "objects", "addresses", "sources", "organisations", F.array_join(F.coalesce("organizations", F.array().cast("array<string>")), ",").alias("organizations"), "main_region", *map(r6, ("repost_rate", "template_ratio", "region_share", "per_month", "under_share", "owner_share", "agent_share", "platform_share")), "owner_score", "agent_score", "platform_score", "contact_class", r6("confidence"), r6("priority"), "priority_bucket")
 
 
-@query(f"""WITH {BEHAVIOUR} SELECT agency_id, contact_key, CAST(span_days AS BIGINT) AS span_days, round_even(per_month, 2) AS per_month, owner_hits, urgency_hits, most_object, round_even(listings * sources * (1 - region_share), 2) AS hub_score, round_even(CAST(priority AS DOUBLE), 2) AS priority_score FROM cl""")
+@query(f"""WITH {BEHAVIOUR} SELECT agency_id, contact_key, CAST(span_days AS BIGINT) AS span_days, round(per_month, 6) AS per_month, owner_hits, urgency_hits, most_object, round_even(listings * sources * (1 - region_share), 2) AS hub_score, round_even(CAST(priority AS DOUBLE), 2) AS priority_score FROM cl""")
 def owner_explanations(spark, sf_dir):
     e = F.col("explanation")
-    return _identities(spark, sf_dir).select("agency_id", "contact_key", e["behaviour"]["span_days"].alias("span_days"), e["behaviour"]["per_month"].alias("per_month"), e["text_signals"]["owner_hits"].alias("owner_hits"), e["text_signals"]["urgency_hits"].alias("urgency_hits"), e["graph"]["max_object_cluster"].alias("most_object"), e["graph"]["hub_score"].alias("hub_score"), e["priority_score"].alias("priority_score"))
+    return _identities(spark, sf_dir).select("agency_id", "contact_key", e["behaviour"]["span_days"].alias("span_days"), r6("per_month"), e["text_signals"]["owner_hits"].alias("owner_hits"), e["text_signals"]["urgency_hits"].alias("urgency_hits"), e["graph"]["max_object_cluster"].alias("most_object"), e["graph"]["hub_score"].alias("hub_score"), e["priority_score"].alias("priority_score"))
 
 
 @query(f"WITH {BEHAVIOUR} SELECT keyed.agency_id, keyed.contact_key, keyed.id, round_even(CAST(owner_score AS DOUBLE), 2) AS owner_intel_score, round_even(CAST(priority AS DOUBLE), 2) AS owner_intel_priority_score, contact_class AS owner_intel_class, {_BUCKET} AS owner_intel_priority FROM keyed JOIN cl USING (agency_id, contact_key)")
