@@ -69,6 +69,8 @@ TITLES = {
 }
 BREAK = r"\n[ \t\r]*(?:\n[ \t\r]*)+"
 EMPTY = hashlib.sha256(b"").hexdigest()
+#: Known digests up to which they are broadcast; a longer table is met by a shuffled join.
+BROADCAST_ROWS = 50_000
 
 
 def canonical(text: Column) -> Column:
@@ -113,9 +115,12 @@ def _known(spark: SparkSession, known: DataFrame | None) -> DataFrame:
     known = known if known is not None else known_digests(spark)
     if "variant" not in known.columns:
         known = known.select("license", "digest", F.xxhash64("digest").alias("variant"), F.lit(0).alias("k"), F.lit(1).alias("m"))
-    # Few and fixed rows: they travel as values, so that the filter is not repeated on each unit of the documents.
-    rows = [tuple(r) for r in known.select("license", "digest", F.col("variant").cast("long"), "k", "m").collect() if r["digest"] != EMPTY]
-    return spark.createDataFrame(rows, "license string, digest string, variant long, k int, m int")
+    known = known.where(F.col("digest") != EMPTY)
+    if known.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return known.select("license", "digest", F.col("variant").cast("long").alias("variant"), "k", "m")
+    # Few rows travel as values, so that the filter is not repeated on each unit of the documents.
+    rows = [tuple(r) for r in known.select("license", "digest", F.col("variant").cast("long"), "k", "m").collect()]
+    return F.broadcast(spark.createDataFrame(rows, "license string, digest string, variant long, k int, m int"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +144,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     block = (F.col("kind") != 1) & (F.col("lines") > 1)
     found = (
         units.select("row_key", "u.kind", "u.at", "u.lines", F.sha2(canonical(F.col("u.body")), 256).alias("digest"))
-        .join(F.broadcast(_known(docs.sparkSession, known)), "digest").where("m = 1 OR kind = 2")
+        .join(_known(docs.sparkSession, known), "digest").where("m = 1 OR kind = 2")
         # A set for each place of a row: rows that repeat id and text find each place once.
         .groupBy("row_key", "kind", "license", "variant", "m", (F.col("at") - F.col("k")).alias("start"))
         .agg(F.collect_set(F.struct("k", "lines")).alias("parts")).where("size(parts) = m")

@@ -278,6 +278,12 @@ def test_licences_of_repeated_rows(spark):
     assert got == sorted([(1, "MIT", 2), (1, "MIT", 2), (1, "", 0), (None, "MIT", 2), (None, "", 0), (2, "CC-BY-4.0", 1)], key=str)
 
 
+def test_a_long_table_of_licences_is_not_broadcast(spark, corpus, monkeypatch):
+    want = licences.scan(corpus[1]).collect()
+    monkeypatch.setattr(licences, "BROADCAST_ROWS", 3)
+    assert sorted(licences.scan(corpus[1]).collect(), key=str) == sorted(want, key=str)
+
+
 def test_near_components_of_shared_ids(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 1)
     monkeypatch.setattr(common, "HOT_SHARE", 10_000)
