@@ -149,15 +149,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): smallest reachable node, by smallest neighbour and pointer jumping; each round is a written table.
 
-    A node with very many links, and the label of a very large component, are met by broadcast.
+    A node with very many links is met by broadcast; nodes that share the label of a very large component are left to the engine's own split of skewed joins.
     """
     both = cut(edges.select("a", F.col("b").alias("node")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("node"))).distinct(), "links")
     hubs = hot_keys(both.select("node"), "node")
     labels = cut(both.groupBy("a").agg(F.least(F.min("node"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
     while True:
         near = join_hot(both, labels, ["node"], hubs).groupBy("a").agg(F.min("comp").alias("near"))
-        step = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid")), "labels")
-        step = cut(join_hot(step, labels.select(F.col("node").alias("mid"), F.col("comp").alias("far")), ["mid"]).select("node", "old", F.least("mid", "far").alias("comp")), "labels")
+        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        step = cut(step.join(labels.select(F.col("node").alias("mid"), F.col("comp").alias("far")), "mid").select("node", "old", F.least("mid", "far").alias("comp")), "labels")
         labels = step.select("node", "comp")
         if step.where("old <> comp").isEmpty():
             return labels
