@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licences, minhash, packing, pieces, quality, repeats, token_counts, topk, toxicity
+from . import exact_dedup, licences, merkle, minhash, packing, pieces, quality, repeats, token_counts, topk, toxicity
 from .common import table
 
 
@@ -50,11 +50,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_license_scan, op3_exact_top_k, op4_best_fit_packing, op5_quality_classifier, op6_toxicity,
-        op7_repeated_bytes, op8_token_counts, op9_sentencepiece, op10_exact_dedup,
+        op7_repeated_bytes, op8_token_counts, op9_sentencepiece, op10_exact_dedup, op11_merkle_manifest,
     )
 }
-ORACLES = {"op3_exact_top_k": topk.ORACLE, "op2_license_scan": licences.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_exact_top_k": topk.ORACLE, "op2_license_scan": licences.oracle(), "op10_exact_dedup": exact_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
