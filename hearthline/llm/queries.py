@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licences, merkle, minhash, packing, pieces, quality, repeats, token_counts, topk, toxicity
+from . import exact_dedup, lexical, licences, merkle, minhash, packing, pieces, quality, repeats, secrets, token_counts, topk, toxicity
 from .common import table
 
 
@@ -54,11 +54,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_license_scan, op3_exact_top_k, op4_best_fit_packing, op5_quality_classifier, op6_toxicity,
-        op7_repeated_bytes, op8_token_counts, op9_sentencepiece, op10_exact_dedup, op11_merkle_manifest,
+        op7_repeated_bytes, op8_token_counts, op9_sentencepiece, op10_exact_dedup, op11_merkle_manifest, op12_ranked_search,
+        op13_secret_scan,
     )
 }
-ORACLES = {"op3_exact_top_k": topk.ORACLE, "op2_license_scan": licences.oracle(), "op10_exact_dedup": exact_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
+ORACLES = {"op3_exact_top_k": topk.ORACLE, "op2_license_scan": licences.oracle(), "op10_exact_dedup": exact_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_ranked_search": lexical.ORACLE}
