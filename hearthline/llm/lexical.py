@@ -46,7 +46,7 @@ def item_terms(items: DataFrame, id_col: str = "item_id") -> DataFrame:
     def split(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, found in zip(b["doc_id"], b["text"].map(lambda t: sorted(set(terms(t))))):
-                yield pd.DataFrame({"item_id": pd.array([i] * len(found), dtype="Int64"), "term": found})
+                yield pd.DataFrame({"item_id": pd.array([i] * len(found), dtype="Int64"), "term": pd.Series(found, dtype=object)})
 
     return whole_text(items, id_col).mapInPandas(split, "item_id long, term binary").distinct()
 

@@ -76,7 +76,7 @@ def _block_levels(base: int):
                 break
             nodes, first, width = [digest_of("".join(nodes[k : k + 2])) for k in range(0, len(nodes), 2)], first >> 1, (width + 1) >> 1
             out.append(pd.DataFrame({"tree": key[0], "level": level, "idx": np.arange(first, first + len(nodes)), "digest": nodes, "width": width}))
-        return pd.concat(out) if out else pd.DataFrame({"tree": [], "level": [], "idx": [], "digest": [], "width": []})
+        return pd.concat(out)
 
     return levels
 
@@ -121,7 +121,7 @@ def _coordinates(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     """What a leaf partition fetches: nodes of its tree, and of the tree over the roots."""
     row = part.iloc[0]
     want = [(key[0], *c) for c in missing(part["idx"].to_numpy(), int(row["width"]))] + [(TOP, *c) for c in missing(np.array([row["place"]]), int(row["trees"]))]
-    return pd.DataFrame({"tree": key[0], "block": key[1], "node": [{"tree": t, "level": lv, "idx": i} for t, lv, i in want]}, columns=["tree", "block", "node"])
+    return pd.DataFrame({"tree": key[0], "block": key[1], "node": pd.Series([{"tree": t, "level": lv, "idx": i} for t, lv, i in want], dtype=object)})
 
 
 def _paths(key: tuple, part: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:

@@ -55,7 +55,7 @@ def mixed(s: str) -> bool:
     return sum(kinds) > 1
 
 
-def identifiers(texts: DataFrame) -> list[str]:
+def identifiers(docs: DataFrame) -> list[str]:
     """The NAMES identifiers that most documents hold, of those that two or more hold; candidates and single letters are none."""
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +73,7 @@ def identifiers(texts: DataFrame) -> list[str]:
                     n.clear()
         yield counts()
 
-    total = texts.select("text").mapInPandas(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    total = whole_text(docs).select("text").mapInPandas(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
     return [r["name"] for r in total.orderBy(F.desc("n"), "name").limit(NAMES).collect()]
 
 
@@ -125,7 +125,7 @@ class Scanner:
 def findings(docs: DataFrame) -> DataFrame:
     """doc_id, findings: array of (kind, start, end, novelty) by start, then kind as listed; one row for each row of docs."""
     texts = whole_text(docs)
-    dictionary = primer(identifiers(texts))
+    dictionary = primer(identifiers(docs))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan = Scanner(dictionary)
