@@ -10,8 +10,9 @@ from contextlib import contextmanager
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,17 @@ def join_hot(rows: DataFrame, single: DataFrame, key: list[str], hot: DataFrame
     return rows.join(hot, key, "left_anti").join(single, key).unionByName(rows.join(F.broadcast(single.join(hot, key, "left_semi")), key))
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns of docs, whatever signs their names hold."""
+    return [docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash over all columns; what holds a map, which has no hash, goes in as JSON."""
+    maps = lambda t: isinstance(t, MapType) or any(map(maps, [f.dataType for f in t.fields] if isinstance(t, StructType) else [t.elementType] if isinstance(t, ArrayType) else []))
+    return F.xxhash64(*(F.to_json(F.struct(c.alias("c"))) if maps(f.dataType) else c for c, f in zip(columns_of(docs), docs.schema.fields)))
+
+
 def whole_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null text as empty; every other column is dropped, so clashing names cannot matter."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

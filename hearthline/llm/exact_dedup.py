@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, whole_text
+from .common import columns_of, cut, hot_keys, row_hash, whole_text
 
 #: One ASCII white space run becomes one space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -70,7 +70,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text the one with the smallest hash stays. The rows go through the sort whole, and the first of each run comes out.
     """
     norm = lambda text: normalised(F.coalesce(text, F.lit("")))
-    texts = cut(docs.select(docs[id_col].cast("long").alias("doc_id"), F.struct(*docs.columns).alias("whole"), F.xxhash64(*docs.columns).alias("order"), *_keys(norm(docs[text_col]))), "exact-texts")
+    texts = cut(docs.select(docs[id_col].cast("long").alias("doc_id"), F.struct(*columns_of(docs)).alias("whole"), row_hash(docs).alias("order"), *_keys(norm(docs[text_col]))), "exact-texts")
     hot = hot_keys(texts.select("text_sha256"), "text_sha256")
     firsts = _compared(texts, hot, norm(F.col("whole")[text_col]), "order").where("first = 1")
     if not hot.isEmpty():

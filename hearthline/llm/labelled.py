@@ -16,7 +16,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, by_class:
     """(doc_id, text, label) of at most rows labelled documents (of each class, if by_class), smallest hash of the id first.
 
     The fold whose crc32(doc_id) mod 4 is 2 never enters. Rows without id or label are passed over; of repeated labels the
-    largest counts. The labelled side is bounded by rows, so broadcasting it is safe at any size of docs.
+    largest counts, of several texts of an id the smallest. The labelled side is bounded by rows, so broadcasting it is safe at any size of docs.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id")
@@ -24,7 +24,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, by_class:
         chosen = known.where("label = 0").orderBy(order, "doc_id").limit(rows).unionByName(known.where("label = 1").orderBy(order, "doc_id").limit(rows))
     else:
         chosen = known.orderBy(order, "doc_id").limit(rows)
-    return whole_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return whole_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def logistic(x, y, rounds: int = 60):

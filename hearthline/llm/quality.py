@@ -6,6 +6,7 @@ of rows that trained no dictionary. Scoring is a map over the rows, without exch
 
 Defined cases: null and empty texts compress as one empty block and get the score of that; without labelled rows of both
 classes there is no model, every score is 0.5 and keep_good rejects nothing; repeated rows are scored alike; very long texts are compressed whole, block by block; rows
+of labelled rows that repeat an id the smallest text is learnt; rows
 with a null id are scored and never held out; extra columns are ignored; an empty table gives an empty result.
 """
 

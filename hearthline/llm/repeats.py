@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import cut, discard, hot_least, join_hot, whole_text
+from .common import columns_of, cut, discard, hot_least, join_hot, whole_text
 
 #: Bytes of a string that must not repeat.
 LENGTH = 200
@@ -271,5 +271,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = remove_repeats(docs, id_col, text_col, texts=True).where("n_removed > 0").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("kept").alias("__kept")).dropDuplicates(["__r1", "__r2"])
     r1, r2 = row_name(docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit("")))
     kept = F.coalesce(left["__kept"], docs[text_col])
-    columns = [kept.alias(c) if c == text_col else F.length(kept).cast(docs.schema[c].dataType).alias(c) if c == length_col else docs[c] for c in docs.columns]
+    columns = [kept.alias(c) if c == text_col else F.length(kept).cast(docs.schema[c].dataType).alias(c) if c == length_col else own for c, own in zip(docs.columns, columns_of(docs))]
     return docs.join(left, (r1 == left["__r1"]) & (r2 == left["__r2"]), "left").select(*columns)

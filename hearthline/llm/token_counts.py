@@ -132,15 +132,18 @@ def worker_encoder(kind: Callable, path: str):
     return _encoders[kind, path]
 
 
+def _processor(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def library_counts(path: str) -> Callable[[list[str]], list[int]]:
     """For .model files: sentencepiece; for .json: the tokenizers library."""
     if path.endswith(".model"):
 
         def count(texts: list[str]) -> list[int]:
-            import sentencepiece
-
-            sp = worker_encoder(lambda p: sentencepiece.SentencePieceProcessor(model_file=p), path)
-            return [len(x) for x in sp.encode(texts, num_threads=1)]
+            return [len(x) for x in worker_encoder(_processor, path).encode(texts, num_threads=1)]
 
         return count
     return lambda texts: [sum(map(len, x)) // 4 for x in worker_encoder(WordEncoder, path).encode(texts)]

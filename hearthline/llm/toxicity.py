@@ -6,7 +6,7 @@ looks like, for nothing (separators), or repeat the letter before it. Viterbi de
 Restored texts are scored by words and word beginnings that labelled rows show to be toxic beyond chance.
 
 Defined cases: null and empty texts get the score of a text without any toxic word; without labelled rows scores are the
-prior 0.5; repeated rows are scored alike; very long texts are read whole; extra columns are ignored; an empty table gives
+prior 0.5; of labelled rows that repeat an id the smallest text is learnt; repeated rows are scored alike; very long texts and words are read whole, in time that grows with their length; extra columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -41,8 +41,11 @@ COST_LOOK, COST_DROP, COST_REPEAT = -1.0, -0.7, -0.5
 _ALPHABET = 28  # word boundary, a to z, any other letter
 _CODES = np.array([27 * chr(k).isalpha() for k in range(0x10000)], dtype=np.int64)
 _CODES[97:123] = range(1, 27)
-_ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+€£].*|.*[^\w\s].*[^\W\d_].*|.*([^\W\d_])\1\1.*)")
-_SPELT = re.compile(r"(?<!\S)[\w@$!|+€£](?:[ .\-_*]{1,3}[\w@$!|+€£]){3,}(?!\S)")
+_LETTER, _LOOK, _SIGN, _TRIPLE = (re.compile(p) for p in (r"[^\W\d_]", "[0-9@$!|+€£]", r"[^\w\s]", r"([^\W\d_])\1\1"))
+#: Single signs with separators between them; each sign of a text is looked at by one run only.
+_X = r"(?:[^\W_]|[@$!|+€£])"
+_RUN = re.compile(rf"(?<![^\s.\-_*]){_X}(?!{_X})(?:[ .\-_*]{{1,3}}{_X}(?!{_X})){{3,}}")
+_SINGLE, _OPEN, _SHUT = re.compile(_X), re.compile(rf"(?<!\S){_X}"), re.compile(rf"{_X}(?!\S)")
 #: A letter that stands alone before a spelt-out run may be a word of its own.
 _ALONE = re.compile(r"[^\W\d_] +")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
@@ -81,23 +84,56 @@ def restore(word: str, logp: np.ndarray, drop_looks: bool = True) -> str:
 
     Without drop_looks, signs that can be letters are letters.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # What was read so far is a chain of (before, letter): states share it, and a step costs the same in any word.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for ch in word:
         options = [(x, COST_LOOK) for x in LOOKS.get(ch, "")] or ([(ch, 0.0)] if ch.isalpha() else [])
         drop = COST_DROP if (ch in SEPARATORS or not ch.isalpha()) and (drop_looks or ch not in LOOKS) else None
-        best: dict[tuple[int, int], tuple[float, str]] = {}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (s, out) in states.items():
             moves = [] if drop is None else [((a, b), s + drop, out)]
             for x, cost in options:
                 c = int(_CODES[min(ord(x), 0xFFFF)])
-                moves.append(((b, c), s + cost + logp[a, b, c], out + x))
-                if out and out[-1] == x:
+                moves.append(((b, c), s + cost + logp[a, b, c], (out, x)))
+                if out and out[1] == x:
                     moves.append(((a, b), s + COST_REPEAT, out))
             for state, score, text in moves:
                 if state not in best or score > best[state][0]:
                     best[state] = (score, text)
         states = best or states
-    return max(((s + logp[a, b, 0], out) for (a, b), (s, out) in states.items()), default=(0.0, ""))[1]
+    ends = [(s + logp[a, b, 0], out) for (a, b), (s, out) in states.items()]
+    top = max(s for s, _ in ends)
+    return max(_read(out) for s, out in ends if s == top)
+
+
+def _read(chain: tuple | None) -> str:
+    letters = []
+    while chain:
+        chain, x = chain
+        letters.append(x)
+    return "".join(reversed(letters))
+
+
+def odd(word: str) -> bool:
+    """Whether a word holds a letter, and a look-alike sign, another sign before a letter, or three equal letters in a row."""
+    if word.isalpha():
+        return _TRIPLE.search(word) is not None
+    if not _LETTER.search(word):
+        return False
+    sign = _SIGN.search(word)
+    return bool(_LOOK.search(word) or (sign and _LETTER.search(word, sign.end())) or _TRIPLE.search(word))
+
+
+def spelt(text: str) -> Iterator[str]:
+    """Runs of four and more single signs with separators, from one that follows white space to the last before white space."""
+    for m in _RUN.finditer(text):
+        first, last = _OPEN.search(text, m.start(), m.end()), None
+        for last in _SHUT.finditer(text, m.start(), m.end() + 1):
+            pass
+        if first and last and last.start() > first.start():
+            run = text[first.start() : last.end()]
+            if len(_SINGLE.findall(run)) > 3:
+                yield run
 
 
 class Restorer:
@@ -109,7 +145,7 @@ class Restorer:
     def _word(self, word: str) -> tuple[str, ...]:
         """What a word may read as; edge signs that can be letters and doubled letters leave the plain reading beside the decoded one."""
         bare, edged = word.strip(_EDGE), word.strip(_BLANK_EDGE)
-        if _ODD.match(bare):
+        if odd(bare):
             return (restore(word, self.logp),)
         if edged != bare and any(map(str.isalpha, bare)):
             return (bare, restore(edged, self.logp), restore(edged, self.logp, drop_looks=False))
@@ -124,10 +160,10 @@ class Restorer:
                 new = list(found)
             cache.update({w: self._word(w) for w in new})
         out = {x for w in found for x in cache[w]}
-        for m in _SPELT.finditer(text):
-            out.add(restore(m.group(0), self.logp))
-            if alone := _ALONE.match(m.group(0)):
-                out.add(restore(m.group(0)[alone.end() :], self.logp))
+        for run in spelt(text):
+            out.add(restore(run, self.logp))
+            if alone := _ALONE.match(run):
+                out.add(restore(run[alone.end() :], self.logp))
         return out
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.llm import lexical, merkle, secrets
+from hearthline.llm import common, labelled, lexical, merkle, secrets, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars int, tree long, idx long, digest string, n long, block int, `a.b` int, m map<string,string>"
 
@@ -239,7 +239,7 @@ def test_novelty_restated(leaky):
     scan, packer = secrets.Scanner(dictionary), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
     for text in (t for t in rows.values() if t and len(t) < 5000):
         spans, want = [tuple(map(int, s.split(":")[1:])) for s in plain_base(text)], []
-        for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", text):  # every run, long or short
             s, e, c = m.start(), m.end(), m.group()
             near = re.search(secrets.SENSITIVE.pattern, text[max(0, s - 64) : s] + "\n" + text[e : e + 24], re.IGNORECASE | re.ASCII)
             if e - s < 16 or not near or not secrets.mixed(c) or any(a <= s and e <= b for a, b in spans):
@@ -252,3 +252,43 @@ def test_novelty_restated(leaky):
 
 def test_secrets_of_an_empty_table(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
+
+
+def test_stages_with_any_column(spark):
+    """Dotted names and columns without a hash come through every stage that returns documents."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{k}" for k in range(80))
+    rows = [(1, text, "en", "s", 5), (2, text, "en", "s", 5), (2, text, "en", "s", 5), (3, text + " more", "de", "s", 5), (None, None, "en", "s", None)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    labels.write.parquet((where := common.scratch(spark, "labels")) + "/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, where)
+        assert docs.columns == docs_of(spark, []).columns, name
+        assert {(r["a.b"], r["m"]["k"]) for r in docs.collect()} == {(5, "v")}, name
+    assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 1]
+
+
+def test_labelled_sample_is_the_same_for_any_partitions(spark):
+    rows = [(i % 7, f"text {i} {'x' * (i % 5)}", "en", "s", 1) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    found = [sorted(map(tuple, labelled.sample(docs_of(spark, rows).repartition(n), labels, "quality", 50, True).collect())) for n in (1, 2, 3, 7)]
+    assert len(found[0]) > 1 and found.count(found[0]) == 4
+    assert all(t == min(x[1] for x in rows if x[0] == i) for i, _, t in found[0])
+
+
+def test_long_odd_words_take_time_in_proportion():
+    import time
+
+    restorer = toxicity.Restorer(np.log(np.random.default_rng(0).random((28, 28, 28))))
+    for word in ("a" + "-" * 60000, "_" * 60000 + "~", "a- " * 20000, "a1" * 30000):
+        began = time.time()
+        restorer.words(word)
+        assert time.time() - began < 10, word[:6]
+
+
+def test_spelt_runs_and_odd_words():
+    assert list(toxicity.spelt("x s t u p i d, a b c d e")) == ["x s t u p i", "a b c d e"]
+    assert list(toxicity.spelt("s - t - u - p - i - d end; $ t u p")) == ["s - t - u - p - i - d", "$ t u p"]
+    assert [toxicity.odd(w) for w in ("word", "wooord", "w0rd", "s-t", "--", "word-", "1234", "é!")] == [False, True, True, True, False, False, False, True]
