@@ -1,8 +1,7 @@
 """Duplicate decisions over all listings at once.
 
-Rows are compared with those of a smaller id, as a sequential ingest would. Near duplicates meet on (tenant, address,
-price band), where a band is wide enough that every pair within tolerance shares one of the three bands sent out; one hot
-address is thus dealt over its prices.
+Rows are compared with those of a smaller id, as a sequential ingest would. Near duplicates are found between distinct
+points (tenant, address, area, price), on a grid where an address has many.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from hearthline.functions import normalize as N
 from .shared import cut
 
 AREA_TOLERANCE, PRICE_TOLERANCE = 0.15, 0.20
+#: Points of an address up to which they are compared pair by pair, and the sides of a grid cell in logarithms of area and price.
+HOT_POINTS, CELLS = 64, (0.03, 0.045)
 
 
 def _rounded(c: Column, digits: int) -> Column:
@@ -28,58 +29,163 @@ def fingerprint(phone: Column, email: Column, address: Column, area: Column, pri
     return F.when(key != "|||0|0", F.sha1(key)) if strict_empty else F.sha1(key)
 
 
-def decisions(listings: DataFrame, strict_empty: bool = True) -> DataFrame:
-    """id, agency_id, status, duplicate_of_id, fingerprint (the parent's for external-id duplicates). listings are read once."""
-    rows = listings.select(
-        "id", "agency_id", "source_channel", F.nullif("source_external_id", F.lit("")).alias("ext"), N.address(F.col("address")).alias("addr"), F.col("area_sqm").cast("double").alias("area"),
+def base_rows(listings: DataFrame, strict_empty: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the rules look at: id, agency_id, source_channel, ext, addr, area, price, own (the row's own fingerprint)."""
+    return listings.select(
+        "id", "agency_id", "source_channel", *(c for c in keep if c != "source_channel"), F.nullif("source_external_id", F.lit("")).alias("ext"), N.address(F.col("address")).alias("addr"), F.col("area_sqm").cast("double").alias("area"),
         F.col("price_rub").cast("double").alias("price"), fingerprint(F.col("contact_phone"), F.col("contact_email"), F.col("address"), F.col("area_sqm"), F.col("price_rub"), strict_empty).alias("own"),
     )
-    # Each rule gathers only rows that have its key, as aggregates combined before the shuffle; rows without one pass by.
-    by_key = ["agency_id", "source_channel", "ext"]
-    with_ext = rows.where(F.col("ext").isNotNull())
-    firsts = with_ext.groupBy(*by_key).agg(F.min("id").alias("ext_first"), F.min_by("own", "id").alias("ext_own"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = with_ext.join(firsts, by_key, "left").unionByName(rows.where(F.col("ext").isNull()), allowMissingColumns=True)
-    rows = cut(rows.withColumn("by_ext", F.coalesce(F.col("ext_first") < F.col("id"), F.lit(False))).drop("source_channel", "ext"), "dedup-ext")
+
+
+def decisions(listings: DataFrame, strict_empty: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, agency_id, status, duplicate_of_id, fingerprint (the parent's for external-id duplicates) and the columns of keep. listings are read once."""
+    return decided(cut(base_rows(listings, strict_empty, keep), "dedup-rows"), keep=keep)
+
+
+def decided(base: DataFrame, stored: DataFrame | None = None, keep: tuple[str, ...] = (), ruled: bool = False) -> DataFrame:
+    """Decisions about base, written base_rows(). stored: firsts() of all rows that came before; ruled adds by_ext, what firsts() needs."""
+    by_key, point = ["agency_id", "source_channel", "ext"], ["agency_id", "addr", "area", "price"]
+    before = lambda kind, *columns: stored.where(F.col("kind") == kind).select(*columns)
+    ids = base.where(F.col("ext").isNotNull()).select(*by_key, "id", "own")
+    points = base.where(_usable()).select("id", *point)
+    if stored is not None:
+        ids = ids.unionByName(before("external", "agency_id", "source_channel", F.col("key").alias("ext"), "id", "own"))
+        points = points.unionByName(before("address", "id", "agency_id", F.col("key").alias("addr"), "area", "price"))
+    # Each rule gathers only rows that have its key, as aggregates combined before the shuffle, and only keys of several rows come back.
+    firsts_ = ids.groupBy(*by_key).agg(F.min("id").alias("ext_first"), F.min_by("own", "id").alias("ext_own"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = _met(base, cut(firsts_, "dedup-ext"), by_key)
+    rows = rows.withColumn("by_ext", F.coalesce(F.col("ext_first") < F.col("id"), F.lit(False)))
     asks = F.col("own").isNotNull() & ~F.col("by_ext")
-    same = rows.where(asks).groupBy("agency_id", "own").agg(F.min("id").alias("fp_first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.where(asks).join(same, ["agency_id", "own"], "left").unionByName(rows.where(~asks), allowMissingColumns=True)
-    rows = cut(rows.withColumn("by_fp", F.coalesce(F.col("fp_first") < F.col("id"), F.lit(False))), "dedup-print")
-    # A pair within tolerance lies in the same or in neighbouring bands of price and of area; later rows go to three bands of area, earlier ones to three of price.
-    usable = (F.col("addr") != "") & (F.col("price") != 0) & (F.col("area") != 0)
-    around = lambda band: F.explode(F.array(band - 1, band, band + 1))
-    price_band, area_band = _band("price", PRICE_TOLERANCE), _band("area", AREA_TOLERANCE)
-    where = ["agency_id", "addr", "price_band", "area_band"]
-    later = rows.where(~F.col("by_ext") & ~F.col("by_fp") & usable).select("id", "agency_id", "addr", "area", "price", price_band.alias("price_band"), around(area_band).alias("area_band"))
-    earlier = rows.where(usable).select(F.col("id").alias("e_id"), "agency_id", "addr", F.col("area").alias("e_area"), F.col("price").alias("e_price"), around(price_band).alias("price_band"), area_band.alias("area_band"))
-    close = (F.abs(F.col("area") - F.col("e_area")) <= AREA_TOLERANCE * F.abs("e_area")) & (F.abs(F.col("price") - F.col("e_price")) <= PRICE_TOLERANCE * F.abs("e_price"))
-    near = later.join(earlier, where).where((F.col("e_id") < F.col("id")) & close).groupBy("id").agg(F.min("e_id").alias("near_id"))
-    status = F.when(F.col("by_ext") | F.col("by_fp"), "duplicate").when(F.col("near_id").isNotNull(), "possible_duplicate").otherwise("new")
-    parent = F.when(F.col("by_ext"), F.col("ext_first")).when(F.col("by_fp"), F.col("fp_first")).otherwise(F.col("near_id"))
-    return rows.join(near, "id", "left").select("id", "agency_id", status.alias("status"), parent.alias("duplicate_of_id"), F.when(F.col("by_ext"), F.col("ext_own")).otherwise(F.col("own")).alias("fingerprint"))
-
-
-def related(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """The stored rows that can bear on decisions about a batch: those of its fingerprints, addresses and external ids, and the rows that share an external id with one of these."""
-    def keys(rows: DataFrame) -> DataFrame:
-        return rows.select("agency_id", F.explode(F.array(
-            F.concat(F.lit("f"), fingerprint(F.col("contact_phone"), F.col("contact_email"), F.col("address"), F.col("area_sqm"), F.col("price_rub"))),
-            F.concat(F.lit("a"), F.nullif(N.address(F.col("address")), F.lit(""))), F.concat(F.lit("e"), F.col("source_channel"), F.lit("\x1f"), F.nullif("source_external_id", F.lit(""))),
-        )).alias("key"), "id").where("key IS NOT NULL")
-
-    own = keys(stored)
-    hit = own.join(keys(batch).select("agency_id", "key").distinct(), ["agency_id", "key"], "left_semi").select("id").distinct()
-    shared = own.where(F.col("key").startswith("e")).join(own.join(hit, "id", "left_semi").select("agency_id", "key").distinct(), ["agency_id", "key"], "left_semi").select("id")
-    return stored.join(hit.unionByName(shared).unionByName(batch.select("id")).distinct(), "id", "left_semi")
-
-
-def _band(column: str, tolerance: float) -> Column:
-    return F.floor(F.log(F.abs(F.col(column))) / -math.log(1 - tolerance))
-
-
-def tally(listings: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows fetched, inserted and doubled of each source; a possible duplicate also counts as inserted."""
-    rows = listings.select("id", "source_channel").join(decided.select("id", "status"), "id")
-    return rows.groupBy("source_channel").agg(
+    prints = rows.where(asks).select("agency_id", F.col("own").alias("ask"), "id")
+    prints = prints if stored is None else prints.unionByName(before("print", "agency_id", F.col("key").alias("ask"), "id"))
+    same = prints.groupBy("agency_id", "ask").agg(F.min("id").alias("fp_first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = _met(rows.withColumn("ask", F.when(asks, F.col("own"))), same, ["agency_id", "ask"])
+    rows = rows.withColumn("by_fp", F.coalesce(F.col("fp_first") < F.col("id"), F.lit(False)))
+    rows = _met(rows.withColumn("addr", F.when(_usable() & ~F.col("by_ext") & ~F.col("by_fp"), F.col("addr"))), nearest(points), point)
+    near = F.when(F.col("low") < F.col("id"), F.col("low"))
+    status = F.when(F.col("by_ext") | F.col("by_fp"), "duplicate").when(near.isNotNull(), "possible_duplicate").otherwise("new")
+    parent = F.when(F.col("by_ext"), F.col("ext_first")).when(F.col("by_fp"), F.col("fp_first")).otherwise(near)
+    return rows.select("id", "agency_id", status.alias("status"), parent.alias("duplicate_of_id"), F.when(F.col("by_ext"), F.col("ext_own")).otherwise(F.col("own")).alias("fingerprint"), *keep, *(["by_ext"] * ruled))
+
+
+#: What is kept of all rows seen: of each external id, fingerprint and point of an address the smallest id.
+FIRSTS = "kind string, agency_id {agency}, source_channel string, key string, area double, price double, id long, own string"
+
+
+def firsts(base: DataFrame, made: DataFrame) -> DataFrame:
+    """FIRSTS of base rows with their decisions (decided() with ruled): at most one row for each key, however often it occurs."""
+    none = lambda kind: F.lit(None).cast(kind)
+    head = ["kind", "agency_id", "source_channel", "key", "area", "price"]
+    rows = base.join(made.select("id", "by_ext"), "id")
+    external = rows.where(F.col("ext").isNotNull()).select(F.lit("external").alias("kind"), "agency_id", "source_channel", F.col("ext").alias("key"), none("double").alias("area"), none("double").alias("price"), "id", "own")
+    prints = rows.where(F.col("own").isNotNull() & ~F.col("by_ext")).select(F.lit("print").alias("kind"), "agency_id", none("string").alias("source_channel"), F.col("own").alias("key"), none("double").alias("area"), none("double").alias("price"), "id", none("string").alias("own"))
+    points = rows.where(_usable()).select(F.lit("address").alias("kind"), "agency_id", none("string").alias("source_channel"), F.col("addr").alias("key"), "area", "price", "id", none("string").alias("own"))
+    return external.unionByName(prints).unionByName(points).groupBy(*head).agg(F.min_by("own", "id").alias("own"), F.min("id").alias("id")).select(*head, "id", "own")
+
+
+def bucket(kind: Column, agency: Column, channel: Column, key: Column, price: Column, buckets: int) -> Column:
+    """Where a row of FIRSTS is stored. A point goes by its address and price band, so a hot address is dealt over its prices."""
+    return F.pmod(F.xxhash64(kind, agency, F.coalesce(channel, F.lit("")), key, F.coalesce(price_band(price), F.lit(0))), F.lit(buckets)).cast("int")
+
+
+def price_band(price: Column) -> Column:
+    """Prices within tolerance lie in the same or in neighbouring bands."""
+    return F.floor(F.log(F.abs(price)) / -math.log(1 - PRICE_TOLERANCE)).cast("long")
+
+
+def asked_buckets(base: DataFrame, buckets: int) -> DataFrame:
+    """(bucket) of all that decisions about base can depend on."""
+    none = F.lit(None).cast("string")
+    near = F.array(*(F.abs(F.col("price")) * F.pow(F.lit(1 - PRICE_TOLERANCE), F.lit(-d)) for d in (-1, 0, 1)))
+    points = base.where(_usable()).select("agency_id", "addr", F.explode(near).alias("price"))
+    kinds = [
+        base.where(F.col("ext").isNotNull()).select(bucket(F.lit("external"), F.col("agency_id"), F.col("source_channel"), F.col("ext"), F.lit(None).cast("double"), buckets).alias("bucket")),
+        base.where(F.col("own").isNotNull()).select(bucket(F.lit("print"), F.col("agency_id"), none, F.col("own"), F.lit(None).cast("double"), buckets).alias("bucket")),
+        points.select(bucket(F.lit("address"), F.col("agency_id"), none, F.col("addr"), F.col("price"), buckets).alias("bucket")),
+    ]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).distinct()
+
+
+def asked_of(stored: DataFrame, base: DataFrame) -> DataFrame:
+    """The rows of FIRSTS that share a key with base."""
+    one = lambda kind, key, channel: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), channel.alias("channel"))
+    keys = base.select("agency_id", F.explode(F.array(one("external", "ext", F.col("source_channel")), one("print", "own", F.lit("")), one("address", "addr", F.lit("")))).alias("k"))
+    keys = keys.select("agency_id", "k.*").where("key IS NOT NULL").distinct()
+    return stored.withColumn("channel", F.coalesce("source_channel", F.lit(""))).join(keys, ["agency_id", "kind", "key", "channel"], "left_semi").drop("channel")
+
+
+def _met(rows: DataFrame, single: DataFrame, key: list[str]) -> DataFrame:
+    """rows with the columns of single, which has one row for each key. Rows whose last key column is null pass by without being moved."""
+    has = F.col(key[-1]).isNotNull()
+    return rows.where(has).join(single, key, "left").unionByName(rows.where(~has), allowMissingColumns=True)
+
+
+def _usable() -> Column:
+    return (F.col("addr") != "") & (F.col("price") != 0) & (F.col("area") != 0)
+
+
+def nearest(rows: DataFrame) -> DataFrame:
+    """(agency_id, addr, area, price, low) of the points that have a near row of smaller id: low is the smallest id within tolerance.
+
+    rows: (id, agency_id, addr, area, price). Rows of one address, area and price are one point, known by its smallest id. The smallest
+    id near a point serves all its rows: it is the parent of each that is larger. An address of up to HOT_POINTS points is
+    compared pair by pair. Others are laid on a grid of logarithms: the cells that are near whatever point of a cell is
+    asked for give their least ids as aggregates, and of the cells at the border only points of a smaller id than that are looked at one by
+    one, so with ids in no special order a hot address costs in proportion to its points.
+    """
+    point = ["agency_id", "addr", "area", "price"]
+    points = cut(rows.groupBy(*point).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "dedup-points")
+    place = ["agency_id", "addr"]
+    several = points.groupBy(*place).agg(F.count(F.lit(1)).alias("points")).where("points > 1")
+    hot = several.where(F.col("points") > HOT_POINTS).select(*place)
+    crowded = not hot.isEmpty()
+    few = points.join(several.where(F.col("points") <= HOT_POINTS).select(*place), place, "left_semi")
+    other = few.select(*place, F.col("area").alias("e_area"), F.col("price").alias("e_price"), F.col("first").alias("e_first"))
+    found = few.join(other, place).where((F.col("e_first") < F.col("first")) & _close()).groupBy(*point).agg(F.min("e_first").alias("low"))
+    if crowded:
+        found = found.unionByName(_nearest_on_grid(points.join(cut(hot, "dedup-hot"), place, "left_semi")))
+    # A point without an earlier one near it still is the parent of its own later rows.
+    own = points.where("n > 1").select(*point, F.col("first").alias("low"))
+    return found.unionByName(own).groupBy(*point).agg(F.min("low").alias("low"))
+
+
+def _close() -> Column:
+    return (F.abs(F.col("area") - F.col("e_area")) <= AREA_TOLERANCE * F.abs("e_area")) & (F.abs(F.col("price") - F.col("e_price")) <= PRICE_TOLERANCE * F.abs("e_price"))
+
+
+def _offsets(tolerance: float, width: float) -> tuple[list[int], list[int]]:
+    """Distances, in cells, of cells all of whose points are near all points of a cell, and of cells that may hold a near one."""
+    low, high, least = -math.log(1 + tolerance), -math.log(1 - tolerance), 1e-9
+    far = range(-math.ceil(1 / width), math.ceil(1 / width) + 1)
+    return [d for d in far if (d - 1) * width >= low + least and (d + 1) * width <= high - least], [d for d in far if (d + 1) * width >= low - least and (d - 1) * width <= high + least]
+
+
+def _nearest_on_grid(points: DataFrame) -> DataFrame:
+    side, at = ["agency_id", "addr", "up", "right"], ["x", "y"]
+    cell = lambda c, width: F.floor(F.log(F.abs(F.col(c))) / width).cast("long")
+    laid = cut(points.withColumns({"up": F.col("area") > 0, "right": F.col("price") > 0, "x": cell("area", CELLS[0]), "y": cell("price", CELLS[1])}), "dedup-grid")
+    cells = laid.groupBy(*side, *at).agg(F.min("first").alias("least"))
+    (in_x, all_x), (in_y, all_y) = _offsets(AREA_TOLERANCE, CELLS[0]), _offsets(PRICE_TOLERANCE, CELLS[1])
+    # The least id of all cells inside: along one side of the grid first, then along the other.
+    moved = lambda rows, c, steps: rows.withColumn(c, F.explode(F.array(*(F.col(c) - d for d in steps))))
+    rows_of = moved(cells, "x", in_x).groupBy(*side, *at).agg(F.min("least").alias("least"))
+    inside = moved(rows_of, "y", in_y).groupBy(*side, *at).agg(F.min("least").alias("low")).join(cells.select(*side, *at), [*side, *at])
+    inside = cut(inside, "dedup-inside")
+    border = [(dx, dy) for dx in all_x for dy in all_y if dx not in in_x or dy not in in_y]
+    step = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in border))).alias("d")
+    asked = inside.select(*side, F.col("x").alias("p_x"), F.col("y").alias("p_y"), "low", step).select(*side, "p_x", "p_y", "low", (F.col("p_x") + F.col("d.dx")).alias("x"), (F.col("p_y") + F.col("d.dy")).alias("y"))
+    asked = asked.join(cells, [*side, *at]).where("least < low")
+    other = laid.select(*side, *at, F.col("area").alias("e_area"), F.col("price").alias("e_price"), F.col("first").alias("e_first"))
+    looked = asked.join(other, [*side, *at]).where("e_first < low").select(*side, F.col("p_x").alias("x"), F.col("p_y").alias("y"), "e_area", "e_price", "e_first")
+    own = ["agency_id", "addr", "area", "price"]
+    met = laid.join(looked, [*side, *at]).where((F.col("e_first") < F.col("first")) & _close()).select(*own, F.col("e_first").alias("low"))
+    by_cell = laid.join(inside, [*side, *at]).where("low < first").select(*own, "low")
+    return met.unionByName(by_cell).groupBy(*own).agg(F.min("low").alias("low"))
+
+
+def tally(decided: DataFrame) -> DataFrame:
+    """Rows fetched, inserted and doubled of each source; a possible duplicate also counts as inserted. decided: decisions() that keep source_channel."""
+    return decided.groupBy("source_channel").agg(
         F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("status") != "duplicate").alias("inserted"),
         F.count_if(F.col("status") == "duplicate").alias("duplicates"), F.count_if(F.col("status") == "possible_duplicate").alias("possible"),
     )

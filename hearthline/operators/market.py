@@ -9,6 +9,9 @@ from hearthline import keywords
 from hearthline.functions.extract import any_keyword
 from hearthline.functions.normalize import _text
 
+from .selection import medians, same
+from .shared import cut
+
 KEYS = ["agency_id", "region", "district", "property_type", "deal_type", "area_band"]
 #: Rungs of the lookup, from specific to general: which keys must match; the others must be null in the benchmark.
 LADDER = (("region", "district", "property_type", "deal_type", "area_band"), ("region", "district", "property_type", "deal_type"), ("region", "property_type", "deal_type", "area_band"), ("region", "property_type", "deal_type"), ("property_type", "deal_type"))
@@ -53,9 +56,11 @@ def benchmarks(segmented: DataFrame, as_of: str, window_days: int = 180, least:
     """Medians of each segment with at least that many priced rows since the window's start; rejected rows, where status tells, are left out."""
     rows = segmented.where(F.coalesce(F.col("status") != "rejected", F.lit(True))) if "status" in segmented.columns else segmented
     rows = rows.where((F.col("updated_at") >= F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(window_days))) & F.col("price").isNotNull() & F.col("area_sqm").isNotNull())
-    return rows.groupBy(*KEYS).agg(
-        F.median("price").alias("median_price"), F.median("price_m2").alias("median_price_m2"), F.count(F.lit(1)).alias("listing_count"), F.min("updated_at").alias("first_at"), F.max("updated_at").alias("last_at")
-    ).where(F.col("listing_count") >= least)
+    # Written narrow, as sizes and medians both read it; a segment of any size is selected from without gathering it.
+    rows = cut(rows.select(*KEYS, "price", "price_m2", "updated_at"), "priced")
+    sized = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("listing_count"), F.min("updated_at").alias("first_at"), F.max("updated_at").alias("last_at")).where(F.col("listing_count") >= least)
+    middle = medians(rows, KEYS, ["price", "price_m2"])
+    return sized.join(middle, same(sized, middle, KEYS)).select(*(sized[k] for k in KEYS), "median_price", "median_price_m2", "listing_count", "first_at", "last_at")
 
 
 def deviations(segmented: DataFrame, bench: DataFrame) -> DataFrame:

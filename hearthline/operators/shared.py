@@ -25,3 +25,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    """(path, its file system)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _path(spark, path)
+    return files.exists(target)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that cut() wrote, once all that was derived from it is written itself."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        target, files = _path(df.sparkSession, path)
+        files.delete(target, True)

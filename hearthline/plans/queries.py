@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from hearthline import keywords
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
 from hearthline.operators import contacts, dedup, discovery, events, graph, identity, market, publish, reports, scoring
-from hearthline.operators.shared import cut
+from hearthline.operators.shared import cut, shared_dir
 from hearthline.sources import listings as S
 from hearthline.sources import payload
+from hearthline.streaming import states
 
 from .listings_view import LISTINGS, listings
 
@@ -83,19 +86,18 @@ dec AS (SELECT e4.id, e4.agency_id, CASE WHEN by_ext OR by_fp THEN 'duplicate' W
 
 @query(f"WITH {DECIDED} SELECT id, agency_id, status, duplicate_of_id, fingerprint FROM dec")
 def dedup_decisions(spark, sf_dir):
-    return dedup.decisions(cut(listings(spark, sf_dir), "listings"))
+    return dedup.decisions(listings(spark, sf_dir))
 
 
 @query(f"""WITH {DECIDED} SELECT source_channel, count(*) AS fetched, count(*) FILTER (status <> 'duplicate') AS inserted, count(*) FILTER (status = 'duplicate') AS duplicates,
 count(*) FILTER (status = 'possible_duplicate') AS possible FROM lv JOIN dec USING (id) GROUP BY 1""")
 def dedup_tally(spark, sf_dir):
-    rows = cut(listings(spark, sf_dir), "listings")
-    return dedup.tally(rows, dedup.decisions(rows))
+    return dedup.tally(dedup.decisions(listings(spark, sf_dir), keep=("source_channel",)))
 
 
 @query(f"WITH {DECIDED} SELECT agency_id, fingerprint, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM dec WHERE fingerprint IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_groups(spark, sf_dir):
-    d = dedup.decisions(cut(listings(spark, sf_dir), "listings")).where("fingerprint IS NOT NULL")
+    d = dedup.decisions(listings(spark, sf_dir)).where("fingerprint IS NOT NULL")
     return d.groupBy("agency_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("n > 1")
 
 
@@ -493,15 +495,26 @@ def field_changes(spark, sf_dir):
     return events.changes(e, ["user_id"], ["event_type", "size", "owner"], ["ts", "event_id"], owner="owner").drop("ts")
 
 
-@query("""WITH x AS (SELECT *, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), y AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, failed ORDER BY k) AS island FROM x),
+_STATES = """WITH x AS (SELECT *, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), y AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, failed ORDER BY k) AS island FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY user_id, failed, island ORDER BY k) AS run FROM y),
-s AS (SELECT *, coalesce(last_value(CASE WHEN failed AND run >= 3 THEN 'paused' WHEN NOT failed AND run >= 2 THEN 'active' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING), 'active') AS state FROM z)
-SELECT event_id, user_id, CAST(run AS INT) AS run, state, CAST(greatest(15, 30 * pow(2, least(CASE WHEN failed THEN run ELSE 0 END, 4))) AS INT) AS next_due FROM s""")
+s AS (SELECT *, coalesce(last_value(CASE WHEN failed AND run >= 3 THEN 'paused' WHEN NOT failed AND run >= 2 THEN 'active' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING), 'active') AS state FROM z)"""
+
+
+@query(_STATES + """ SELECT event_id, user_id, CAST(run AS INT) AS run, state, CAST(greatest(15, 30 * pow(2, least(CASE WHEN failed THEN run ELSE 0 END, 4))) AS INT) AS next_due FROM s""")
 def source_states(spark, sf_dir):
     s = discovery.streaks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
     return s.select("event_id", "user_id", F.col("run").cast("int").alias("run"), "state", discovery.next_due_minutes(F.lit(30), F.when(F.col("failed"), F.col("run")).otherwise(0)).alias("next_due"))
 
 
+@query(_STATES + " SELECT event_id, user_id, failed, CAST(run AS INT) AS run, state FROM s")
+def source_states_stream(spark, sf_dir):
+    """The same states from a stream over the event table, as its files arrive."""
+    path, folder = f"{sf_dir}/event[s].parquet", f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"  # a pattern may stand for a file or a folder
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
+    states.source_states(stream, f"{folder}/rows", f"{folder}/checkpoint", "user_id", "ts", "event_id", F.col("event_type") == "error", "36500 days").awaitTermination()
+    return states.latest_states(spark, f"{folder}/rows").select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "failed", "run", "state")
+
+
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (code IN (401, 403, 429)) AS blocked, count(*) FILTER (code BETWEEN 200 AND 399) AS healthy, count(*) FILTER (NOT (code IN (401, 403, 429) OR code BETWEEN 200 AND 399)) AS failed
 FROM (SELECT event_type, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 500 ELSE 404 END AS code FROM events) GROUP BY 1""")
 def source_health(spark, sf_dir):
