@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +12,8 @@ from hearthline import keywords
 from hearthline.functions import normalize as N
 from hearthline.functions.extract import organisations
 
+from .shared import cut
+
 LEGAL_FORMS = tuple(f.upper() for f in keywords.LEGAL_FORMS)
 
 
@@ -143,13 +144,45 @@ def _ratio(one: str, other: str) -> Column:
     return ratio(one, other)
 
 
-def _band(name: str, least: float) -> Column:
-    """Number of the length band of a name; names that can reach the ratio lie in the same or in neighbouring bands."""
-    return F.floor(F.log(F.length(name)) / math.log(max((2 - least) / least, 1.001) * 1.0001))
+def _tokens(name: Column) -> Column:
+    """The signs of a name as a set: the k-th time that a sign occurs is a token of its own. Names share as many tokens as signs."""
+    signs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1))))
+    return F.transform(signs, lambda c, i: F.concat(c, F.lit("\x1f"), (i - F.array_position(signs, c) + 1).cast("string")))
+
+
+def tokenised(names: DataFrame, on: list[str], least: float, rarity: DataFrame | None = None) -> DataFrame:
+    """Distinct names with tokens, rarest first, and lead: as many of the first ones as a name alike must share one of.
 
+    A ratio of least takes 2 * shared tokens >= least * (both lengths), and a partner is no shorter than least / (2 - least) of a name, so
+    a name of n signs shares n * least / (2 - least) tokens with it. Of two sets in one order that share t tokens, the first n - t + 1 of
+    each have one in common. rarity: (token, n), how often tokens occur; any order is right, the rarest first makes the fewest pairs.
+    """
+    rows = names.select(*on, "name").distinct().withColumn("token", F.explode(_tokens(F.col("name"))))
+    rarity = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")) if rarity is None else rarity
+    rows = rows.join(rarity, "token", "left").groupBy(*on, "name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
+    shared = F.ceil(F.length("name") * least / (2 - least) - 1e-9)
+    return rows.select(*on, "name", F.transform("t", lambda x: x["token"]).alias("tokens")).withColumn("lead", F.slice("tokens", F.lit(1), F.greatest(F.lit(1), (F.length("name") - shared + 1).cast("int"))))
 
-def _near_bands(least: float) -> Column:
-    return F.explode(F.sequence(_band("name", least) - 1, _band("name", least) + 1)).alias("band")
+
+def candidates_alike(ours: DataFrame, theirs: DataFrame, on: list[str], least: float, prefix: int) -> DataFrame:
+    """(on, name, b_name) of the pairs with equal prefixes that can reach the ratio by the signs they share; the comparison of order is left.
+
+    Both sides: tokenised() with one rarity. Pairs meet on a leading token, so a prefix that very many names have is dealt over their rare
+    signs, and most of its pairs are never made. A pair that shares several leading tokens is made at the first.
+    """
+    block = F.left("name", F.lit(prefix)).alias("block")
+    a = ours.select(*on, block, "name", "tokens", "lead", F.explode("lead").alias("token"))
+    b = theirs.select(*on, block, F.col("name").alias("b_name"), F.col("tokens").alias("b_tokens"), F.col("lead").alias("b_lead"), F.explode("lead").alias("token"))
+    pairs = a.join(b, [*on, "block", "token"]).where(_long_enough(least)).where(F.element_at(F.array_intersect("lead", "b_lead"), 1) == F.col("token"))
+    enough = 2 * F.size(F.array_intersect("tokens", "b_tokens")) >= least * (F.length("name") + F.length("b_name")) - 1e-9
+    return pairs.where(enough).select(*on, "name", "b_name")
+
+
+def _rarity(*sides: DataFrame) -> DataFrame:
+    every = sides[0].select("name")
+    for side in sides[1:]:
+        every = every.unionByName(side.select("name"))
+    return cut(every.distinct().select(F.explode(_tokens(F.col("name"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-rarity")
 
 
 def _long_enough(least: float) -> Column:
@@ -162,25 +195,23 @@ def contact_organisations(contacts: DataFrame, organisations_: DataFrame, least:
 
     contacts: (agency_id, contact_key, name); organisations_: (agency_id, name); names normalised. Distinct names are compared.
     """
-    block = F.left("name", F.lit(prefix)).alias("block")
-    named = contacts.where(F.length("name") >= shortest)
-    ours = named.select("agency_id", "name").distinct().select("agency_id", "name", block, _band("name", least).alias("band"))
-    theirs = organisations_.where(F.length("name") >= shortest).distinct().select("agency_id", F.col("name").alias("b_name"), block, _near_bands(least))
-    pairs = ours.join(theirs, ["agency_id", "block", "band"]).where(_long_enough(least)).withColumn("ratio", _ratio("name", "b_name")).where(F.col("ratio") >= least)
+    named, orgs = contacts.where(F.length("name") >= shortest), organisations_.where(F.length("name") >= shortest)
+    rarity, on = _rarity(named, orgs), ["agency_id"]
+    pairs = candidates_alike(tokenised(named, on, least, rarity), tokenised(orgs, on, least, rarity), on, least, prefix).withColumn("ratio", _ratio("name", "b_name")).where(F.col("ratio") >= least)
     return named.join(pairs, ["agency_id", "name"]).select("agency_id", "contact_key", F.col("b_name").alias("organisation"), "ratio", F.least(F.col("ratio"), F.lit(top)).alias("confidence"))
 
 
 def fuzzy_pairs(names: DataFrame, least: float = 0.92, top: float = 0.9, prefix: int = 3, shortest: int = 4) -> DataFrame:
-    """(a_id, b_id, ratio, confidence) of names alike, a_id < b_id, blocked by prefix and length band. names: (id, name), normalised.
+    """(a_id, b_id, ratio, confidence) of names alike, a_id < b_id, with equal prefixes. names: (id, name), normalised.
 
     Equal names need no comparison: their smallest id represents them in the pairs of different names, and each other id has
-    one row of ratio 1 that ties it to that id (its membership). So a block holds distinct names only, and lengths bound the
-    ratio from above, so most pairs of a block never reach the comparison.
+    one row of ratio 1 that ties it to that id (its membership). Of different names, candidates_alike() makes few pairs.
     """
     rows = names.where(F.length("name") >= shortest)
-    kinds = rows.groupBy("name").agg(F.min("id").alias("id")).withColumn("block", F.left("name", F.lit(prefix)))
-    other = kinds.select(F.col("name").alias("b_name"), F.col("id").alias("b_id"), "block", _near_bands(least))
-    pairs = kinds.withColumn("band", _band("name", least)).join(other, ["block", "band"]).where((F.col("id") < F.col("b_id")) & _long_enough(least)).withColumn("ratio", _ratio("name", "b_name")).where(F.col("ratio") >= least)
-    unlike = pairs.select(F.col("id").alias("a_id"), "b_id", "ratio")
+    kinds = cut(rows.groupBy("name").agg(F.min("id").alias("id")), "distinct-names")
+    split = cut(tokenised(kinds, [], least), "name-tokens")
+    ids = lambda n, i: kinds.select(F.col("name").alias(n), F.col("id").alias(i))
+    pairs = candidates_alike(split, split, [], least, prefix).where("name <> b_name").join(ids("name", "a_id"), "name").join(ids("b_name", "b_id"), "b_name")
+    unlike = pairs.where("a_id < b_id").withColumn("ratio", _ratio("name", "b_name")).where(F.col("ratio") >= least).select("a_id", "b_id", "ratio")
     same = rows.join(kinds.select("name", F.col("id").alias("a_id")), "name").where("id > a_id").select("a_id", F.col("id").alias("b_id"), F.lit(1.0).alias("ratio"))
     return unlike.unionByName(same).withColumn("confidence", F.least(F.col("ratio"), F.lit(top)))

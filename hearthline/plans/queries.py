@@ -384,10 +384,31 @@ def auto_leads(spark, sf_dir):
     return _leads(spark, sf_dir).select("id", "agency_id", "contact_key", r6("score"))
 
 
-@query(f"WITH {LEADS}, called AS (SELECT DISTINCT 'phone:+7900' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS contact_key FROM events) SELECT source_channel AS source_key, count(*) AS tasks FROM ready WHERE contact_key LIKE 'phone:%' AND contact_key NOT IN (SELECT contact_key FROM called) GROUP BY 1")
+TASKS = f"""{LEADS}, tasks AS (SELECT id, agency_id, source_channel, contact_phone, contact_email FROM ready WHERE coalesce(contact_phone, '') <> '' AND id % 1009 NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL))"""
+
+
+def _tasks(spark, sf_dir):
+    """Calls to the automatic leads; a lead counts as called if the event table names the rest of its id."""
+    leads = publish.to_leads(_leads(spark, sf_dir), auto_created=True, state="auto_created").withColumn("lead_id", F.col("source_record_id").cast("long"))
+    leads = cut(leads.select("lead_id", "agency_id", "contact_phone", "source_record_id", "auto_created", "lead_state"), "leads")
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("rest")).distinct()
+    calls = leads.join(users, F.col("lead_id") % 1009 == F.col("rest")).select("lead_id")
+    return publish.call_tasks(leads, calls, F.lit(AS_OF).cast("timestamp"))
+
+
+@query(f"WITH {TASKS} SELECT source_channel AS source, count(*) AS tasks FROM tasks GROUP BY 1")
 def call_tasks(spark, sf_dir):
-    calls = table(spark, sf_dir, "events").select(F.concat(F.lit("phone:+7900"), F.lpad(F.col("user_id").cast("string"), 7, "0")).alias("contact_key"))
-    return publish.call_tasks(_leads(spark, sf_dir), calls).groupBy(F.col("source_channel").alias("source_key")).agg(F.count(F.lit(1)).alias("tasks"))
+    return publish.tasks_by_source(_tasks(spark, sf_dir), listings(spark, sf_dir).select("id", "agency_id", F.col("source_channel").alias("source")))
+
+
+@query(f"""WITH {TASKS}, hit AS (SELECT DISTINCT agency_id, 'phone:' || {_strict('contact_phone')} AS contact_key FROM tasks WHERE {_strict('contact_phone')} <> '' UNION SELECT agency_id, 'email:' || lower(trim(contact_email)) FROM tasks WHERE trim(coalesce(contact_email, '')) <> '')
+SELECT agency_id, contact_key, CASE WHEN hit.contact_key IS NULL THEN 'owner_scored' ELSE 'promoted_to_call_center' END AS lifecycle_status, CASE WHEN hit.contact_key IS NOT NULL THEN CAST(epoch(TIMESTAMP '{AS_OF}') AS BIGINT) END AS promoted_at
+FROM (SELECT DISTINCT agency_id, contact_key FROM keyed WHERE contact_key IS NOT NULL) LEFT JOIN hit USING (agency_id, contact_key)""")
+def promoted_identities(spark, sf_dir):
+    rows = listings(spark, sf_dir).select("id", "agency_id", "contact_phone", "contact_email")
+    people = rows.select("agency_id", graph.contact_key(F.col("contact_phone"), F.col("contact_email")).alias("contact_key")).where("contact_key IS NOT NULL").distinct()
+    people = people.withColumns({"lifecycle_status": F.lit("owner_scored"), "promoted_at": F.lit(None).cast("timestamp")})
+    return publish.promoted(people, _tasks(spark, sf_dir), rows, F.lit(AS_OF).cast("timestamp")).withColumn("promoted_at", F.col("promoted_at").cast("long"))
 
 
 @query(f"""WITH {BEHAVIOUR}, {SCORED.removeprefix(DECIDED + ', ')} SELECT keyed.id, round(CAST(sc.score AS DOUBLE), 6) AS score, sc.below_market, round_even(CAST(owner_score AS DOUBLE), 2) AS owner_probability_score, round_even(CAST(confidence AS DOUBLE), 3) AS owner_confidence, round_even(CAST(priority AS DOUBLE), 2) AS owner_priority_score FROM keyed JOIN sc USING (id) LEFT JOIN cl ON cl.agency_id = keyed.agency_id AND cl.contact_key = keyed.contact_key""")
@@ -417,9 +438,28 @@ def listing_deals(spark, sf_dir):
     return publish.to_deals(listings(spark, sf_dir), value=F.when(F.col("id") % 3 == 0, F.col("area_sqm")))
 
 
-@query(f"""WITH {LV} SELECT agency_id, source_channel, source_external_id, min(id) AS id, min_by(coalesce(address, 'Без адреса'), id) AS address, min_by(coalesce(city, 'Не указан'), id) AS city, min_by(coalesce(region_code, 'RU-UDM'), id) AS region_code FROM lv WHERE source_external_id IS NOT NULL GROUP BY 1, 2, 3""")
+_GATE = "length(trim(title)) >= 3 AND (coalesce(address, '') <> '' OR coalesce(city, '') <> '')"
+
+
+def _gated(rows):
+    return rows.where(F.size(publish.gate(F.col("title"), F.col("address"), F.col("city"), F.lit(None).cast("string"))) == 0)
+
+
+@query(f"""WITH {LV}, {SEG}, f AS (SELECT agency_id, source_channel, source_external_id, min(id) AS id FROM seg WHERE {_GATE} GROUP BY 1, 2, 3)
+SELECT f.*, title, description, coalesce(nullif(address, ''), 'Без адреса') AS address, coalesce(nullif(city, ''), 'Не указан') AS city, coalesce(nullif(region_code, ''), 'RU-UDM') AS region_code, CAST(area_sqm AS DOUBLE) AS area_sqm, CAST(price_rub AS DOUBLE) AS price_rub, deal_type, property_type
+FROM f JOIN (SELECT * EXCLUDE (agency_id, source_channel, source_external_id) FROM seg) USING (id)""")
 def new_properties(spark, sf_dir):
-    return publish.new_properties(listings(spark, sf_dir))
+    made = publish.new_properties(_gated(listings(spark, sf_dir)), rules=RULES).drop("latitude", "longitude", "property_id")
+    return made.withColumns({c: F.col(c).cast("double") for c in ("area_sqm", "price_rub")})
+
+
+@query(f"""WITH {LV}, st AS (SELECT *, {_GATE} AS ok, CASE id % 3 WHEN 1 THEN 'published' WHEN 2 THEN 'rejected' END AS stage FROM lv), made AS (SELECT agency_id, count(*) AS n FROM (SELECT DISTINCT agency_id, source_channel, source_external_id FROM st WHERE ok) GROUP BY 1)
+SELECT agency_id, count(*) FILTER (ok AND stage IS DISTINCT FROM 'published') AS published, count(*) FILTER (NOT ok AND stage IS DISTINCT FROM 'rejected') AS rejected, coalesce(any_value(made.n), 0) AS objects_resolved FROM st LEFT JOIN made USING (agency_id) GROUP BY 1""")
+def publish_counters(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    stage = F.when(F.col("id") % 3 == 1, "published").when(F.col("id") % 3 == 2, "rejected")
+    out = publish.published(rows.withColumns({"stage": stage, "status": F.lit("new"), "contact_class": F.lit(None).cast("string")}))
+    return publish.publish_counters(out, publish.new_properties(_gated(rows), rules=RULES).select("agency_id"))
 
 
 _PT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'))"
