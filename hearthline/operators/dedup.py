@@ -72,6 +72,16 @@ def decided(base: DataFrame, stored: DataFrame | None = None, keep: tuple[str, .
 FIRSTS = "kind string, agency_id {agency}, source_channel string, key string, area double, price double, id long, own string"
 
 
+def related(base: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of base_rows() that decisions about some of them (id) can depend on: those that share a key with one, and those that share an external id with these."""
+    keys = F.array(F.concat(F.lit("f"), "own"), F.concat(F.lit("a"), F.nullif("addr", F.lit(""))), F.concat(F.lit("e"), "source_channel", F.lit("\x1f"), "ext"))
+    own = base.select("agency_id", "id", F.explode(keys).alias("key")).where("key IS NOT NULL")
+    near = cut(own.join(own.join(some, "id", "left_semi").select("agency_id", "key").distinct(), ["agency_id", "key"], "left_semi").select("id").distinct(), "related")
+    external = own.where(F.col("key").startswith("e"))
+    by_ext = external.join(external.join(near, "id", "left_semi").select("agency_id", "key").distinct(), ["agency_id", "key"], "left_semi").select("id")
+    return base.join(near.unionByName(by_ext).unionByName(some.select("id")).distinct(), "id", "left_semi")
+
+
 def firsts(base: DataFrame, made: DataFrame) -> DataFrame:
     """FIRSTS of base rows with their decisions (decided() with ruled): at most one row for each key, however often it occurs."""
     none = lambda kind: F.lit(None).cast(kind)

@@ -12,6 +12,7 @@ from hearthline import keywords
 from hearthline.functions import normalize as N
 from hearthline.functions.extract import organisations
 
+from . import dedup
 from .shared import cut
 
 LEGAL_FORMS = tuple(f.upper() for f in keywords.LEGAL_FORMS)
@@ -38,16 +39,41 @@ def keyed(listings: DataFrame, decided: DataFrame, forms=LEGAL_FORMS) -> DataFra
     )
 
 
-def nodes(rows: DataFrame) -> DataFrame:
-    """agency_id, node_type, entity_id, label (the last non-empty one), n_rows. One pass over the listings."""
+def keyed_listings(listings: DataFrame, forms=LEGAL_FORMS, texts: tuple[str, ...] = ()) -> DataFrame:
+    """keyed() with the decisions made on the way: listings are read once, and only keys, measures and the texts asked for are written."""
+    more = [c for c in ("region_code", "city", "price_rub", "area_sqm", "listing_type", "contact_phone", "contact_email", "tier", "contact_class", "contact_name") if c in listings.columns]
+    addr, said = N.address(F.col("address")), F.concat_ws(" ", F.col("title"), F.col("description"))
+    own = {
+        "rest_key": F.concat_ws("|", addr, F.coalesce(F.col("area_sqm").cast("string"), F.lit("")), F.coalesce("listing_type", F.lit(""))), "address_key": F.nullif(addr, F.lit("")), "contact_key": contact_key(F.col("contact_phone"), F.col("contact_email")),
+        "org_keys": F.array_distinct(F.transform(organisations(said, forms), lambda o: N.organisation(o))),
+    }
+    kept = ("source_channel", "created_at", "updated_at", *own, *more, *texts)
+    rows = dedup.decided(cut(dedup.base_rows(listings.withColumns(own), keep=kept), "entities"), keep=kept)
+    return rows.select("id", "agency_id", "created_at", "updated_at", "status", F.coalesce("fingerprint", "rest_key").alias("object_key"), "address_key", "contact_key", F.col("source_channel").alias("source_key"), "org_keys", *more, *texts)
+
+
+def mentions(rows: DataFrame) -> DataFrame:
+    """agency_id, id, node_type, entity_id, label: what each listing names. One pass over the listings."""
     one = lambda kind, key, label: F.array(F.struct(F.lit(kind).alias("node_type"), key.alias("entity_id"), label.alias("label")))
     every = F.concat(
         one("listing", F.col("id").cast("string"), F.col("title")), one("object", F.col("object_key"), F.coalesce("address_key", F.col("title"))), one("address", F.col("address_key"), F.col("address_key")),
         one("contact", F.col("contact_key"), F.col("contact_key")), one("source", F.col("source_key"), F.col("source_key")),
         F.transform("org_keys", lambda o: F.struct(F.lit("organization").alias("node_type"), o.alias("entity_id"), o.alias("label"))),
     )
-    flat = rows.select("agency_id", "id", F.explode(every).alias("n")).select("agency_id", "id", "n.*").where("entity_id IS NOT NULL AND entity_id <> ''")
-    return flat.groupBy("agency_id", "node_type", "entity_id").agg(F.max_by("label", F.when(F.col("label") != "", F.col("id"))).alias("label"), F.count(F.lit(1)).alias("n_rows"))
+    return rows.select("agency_id", "id", F.explode(every).alias("n")).select("agency_id", "id", "n.*").where("entity_id IS NOT NULL AND entity_id <> ''")
+
+
+def nodes(rows: DataFrame) -> DataFrame:
+    """agency_id, node_type, entity_id, label (the last non-empty one), n_rows."""
+    return mentions(rows).groupBy("agency_id", "node_type", "entity_id").agg(F.max_by("label", F.when(F.col("label") != "", F.col("id"))).alias("label"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def snapshots(features: DataFrame, at: Column, stored: DataFrame | None = None) -> DataFrame:
+    """One row for each (tenant, node, feature type): node_type, entity_id, feature_type, payload, computed_at. A new one takes the place of the stored one."""
+    key = ["agency_id", "node_type", "entity_id", "feature_type"]
+    values = [c for c in features.columns if c not in ("agency_id", "contact_key")]
+    new = features.select("agency_id", F.lit("contact").alias("node_type"), F.col("contact_key").alias("entity_id"), F.lit("contact").alias("feature_type"), F.struct(*values).alias("payload"), at.alias("computed_at"))
+    return new if stored is None else new.unionByName(stored.join(new.select(*key), key, "left_anti"))
 
 
 def node_metadata(rows: DataFrame) -> DataFrame:

@@ -38,6 +38,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target, files = _path(spark, path)
+    files.delete(target, True)
+
+
+def escaped(value: str) -> str:
+    """A value as it stands in the name of a partition's folder."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^" or ord(c) < 32 or ord(c) == 127 else c for c in value)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that cut() wrote, once all that was derived from it is written itself."""
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:

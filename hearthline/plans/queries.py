@@ -150,7 +150,7 @@ dev AS (SELECT seg.*, best.rung, best.m AS market_m2, (price_m2 - best.m) / best
 
 def _benchmarks(spark, sf_dir):
     rows = listings(spark, sf_dir).withColumn("status", F.when(F.size(publish.gate(F.col("title"), F.col("address"), F.col("city"), F.lit(None).cast("string"))) > 0, "rejected"))
-    seg = cut(market.segments(rows, RULES), "segments")
+    seg = market.segments(rows, RULES)
     return seg, market.benchmarks(seg, AS_OF)
 
 
@@ -232,18 +232,19 @@ er2 AS (SELECT * FROM er WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND fro
 
 
 def _rows(spark, sf_dir):
-    """The listings with a contact class and a tier, written once."""
+    """The listings with a contact class and a tier."""
     text = F.lower(F.concat_ws(" ", "title", "description"))
     kind = F.lit("unknown_contact")
     for name, words in reversed(CLASSES):
         kind = F.when(X.any_keyword(text, words), name).otherwise(kind)
     hours = scoring.age_hours(F.col("updated_at"), F.lit(AS_OF).cast("timestamp"))
-    return cut(listings(spark, sf_dir).withColumns({"contact_class": kind, "tier": F.when(hours > 720, "archive").otherwise("premium")}), "listings")
+    return listings(spark, sf_dir).withColumns({"contact_class": kind, "tier": F.when(hours > 720, "archive").otherwise("premium")})
 
 
-def _keyed(spark, sf_dir, rows=None):
-    rows = _rows(spark, sf_dir) if rows is None else rows
-    return cut(graph.keyed(rows, dedup.decisions(rows), FORMS), "keyed")
+def _keyed(spark, sf_dir, *texts, rows=None, several=True):
+    """Listings with their keys and these texts; written if several steps read them."""
+    keyed = graph.keyed_listings(_rows(spark, sf_dir) if rows is None else rows, FORMS, texts)
+    return cut(keyed, "keyed") if several else keyed
 
 
 @query(f"""WITH {KEYED}, n AS (SELECT agency_id, id, 'listing' AS node_type, CAST(id AS VARCHAR) AS entity_id, title AS label FROM keyed UNION ALL SELECT agency_id, id, 'object', object_key, coalesce(address_key, title) FROM keyed
@@ -251,18 +252,18 @@ UNION ALL SELECT agency_id, id, 'address', address_key, address_key FROM keyed U
 UNION ALL SELECT agency_id, id, 'organization', o, o FROM (SELECT agency_id, id, unnest(org_keys) AS o FROM keyed))
 SELECT agency_id, node_type, entity_id, max_by(label, id) AS label, count(*) AS n_rows FROM n WHERE entity_id IS NOT NULL GROUP BY 1, 2, 3""")
 def graph_nodes(spark, sf_dir):
-    return graph.nodes(_keyed(spark, sf_dir))
+    return graph.nodes(_keyed(spark, sf_dir, "title", several=False))
 
 
 @query(f"""WITH {KEYED}, {EDGES} SELECT agency_id, edge_type, from_id, to_id, CAST(max(confidence) AS DOUBLE) AS confidence, CAST(epoch(min(created_at)) AS BIGINT) AS first_seen, CAST(epoch(max(updated_at)) AS BIGINT) AS last_seen, count(DISTINCT id) AS evidence_count FROM er2 GROUP BY 1, 2, 3, 4""")
 def graph_edges(spark, sf_dir):
     sec = lambda c: F.col(c).cast("timestamp").cast("long").alias(c)
-    return graph.edges(_keyed(spark, sf_dir)).select("agency_id", "edge_type", "from_id", "to_id", "confidence", sec("first_seen"), sec("last_seen"), "evidence_count")
+    return graph.edges(_keyed(spark, sf_dir, several=False)).select("agency_id", "edge_type", "from_id", "to_id", "confidence", sec("first_seen"), sec("last_seen"), "evidence_count")
 
 
 @query(f"WITH {KEYED}, {EDGES} SELECT DISTINCT agency_id, edge_type, from_id, to_id, id AS source_id, CAST(weight AS DOUBLE) AS weight FROM er2")
 def edge_evidence(spark, sf_dir):
-    return graph.evidence(_keyed(spark, sf_dir))
+    return graph.evidence(_keyed(spark, sf_dir, several=False))
 
 
 FEATURES = """fo AS (SELECT agency_id, contact_key, object_key, count(*) AS n, count(DISTINCT source_channel) AS s FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2, 3),
@@ -318,7 +319,7 @@ cl AS (SELECT *, CASE WHEN platform_score >= 70 THEN 'platform_contact' WHEN own
 
 
 def _identities(spark, sf_dir, keyed=None):
-    keyed = _keyed(spark, sf_dir) if keyed is None else keyed
+    keyed = _keyed(spark, sf_dir, "title", "description") if keyed is None else keyed
     scored = identity.scores(identity.behaviour(keyed, IDENTITY_PACKS, FORMS), graph.contact_features(keyed))
     return cut(identity.explained(identity.priorities(scored, AS_OF)), "identities")
 
@@ -340,7 +341,7 @@ def owner_explanations(spark, sf_dir):
 
 @query(f"WITH {BEHAVIOUR} SELECT keyed.agency_id, keyed.contact_key, keyed.id, round_even(CAST(owner_score AS DOUBLE), 2) AS owner_intel_score, round_even(CAST(priority AS DOUBLE), 2) AS owner_intel_priority_score, contact_class AS owner_intel_class, {_BUCKET} AS owner_intel_priority FROM keyed JOIN cl USING (agency_id, contact_key)")
 def identity_links(spark, sf_dir):
-    keyed = _keyed(spark, sf_dir)
+    keyed = _keyed(spark, sf_dir, "title", "description")
     return identity.links(keyed, _identities(spark, sf_dir, keyed)).drop("owner_intel_confidence", "owner_intel_summary")
 
 
@@ -368,8 +369,8 @@ ready AS (SELECT keyed.*, sc.score, sc.below_market, cl.owner_score FROM keyed J
 
 
 def _leads(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    keyed = _keyed(spark, sf_dir, rows)
+    rows = cut(_rows(spark, sf_dir), "listings")
+    keyed = _keyed(spark, sf_dir, "title", "description", rows=rows)
     people = _identities(spark, sf_dir, keyed).select("agency_id", "contact_key", "owner_score")
     seg = market.segments(rows.withColumn("status", F.when(F.size(publish.gate(F.col("title"), F.col("address"), F.col("city"), F.lit(None).cast("string"))) > 0, "rejected")), RULES)
     scored = scoring.lead_scores(market.deviations(seg, market.benchmarks(seg, AS_OF)).drop("status").join(keyed.select("id", "status"), "id"), AS_OF, PACKS).select("id", "score", "below_market")
@@ -413,8 +414,7 @@ def promoted_identities(spark, sf_dir):
 
 @query(f"""WITH {BEHAVIOUR}, {SCORED.removeprefix(DECIDED + ', ')} SELECT keyed.id, round(CAST(sc.score AS DOUBLE), 6) AS score, sc.below_market, round_even(CAST(owner_score AS DOUBLE), 2) AS owner_probability_score, round_even(CAST(confidence AS DOUBLE), 3) AS owner_confidence, round_even(CAST(priority AS DOUBLE), 2) AS owner_priority_score FROM keyed JOIN sc USING (id) LEFT JOIN cl ON cl.agency_id = keyed.agency_id AND cl.contact_key = keyed.contact_key""")
 def rescored_listings(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    keyed = _keyed(spark, sf_dir, rows)
+    keyed = _keyed(spark, sf_dir, "title", "description")
     seg, bench = _benchmarks(spark, sf_dir)
     scored = scoring.lead_scores(market.deviations(seg, bench).drop("status").join(keyed.select("id", "status"), "id"), AS_OF, PACKS)
     return scoring.with_owner(scored, identity.links(keyed, _identities(spark, sf_dir, keyed))).select("id", r6("score"), "below_market", "owner_probability_score", "owner_confidence", "owner_priority_score")
@@ -423,8 +423,8 @@ def rescored_listings(spark, sf_dir):
 @query(f"WITH {KEYED} SELECT id, CASE WHEN reasons = '' THEN 'published' ELSE 'rejected' END AS stage, CASE WHEN reasons = '' THEN status ELSE 'rejected' END AS status, reasons FROM (SELECT id, status, concat_ws(',', CASE WHEN length(trim(title)) < 3 THEN 'missing_title' END, CASE WHEN coalesce(address, '') = '' AND coalesce(city, '') = '' THEN 'missing_location' END, CASE WHEN said_class IN ('platform_contact', 'support_contact') THEN 'invalid_contact' END) AS reasons FROM keyed)")
 def published_listings(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    decided = dedup.decisions(rows).select("id", "status")
-    return publish.published(rows.withColumn("stage", F.lit("raw")).join(decided, "id")).select("id", "stage", "status", F.array_join("reasons", ",").alias("reasons"))
+    decided = dedup.decisions(rows, keep=("title", "address", "city", "contact_class"))
+    return publish.published(decided.withColumn("stage", F.lit("raw"))).select("id", "stage", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"WITH {LV} SELECT CAST(id AS VARCHAR) AS source_record_id, agency_id, title, CASE source_channel WHEN 'repost' THEN 'Telegram' ELSE 'Не выбрано' END AS lead_source, 'new_lead' AS status, 'active' AS lead_state, 'converted_to_lead' AS listing_status FROM lv")
@@ -610,7 +610,7 @@ def kpi_summary(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "missed").otherwise("answered").alias("status"), F.when(F.col("value") >= 10, "completed").alias("transcript_status"))
     leads = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("status"))
     deals = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value_rub"))
-    found = reports.kpis(dedup.decisions(cut(listings(spark, sf_dir), "listings")), calls, leads, deals, SEGMENTS, ORDER_STATUSES, ("O", "P"))
+    found = reports.kpis(dedup.decisions(listings(spark, sf_dir)), calls, leads, deals, SEGMENTS, ORDER_STATUSES, ("O", "P"))
     return found.withColumn("pipeline_value_rub", F.round("pipeline_value_rub", 0))
 
 
@@ -618,22 +618,24 @@ def kpi_summary(spark, sf_dir):
 AND dec.status IN ('duplicate', 'possible_duplicate') AND (coalesce(address, '') <> '' OR coalesce(city, '') <> '') AND (title ILIKE '%small%' OR description ILIKE '%small%' OR listing_type ILIKE '%small%' OR address ILIKE '%small%' OR district ILIKE '%small%' OR city ILIKE '%small%' OR contact_phone ILIKE '%small%' OR contact_email ILIKE '%small%'))
 SELECT id, title, city, price_rub, status, total, CAST(least(2, greatest(1, ceil(total / 20))) AS INT) AS page, CAST(greatest(1, ceil(total / 20)) AS INT) AS pages FROM f QUALIFY row_number() OVER (ORDER BY price_rub DESC NULLS LAST, updated_at DESC, id DESC) BETWEEN (least(2, greatest(1, ceil(total / 20))) - 1) * 20 + 1 AND least(2, greatest(1, ceil(total / 20))) * 20""")
 def paged_search(spark, sf_dir):
-    rows = cut(listings(spark, sf_dir), "listings")
+    # What a row says about itself is asked first; only the rows found, and those that bear on them, are decided.
     stage = F.when(F.size(publish.gate(F.col("title"), F.col("address"), F.col("city"), F.lit(None).cast("string"))) == 0, "published")
-    rows = rows.join(dedup.decisions(rows).select("id", "status"), "id").withColumn("pipeline_status", stage)
-    found = cut(reports.search(rows, "small", listing_type="sale", region="a", updated_from="1998-01-01", updated_to="1999-12-31", duplicates_only=True), "found")
+    rows = listings(spark, sf_dir).withColumn("pipeline_status", stage)
+    own = cut(reports.search(rows, "small", listing_type="sale", region="a", updated_from="1998-01-01", updated_to="1999-12-31").select("id", "title", "city", "price_rub", "updated_at"), "found")
+    decided = dedup.decided(cut(dedup.related(cut(dedup.base_rows(rows), "dedup-rows"), own.select("id")), "dedup-related"))
+    found = cut(reports.search(own.join(decided.select("id", "status"), "id"), duplicates_only=True, published_only=False), "found")
     items, total, page, pages = reports.paged(found, [F.desc_nulls_last("price_rub"), F.desc("updated_at"), F.desc("id")], page=2)
     return items.select("id", "title", "city", "price_rub", "status", F.lit(total).cast("long").alias("total"), F.lit(page).alias("page"), F.lit(pages).alias("pages"))
 
 
 @query(f"WITH {KEYED} SELECT agency_id, contact_key, object_key, count(*) AS count, CAST(epoch(max(updated_at)) AS BIGINT) AS last_seen, arg_max(area_sqm, struct_pack(t := updated_at, i := -id)) AS area_sqm FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2, 3")
 def contact_objects(spark, sf_dir):
-    return reports.contact_objects(_keyed(spark, sf_dir)).select("agency_id", "contact_key", "object_key", "count", F.col("last_seen").cast("timestamp").cast("long").alias("last_seen"), "area_sqm")
+    return reports.contact_objects(_keyed(spark, sf_dir, several=False)).select("agency_id", "contact_key", "object_key", "count", F.col("last_seen").cast("timestamp").cast("long").alias("last_seen"), "area_sqm")
 
 
 @query(f"WITH {KEYED} SELECT agency_id, contact_key, strftime(updated_at, '%Y-%m-%d') AS date, count(*) AS count FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY agency_id, contact_key ORDER BY date DESC) <= 30")
 def contact_timeline(spark, sf_dir):
-    return reports.contact_timeline(_keyed(spark, sf_dir))
+    return reports.contact_timeline(_keyed(spark, sf_dir, several=False))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50")
@@ -682,7 +684,7 @@ def duplicate_relations(spark, sf_dir):
   UNION ALL SELECT agency_id, id, 'object', object_key, 'listing_type', listing_type FROM keyed UNION ALL SELECT agency_id, id, 'address', address_key, 'city', city FROM keyed UNION ALL SELECT agency_id, id, 'contact', contact_key, 'contact_key', contact_key FROM keyed)
 SELECT agency_id, node_type, entity_id, key, arg_max(value, id) AS value FROM n WHERE entity_id <> '' AND value <> '' GROUP BY 1, 2, 3, 4""")
 def node_metadata(spark, sf_dir):
-    found = graph.node_metadata(_keyed(spark, sf_dir))
+    found = graph.node_metadata(_keyed(spark, sf_dir, "title", several=False))
     return found.where(F.struct("node_type", "key").isin(*(F.struct(F.lit(a), F.lit(b)) for a, b in (("listing", "status"), ("listing", "source_channel"), ("object", "address"), ("object", "listing_type"), ("address", "city"), ("contact", "contact_key")))))
 
 
@@ -725,7 +727,7 @@ def fuzzy_names(spark, sf_dir):
 
 @query()
 def contact_detail(spark, sf_dir):
-    return graph.contact_detail(_keyed(spark, sf_dir))
+    return graph.contact_detail(_keyed(spark, sf_dir, "title"))
 
 
 CONTACT_PACKS = {"owner": ("small",), "agent": ("la ",), "hint": ("the",), "support": ("license",), "ads": ("idiot",), "prefixes": ("a", "b")}

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
 
+from hearthline.operators.shared import escaped, remove
+
 from . import payload
 
 _CANDIDATE = "struct<seq:int,type:string,normalized:string,value:string,location:string,contact_class:string,confidence:double,reasons:array<string>>"
@@ -161,9 +163,17 @@ def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumns({"payload": F.map_concat(own, given), "parser_source_id": first}).drop("__id", "__name", "__url")
 
 
-def refresh(rows: DataFrame, path: str, partition: str = "agency_id") -> None:
-    """Replaces the tenants that rows hold and leaves the others."""
+def refresh(rows: DataFrame, path: str, partition: str = "agency_id", tenants: Iterable | None = None) -> None:
+    """Replaces the rows of the run's tenants and leaves those of others. tenants: those of the run; without them, those that rows hold.
+
+    A tenant of the run without rows ends with none. Its folder is emptied after the others are written.
+    """
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    if tenants is not None:
+        named = {None if t is None else str(t) for t in tenants}
+        have = {None if r[0] is None else str(r[0]) for r in rows.select(partition).distinct().where(F.col(partition).cast("string").isin(*(named - {None})) | F.col(partition).isNull()).collect()}
+        for tenant in named - have:
+            remove(rows.sparkSession, f"{path}/{partition}={'__HIVE_DEFAULT_PARTITION__' if tenant is None else escaped(tenant)}")
 
 
 def append_new(rows: DataFrame, stored: DataFrame, path: str, key: list[str]) -> None:

@@ -115,12 +115,16 @@ def test_owner_scores_by_hand(spark):
     r = identity.explained(identity.priorities(identity.scores(identity.behaviour(rows), graph.contact_features(rows)), "2024-01-01 12:00:00")).first()
     # 50 + 25 + 15 + 10 + 10 + 8 + 5 + 3 + 4 + 8 + 8 + 5 passes 100; per_month is 30, so no 5 for rare publishing; spread 1 gives no 12.
     assert r.owner_score == 100.0 and r.agent_score == 60.0 and r.platform_score == 0.0 and (r.contact_class, r.display_name) == ("owner_candidate", "Ann")
+    assert r.owner_signals == ["только 1 объявление", "объявления в одной локации", "один объект", "география ограничена", "один источник", "фразы собственника в тексте", "контакт помечен как собственник"]
+    assert r.explanation.agent_signals == ["высокая частота публикаций"] and r.explanation.graph_signals == ["высокая концентрация на одном объекте"] and r.explanation.graph_features.g_spread == 1.0
     assert r.confidence == pytest.approx(0.6) and r.priority == 60 + 20 + 10 and r.priority_bucket == "hot" and r.explanation.graph.max_object_cluster == 1
     many = keyed(spark, [{"description": "агент ооо ромашка", "object_key": f"o{k % 9}", "region_code": f"R{k}", "city": f"C{k}", "source_key": f"s{k % 3}", "status": "duplicate", "contact_class": "support_contact"} for k in range(12)])
     m = identity.scores(identity.behaviour(many), graph.contact_features(many)).first()
     assert (m.repost_rate, m.template_ratio, m.organisations, m.platform_share) == (1.0, pytest.approx(11 / 12), 1, 1.0) and m.organizations == ["ООО ромашка"]
     # Owner: 50 - 20 - 8 - 8 - 15 - 20; agent: everything but the few-objects rules, less 10, is beyond 100.
     assert (m.owner_score, m.agent_score, m.platform_score, m.contact_class) == (0.0, 100.0, 80.0, "platform_contact")
+    assert m.agent_signals == ["много объявлений", "много разных адресов", "много разных объектов", "широкая география", "много источников", "частые репосты", "шаблонные описания", "высокая частота публикаций", "агентские фразы в тексте"]
+    assert m.owner_signals == [] and m.graph_signals[0] == "хаб-поведение"
     assert identity.filtered(spark.createDataFrame([(1, "owner_candidate", 50.0, 1, 0.2), (2, "unknown", 90.0, 1, 0.0), (3, "owner_candidate", 80.0, 2, 0.3)], "id int, contact_class string, owner_score double, listings int, repost_rate double"), least_score=50, single_listing=True, low_competition=True).count() == 1
 
 
