@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, discard, whole_text
 
 # The base patterns, in the order in which kinds are listed, each with the least length of what it must find.
 BASE = {
@@ -73,8 +73,17 @@ def identifiers(docs: DataFrame) -> list[str]:
                     n.clear()
         yield counts()
 
-    total = whole_text(docs).select("text").mapInPandas(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r["name"] for r in total.orderBy(F.desc("n"), "name").limit(NAMES).collect()]
+    total = cut(whole_text(docs).select("text").mapInPandas(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"), "identifiers")
+    # Each task of a top-k sends k rows; with the names below the likely least count gone first, few more than NAMES go to the driver.
+    step = F.floor(F.log2("n") * 8)
+    least, more = 0, NAMES
+    for r in total.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("names")).orderBy(F.desc("step")).collect():  # at most 512 rows
+        least, more = r["step"], more - r["names"]
+        if more <= 0:
+            break
+    found = [r["name"] for r in total.where(step >= least).orderBy(F.desc("n"), "name").limit(NAMES).collect()]
+    discard(total)
+    return found
 
 
 def primer(names: list[str]) -> bytes:
