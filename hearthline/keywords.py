@@ -15,6 +15,11 @@ PROPERTY_RULES = (("warehouse", ("склад",)), ("office", ("офис",)), ("i
 RENT, SALE = ("аренд",), ("продаж",)
 AREA_BANDS = ((0, 10, "до 10"), (10, 30, "10-30"), (30, 80, "30-80"), (80, 150, "80-150"), (150, 300, "150-300"), (300, 500, "300-500"), (500, 800, "500-800"), (800, 1000, "800-1000"), (1000, 1500, "1000-1500"), (1500, 2000, "1500-2000"), (2000, 10_000_000, "2000+"))
 EDGE_CONFIDENCE = {"contact_to_listing": 0.9, "listing_to_object": 0.8, "object_to_address": 0.7, "contact_to_organization": 0.6, "organization_to_object": 0.6, "contact_to_address": 0.6, "listing_to_source": 0.7}
+# Words that sources are searched by.
+SEARCH_PACK = (
+    "аренда офиса", "аренда склада", "продажа коммерческой недвижимости", "помещение свободного назначения", "торговое помещение", "бизнес-центр", "складской комплекс",
+    "собственник", "без комиссии", "продажа здания", "индустриальная недвижимость", "производственное помещение",
+)
 SEARCH_HOSTS = ("duckduckgo.com", "yandex.ru", "yandex.kz", "google.com", "bing.com")
 # Crawled pages: words of the trade, hints in the address of a listing, and the words that tell kinds of sources apart, in the order of the rules.
 COMMERCIAL = ("коммерческ", "недвижим", "офис", "склад", "торгов", "помещен", "аренд", "продаж", "бизнес-центр", "бц", "warehouse", "office", "retail", "industrial")

@@ -11,14 +11,15 @@ from hearthline import keywords
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
 
+from .shared import cut
 
 #: Signs of a page's text that are scored, and links of a page that are followed.
 TEXT_CAP, LINK_CAP = 15_000, 120
 DATE = r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b"
 
 
-def page_scores(pages: DataFrame, words: Iterable[str] = keywords.COMMERCIAL, hints: Iterable[str] = keywords.LISTING_HINTS, card: str = r"""class="[^"]*\b(?:card|item|listing|offer|object|product)\b""", kinds=keywords.SOURCE_KINDS) -> DataFrame:
-    """page_id, url, domain, four scores of at most 100, template and kind. words: of the trade; hints: in a listing's address; card: pattern of a listing card."""
+def page_scores(pages: DataFrame, words: Iterable[str] = keywords.COMMERCIAL, hints: Iterable[str] = keywords.LISTING_HINTS, card: str | None = None, kinds=keywords.SOURCE_KINDS) -> DataFrame:
+    """page_id, url, domain, four scores of at most 100, template and kind. words: of the trade; hints: in a listing's address; card: pattern of a listing card, else elements of one of the classes CARDS."""
     text = F.left(X.page_text(F.col("html")), F.lit(TEXT_CAP))
     link = F.transform(X.links(F.col("html")), lambda h: X.resolve_link(F.col("url"), h))
     rows = pages.select("page_id", "url", "html", N.domain(F.col("url")).alias("domain"), text.alias("text"), F.size(F.filter(link, lambda x: X.hint_count(x, hints) > 0)).alias("listed"))
@@ -26,18 +27,41 @@ def page_scores(pages: DataFrame, words: Iterable[str] = keywords.COMMERCIAL, hi
     capped = lambda c: F.least(F.lit(100), c).cast("int")
     return rows.select(
         "page_id", "url", "domain", capped(10 * X.hint_count(F.col("text"), words) + 2 * F.col("listed")).alias("relevance"), capped(4 * F.col("listed")).alias("density"), capped(40 * contacts).alias("richness"),
-        capped(20 * F.regexp_count("text", F.lit(DATE))).alias("updates"), template_match(F.col("html"), F.regexp_count("html", F.lit(card))).alias("template"), source_kind(F.col("domain"), F.col("text"), kinds).alias("kind"),
+        capped(20 * F.regexp_count("text", F.lit(DATE))).alias("updates"), template_match(F.col("html"), card_count(F.col("html")) if card is None else F.regexp_count("html", F.lit(card))).alias("template"), source_kind(F.col("domain"), F.col("text"), kinds).alias("kind"),
     )
 
 
-def template_match(html: Column, cards: Column) -> Column:
-    """How surely a page follows a known template; 0 below the acceptance threshold."""
+# Classes of listing cards, and the keys of the two templates.
+CARDS = ("card", "item", "listing", "offer", "object", "product")
+MARKED, GRID = "jsonld_listing", "listing_grid_basic"
+
+
+def card_count(html: Column, names: Iterable[str] = CARDS) -> Column:
+    """Elements whose class list holds one of the names, as whole words in their own case, whatever quotes the list has."""
+    lists = F.transform(X.all_matches(html, r"""<[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>"""), lambda tag: F.regexp_extract(tag, r"""(?is)\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1))
+    return F.size(F.filter(lists, lambda v: F.arrays_overlap(F.split(F.trim(F.regexp_replace(v, "[\"'\\s]+", " ")), " "), F.array(*map(F.lit, names)))))
+
+
+def _evidence(html: Column, cards: Column) -> tuple[Column, Column]:
     low = F.lower(html)
     marked = F.contains(low, F.lit("application/ld+json")) & (F.contains(low, F.lit("offer")) | F.contains(low, F.lit("realestate")))
-    best = F.greatest(F.when(marked, 0.85).otherwise(0.0), F.when(cards >= 6, 0.7).when(cards >= 3, 0.5).otherwise(0.0))
+    return F.when(marked, 0.85).otherwise(0.0), F.when(cards >= 6, 0.7).when(cards >= 3, 0.5).otherwise(0.0)
+
+
+def template_match(html: Column, cards: Column) -> Column:
+    """How surely a page follows a known template; 0 below the acceptance threshold."""
+    best = F.greatest(*_evidence(html, cards))
     return F.when(best >= 0.55, best).otherwise(0.0)
 
 
+def template_choice(html: Column, cards: Column, known: Iterable[str] = (MARKED, GRID)) -> Column:
+    """(template, score): the template that a page is closest to; null and 0 where nothing points to one or where it is not known."""
+    marked, grid = _evidence(html, cards)
+    key = F.when(marked >= grid, MARKED).otherwise(GRID)
+    sure = (F.greatest(marked, grid) > 0) & key.isin(*known)
+    return F.struct(F.when(sure, key).alias("template"), F.when(sure, F.greatest(marked, grid)).otherwise(0.0).alias("score"))
+
+
 def source_kind(domain: Column, text: Column, kinds=keywords.SOURCE_KINDS) -> Column:
     """Kind of a source: channels by their host, then the first kind whose words or host sign occur."""
     low, by_host = F.lower(text), {"auction": F.contains(domain, F.lit("bankrot")), "government": domain.endswith(".gov.ru")}
@@ -121,12 +145,72 @@ def next_due_minutes(base: Column, failures: Column) -> Column:
     return F.greatest(F.lit(15), base * F.pow(F.lit(2), F.least(failures, F.lit(4)))).cast("int")
 
 
-def seeds(*parts: DataFrame, cap: int = 50) -> DataFrame:
-    """(seed, kind, priority) of all parts, the best cap of them."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("seed").agg(F.max_by("kind", F.struct("priority", "kind")).alias("kind"), F.max("priority").alias("priority")).orderBy(F.desc("priority"), "seed").limit(cap)
+# Where seeds come from, in the order in which equal priorities are taken, with the priority that an origin gives.
+ORIGINS = {"manual": None, "active_source": 80, "active_source_domain": 65, "keyword_pack": 60, "parser_results": 55, "frontier": None}
+RECENT_DAYS, RECENT_ROWS, CLAIMED, SEED_REGION = 30, 400, 50, "RU-UDM"
+
+
+def enqueue(frontier_: DataFrame, found: DataFrame, first_id: int = 0) -> DataFrame:
+    """The frontier after a run found links: url, domain, priority, status, id, last_checked_at. A known url keeps its row and the higher priority.
+
+    found: url, domain, priority. New urls get ids that differ from all stored ones and grow with first_id, the number of ids given before.
+    """
+    best = found.groupBy("url").agg(F.max("priority").alias("found"), F.min("domain").alias("found_domain"))
+    rows = frontier_.join(best, "url", "full")
+    fresh = F.lit(first_id) + F.pmod(F.xxhash64("url"), F.lit(1 << 40))
+    return rows.select(
+        "url", F.coalesce("domain", "found_domain").alias("domain"), F.greatest("priority", "found").alias("priority"), F.coalesce("status", F.lit("new")).alias("status"), F.coalesce("id", fresh).alias("id"), "last_checked_at"
+    )
+
+
+def claim(frontier_: DataFrame, at: Column, n: int = CLAIMED) -> tuple[DataFrame, DataFrame]:
+    """(the n new links of the highest priority, the frontier with these in processing). Of equal priorities the later id comes first.
+
+    The links claimed are n rows, written before the state changes, so that both results speak of the same ones.
+    """
+    best = frontier_.where("status = 'new'").orderBy(F.desc("priority"), F.desc("id")).limit(n)
+    best = cut(best.select("id", "url", "domain", "priority"), "claimed")
+    rows = frontier_.join(F.broadcast(best.select("id", F.lit(True).alias("taken"))), "id", "left")
+    taken = F.coalesce("taken", F.lit(False))
+    after = rows.select("url", "domain", "priority", F.when(taken, "processing").otherwise(F.col("status")).alias("status"), "id", F.when(taken, at).otherwise(F.col("last_checked_at")).alias("last_checked_at"))
+    return best, after
+
+
+def settle(frontier_: DataFrame, done: DataFrame) -> DataFrame:
+    """The frontier after pages were read. done: id, failed; a page that could not be read ends in error, others are processed."""
+    of = done.groupBy("id").agg(F.max("failed").alias("failed"))
+    rows = frontier_.join(of, "id", "left")
+    return rows.select("url", "domain", "priority", F.when(F.col("failed"), "error").when(~F.col("failed"), "processed").otherwise(F.col("status")).alias("status"), "id", "last_checked_at")
+
+
+def seeds(manual: DataFrame, sources: DataFrame, results: DataFrame, claimed: DataFrame, as_of: Column, cap: int = 50, words: Iterable[str] = keywords.SEARCH_PACK, auto: bool = True) -> DataFrame:
+    """seed_type, value, priority, region, seed_origin, frontier_id, rank of a run: the cap seeds of the highest priority, of all six origins.
+
+    manual: id, seed_type, value, priority, region, enabled; sources: id, source_url, region_code, is_active; results: id, raw_url,
+    created_at; claimed: of claim(). Equal priorities go by origin, then by id; a domain named by several results is a seed each time. Each
+    origin hands on no more than cap rows, so only a few hundred are ordered together.
+    """
+    c, none = F.col, lambda kind: F.lit(None).cast(kind)
+    def part(rows: DataFrame, origin: str, kind: Column, value: Column, given: Column, region: Column, order: Column, frontier_id: Column | None = None) -> DataFrame:
+        turn = F.lit(list(ORIGINS).index(origin))
+        out = rows.select(kind.alias("seed_type"), value.alias("value"), given.cast("int").alias("priority"), region.alias("region"), F.lit(origin).alias("seed_origin"), (none("long") if frontier_id is None else frontier_id.cast("long")).alias("frontier_id"), turn.alias("turn"), order.cast("long").alias("at"))
+        return out.where("value IS NOT NULL AND value <> ''").orderBy(F.desc("priority"), "at").limit(cap)
+    out = part(manual.where("enabled"), "manual", c("seed_type"), c("value"), F.coalesce("priority", F.lit(0)), c("region"), c("id"))
+    if auto:
+        active, given = sources.where("is_active"), lambda origin: F.lit(ORIGINS[origin])
+        since = as_of - F.make_dt_interval(F.lit(RECENT_DAYS))
+        recent = results.where((c("created_at") >= since) & c("raw_url").isNotNull()).orderBy("id").limit(RECENT_ROWS)
+        pack = manual.sparkSession.createDataFrame(list(enumerate(words)), "id int, word string")
+        for more in (
+            part(active, "active_source", F.lit("url"), c("source_url"), given("active_source"), c("region_code"), c("id")),
+            part(active, "active_source_domain", F.lit("domain"), N.domain(c("source_url")), given("active_source_domain"), c("region_code"), c("id")),
+            part(pack, "keyword_pack", F.lit("keyword"), c("word"), given("keyword_pack"), F.lit(SEED_REGION), c("id")),
+            part(recent, "parser_results", F.lit("domain"), N.domain(c("raw_url")), given("parser_results"), F.lit(SEED_REGION), c("id")),
+            part(claimed, "frontier", F.lit("url"), c("url"), c("priority"), F.lit(SEED_REGION), -c("id"), c("id")),
+        ):
+            out = out.unionByName(more)
+    first = Window.orderBy(F.desc("priority"), "turn", "at")  # at most cap rows of each origin
+    return out.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= cap).drop("turn", "at")
 
 
 def due(sources: DataFrame, as_of: Column, high_priority: bool = False) -> DataFrame:

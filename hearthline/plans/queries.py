@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from hearthline import keywords
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
-from hearthline.operators import contacts, dedup, discovery, events, graph, identity, market, publish, reports, scoring
+from hearthline.operators import contacts, dedup, discovery, events, graph, identity, incremental, market, publish, reports, scoring, text_index
 from hearthline.operators.shared import cut, shared_dir
 from hearthline.sources import listings as S
-from hearthline.sources import payload
+from hearthline.sources import payload, selectors
 from hearthline.streaming import states
 
 from .listings_view import LISTINGS, listings
@@ -261,6 +261,17 @@ def graph_edges(spark, sf_dir):
     return graph.edges(_keyed(spark, sf_dir, several=False)).select("agency_id", "edge_type", "from_id", "to_id", "confidence", sec("first_seen"), sec("last_seen"), "evidence_count")
 
 
+@query(f"""WITH {KEYED}, {EDGES} SELECT agency_id, edge_type, from_id, to_id, CAST(max(confidence) AS DOUBLE) AS confidence, CAST(epoch(min(created_at)) AS BIGINT) AS first_seen, CAST(epoch(max(updated_at)) AS BIGINT) AS last_seen, count(DISTINCT id) AS evidence_count FROM er2 GROUP BY 1, 2, 3, 4""")
+def graph_edges_by_increments(spark, sf_dir):
+    """The same edges from two increments of listings, a tenth of which come twice."""
+    keyed, path = _keyed(spark, sf_dir, "title"), f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("id"), F.lit(10))
+    for rows in (keyed.where(part < 6), keyed.where(part >= 5)):
+        incremental.merge_graph(path, rows, buckets=16)
+    sec = lambda c: F.col(c).cast("timestamp").cast("long").alias(c)
+    return incremental.read(spark, f"{path}/edges").select("agency_id", "edge_type", "from_id", "to_id", "confidence", sec("first_seen"), sec("last_seen"), "evidence_count")
+
+
 @query(f"WITH {KEYED}, {EDGES} SELECT DISTINCT agency_id, edge_type, from_id, to_id, id AS source_id, CAST(weight AS DOUBLE) AS weight FROM er2")
 def edge_evidence(spark, sf_dir):
     return graph.evidence(_keyed(spark, sf_dir, several=False))
@@ -339,6 +350,18 @@ def owner_explanations(spark, sf_dir):
     return _identities(spark, sf_dir).select("agency_id", "contact_key", e["behaviour"]["span_days"].alias("span_days"), r6("per_month"), e["text_signals"]["owner_hits"].alias("owner_hits"), e["text_signals"]["urgency_hits"].alias("urgency_hits"), e["graph"]["max_object_cluster"].alias("most_object"), e["graph"]["hub_score"].alias("hub_score"), e["priority_score"].alias("priority_score"))
 
 
+def _said(side: str) -> str:
+    """The labels of one side as SQL over the columns of b."""
+    named = lambda c: c.replace("organisations", "orgs").replace("g_concentration", "g_one").replace("g_cross_source", "g_cross")
+    rules = ("CASE " + " ".join(f"WHEN {named(c)} THEN {repr(label) if where == side else 'NULL'}" for c, _, _, where, label in steps) + " END" for steps in identity.RULES)
+    return f"array_to_string(list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL), ';') AS {side}_signals"
+
+
+@query(f"WITH {BEHAVIOUR} SELECT agency_id, contact_key, {_said('owner')}, {_said('agent')}, {_said('graph')} FROM cl")
+def owner_signals(spark, sf_dir):
+    return _identities(spark, sf_dir).select("agency_id", "contact_key", *(F.array_join(f"{k}_signals", ";").alias(f"{k}_signals") for k in ("owner", "agent", "graph")))
+
+
 @query(f"WITH {BEHAVIOUR} SELECT keyed.agency_id, keyed.contact_key, keyed.id, round_even(CAST(owner_score AS DOUBLE), 2) AS owner_intel_score, round_even(CAST(priority AS DOUBLE), 2) AS owner_intel_priority_score, contact_class AS owner_intel_class, {_BUCKET} AS owner_intel_priority FROM keyed JOIN cl USING (agency_id, contact_key)")
 def identity_links(spark, sf_dir):
     keyed = _keyed(spark, sf_dir, "title", "description")
@@ -513,6 +536,28 @@ def link_frontier(spark, sf_dir):
     return discovery.frontier(discovery.link_table(table(spark, sf_dir, "pages"), LINK_HINTS, cap=400), _scores(spark, sf_dir), include_internal=True)
 
 
+@query(f"WITH {PSC}, fr AS (SELECT link AS url, max(CAST(floor(relevance * 0.6) AS INT)) AS priority FROM lk JOIN ps USING (page_id) GROUP BY 1) SELECT url, priority, CASE WHEN r <= 50 THEN 1 WHEN r <= 100 THEN 2 ELSE 0 END AS run FROM (SELECT *, row_number() OVER (ORDER BY priority DESC, url DESC) AS r FROM fr)")
+def frontier_claims(spark, sf_dir):
+    """Which of two runs takes each link of the frontier, 50 at a time."""
+    found = discovery.frontier(discovery.link_table(table(spark, sf_dir, "pages"), LINK_HINTS, cap=400), _scores(spark, sf_dir), include_internal=True)
+    none = lambda kind: F.lit(None).cast(kind)
+    state = cut(found.select(F.col("link").alias("url"), none("string").alias("domain"), "priority", F.lit("new").alias("status"), F.col("link").alias("id"), none("int").alias("last_checked_at")), "frontier")
+    for run in (1, 2):
+        state = discovery.claim(state, F.lit(run))[1]
+    return state.select("url", "priority", F.coalesce("last_checked_at", F.lit(0)).alias("run"))
+
+
+@query(r"""WITH hr AS (SELECT page_id, url, trim(unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1))) AS href FROM pages),
+l1 AS (SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z]+:)//', 1) || href WHEN href LIKE '?%' OR href LIKE '#%' THEN regexp_extract(url, '^[A-Za-z]+://[^?#]*', 0) || href
+  WHEN href LIKE '/%' THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]+', 0) || href ELSE regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^?#]*', 0), '[^/]*$', '') || href END AS link FROM hr WHERE href <> '')
+SELECT page_id, array_to_string(list_sort(list_distinct(list(regexp_extract(link, '^[^?#]*', 0)))), ' ') AS links FROM l1 GROUP BY 1""")
+def configured_links(spark, sf_dir):
+    """Links of pages by the selectors of their sources; here all sources are configured alike, with the page's body as item."""
+    pages = table(spark, sf_dir, "pages")
+    configs = pages.select(N.domain(F.col("url")).alias("domain")).distinct().select("domain", F.lit("body").alias("item_selector"), F.lit("a[href]").alias("link_selector"), F.lit("href").alias("link_attr"))
+    return selectors.configured_links(pages, configs).where(F.size("links") > 0).select("page_id", F.array_join("links", " ").alias("links"))
+
+
 @query(f"""WITH {LK} SELECT page_id, link, CASE WHEN page_id % 2 = 0 THEN {_any("lower(link || ' ' || anchor)", ('der', 'que'))} ELSE contains(link_domain, 'example') AND regexp_matches(lower(regexp_extract(link, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)), '/(?:de|the)') END AS is_listing FROM lk""")
 def listing_links(spark, sf_dir):
     links = discovery.link_table(table(spark, sf_dir, "pages"), LINK_HINTS, cap=400)
@@ -628,6 +673,15 @@ def paged_search(spark, sf_dir):
     return items.select("id", "title", "city", "price_rub", "status", F.lit(total).cast("long").alias("total"), F.lit(page).alias("page"), F.lit(pages).alias("pages"))
 
 
+@query(f"""WITH {LV}, t AS (SELECT unnest(['forest%green', 'SMALL plated', 'st']) AS term) SELECT term, id FROM lv JOIN t ON title ILIKE '%' || term || '%' OR description ILIKE '%' || term || '%' OR city ILIKE '%' || term || '%' OR contact_phone ILIKE '%' || term || '%' OR contact_email ILIKE '%' || term || '%'""")
+def text_search(spark, sf_dir):
+    """Three searches through one index of trigrams; the last term is too short for it and scans."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    text_index.build(listings(spark, sf_dir), path, ("title", "description", "city", "contact_phone", "contact_email"), buckets=32)
+    found = [text_index.search(spark, path, term, buckets=32).select(F.lit(term).alias("term"), "id") for term in ("forest%green", "SMALL plated", "st")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(f"WITH {KEYED} SELECT agency_id, contact_key, object_key, count(*) AS count, CAST(epoch(max(updated_at)) AS BIGINT) AS last_seen, arg_max(area_sqm, struct_pack(t := updated_at, i := -id)) AS area_sqm FROM keyed WHERE contact_key IS NOT NULL GROUP BY 1, 2, 3")
 def contact_objects(spark, sf_dir):
     return reports.contact_objects(_keyed(spark, sf_dir, several=False)).select("agency_id", "contact_key", "object_key", "count", F.col("last_seen").cast("timestamp").cast("long").alias("last_seen"), "area_sqm")

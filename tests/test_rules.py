@@ -200,8 +200,6 @@ def test_sinks_and_seeds(spark, tmp_path):
     first.write.parquet(log)
     S.append_new(spark.createDataFrame([(1, "y"), (2, "z")], "k int, v string"), first, log, ["k"])
     assert sorted((r.k, r.v) for r in spark.read.parquet(log).collect()) == [(1, "x"), (2, "z")]
-    a, b = (spark.createDataFrame([x], "seed string, kind string, priority int") for x in (("u", "url", 80), ("u", "domain", 65)))
-    assert [tuple(r) for r in discovery.seeds(a, b).collect()] == [("u", "url", 80)]
     bad = {r.title: r.reasons for r in S.validate(spark.createDataFrame([("ab", 5), ("abc", 50)], "title string, poll int"), {"poll": (10, 100)}).collect()}
     assert bad == {"ab": ["title", "poll"], "abc": []}
     assert publish.latest(spark.createDataFrame([(1, 1), (1, 2)], "k int, t int"), ["k"], F.desc("t")).first()["t"] == 2
