@@ -146,7 +146,8 @@ def hint_count(text: Column, hints: Iterable[str]) -> Column:
 
 
 def sitemap_urls(xml: Column, hints: Iterable[str], cap: int = 80) -> Column:
-    return F.slice(F.filter(all_matches(xml, r"<loc>\s*([^<\s]+)\s*</loc>", 1), lambda u: hint_count(u, hints) > 0), 1, cap)
+    found = F.transform(all_matches(xml, r"(?i)<loc>([^<]+)</loc>", 1), lambda u: F.trim(squeeze(u)))
+    return F.slice(F.filter(found, lambda u: hint_count(u, hints) > 0), 1, cap)
 
 
 def keywords_of(text: Column, least: int = 5) -> Column:

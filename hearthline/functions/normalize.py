@@ -93,8 +93,8 @@ def clamp_int(c: Column, default: int, low: int, high: int) -> Column:
 
 
 def channel_handle(c: Column) -> Column:
-    t = F.regexp_replace(F.trim(_text(c)), r"^(https?://)?(t\.me/)?(s/)?@?", "")
-    return F.lower(F.element_at(F.split(t, "/"), 1))
+    """What stands before the first slash, without leading @, in lower case. Addresses of channels are not taken apart."""
+    return F.lower(F.element_at(F.split(F.regexp_replace(F.trim(_text(c)), "^@+", ""), "/"), 1))
 
 
 def channel_list(c: Column) -> Column:
@@ -115,13 +115,16 @@ def repair_mojibake(c: Column) -> Column:
 
 
 def strip_markdown(c: Column) -> Column:
-    t = F.regexp_replace(_text(c), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return squeeze(F.regexp_replace(t, r"[*_`#>|]+", " "))
+    t = F.regexp_replace(_text(c), r"\[([^\]]+)\]\([^)]+\)", "$1")
+    return squeeze(F.regexp_replace(t, r"[*_`#>]+", " "))
 
 
 def markdown_title(c: Column) -> Column:
-    said = F.trim(F.regexp_extract(_text(c), r"(?m)^Title:[ \t]*(.+)$", 1))
-    return F.when(said != "", said).otherwise(F.trim(F.regexp_extract(_text(c), r"([^\s][^\n]*)", 1)))
+    """What follows a `Title:` at the start of a line, else the first line that is not blank and names no source or content; null without one."""
+    said = squeeze(F.regexp_extract(_text(c), r"(?imU)^\s*Title:\s*(.+?)\s*$", 1))
+    lines = F.transform(F.split(_text(c), r"[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x: squeeze(x))
+    first = F.get(F.filter(lines, lambda x: (x != "") & ~F.lower(x).startswith("url source:") & ~F.lower(x).startswith("markdown content:")), 0)
+    return F.coalesce(F.nullif(said, F.lit("")), first)
 
 
 def remap_status(c: Column, mapping: dict[str, str]) -> Column:

@@ -15,6 +15,12 @@ PROPERTY_RULES = (("warehouse", ("склад",)), ("office", ("офис",)), ("i
 RENT, SALE = ("аренд",), ("продаж",)
 AREA_BANDS = ((0, 10, "до 10"), (10, 30, "10-30"), (30, 80, "30-80"), (80, 150, "80-150"), (150, 300, "150-300"), (300, 500, "300-500"), (500, 800, "500-800"), (800, 1000, "800-1000"), (1000, 1500, "1000-1500"), (1500, 2000, "1500-2000"), (2000, 10_000_000, "2000+"))
 EDGE_CONFIDENCE = {"contact_to_listing": 0.9, "listing_to_object": 0.8, "object_to_address": 0.7, "contact_to_organization": 0.6, "organization_to_object": 0.6, "contact_to_address": 0.6, "listing_to_source": 0.7}
+# Messages: what a relevant one must hold a word of, pack by pack, what it must not hold, and the words of the region.
+MESSAGE_COMMERCIAL = ("коммерческ", "недвижим", "нежил", "офис", "склад", "торгов", "аренда", "продажа", "business center", "warehouse", "retail", "office")
+MESSAGE_ESTATE = ("недвижим", "офис", "помещен", "торгов", "нежил", "бизнес-центр", "бизнес центр", "земельн", "площад", "кв.м", "кв м", "м2", "м²")
+MESSAGE_TRANSACTION = ("аренд", "продаж", "продам", "сдам", "сниму", "куплю", "инвест", "ипотек", "lease", "rent", "sale")
+MESSAGE_EXCLUDE = ("квартир", "жилой", "жилье", "новострой", "ипотек", "крипт", "майнинг")
+MESSAGE_REGION = ("удмурт", "удмуртия", "ижевск", "сарапул", "глазов", "воткинск", "можга", "камбарка", "балезино", "udmurt", "udmurtia", "izhevsk")
 # Words that sources are searched by.
 SEARCH_PACK = (
     "аренда офиса", "аренда склада", "продажа коммерческой недвижимости", "помещение свободного назначения", "торговое помещение", "бизнес-центр", "складской комплекс",

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthline import keywords
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
 
@@ -140,6 +141,44 @@ def message_relevant(text: Column, exclude=(), topic=(), action=(), region=()) -
     return out
 
 
+#: The settings of a source's messages and what they are where a source says nothing.
+MESSAGE_FILTERS = {
+    "commercial_only": True, "region_only": True, "require_transaction": True, "require_estate": True, "commercial": keywords.MESSAGE_COMMERCIAL, "estate": keywords.MESSAGE_ESTATE, "transaction": keywords.MESSAGE_TRANSACTION,
+    "exclude": keywords.MESSAGE_EXCLUDE, "region": keywords.MESSAGE_REGION,
+}
+
+
+def _filters(given: dict | None) -> dict:
+    """Settings with defaults; packs are trimmed and lower-cased, and an empty pack counts as not given."""
+    out = dict(MESSAGE_FILTERS)
+    for k, v in (given or {}).items():
+        if isinstance(MESSAGE_FILTERS[k], bool):
+            out[k] = bool(v)
+        elif words := tuple(w for x in v or () if (w := str(x).strip().lower())):
+            out[k] = words
+    return out
+
+
+def message_passes(text: Column, filters: dict | None = None, region_context: Column | None = None) -> Column:
+    """No excluded word; with commercial_only a commercial word and, if required, one of estate and of transactions; with region_only a word of the region.
+
+    The region may be named in region_context instead, such as the text with the channel's name.
+    """
+    f, t = _filters(filters), F.lower(F.coalesce(text, F.lit("")))
+    where = t if region_context is None else F.lower(F.coalesce(F.nullif(region_context, F.lit("")), t))
+    out = ~X.any_keyword(t, f["exclude"])
+    if f["commercial_only"]:
+        for pack, needed in (("commercial", True), ("estate", f["require_estate"]), ("transaction", f["require_transaction"])):
+            out = out & X.any_keyword(t, f[pack]) if needed else out
+    return out & X.any_keyword(where, f["region"]) if f["region_only"] else out
+
+
+def channel_passes(username: Column, title: Column, query: Column, filters: dict | None = None) -> Column:
+    """Whether a channel's name and title speak of the trade, whatever commercial_only says, and with the query that found it of the region."""
+    named = N.squeeze(F.concat_ws(" ", username, title))
+    return message_passes(named, (filters or {}) | {"commercial_only": True, "require_transaction": False}, N.squeeze(F.concat_ws(" ", named, query)))
+
+
 def in_region(text: Column, address: Column, city: Column, region_code: Column, words: Iterable[str], special: str = "RU-UDM") -> Column:
     """Whether a listing lies in its source's city or region. An address that names neither decides against the special region."""
     place, said = F.lower(F.coalesce(address, F.lit(""))), F.lower(N.squeeze(text))

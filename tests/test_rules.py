@@ -41,8 +41,10 @@ def test_patterns(spark):
 
 
 def test_normal_forms(spark):
-    assert one(spark, N.channel_list(F.col("t")), t="@News, t.me/s/news\nhttps://t.me/Other/12") == ["news", "other"] and one(spark, N.strip_markdown(F.col("t")), t="**[Offer](http://a)** _now_") == "Offer now"
-    assert one(spark, N.markdown_title(F.col("t")), t="x\nTitle: Two rooms\ny") == "Two rooms" and one(spark, N.markdown_title(F.col("t")), t="\n  First\nsecond") == "First"
+    assert one(spark, N.channel_list(F.col("t")), t="@@News/12, news\n Other,t.me/s/x") == ["news", "other", "t.me"] and one(spark, N.strip_markdown(F.col("t")), t="**[Offer](http://a)** _now_") == "Offer now"
+    assert one(spark, N.markdown_title(F.col("t")), t="x\n  title:   Two  rooms \ny") == "Two rooms" and one(spark, N.markdown_title(F.col("t")), t="\n  First\nsecond") == "First"
+    assert one(spark, N.markdown_title(F.col("t")), t=" \nURL Source: http://a\r\nMarkdown content:\x0b Offer  one\nTitle:\n") == "Offer one" and one(spark, N.markdown_title(F.col("t")), t=" \n ") is None and one(spark, N.strip_markdown(F.col("t")), t="a|b [](x) [y]()") == "a|b [](x) [y]()"
+    assert one(spark, X.sitemap_urls(F.col("t"), ("/rent",)), t="<LOC>http://a/rent/1</Loc><loc> http://a/RENT/2 </loc>") == ["http://a/rent/1", "http://a/RENT/2"]
     assert one(spark, N.remap_status(F.col("t"), {"old": "new"}), t="old") == "new" and one(spark, N.remap_status(F.col("t"), {"old": "new"}), t="kept") == "kept"
     wrapped = "https://duckduckgo.com/l/?uddg=https%3A%2F%2Fa.b%2Fc&x=1"
     assert one(spark, N.unwrap_redirect(F.col("t")), t=wrapped) == "https://a.b/c" and one(spark, N.unwrap_redirect(F.col("t")), t="https://a.b/l/?uddg=x") == "https://a.b/l/?uddg=x"
