@@ -63,12 +63,12 @@ def address_candidate(text: Column, tokens: Iterable[str] = ADDRESS_WORDS) -> Co
     return (F.length(t) >= 6) & ~F.lower(t).startswith("http") & (t.rlike(r"\d") | any_keyword(F.lower(t), tokens))
 
 
-def listing_type(url: Column, text: Column, rent_urls: Iterable[str], sale_urls: Iterable[str], rent: Iterable[str] = keywords.RENT, sale: Iterable[str] = keywords.SALE) -> Column:
+def listing_type(url: Column, text: Column, rent_urls: Iterable[str] = keywords.RENT_URLS, sale_urls: Iterable[str] = keywords.SALE_URLS, rent: Iterable[str] = keywords.LISTING_RENT, sale: Iterable[str] = keywords.LISTING_SALE) -> Column:
     u, t = F.lower(_text(url)), F.lower(_text(text))
     return F.when(any_keyword(u, rent_urls), "rent").when(any_keyword(u, sale_urls), "sale").when(any_keyword(t, rent), "rent").when(any_keyword(t, sale), "sale")
 
 
-def intent(text: Column, investor: Iterable[str], tenant: Iterable[str], seller: Iterable[str]) -> Column:
+def intent(text: Column, investor: Iterable[str] = keywords.INVESTOR, tenant: Iterable[str] = keywords.TENANT, seller: Iterable[str] = keywords.SELLER) -> Column:
     t = F.lower(_text(text))
     return F.when(any_keyword(t, investor), "investor").when(any_keyword(t, tenant), "tenant").when(any_keyword(t, seller), "seller").otherwise("unknown")
 

@@ -15,6 +15,11 @@ PROPERTY_RULES = (("warehouse", ("склад",)), ("office", ("офис",)), ("i
 RENT, SALE = ("аренд",), ("продаж",)
 AREA_BANDS = ((0, 10, "до 10"), (10, 30, "10-30"), (30, 80, "30-80"), (80, 150, "80-150"), (150, 300, "150-300"), (300, 500, "300-500"), (500, 800, "500-800"), (800, 1000, "800-1000"), (1000, 1500, "1000-1500"), (1500, 2000, "1500-2000"), (2000, 10_000_000, "2000+"))
 EDGE_CONFIDENCE = {"contact_to_listing": 0.9, "listing_to_object": 0.8, "object_to_address": 0.7, "contact_to_organization": 0.6, "organization_to_object": 0.6, "contact_to_address": 0.6, "listing_to_source": 0.7}
+# Listings: signs of renting and selling in an address and in a text, and words of those who invest, rent and sell.
+RENT_URLS, SALE_URLS = ("snyat", "rent", "arenda", "lease", "/arenda", "/rent"), ("kupit", "sale", "sell", "prodazha", "/sale")
+LISTING_RENT = ("аренд", "сдам", "сдается", "сдаем", "сниму", "арендую", "rent", "lease", "sublease")
+LISTING_SALE = ("продаж", "продает", "продам", "куплю", "купить", "sale", "sell")
+INVESTOR, TENANT, SELLER = ("инвест", "доходност", "окупаем", "cap rate"), ("сниму", "ищу аренду", "арендую", "take lease"), ("продам", "продажа", "собственник", "owner")
 # Messages: what a relevant one must hold a word of, pack by pack, what it must not hold, and the words of the region.
 MESSAGE_COMMERCIAL = ("коммерческ", "недвижим", "нежил", "офис", "склад", "торгов", "аренда", "продажа", "business center", "warehouse", "retail", "office")
 MESSAGE_ESTATE = ("недвижим", "офис", "помещен", "торгов", "нежил", "бизнес-центр", "бизнес центр", "земельн", "площад", "кв.м", "кв м", "м2", "м²")

@@ -766,6 +766,13 @@ def page_listings(spark, sf_dir):
     return S.page_records(table(spark, sf_dir, "pages"))
 
 
+@query()
+def page_items(spark, sf_dir):
+    """Listings of pages with their contacts found, classified and chosen."""
+    rows = S.page_items(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "raw_url", "source_external_id", "title", "listing_type", "intent", "normalized_address", "area_sqm", "price_rub", "contact_name", "contact_phone", "contact_email", F.size("contact_candidates").alias("candidates"), F.array_join("contact_rejection_reasons", ",").alias("reasons"), "contact_confidence")
+
+
 @query(f"WITH {DECIDED} SELECT agency_id, count(*) AS listings, count(DISTINCT source_channel) AS sources, count(*) FILTER (dec.status = 'duplicate') AS duplicates, CASE WHEN count(*) FILTER (price_rub IS NULL) > 0 THEN 'partial' ELSE 'done' END AS run_status FROM lv JOIN dec USING (id, agency_id) GROUP BY 1")
 def run_rollup(spark, sf_dir):
     rows = listings(spark, sf_dir)

@@ -11,7 +11,8 @@ from hearthline import keywords
 from hearthline.functions import extract as X
 from hearthline.functions import normalize as N
 
-from hearthline.operators.shared import escaped, remove
+from hearthline.operators import contacts
+from hearthline.operators.shared import cut, escaped, remove
 
 from . import payload
 
@@ -119,6 +120,33 @@ def page_records(pages: DataFrame) -> DataFrame:
     )
 
 
+def page_items(pages: DataFrame, city: str | None = None, region_code: str | None = None, region_words: Iterable[str] = keywords.MESSAGE_REGION, districts: Iterable[str] = ()) -> DataFrame:
+    """A canonical listing of each page of a source that lies in its city or region, with its contacts found, classified and chosen.
+
+    Candidates come from the page's JSON records, from its markup, from its heading and description, and from the start of its text, in this
+    order of trust; the chosen one gives the listing its phone or e-mail. Place and price come from the records, else from the text.
+    """
+    rows = page_records(pages).withColumnRenamed("normalized_address", "said_address").join(pages.select("page_id", "html", "url"), "page_id")
+    records = F.concat(F.lit("["), F.array_join(payload.embedded_records("html"), ","), F.lit("]"))
+    rows = rows.select("*", X.page_text(F.col("html")).alias("body"), records.alias("records")).withColumn("found", payload.payload_fields("records", "url"))
+    about = F.when(F.col("description") == F.left("body", F.lit(4000)), "").otherwise(F.col("description"))
+    rows = rows.withColumns({"hint": N.squeeze(F.concat_ws(" ", "title", about)), "text": N.squeeze(F.concat_ws(" ", "title", about, F.left("body", F.lit(8000)))), "normalized_address": F.coalesce(F.col("found.address"), "said_address")})
+    inside = in_region(F.col("text"), F.col("normalized_address"), F.lit(city).cast("string"), F.lit(region_code).cast("string"), region_words)
+    rows = cut(rows.where(inside), "page-items")
+    origins = [("listing_body", F.coalesce(F.nullif("hint", F.lit("")), F.col("text"))), ("page_text", F.left("body", F.lit(4000)))]
+    found = contacts.candidates(rows, "page_id", origins, [payload.payload_contacts("records"), payload.markup_contacts("html")])
+    rated = contacts.classified(found.join(rows.select("page_id", N.domain(F.col("url")).alias("home")), "page_id"), F.col("home"))
+    chosen = contacts.bundles(rated.drop("home"), "page_id")
+    own = F.col("selected")
+    return rows.join(chosen, "page_id", "left").select(
+        "page_id", "raw_url", "source_external_id", "title", F.left("text", F.lit(4000)).alias("description"), X.listing_type(F.col("url"), F.col("hint")).alias("listing_type"), X.intent(F.col("text")).alias("intent"),
+        F.coalesce("image_url", F.col("found.image")).alias("image_url"), "normalized_address", X.district(F.col("text"), list(districts)).alias("address_district"), X.street(F.col("text"), F.col("normalized_address")).alias("address_street"),
+        F.lit(city).cast("string").alias("city"), F.lit(region_code).cast("string").alias("region_code"), X.area(F.col("text")).alias("area_sqm"), X.price(F.col("text")).alias("price_rub"),
+        own["label"].alias("contact_name"), F.when(own["type"] == "phone", own["normalized"]).alias("contact_phone"), F.when(own["type"] == "email", own["normalized"]).alias("contact_email"),
+        F.col("candidates").alias("contact_candidates"), F.col("selected").alias("selected_contact"), F.col("rejected").alias("rejected_contacts"), F.col("rejection_reasons").alias("contact_rejection_reasons"), "contact_confidence",
+    )
+
+
 def messages(rows: DataFrame, text: str, order: list[Column], cap: int | None = None, **packs) -> DataFrame:
     """Messages that are not blank and pass message_relevant(), the first cap of them in that order."""
     kept = rows.where((F.trim(F.coalesce(text, F.lit(""))) != "") & message_relevant(F.col(text), **packs))
