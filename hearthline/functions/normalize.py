@@ -22,13 +22,12 @@ def squeeze(c: Column, lower: bool = False) -> Column:
 
 
 def phone_loose(c: Column) -> Column:
-    digits = F.regexp_replace(_text(c), r"\D+", "")
-    return F.when((F.length(digits) == 11) & digits.startswith("8"), F.concat(F.lit("7"), F.substring(digits, 2, 10))).otherwise(digits)
+    # Named once: each further use of a column would be generated, and run, again.
+    return F.regexp_replace(F.regexp_replace(_text(c), r"\D+", ""), r"^8(?=\d{10}$)", "7")
 
 
 def phone_strict(c: Column) -> Column:
-    loose = phone_loose(c)
-    return F.when((F.length(loose) == 11) & loose.startswith("7"), F.concat(F.lit("+"), loose)).otherwise("")
+    return F.regexp_replace(F.regexp_extract(phone_loose(c), r"^7\d{10}$", 0), "^7", "+7")
 
 
 def phone_keep(c: Column) -> Column:

@@ -25,16 +25,22 @@ def _rounded(c: Column, digits: int) -> Column:
 
 
 def fingerprint(phone: Column, email: Column, address: Column, area: Column, price: Column, strict_empty: bool = True) -> Column:
-    key = F.concat_ws("|", N.phone_loose(phone), N.email(email), N.address(address), _rounded(area, 0), _rounded(price, -3))
-    return F.when(key != "|||0|0", F.sha1(key)) if strict_empty else F.sha1(key)
+    return _print(N.phone_loose(phone), N.email(email), N.address(address), area, price, strict_empty)
+
+
+def _print(phone: Column, email: Column, addr: Column, area: Column, price: Column, strict_empty: bool) -> Column:
+    key = F.concat_ws("|", phone, email, addr, _rounded(area, 0), _rounded(price, -3))
+    return F.sha1(F.nullif(key, F.lit("|||0|0"))) if strict_empty else F.sha1(key)
 
 
 def base_rows(listings: DataFrame, strict_empty: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """What the rules look at: id, agency_id, source_channel, ext, addr, area, price, own (the row's own fingerprint)."""
-    return listings.select(
-        "id", "agency_id", "source_channel", *(c for c in keep if c != "source_channel"), F.nullif("source_external_id", F.lit("")).alias("ext"), N.address(F.col("address")).alias("addr"), F.col("area_sqm").cast("double").alias("area"),
-        F.col("price_rub").cast("double").alias("price"), fingerprint(F.col("contact_phone"), F.col("contact_email"), F.col("address"), F.col("area_sqm"), F.col("price_rub"), strict_empty).alias("own"),
+    head = ["id", "agency_id", "source_channel", *(c for c in keep if c != "source_channel")]
+    rows = listings.select(
+        *head, F.nullif("source_external_id", F.lit("")).alias("ext"), N.address(F.col("address")).alias("addr"), F.col("area_sqm").cast("double").alias("area"), F.col("price_rub").cast("double").alias("price"),
+        N.phone_loose(F.col("contact_phone")).alias("__phone"), N.email(F.col("contact_email")).alias("__email"), F.col("area_sqm").alias("__area"), F.col("price_rub").alias("__price"),
     )
+    return rows.select(*head, "ext", "addr", "area", "price", _print(F.col("__phone"), F.col("__email"), F.col("addr"), F.col("__area"), F.col("__price"), strict_empty).alias("own"))
 
 
 def decisions(listings: DataFrame, strict_empty: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
