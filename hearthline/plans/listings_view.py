@@ -10,6 +10,13 @@ LISTINGS = open(__file__.rsplit("/", 1)[0] + "/listings_view.sql").read()
 TABLES = ("lineitem", "orders", "part", "customer", "nation", "region")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A table of fewer splits than cores, dealt by a hash of key over all of them; larger tables are read in their own splits, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = re.sub(rf"(FROM|JOIN)(\s+)({'|'.join(TABLES)})\b", r"\1\2{\3}", LISTINGS)
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return spark.sql(sql, **tables | {"lineitem": spread(tables["lineitem"], "l_orderkey")})
