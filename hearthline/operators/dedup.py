@@ -131,9 +131,9 @@ def asked_of(stored: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, single: DataFrame, key: list[str]) -> DataFrame:
-    """rows with the columns of single, which has one row for each key. Rows whose last key column is null pass by without being moved."""
-    has = F.col(key[-1]).isNotNull()
-    return rows.where(has).join(single, key, "left").unionByName(rows.where(~has), allowMissingColumns=True)
+    """rows with the columns of single, which has one row for each key. Rows whose last key column is null meet nothing, and are dealt by their ids, so none of them gather in a task."""
+    deal = F.when(F.col(key[-1]).isNotNull(), F.xxhash64(*key)).otherwise(F.xxhash64("id"))
+    return rows.withColumn("__deal", deal).join(single.withColumn("__deal", F.xxhash64(*key)), [*key, "__deal"], "left").drop("__deal")
 
 
 def _usable() -> Column:
