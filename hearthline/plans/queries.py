@@ -378,6 +378,15 @@ def identity_filters(spark, sf_dir):
     return identity.filtered(_identities(spark, sf_dir), least_score=60, low_competition=True, new_days=365, as_of=F.lit(AS_OF).cast("timestamp")).select("agency_id", "contact_key", "owner_score")
 
 
+SOUGHT = "Customer1"
+
+
+@query(f"""WITH {BEHAVIOUR} SELECT agency_id, contact_key, contact_class FROM cl
+WHERE contains(lower(concat('  ', regexp_replace(contact_key, '^[a-z]+:', ''), ' ', replace(organizations, ',', ' '))), lower('{SOUGHT}'))""")
+def identity_search(spark, sf_dir):
+    return identity.searched(_identities(spark, sf_dir), SOUGHT).select("agency_id", "contact_key", "contact_class")
+
+
 @query(f"WITH {BEHAVIOUR} SELECT agency_id, contact_key, CASE WHEN contact_class = 'owner_candidate' THEN 'published_to_owners' ELSE 'owner_scored' END AS lifecycle_status, CASE WHEN contact_class = 'owner_candidate' THEN coalesce(CASE WHEN listings % 2 = 0 THEN epoch(first_seen) END, epoch(TIMESTAMP '{AS_OF}')) END::BIGINT AS published_at FROM cl")
 def published_owners(spark, sf_dir):
     owner = F.col("contact_class") == "owner_candidate"
