@@ -5,6 +5,7 @@ from datetime import datetime
 import duckdb
 import pytest
 
+from hearthline.operators import incremental
 from hearthline.plans import queries
 from hearthline.plans.listings_view import listings
 
@@ -50,3 +51,14 @@ def test_listings_without_fingerprint(spark, tmp_path, name):
     want = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in want.description]
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, path).select(*columns).collect())
+
+
+def test_edges_alone_of_increments(spark, tmp_path):
+    schema = "id long, agency_id int, title string, created_at int, updated_at int, object_key string, address_key string, contact_key string, source_key string, org_keys array<string>"
+    rows = spark.createDataFrame([(k, 1, "t", k, k, f"o{k % 3}", "street", "phone:7", "s", ["org", "org"]) for k in range(9)], schema)
+    for name, nodes in (("all", True), ("edges", False)):
+        for part in (rows.where("id < 6"), rows.where("id >= 4")):
+            incremental.merge_graph(f"{tmp_path}/{name}", part, buckets=2, nodes=nodes)
+    both = [sorted(map(tuple, incremental.read(spark, f"{tmp_path}/{n}/edges").collect())) for n in ("all", "edges")]
+    assert both[0] == both[1] and sorted(r[-1] for r in both[1] if r[1] == "contact_to_organization") == [9]
+    assert not (tmp_path / "edges" / "nodes").exists() and (tmp_path / "all" / "nodes").exists()
