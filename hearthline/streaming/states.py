@@ -15,7 +15,8 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 PAUSE_AFTER, RESUME_AFTER = 3, 2
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,30 +35,27 @@ def step(before: Summary, failed: bool) -> Summary:
     return failed, run, state
 
 
-class SourceFold(StatefulProcessor):
-    """settled: the summary up to a place (time, id) and the newest time seen; open: the events after that place."""
+# A source's state: the summary up to a place (time, id), the newest time seen, and the events after that place as three arrays.
+STATE = "ts long, id long, failed boolean, run int, state string, newest long, open_ts array<long>, open_id array<long>, open_failed array<boolean>"
 
-    def __init__(self, horizon_micros: int, columns: list[str]) -> None:
-        self.horizon, self.columns = horizon_micros, columns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.settled = handle.getValueState("settled", "ts long, id long, failed boolean, run int, state string, newest long")
-        self.open = handle.getListState("open", "ts long, id long, failed boolean")
+def source_fold(horizon: int, columns: list[str]):
+    """The fold of one source's new events; Spark hands its state over with the rows, many sources at a time."""
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = self.settled.get() if self.settled.exists() else None
-        place = (kept[0], kept[1]) if kept else None
-        summary: Summary = (kept[2], kept[3], kept[4]) if kept else (None, 0, "active")
-        newest = kept[5] if kept else None
-        known = {(int(t), int(i)): bool(x) for t, i, x in self.open.get()} if self.open.exists() else {}
+    def fold(key: tuple, rows: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        place, summary, newest, known = None, (None, 0, "active"), None, {}
+        if kept.exists:
+            at_ts, at_id, *last, newest, times, ids, outcomes = kept.get
+            place, summary = None if at_ts is None else (at_ts, at_id), tuple(last)
+            known = dict(zip(zip(times, ids), outcomes))
         new, late = {}, []
         for part in rows:
-            for t, i, x in zip(part["ts"], part["id"], part["failed"]):
-                at = (int(t), int(i))
+            for t, i, x in zip(part["ts"].tolist(), part["id"].tolist(), part["failed"].tolist()):
+                at = (t, i)
                 if place and at <= place:
-                    late.append((*at, bool(x)))
+                    late.append((*at, x))
                 elif at not in known:
-                    new[at] = bool(x)
+                    new[at] = x
         out = [(*x, 0, summary[2], True) for x in late]
         if new:
             first, known = min(new), known | new
@@ -68,29 +66,28 @@ class SourceFold(StatefulProcessor):
                 now = step(now, known[at])
                 if at >= first:
                     out.append((*at, known[at], now[1], now[2], False))
-                if at[0] < newest - self.horizon:
+                if at[0] < newest - horizon:
                     place, settled = at, now
                 else:
                     still.append((*at, known[at]))
-            if place:
-                self.settled.update((*place, *settled, newest))
-            self.open.put(still)
-        yield pd.DataFrame(out, columns=["ts", "id", "failed", "run", "state", "late"]).assign(key=key[0])[self.columns]
+            kept.update((*(place or (None, None)), *settled, newest, *(map(list, zip(*still)) if still else ([], [], []))))
+        if out:
+            yield pd.DataFrame(dict(zip(columns, [[key[0]] * len(out), *zip(*out)])))
 
-    def close(self) -> None:
-        pass
+    return fold
 
 
 def source_states(stream: DataFrame, table: str, checkpoint: str, key: str, ts: str, event_id: str, failed: Column, horizon: str = "7 days") -> StreamingQuery:
     """Folds a stream of events into table; a batch that is replayed overwrites its own rows."""
     spark = stream.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKS:  # the only store that keeps several states of a key
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKS:  # keeps states on disk, not in an executor's heap
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     micros = int(pd.Timedelta(horizon).total_seconds() * 1_000_000)
     columns = ["key", "ts", "id", "failed", "run", "state", "late"]
     kind = stream.schema[key].dataType.simpleString()
     rows = stream.where(F.col(ts).isNotNull() & F.col(event_id).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(event_id).cast("long").alias("id"), F.coalesce(failed, F.lit(False)).alias("failed"))
-    folded = rows.groupBy("key").transformWithStateInPandas(SourceFold(micros, columns), f"key {kind}, ts long, id long, failed boolean, run int, state string, late boolean", "Update", "None")
+    out = f"key {kind}, ts long, id long, failed boolean, run int, state string, late boolean"
+    folded = rows.groupBy("key").applyInPandasWithState(source_fold(micros, columns), out, STATE, "update", "NoTimeout")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.select(F.timestamp_micros("ts").alias("at"), *columns).drop("ts").write.mode("overwrite").parquet(f"{table}/batch={number}")

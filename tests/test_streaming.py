@@ -52,6 +52,17 @@ def test_settled_events_are_bounded_and_late_ones_marked(spark, tmp_path):
     assert states.folded([True, True, True]) == (True, 3, "paused") and states.folded([True] * 3 + [False] * 2) == (False, 2, "active")
 
 
+
+def test_newest_time_is_kept_while_nothing_is_settled(spark, tmp_path):
+    """Day -2 is older than the horizon before day 4, seen a batch earlier, and so is settled at once; day -3 comes after that."""
+    day = lambda n: datetime(2024, 1, 10) + timedelta(days=n)
+    batches = [[(1, 7, day(0), True), (2, 7, day(4), True)], [(3, 7, day(-2), True)], [(4, 7, day(-3), True)]]
+    stream = batches_of(spark, str(tmp_path / "in"), batches, EVENT)
+    states.source_states(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "source", "at", "id", F.col("bad"), "5 days").awaitTermination()
+    got = {r["id"]: (r["run"], r["state"], r["late"]) for r in states.latest_states(spark, str(tmp_path / "out")).collect()}
+    assert got == {3: (1, "active", False), 1: (2, "active", False), 2: (3, "paused", False), 4: (0, "active", True)}
+
+
 LISTING = "id long, agency_id int, source_channel string, source_external_id string, address string, area_sqm double, price_rub double, contact_phone string, contact_email string"
 
 
