@@ -1,8 +1,10 @@
 """Text search over listings by trigrams: postings narrow the rows, the condition itself decides.
 
-An index has two tables, dealt over folders: grams (by a hash of the gram: the rows of each trigram of their lower-cased texts) and
-rows (by a hash of the id: the texts). A search reads the folders of its rarest grams, and then only the folders of the rows that hold
-them all. Terms without three plain signs in a row are answered by a scan of the rows.
+An index has three tables, dealt over folders: grams (by a hash of the gram: the distinct lower-cased texts that hold each trigram, by
+their hashes), holders (by the hash of the text: the rows that have it) and rows (by a hash of the id: the texts). So a text that many
+rows share has its grams once. A search reads the folders of its rarest grams, then of the texts that hold them all, and then only
+the folders of their rows; texts of equal hashes only add rows, which the condition refuses. Terms without three plain signs in a row are
+answered by a scan of the rows.
 """
 
 from __future__ import annotations
@@ -32,11 +34,14 @@ def build(listings: DataFrame, path: str, columns=SEARCHED, buckets: int = BUCKE
     have = [c for c in columns if c in listings.columns]
     rows = listings.select("id", *(F.col(c).cast("string").alias(c) for c in have)).withColumn("bucket", bucket_of(["id"], buckets))
     rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
-    grams = rows.select("id", F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(grams_of(F.col(c)), F.array().cast("array<string>")) for c in have))))).alias("gram"))
-    # A frequent gram fills its folder's files from many tasks: rows are dealt by gram and a part of the id.
-    grams = grams.withColumn("bucket", bucket_of(["gram"], buckets))
-    grams.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
-    sizes = grams.groupBy("gram", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    kept = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+    texts = kept.select("id", F.explode(F.array_distinct(F.array(*(F.lower(F.col(c)) for c in have)))).alias("text")).where("text IS NOT NULL").withColumn("key", F.xxhash64("text"))
+    # A frequent text or gram fills its folder's files from many tasks: they are dealt by a part of the id or of the text as well.
+    holders = texts.select("key", "id").withColumn("bucket", bucket_of(["key"], buckets))
+    holders.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/holders")
+    grams = texts.select("key", "text").distinct().select("key", F.explode(F.array_distinct(grams_of(F.col("text")))).alias("gram")).withColumn("bucket", bucket_of(["gram"], buckets))
+    grams.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
+    sizes = rows.sparkSession.read.schema(grams.schema).parquet(f"{path}/grams").groupBy("gram", "bucket").agg(F.count(F.lit(1)).alias("n"))
     sizes.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/sizes")
 
 
@@ -60,7 +65,9 @@ def search(spark: SparkSession, path: str, text: str, buckets: int = BUCKETS) ->
     if len(sizes) < len(asked):  # a gram that no row has
         return rows.where(F.lit(False)).select("id")
     rarest = sorted(sizes, key=lambda r: (r["n"], r["gram"]))[:LOOKED_UP]
-    found = stored(spark, f"{path}/grams", sorted({r["bucket"] for r in rarest}), "id long, gram string, bucket int").where(F.col("gram").isin([r["gram"] for r in rarest]))
-    found = cut(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rarest)).select("id", bucket_of(["id"], buckets).alias("bucket")), "gram-hits")
+    said = stored(spark, f"{path}/grams", sorted({r["bucket"] for r in rarest}), "key long, gram string, bucket int").where(F.col("gram").isin([r["gram"] for r in rarest]))
+    said = cut(said.groupBy("key").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rarest)).select("key", bucket_of(["key"], buckets).alias("bucket")), "text-hits")
+    held = stored(spark, f"{path}/holders", sorted(r["bucket"] for r in said.select("bucket").distinct().collect()), "key long, id long, bucket int")
+    found = cut(held.join(said.select("key"), "key", "left_semi").select("id", bucket_of(["id"], buckets).alias("bucket")).distinct(), "gram-hits")
     numbers = sorted(r["bucket"] for r in found.select("bucket").distinct().collect())  # no more than there are folders
     return stored(spark, f"{path}/rows", numbers, rows.schema).join(found.select("id"), "id", "left_semi").where(hit).select("id")

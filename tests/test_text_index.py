@@ -43,3 +43,11 @@ def test_a_rare_word_reads_few_folders(spark, indexed, tmp_path):
     read = {f.split("bucket=")[1].split("/")[0] for f in got.inputFiles() if "/rows/" in f}
     assert read == {str(spark.range(9999, 10000).select(bucket_of(["id"], text_index.BUCKETS).alias("b")).first()["b"])} and len(os.listdir(tmp_path / "i" / "rows")) > 100
     assert spark.range(1).select(text_index.grams_of(F.lit("AbCd")).alias("g")).first()["g"] == ["abc", "bcd"]
+
+
+def test_a_shared_text_has_its_grams_once(spark, tmp_path):
+    """The same text in 300 rows, in other letters too, is one text of the index, and a search still finds each of its rows."""
+    rows = [(i, "Warehouse Twelve" if i % 2 else "WAREHOUSE twelve", None, None) for i in range(300)] + [(900, "office", None, "warehouse")]
+    text_index.build(spark.createDataFrame(rows, "id long, title string, normalized_address string, city string"), str(tmp_path / "i"), buckets=4)
+    assert sorted(r["id"] for r in text_index.search(spark, str(tmp_path / "i"), "use twel", buckets=4).collect()) == list(range(300))
+    assert spark.read.parquet(str(tmp_path / "i" / "grams")).count() == 14 + 4 + 7
