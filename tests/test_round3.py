@@ -5,7 +5,7 @@ from datetime import datetime
 import duckdb
 import pytest
 
-from hearthline.operators import incremental
+from hearthline.operators import incremental, publish
 from hearthline.plans import queries
 from hearthline.plans.listings_view import listings
 
@@ -62,3 +62,9 @@ def test_edges_alone_of_increments(spark, tmp_path):
     both = [sorted(map(tuple, incremental.read(spark, f"{tmp_path}/{n}/edges").collect())) for n in ("all", "edges")]
     assert both[0] == both[1] and sorted(r[-1] for r in both[1] if r[1] == "contact_to_organization") == [9]
     assert not (tmp_path / "edges" / "nodes").exists() and (tmp_path / "all" / "nodes").exists()
+
+
+def test_tasks_of_listings_with_negative_ids(spark):
+    tasks = spark.createDataFrame([(1, "-5"), (1, "7"), (1, " -9 "), (1, "x-5"), (1, "--5")], "agency_id int, source_record_id string")
+    rows = spark.createDataFrame([(-5, 1, "a"), (7, 1, "a"), (-9, 1, "b"), (-11, 1, "b")], "id long, agency_id int, source string")
+    assert sorted(tuple(r) for r in publish.tasks_by_source(tasks, rows).collect()) == [("a", 2), ("b", 1)]
