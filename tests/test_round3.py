@@ -5,7 +5,7 @@ from datetime import datetime
 import duckdb
 import pytest
 
-from hearthline.operators import incremental, publish
+from hearthline.operators import dedup, incremental, publish
 from hearthline.plans import queries
 from hearthline.plans.listings_view import listings
 
@@ -68,3 +68,13 @@ def test_tasks_of_listings_with_negative_ids(spark):
     tasks = spark.createDataFrame([(1, "-5"), (1, "7"), (1, " -9 "), (1, "x-5"), (1, "--5")], "agency_id int, source_record_id string")
     rows = spark.createDataFrame([(-5, 1, "a"), (7, 1, "a"), (-9, 1, "b"), (-11, 1, "b")], "id long, agency_id int, source string")
     assert sorted(tuple(r) for r in publish.tasks_by_source(tasks, rows).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_texts_stay_out_of_the_joins_of_the_rules(spark, tmp_path, monkeypatch):
+    path, seen, met = given(spark, tmp_path, [(3, 715, 1, 1, 50.0), (3, 716, 1, 1, 5.0), (7, 716, 1, 1, 5.0), (7, 716, 1, 2, 5.0)]), [], dedup._met
+    monkeypatch.setattr(dedup, "_met", lambda rows, single, key: seen.extend(rows.columns) or met(rows, single, key))
+    plain, rows = dedup.decisions(listings(spark, path)), listings(spark, path)
+    got = dedup.decisions(rows, keep=("title", "source_channel", "city"))
+    assert got.columns == [*plain.columns, "title", "source_channel", "city"] and not {"title", "city"} & set(seen)
+    want = plain.join(rows.select("id", "title", "source_channel", "city"), "id").collect()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == rows.count()
