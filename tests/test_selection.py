@@ -83,3 +83,30 @@ def test_a_hot_address_makes_no_pairs(spark):
     rows = spark.range(20000).select(F.xxhash64("id").alias("id"), F.lit(1).alias("agency_id"), F.lit("hot").alias("addr"), (100 + F.pmod("id", F.lit(140)) * 0.1).alias("area"), (1e6 + F.floor(F.col("id") / 140) * 1000.0).alias("price"))
     got = dedup.nearest(rows)
     assert got.count() == 20000 - 1 and got.agg(F.min("low")).first()[0] == rows.agg(F.min("id")).first()[0]
+
+
+def spread_points(n: int, seed: int) -> list[tuple]:
+    rng = random.Random(seed)
+    return [(i, 1, "hot", round(rng.uniform(1, 50), 1) * rng.randint(1, 50), round(rng.uniform(900, 105000), 2)) for i in rng.sample(range(-n, n), n)]
+
+
+def test_an_address_of_many_spread_points_is_looked_through_in_turn(spark, monkeypatch):
+    """800 points in no special order: none is laid on the grid, where each would make 150 rows, and few meet more than the first ids."""
+    rows, written, cut = spread_points(800, 5), {}, dedup.cut
+    def counted(df, label):
+        made = cut(df, label)
+        written.setdefault(label, []).append(made.count())
+        return made
+    monkeypatch.setattr(dedup, "cut", counted)
+    got = dedup.nearest(spark.createDataFrame(rows, "id long, agency_id int, addr string, area double, price double")).collect()
+    at = {(a, p): i for i, _, _, a, p in rows}
+    assert len(at) == 800 and {at[r["area"], r["price"]]: r["low"] for r in got} == plain_nearest(rows)
+    assert "dedup-grid" not in written and written["dedup-looked"][0] == 800 and sum(written["dedup-looked"]) < 2 * 800
+
+
+def test_the_grid_finds_what_the_turns_find(spark, monkeypatch):
+    rows = spread_points(300, 6)
+    frame = spark.createDataFrame(rows, "id long, agency_id int, addr string, area double, price double")
+    monkeypatch.setattr(dedup, "HOT_POINTS", 64)
+    at = {(a, p): i for i, _, _, a, p in rows}
+    assert {at[r["area"], r["price"]]: r["low"] for r in dedup.nearest(frame).collect()} == plain_nearest(rows)
