@@ -100,9 +100,11 @@ def active_tenants(sources: DataFrame) -> DataFrame:
 
 def contact_objects(rows: DataFrame) -> DataFrame:
     """The objects of each contact: how many listings, and when one was last updated. rows: graph.keyed()."""
-    first = F.min_by(F.struct("address_key", F.col("area_sqm").cast("double").alias("area_sqm"), "listing_type"), F.struct((-F.col("updated_at").cast("timestamp").cast("double")).alias("t"), "id"))
+    # One aggregate for each column, so that those nobody asks for are not moved.
+    earliest = F.struct((-F.col("updated_at").cast("timestamp").cast("double")).alias("t"), "id")
+    first = {c: F.min_by(v, earliest).alias(c) for c, v in (("address_key", F.col("address_key")), ("area_sqm", F.col("area_sqm").cast("double")), ("listing_type", F.col("listing_type")))}
     own = rows.where("contact_key IS NOT NULL")
-    return own.groupBy("agency_id", "contact_key", "object_key").agg(first.alias("o"), F.count(F.lit(1)).alias("count"), F.max("updated_at").alias("last_seen")).select("agency_id", "contact_key", "object_key", "o.*", "count", "last_seen")
+    return own.groupBy("agency_id", "contact_key", "object_key").agg(*first.values(), F.count(F.lit(1)).alias("count"), F.max("updated_at").alias("last_seen"))
 
 
 def contact_timeline(rows: DataFrame, days: int = 30) -> DataFrame:

@@ -3,8 +3,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from hearthline.operators import dedup
+from hearthline.operators import dedup, graph, scoring
 from hearthline.operators.shared import cut, shared_dir
+from hearthline.plans import queries
 from hearthline.plans.listings_view import listings
 
 from .test_round3 import given
@@ -38,3 +39,30 @@ def test_decisions_keep_two_tables_and_move_rows_once(spark, tmp_path):
     assert sorted(name for key, name in tables(spark).items() if key not in before) == ["dedup-found", "dedup-rows"]
     plan = decided._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and decided.count() == listings(spark, path).count()
+
+
+def test_what_listings_say_of_themselves_needs_no_aggregate(spark):
+    schema = "id long, agency_id int, title string, status string, created_at int, updated_at int, object_key string, address_key string, contact_key string, source_key string, org_keys array<string>"
+    rows = spark.createDataFrame([(k, 1, "t" if k else "", "new", k, k + 1, f"o{k % 3}", "street" if k % 2 else None, "phone:7", "s", ["org", f"org{k}"]) for k in range(9)], schema)
+    for f in (graph.edges, graph.nodes, graph.node_metadata):
+        assert sorted(map(str, f(rows, unique=True).collect())) == sorted(map(str, f(rows).collect()))
+    alone = graph.edges(rows, unique=True).where(F.col("edge_type") == "listing_to_source")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in alone and "distinct" not in alone
+
+
+def test_contact_queries_leave_keys_and_their_result(spark, tmp_path):
+    path = given(spark, tmp_path, [(3, 715, 1, 1, 50.0), (4, 716, 1, 1, 5.0), (7, 716, 1, 1, 5.0), (7, 716, 1, 2, 5.0)])
+    before = tables(spark)
+    queries.contact_features(spark, path)
+    left = lambda: sorted(name for key, name in tables(spark).items() if key not in before)
+    assert left() == ["contact-features", "keyed"]
+    before = tables(spark)
+    queries.owner_scores(spark, path)
+    assert not {"keyed", "entities", "dedup-rows", "dedup-found", "own-prices", "said-organisations"} & set(left()) and "identities" in left()
+
+
+def test_texts_are_told_by_narrow_columns(spark):
+    schema = "id long, agency_id int, title string, description string, contact_phone string, contact_email string, price_rub double, area_sqm double, address string, price_m2 double, deviation double, below_market boolean, updated_at timestamp, status string"
+    rows = spark.createDataFrame([(k, 1, "small rod", "urgent!!! low", "8 900" if k % 2 else None, None, 5.0, 2.0, "a", 2.5, None, False, None, "duplicate" if k else "new") for k in range(4)], schema)
+    said = rows.withColumns(scoring.said()).drop("title", "description", "contact_phone", "contact_email", "address")
+    assert sorted(map(str, scoring.lead_scores(said, "2024-01-01").collect())) == sorted(map(str, scoring.lead_scores(rows, "2024-01-01").collect()))
