@@ -41,6 +41,14 @@ def test_decisions_keep_two_tables_and_move_rows_once(spark, tmp_path):
     assert plan.count("Join") == 1 and decided.count() == listings(spark, path).count()
 
 
+def test_names_alike_with_other_first_signs_are_linked(spark):
+    name = "omega trading and storage house"
+    contacts = spark.createDataFrame([(1, "phone:1", "a" + name[1:]), (1, "phone:2", "unlike"), (1, "phone:3", "ab")], "agency_id int, contact_key string, name string")
+    orgs = spark.createDataFrame([(1, name), (1, "ab"), (2, "unlike")], "agency_id int, name string")
+    got = {(r["contact_key"], r["organisation"]) for r in graph.contact_organisations(contacts, orgs).collect()}
+    assert got == {("phone:1", name), ("phone:3", "ab")}
+
+
 def test_what_listings_say_of_themselves_needs_no_aggregate(spark):
     schema = "id long, agency_id int, title string, status string, created_at int, updated_at int, object_key string, address_key string, contact_key string, source_key string, org_keys array<string>"
     rows = spark.createDataFrame([(k, 1, "t" if k else "", "new", k, k + 1, f"o{k % 3}", "street" if k % 2 else None, "phone:7", "s", ["org", f"org{k}"]) for k in range(9)], schema)
